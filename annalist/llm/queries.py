@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, quality_rules, url_filters
+from annalist.llm import chat, packing, quality_rules, url_filters
 from annalist.llm.common import table
 
 
@@ -19,6 +19,20 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "mined_rule", "mined_confidence")
 
 
+def tokenizer_files() -> tuple[str, str, str]:
+    """Paths of the byte-level vocabulary, as both libraries want it, and its word pattern."""
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    return path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed pieces of sequences of 2048 tokens."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack(packing.cut(docs, tokenizer_files()), docs.count())
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of all documents under the current policy."""
     entries = quality_rules.ledger(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -45,6 +59,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_url_filters": op2_url_filters,
+    "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
 }
