@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, packing, quality_rules, url_filters
+from annalist.llm import chat, packing, quality_rules, secrets, url_filters
 from annalist.llm.common import table
 
 
@@ -19,6 +19,19 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "mined_rule", "mined_confidence")
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text."""
+    found = secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"),
+    )
+
+
 def tokenizer_files() -> tuple[str, str, str]:
     """Paths of the byte-level vocabulary, as both libraries want it, and its word pattern."""
     import public_tokenizers
@@ -59,6 +72,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_url_filters": op2_url_filters,
+    "op4_secret_scans": op4_secret_scans,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op10_chat_formatting": op10_chat_formatting,
