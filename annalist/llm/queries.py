@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, packing, quality_rules, secrets, url_filters
+from annalist.llm import chat, packing, quality_rules, secrets, url_filters, warc
 from annalist.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "mined_rule", "mined_confidence")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written to archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html")).drop("target_uri")
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text."""
     found = secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -72,6 +77,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_url_filters": op2_url_filters,
+    "op3_warc": op3_warc,
     "op4_secret_scans": op4_secret_scans,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
