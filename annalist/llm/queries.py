@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, packing, quality_rules, secrets, url_filters, warc
+from annalist.llm import chat, ngram_join, packing, quality_rules, secrets, url_filters, warc
 from annalist.llm.common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return ngram_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every url of pages, judged by base rules, then by rules mined from the labels of page_id."""
     pages = table(spark, sf_dir, "pages", "page_id", "url")
@@ -76,6 +81,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_url_filters": op2_url_filters,
     "op3_warc": op3_warc,
     "op4_secret_scans": op4_secret_scans,
