@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, ngram_join, packing, quality_rules, secrets, url_filters, warc
+from annalist.llm import chat, decontam, ngram_join, packing, quality_rules, secrets, url_filters, warc
 from annalist.llm.common import table
 
 
@@ -67,6 +67,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document."""
+    return decontam.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, formatted and read back."""
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
@@ -87,6 +92,7 @@ QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_decontamination": op8_decontamination,
     "op10_chat_formatting": op10_chat_formatting,
 }
 ORACLES: dict[str, str] = {}
