@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, decontam, ngram_join, packing, quality_rules, secrets, url_filters, warc
+from annalist.llm import chat, decontam, mil, ngram_join, packing, quality_rules, secrets, url_filters, warc
 from annalist.llm.common import table
 
 
@@ -50,6 +50,13 @@ def tokenizer_files() -> tuple[str, str, str]:
     return path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").withColumnRenamed("quality", "label")
+    return mil.score(docs, mil.train(docs, labels))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as packed pieces of sequences of 2048 tokens."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -90,6 +97,7 @@ QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op3_warc": op3_warc,
     "op4_secret_scans": op4_secret_scans,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
