@@ -183,32 +183,38 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model |
     return fit(bags, np.array([r.label for r in got], np.float32))
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+def add_score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns and ``score`` of every document, in the scan that reads the texts."""
+    kept = docs.select(*keep)
+    body = F.encode(F.coalesce(docs["text"], F.lit("")), "utf-8")
 
     def bag_scores(texts: list[bytes]) -> np.ndarray:
+        if model is None:
+            return np.full(len(texts), 0.5)
         lengths = np.array([len(t) for t in texts], np.int64)
-        x, doc = encode(np.frombuffer(b"".join(texts), np.uint8), lengths)
-        return model.score(x, doc)
+        return model.score(*encode(np.frombuffer(b"".join(texts), np.uint8), lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, scores = b.column(0), []
-            held, size = [], 0
-            for text in b.column(1):
+            *carried, texts = b.columns
+            scores, held, size = [np.empty(0)], [], 0
+            for text in texts:
                 t = text.as_py()
                 held.append(t)
                 size += len(t)
                 if size >= STEP:
-                    scores.append(bag_scores(held) if model else np.full(len(held), 0.5))
+                    scores.append(bag_scores(held))
                     held, size = [], 0
             if held:
-                scores.append(bag_scores(held) if model else np.full(len(held), 0.5))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(scores) if scores else [], pa.float64())], schema=schema)
+                scores.append(bag_scores(held))
+            yield pa.RecordBatch.from_arrays([*carried, pa.array(np.concatenate(scores), pa.float64())], [*keep, "score"])
 
-    body = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    scored = docs.select("doc_id", body.alias("text")).mapInArrow(run, "doc_id long, score double")
-    return scored.select(
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return docs.select(*keep, body.alias("_body")).mapInArrow(run, f"{fields}, score double")
+
+
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document."""
+    return add_score(docs, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted")
     )
