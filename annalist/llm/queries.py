@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, decontam, mil, ngram_join, packing, quality_rules, secrets, url_filters, warc
+from annalist.llm import chat, decontam, mil, ngram_join, packing, quality_rules, secrets, suffix_dedup, url_filters, warc
 from annalist.llm.common import table
 
 
@@ -79,6 +79,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes removed from, and the hash of what is left of, every document."""
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, formatted and read back."""
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
@@ -101,6 +106,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
 ORACLES: dict[str, str] = {}
