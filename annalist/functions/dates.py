@@ -28,6 +28,15 @@ def days_in(year: Column, month: Column) -> Column:
     return F.day(F.last_day(ymd(year, month, F.lit(1))))
 
 
+def _once(value: Column, body) -> Column:
+    """body(value) with the value computed once, which keeps large expressions small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _parts(**named: Column) -> Column:
+    return F.struct(*[c.alias(name) for name, c in named.items()])
+
+
 def to_date_range(d: Column) -> Column:
     """struct<start_date, end_date>: the days an imprecise date covers, null if it has none.
 
@@ -35,47 +44,70 @@ def to_date_range(d: Column) -> Column:
     given) and decades are widened to their last day; centuries and longer are not. A start
     after its end is swapped with it.
     """
-    precision = d["precision"]
-    y1, m1, d1 = d["start_year"], F.coalesce(_set(d["start_month"]), F.lit(1)), F.coalesce(_set(d["start_day"]), F.lit(1))
-    y2 = F.coalesce(_set(d["end_year"]), y1)
-    m2 = F.coalesce(_set(d["end_month"]), m1)
-    d2 = F.coalesce(_set(d["end_day"]), d1)
-    valid = y1.between(1, LAST_YEAR) & y2.between(1, LAST_YEAR)
-    year = F.when(precision == "decade", y1 + 9).otherwise(y2)
-    season_end = F.coalesce(d["end_month"], F.least(F.lit(12), m1 + 2))
-    month = F.when(precision.isin("year", "decade"), F.lit(12)).when(precision == "season", season_end).otherwise(m2)
-    other_month = d["end_day"].isNull() & d["end_month"].isNotNull() & (month != m1)
-    day = (
-        F.when(precision.isin("month", "season") | other_month, days_in(year, month))
-        .when(precision.isin("year", "decade"), F.lit(31))
-        .otherwise(d2)
-    )
-    start, end = ymd(y1, m1, d1), ymd(year, month, day)
-    known = valid & start.isNotNull() & end.isNotNull()
-    return F.when(known, F.struct(F.least(start, end).alias("start_date"), F.greatest(start, end).alias("end_date")))
+
+    def filled(d: Column) -> Column:
+        one = F.lit(1)
+        return _parts(
+            precision=d["precision"], y1=d["start_year"], m1=F.coalesce(_set(d["start_month"]), one), d1=F.coalesce(_set(d["start_day"]), one),
+            y2=F.coalesce(_set(d["end_year"]), d["start_year"]), m2=_set(d["end_month"]), d2=_set(d["end_day"]),
+            has_month=d["end_month"].isNotNull(), season_month=d["end_month"], has_day=d["end_day"].isNotNull(),
+        )
+
+    def ended(p: Column) -> Column:
+        season = F.coalesce(p["season_month"], F.least(F.lit(12), p["m1"] + 2))
+        month = (
+            F.when(p["precision"].isin("year", "decade"), F.lit(12))
+            .when(p["precision"] == "season", season)
+            .otherwise(F.coalesce(p["m2"], p["m1"]))
+        )
+        return _parts(p=p, year=F.when(p["precision"] == "decade", p["y1"] + 9).otherwise(p["y2"]), month=month)
+
+    def days(e: Column) -> Column:
+        p = e["p"]
+        to_last = p["precision"].isin("month", "season") | (~p["has_day"] & p["has_month"] & (e["month"] != p["m1"]))
+        day = (
+            F.when(to_last, days_in(e["year"], e["month"]))
+            .when(p["precision"].isin("year", "decade"), F.lit(31))
+            .otherwise(F.coalesce(p["d2"], p["d1"]))
+        )
+        valid = p["y1"].between(1, LAST_YEAR) & p["y2"].between(1, LAST_YEAR)
+        return F.when(valid, _parts(a=ymd(p["y1"], p["m1"], p["d1"]), b=ymd(e["year"], e["month"], day)))
+
+    def ordered(r: Column) -> Column:
+        both = r["a"].isNotNull() & r["b"].isNotNull()
+        return F.when(both, _parts(start_date=F.least(r["a"], r["b"]), end_date=F.greatest(r["a"], r["b"])))
+
+    return _once(d, lambda x: _once(filled(x), lambda p: _once(ended(p), lambda e: _once(days(e), ordered))))
 
 
 def display_start_date(d: Column) -> Column:
     """First day as the client shows it, null without a start year."""
-    return ymd(_set(d["start_year"]), F.coalesce(_set(d["start_month"]), F.lit(1)), F.coalesce(_set(d["start_day"]), F.lit(1)))
+    one = F.lit(1)
+    return _once(d, lambda x: ymd(_set(x["start_year"]), F.coalesce(_set(x["start_month"]), one), F.coalesce(_set(x["start_day"]), one)))
 
 
 def display_end_date(d: Column) -> Column:
     """Last day as the client shows it: it widens centuries and millennia too, but no seasons."""
-    precision, y1 = d["precision"], _set(d["start_year"])
-    y2 = F.coalesce(_set(d["end_year"]), y1)
-    m2 = F.coalesce(_set(d["end_month"]), _set(d["start_month"]), F.lit(1))
-    d2 = F.coalesce(_set(d["end_day"]), _set(d["start_day"]), F.lit(1))
-    span = F.when(precision == "decade", 9).when(precision == "century", 99).when(precision == "millennium", 999)
-    whole = span.isNotNull() | (precision == "year")
-    year = F.coalesce(y1 + span, y2)
-    month = F.when(whole, F.lit(12)).otherwise(m2)
-    day = (
-        F.when(whole, F.lit(31))
-        .when((precision == "month") & _set(d["end_day"]).isNull(), days_in(year, month))
-        .otherwise(d2)
-    )
-    return F.when(y1.isNotNull(), ymd(year, month, day))
+
+    def filled(x: Column) -> Column:
+        precision = x["precision"]
+        span = F.when(precision == "decade", 9).when(precision == "century", 99).when(precision == "millennium", 999)
+        return _parts(
+            precision=precision, span=span, whole=span.isNotNull() | (precision == "year"), y1=_set(x["start_year"]),
+            y2=F.coalesce(_set(x["end_year"]), _set(x["start_year"])), m2=F.coalesce(_set(x["end_month"]), _set(x["start_month"]), F.lit(1)),
+            d2=F.coalesce(_set(x["end_day"]), _set(x["start_day"]), F.lit(1)), has_day=_set(x["end_day"]).isNotNull(),
+        )
+
+    def ended(p: Column) -> Column:
+        return _parts(p=p, year=F.coalesce(p["y1"] + p["span"], p["y2"]), month=F.when(p["whole"], F.lit(12)).otherwise(p["m2"]))
+
+    def shown(e: Column) -> Column:
+        p = e["p"]
+        last = (p["precision"] == "month") & ~p["has_day"]
+        day = F.when(p["whole"], F.lit(31)).when(last, days_in(e["year"], e["month"])).otherwise(p["d2"])
+        return F.when(p["y1"].isNotNull(), ymd(e["year"], e["month"], day))
+
+    return _once(d, lambda x: _once(filled(x), lambda p: _once(ended(p), shown)))
 
 
 def ranges_overlap(a: Column, b: Column) -> Column:

@@ -63,7 +63,9 @@ def representative_by_similarity(groups: DataFrame, pairs: DataFrame, events: Da
     inside = both.join(of.hint("merge"), "a").join(other.hint("merge"), "b").filter("leader = leader_b")
     total = inside.groupBy(F.col("a").alias("id")).agg(F.sum("similarity").alias("total"))
     size = groups.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
-    joined = groups.join(size.hint("merge"), "leader").join(total.hint("merge"), "id", "left").join(events.hint("merge"), "id")
+    joined = groups.join(size.hint("merge"), "leader").join(total.hint("merge"), "id", "left").join(
+        events.select("id", "rank", "description", "n_entities").hint("merge"), "id"
+    )
     mean = F.when(F.col("n") == 1, 1.0).otherwise(F.coalesce("total", F.lit(0.0)) / F.greatest(F.col("n") - 1, F.lit(1)))
     bonus = F.least(F.coalesce(F.length("description"), F.lit(0)) / 1000, F.lit(0.1)) + F.least(F.col("n_entities") / 10, F.lit(0.05))
     best = F.max(F.struct(F.round(mean + bonus, 9).alias("score"), (-F.col("rank")).alias("r"), "id"))
@@ -78,7 +80,8 @@ def representative_by_quality(groups: DataFrame, events: DataFrame, user_languag
     member with one; then without a date string that of the first member with one, then the year.
     events: id, rank, language, description, date_info, event_date_str.
     """
-    e = groups.join(events.hint("merge"), "id").withColumn("_range", to_date_range(F.col("date_info")))
+    own = events.select("id", "rank", "language", "description", "date_info", "event_date_str")
+    e = groups.select("id", "leader").join(own.hint("merge"), "id").withColumn("_range", to_date_range(F.col("date_info")))
     language = F.when(F.col("language") == F.lit(user_language), 100).when(F.col("language") == default_language, 50).otherwise(0)
     precision = F.col("date_info.precision")
     dated = F.when(precision == "day", 30).when(precision == "month", 20).when(precision == "year", 10).otherwise(0)
@@ -108,7 +111,8 @@ def assemble_merged_events(groups: DataFrame, representatives: DataFrame, events
     groups: id, leader; representatives: leader, representative; events: id, rank, description,
     event_date_str, date_info, raw_event_ids, entity_ids; scores: id, score.
     """
-    members = groups.join(events.hint("merge"), "id").join(scores.select("id", "score").hint("merge"), "id", "left")
+    own = events.select("id", "rank", "event_date_str", "raw_event_ids", "entity_ids")
+    members = groups.select("id", "leader").join(own.hint("merge"), "id").join(scores.select("id", "score").hint("merge"), "id", "left")
     together = members.groupBy("leader").agg(
         F.count(F.lit(1)).alias("n_events"), F.max("score").alias("relevance_score"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("raw_event_ids")))).alias("raw_event_ids"),

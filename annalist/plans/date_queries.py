@@ -8,20 +8,10 @@ from pyspark.sql import functions as F
 from annalist.functions import dates
 from annalist.operators import timeline
 from annalist.plans.adapters import EVENT_SQL, RANGE_SQL, events
+from annalist.plans.registry import Registry
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with the SQL of the other engine."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
 
 
 @query(f"WITH {RANGE_SQL} SELECT id, cast(start_date AS varchar) start_date, cast(end_date AS varchar) end_date, start_date = end_date AS single_day FROM dated")
