@@ -5,7 +5,7 @@ document with a smaller id.
    lose everything. The distinct texts are written once, bucketed by id.
 2. Pruning. A window of LENGTH bytes is represented by its anchor, the leftmost of its 16-byte
    grams of least hash. Equal windows have equal anchors, so windows whose anchor occurs in one
-   document only can't repeat. Anchor hashes are dealt out in packed rows, 5 bytes each.
+   document only can't repeat. Anchor hashes are dealt out in packed rows, 4 bytes each.
 3. The windows of shared anchors are cut out as segments (neighbouring windows of one anchor)
    and dealt to shards by anchor, so equal windows meet in a shard.
 4. Each shard keeps one of each distinct segment with its smallest id, and sorts their suffixes
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,9 @@ LENGTH = 50
 GRAM = 16
 SPREAD = LENGTH - GRAM + 1  # grams in a window
 #: Bytes of text handled at a time.
-STEP = 4 << 20
+STEP = 2 << 20
+#: Shards a shuffle partition; a task sorts one after the other.
+SHARDS = 8
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,19 +108,20 @@ def window_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _key(anchor: np.ndarray) -> np.ndarray:
-    """The bits of an anchor's hash that find shared ones: 40, beside those of its bucket."""
-    return anchor & np.uint64((1 << 40) - 1)
+    """The bits of an anchor's hash that find shared ones, beside those of its bucket."""
+    return (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def _bucket(anchor: np.ndarray, n: int) -> np.ndarray:
-    return ((anchor >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+    return ((anchor >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
 
 
-def _joined(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts of LENGTH bytes or more, end to end, with their ids and where each starts."""
-    ids = np.array([i for i, _ in rows], np.int64)
-    starts = np.cumsum([0, *(len(t) for _, t in rows)])
-    return ids, starts, np.frombuffer(b"".join(t for _, t in rows), np.uint8)
+def _joined(pieces: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces (id, offset, bytes, ..) end to end: ids, offsets, where each starts, the bytes."""
+    ids = np.array([p[0] for p in pieces], np.int64)
+    offsets = np.array([p[1] for p in pieces], np.int64)
+    starts = np.cumsum([0, *(len(p[2]) for p in pieces)])
+    return ids, offsets, starts, np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
 
 
 def _groups(starts: np.ndarray, data: np.ndarray):
@@ -140,16 +144,21 @@ def _groups(starts: np.ndarray, data: np.ndarray):
 
 
 def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows (doc_id, body, ...) in lists of about STEP bytes of text."""
+    """Rows (doc_id, body, ..) as pieces (doc_id, offset, bytes, ..), in lists of about STEP bytes.
+
+    A longer text is cut so that every window lies in one piece.
+    """
     held, size = [], 0
     for b in batches:
         for row in zip(*b.columns, strict=True):
-            body = row[1].as_py()
-            held.append((row[0].as_py(), body, *(x.as_py() for x in row[2:])))
-            size += len(body)
-            if size >= STEP:
-                yield held
-                held, size = [], 0
+            doc_id, body, *rest = (x.as_py() for x in row)
+            for at in range(0, max(1, len(body) - LENGTH + 1), STEP):
+                piece = body[at : at + STEP + LENGTH - 1]
+                held.append((doc_id, at, piece, *rest))
+                size += len(piece)
+                if size >= STEP:
+                    yield held
+                    held, size = [], 0
     if held:
         yield held
 
@@ -158,22 +167,21 @@ def anchors(texts: DataFrame, n_buckets: int) -> DataFrame:
     """(bucket, keys, ids, counts): per batch and bucket the distinct anchor keys of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _batched(batches):
-            ids, starts, data = _joined(rows)
+        for pieces in _batched(batches):
+            ids, _, starts, data = _joined(pieces)
             _, anchor, _, row = _groups(starts, data)
             bucket, key = _bucket(anchor, n_buckets), _key(anchor)
             order = np.lexsort((key, row, bucket))
             bucket, key, row = bucket[order], key[order], row[order]
             fresh = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]
             bucket, key, row = bucket[fresh], key[fresh], row[fresh]
-            packed = key.view(np.uint8).reshape(-1, 8)[:, :5]
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             out = [[], [], [], []]
             for a, b in zip(cut, np.r_[cut[1:], len(bucket)], strict=True):
-                own, count = np.unique(row[a:b], return_counts=True)
-                for column, value in zip(
-                    out, (int(bucket[a]), packed[a:b].tobytes(), ids[own].tobytes(), count.astype(np.uint32).tobytes()), strict=True
-                ):
+                first = np.flatnonzero(np.r_[True, row[a + 1 : b] != row[a : b - 1]])
+                count = np.diff(np.r_[first, b - a])
+                values = int(bucket[a]), key[a:b].tobytes(), ids[row[a:b][first]].tobytes(), count.astype(np.uint32).tobytes()
+                for column, value in zip(out, values, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "keys", "ids", "counts"]
@@ -184,23 +192,23 @@ def anchors(texts: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def shared_anchors(packed: DataFrame, n_buckets: int) -> DataFrame:
-    """(doc_id, keys): for each text the anchors that another text has too, as bucket << 40 | key."""
+    """(doc_id, keys): for each text the anchors that another text has too: a list of blobs, each
+    the bucket and then its keys, in 32 bits each."""
 
     def matched(bucket: int, parts: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        key = np.concatenate([np.frombuffer(k, np.uint8).reshape(-1, 5) for k, _, _ in parts])
-        wide = np.zeros((len(key), 8), np.uint8)
-        wide[:, :5] = key
-        key = wide.view(np.uint64).ravel()
+        key = np.concatenate([np.frombuffer(k, np.uint32) for k, _, _ in parts])
         doc = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)) for _, i, c in parts])
-        order = np.argsort(key)
+        order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
-        same = key[1:] == key[:-1]
-        shared = np.r_[same, False] | np.r_[False, same]
-        key, doc = key[shared] | np.uint64(bucket << 40), doc[shared]
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        size = np.diff(np.r_[head, len(key)])
+        shared = np.repeat(doc[head] != doc[head + size - 1], size)
+        key, doc = key[shared], doc[shared]
         order = np.argsort(doc, kind="stable")
         key, doc = key[order], doc[order]
         cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, np.int64)
-        blobs = [key[a:b].tobytes() for a, b in zip(cut, np.r_[cut[1:], len(doc)], strict=True)]
+        mark = np.uint32(bucket).tobytes()
+        blobs = [mark + key[a:b].tobytes() for a, b in zip(cut, np.r_[cut[1:], len(doc)], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(doc[cut], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,81 +227,116 @@ def shared_anchors(packed: DataFrame, n_buckets: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, keys binary").groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
 
 
+def _wide(blobs: list[bytes]) -> Iterator[np.ndarray]:
+    """bucket << 32 | key of the anchors in blobs of shared_anchors."""
+    for blob in blobs:
+        own = np.frombuffer(blob, np.uint32).astype(np.uint64)
+        yield (own[0] << np.uint64(32)) | own[1:]
+
+
+#: The buffers of one batch of segments for one shard, and their types.
+_PACKED = (("data", np.uint8), ("sizes", np.uint32), ("of", np.uint32), ("ids", np.int64), ("starts", np.int64))
+
+
 def segments(texts: DataFrame, shared: DataFrame, n_buckets: int, n_shards: int) -> DataFrame:
-    """(shard, data, sizes, ids, starts): packed segments of the windows of shared anchors."""
+    """(shard, packed): segments of the windows of shared anchors, per batch of texts and shard.
+
+    A blob holds the distinct segments of the batch once (data, sizes) and, for each occurrence,
+    which one it is, its text and where it starts (of, ids, starts); compressed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _batched(batches):
-            ids, starts, data = _joined([r[:2] for r in rows])
+        codec = zstandard.ZstdCompressor(level=1)
+        for pieces in _batched(batches):
+            ids, offsets, starts, data = _joined(pieces)
             first, anchor, windows, row = _groups(starts, data)
-            own = (_bucket(anchor, n_buckets).astype(np.uint64) << np.uint64(40)) | _key(anchor)
-            wanted = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for r in rows for k in r[2]]))
+            own = (_bucket(anchor, n_buckets).astype(np.uint64) << np.uint64(32)) | _key(anchor)
+            wanted = np.unique(np.concatenate([w for p in pieces for w in _wide(p[3])]))
             pick = np.isin(own, wanted)
             first, anchor, windows, row = first[pick], anchor[pick], windows[pick], row[pick]
             shard = (anchor % np.uint64(n_shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            first, windows, row, shard = first[order], windows[order], row[order], shard[order]
+            first, row, shard = first[order], row[order], shard[order]
+            stop = first + windows[order] + LENGTH - 1
+            begin, doc = first - starts[row] + offsets[row], ids[row]
+            raw = data.tobytes()
             cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.empty(0, np.int64)
-            out = [[], [], [], [], []]
-            for a, b in zip(cut, np.r_[cut[1:], len(shard)], strict=True):
-                size = windows[a:b] + LENGTH - 1
-                at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[a:b], size)
-                values = (
-                    int(shard[a]), data[at].tobytes(), size.astype(np.uint32).tobytes(), ids[row[a:b]].tobytes(),
-                    (first[a:b] - starts[row[a:b]]).astype(np.int64).tobytes(),
+            shards, blobs = [], []
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(shard)], strict=True):
+                seen: dict[bytes, int] = {}
+                of = [seen.setdefault(raw[x:y], len(seen)) for x, y in zip(first[a:b].tolist(), stop[a:b].tolist(), strict=True)]
+                buffers = (
+                    b"".join(seen), np.fromiter(map(len, seen), np.uint32, len(seen)).tobytes(),
+                    np.array(of, np.uint32).tobytes(), doc[a:b].tobytes(), begin[a:b].tobytes(),
                 )
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["shard", "data", "sizes", "ids", "starts"]
-            )
+                sizes = np.array([len(x) for x in buffers], np.int64).tobytes()
+                shards.append(int(shard[a]))
+                blobs.append(codec.compress(sizes + b"".join(buffers)))
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "packed"])
 
     joined = texts.join(shared.hint("merge"), "doc_id").select("doc_id", "body", "keys")
-    return joined.mapInArrow(run, "shard int, data binary, sizes binary, ids binary, starts binary")
+    return joined.mapInArrow(run, "shard int, packed binary")
 
 
-def removable(sizes: np.ndarray, data: np.ndarray, ids: np.ndarray, starts: np.ndarray):
-    """(id, begin, stop) of runs of windows that also start in a text of smaller id; one shard."""
-    ends = np.cumsum(sizes)
-    raw = data.tobytes()
+def unpack(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct segments of a shard, and for each occurrence which one, its id and its start."""
+    codec = zstandard.ZstdDecompressor()
     seen: dict[bytes, int] = {}
-    which = np.fromiter(
-        (seen.setdefault(raw[a:b], len(seen)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)), np.int64, len(sizes)
-    )
-    least = np.full(len(seen), np.iinfo(np.int64).max)
+    which, ids, starts = [], [], []
+    for blob in blobs:
+        raw = codec.decompress(blob)
+        at, parts = 8 * len(_PACKED), []
+        for n, (_, kind) in zip(np.frombuffer(raw[:at], np.int64).tolist(), _PACKED, strict=True):
+            parts.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at))
+            at += n
+        data, sizes, of, own_ids, own_starts = parts
+        stop = np.cumsum(sizes, dtype=np.int64)
+        body = data.tobytes()
+        place = [seen.setdefault(body[x:y], len(seen)) for x, y in zip((stop - sizes).tolist(), stop.tolist(), strict=True)]
+        which.append(np.array(place, np.int32)[of])
+        ids.append(own_ids)
+        starts.append(own_starts)
+    return list(seen), np.concatenate(which), np.concatenate(ids), np.concatenate(starts)
+
+
+def removable(distinct: list[bytes], which: np.ndarray, ids: np.ndarray, starts: np.ndarray):
+    """(id, begin, stop) of runs of windows that also start in a text of smaller id; one shard."""
+    least = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(least, which, ids)
-    size = np.fromiter(map(len, seen), np.int64, len(seen))
+    size = np.fromiter(map(len, distinct), np.int64, len(distinct))
+    windows = size - LENGTH + 1
     base = np.cumsum(size + 1) - size - 1
-    with Spill(int(size.sum()) > IN_MEMORY) as spill:
-        x = spill.array(int((size + 1).sum()) + 1, np.uint16)
-        at = 0
-        for part in seen:
+    n = int((size + 1).sum())
+    with Spill(n > IN_MEMORY) as spill:
+        x = spill.array(n + 1, np.uint16)
+        for at, part in zip(base.tolist(), distinct, strict=True):
             x[at : at + len(part)] = np.frombuffer(part, np.uint8)
-            x[at : at + len(part)] += 2
-            x[at + len(part)] = 1
-            at += len(part) + 1
-        x[at] = 0
-        del seen, raw
-        of = np.repeat(np.arange(len(size)), size + 1)
-        remaining = np.repeat(base + size, size + 1) - np.arange(at)
+        # symbols: bytes from 2, the end of a segment 1, the end of the shard 0
+        x[:n] += 2
+        x[base + size] = 1
+        x[n] = 0
+        is_window = np.repeat(np.tile([True, False], len(size)), np.column_stack([windows, np.full(len(size), LENGTH)]).ravel())
         order = np.asarray(suffix_array(x, LENGTH, spill))
-        order = order[order < at]
-        order = order[remaining[order] >= LENGTH]
+        order = order[order < n]
+        order = order[is_window[order]]
         equal = common_prefix_at_least(x, order, LENGTH)
-        low = np.minimum.reduceat(least[of[order]], head := np.flatnonzero(~equal)) if len(order) else np.empty(0, np.int64)
-        best = np.empty(at, np.int64)
-        if len(order):
-            best[order] = np.repeat(low, np.diff(np.r_[head, len(order)]))
-    windows = size[which] - LENGTH + 1
-    row = np.repeat(np.arange(len(which)), windows)
-    inside = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    gone = best[base[which][row] + inside] < ids[row]
-    place = np.flatnonzero(gone)
+        of = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
+        head = np.flatnonzero(~equal)
+        low = np.minimum.reduceat(least[of[order]], head)
+        best = np.empty(n, np.int64)
+        best[order] = np.repeat(low, np.diff(np.r_[head, len(order)]))
+    # occurrences whose segment has a window of smaller id somewhere
+    lowest = np.minimum.reduceat(np.where(is_window, best, np.iinfo(np.int64).max), base)
+    live = np.flatnonzero(lowest[which] < ids)
+    which, ids, starts = which[live], ids[live], starts[live]
+    count = windows[which]
+    row = np.repeat(np.arange(len(which)), count)
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    place = np.flatnonzero(best[base[which][row] + inside] < ids[row])
     if not len(place):
         none = np.empty(0, np.int64)
         return none, none, none
-    new = np.r_[True, (place[1:] != place[:-1] + 1) | (row[place[1:]] != row[place[:-1]])]
-    head = np.flatnonzero(new)
+    head = np.flatnonzero(np.r_[True, (place[1:] != place[:-1] + 1) | (row[place[1:]] != row[place[:-1]])])
     tail = np.r_[head[1:], len(place)] - 1
     r = row[place[head]]
     return ids[r], starts[r] + inside[place[head]], starts[r] + inside[place[tail]] + LENGTH
@@ -302,26 +345,23 @@ def removable(sizes: np.ndarray, data: np.ndarray, ids: np.ndarray, starts: np.n
 def intervals(packed: DataFrame) -> DataFrame:
     """(doc_id, spans): intervals of bytes to remove, from the shards."""
 
-    def solved(parts: list[tuple[bytes, ...]]) -> pa.RecordBatch:
-        kinds = (np.uint8, np.uint32, np.int64, np.int64)
-        data, sizes, ids, starts = (
-            np.concatenate([np.frombuffer(p[k], kind) for p in parts]) for k, kind in enumerate(kinds)
-        )
-        parts.clear()
-        doc, begin, stop = removable(sizes.astype(np.int64), data, ids, starts)
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (doc, begin, stop)], ["doc_id", "begin", "stop"])
+    def solved(blobs: list[bytes]) -> pa.RecordBatch:
+        held = unpack(blobs)
+        blobs.clear()
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in removable(*held)], ["doc_id", "begin", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, parts = None, []
+        open_, blobs = None, []
         for b in batches:
-            for shard, *blobs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if shard != open_:
-                    if parts:
-                        yield solved(parts)
-                    open_, parts = shard, []
-                parts.append(tuple(blobs))
-        if parts:
-            yield solved(parts)
+            for shard, blob in zip(*b.columns, strict=True):
+                here = shard.as_py()
+                if here != open_:
+                    if blobs:
+                        yield solved(blobs)
+                    open_, blobs = here, []
+                blobs.append(blob.as_py())
+        if blobs:
+            yield solved(blobs)
 
     found = packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "doc_id long, begin long, stop long")
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
@@ -374,7 +414,7 @@ def distinct_texts(docs: DataFrame, n_buckets: int) -> tuple[DataFrame, DataFram
     )
     name = f"texts_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    rows.write.format("parquet").bucketBy(n_buckets, "doc_id").option("path", path).saveAsTable(name)
+    rows.write.format("parquet").option("compression", "zstd").bucketBy(n_buckets, "doc_id").option("path", path).saveAsTable(name)
     all_keys = keys.join(firsts.hint("merge"), "sha", "left")
     return all_keys, spark.table(name)
 
@@ -387,7 +427,7 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     keys, texts = distinct_texts(docs, parts)
     n_buckets = 4 * parts
     shared = spool(shared_anchors(anchors(texts, n_buckets), n_buckets), "shared-anchors")
-    spans = spool(intervals(segments(texts, shared, n_buckets, parts)), "spans")
+    spans = spool(intervals(segments(texts, shared, n_buckets, SHARDS * parts)), "spans")
     changed = spool(cut_out(texts, spans).drop(*([] if keep_text else ["kept"])), "cut")
     rows = keys.join(changed.hint("merge"), "doc_id", "left")
     copy = (F.col("first_id") < F.col("doc_id")) & (F.col("n_bytes") >= LENGTH)
