@@ -33,7 +33,7 @@ EVENT_COLUMNS = {
     "is_bce": "event_id % 13 = 0",
     "language": "CASE user_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' ELSE 'fr' END",
     "event_type": "event_type",
-    "score": "CASE WHEN event_id % 23 = 0 THEN NULL ELSE floor(value) / 100.0 END",
+    "score": "CASE WHEN event_id % 23 = 0 THEN NULL ELSE cast(floor(value) AS double) / 100 END",
     "viewpoint_id": "user_id % 20",
     "source_document_id": "cast(user_id % 20 AS string)",
 }
