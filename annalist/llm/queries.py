@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annalist.llm import chat, decontam, mil, ngram_join, packing, quality_rules, secrets, suffix_dedup, url_filters, warc
 from annalist.llm.common import table
+from annalist.llm.oracles import ORACLES
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,4 +110,5 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES", "tokenizer_files"]

@@ -56,7 +56,6 @@ ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^/?([a-z0-9_-]+/)+[a-z0-9_-]*$",
     r"(?i)example|sample|placeholder|0123456789|abcdefghij|xxxxxxxx",
-    r"^(.{1,4})\1{3,}.{0,4}$",
 )
 
 
