@@ -44,20 +44,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             hung = hung.union(low.select("a", F.col("low").alias("b")))
         return hung.filter("a <> b").distinct()
 
-    def state(links: DataFrame):
-        return links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def settled(links: DataFrame) -> bool:
+        """Every node hangs below one root, and no root hangs below another node."""
+        up = links.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        down = links.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        ends = up.union(down).groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return ends.filter("up > 1 or (up > 0 and down > 0)").isEmpty()
 
-    now = spool(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    before = None
+    ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = spool(ordered.filter("a <> b").distinct(), "edges")
     for _ in range(max_rounds):
+        if settled(now):
+            break
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         grown = spool(hang(both, only_larger=True), "large-star")
         down = grown.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         now = spool(hang(down, only_larger=False), "small-star")
-        seen = state(now)
-        if seen == before:
-            break
-        before = seen
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
