@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annalist.scratch import components, shared_dir, spool
+
 #: A word is a maximal run of characters outside this class.
 BLANK = r"[\x20\x09-\x0D]"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -18,23 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one made here."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts the lineage for good."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once per row, although body uses it in lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -48,41 +30,4 @@ def words(text: Column) -> Column:
     )
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b): rows (id, component), component = smallest id.
-
-    Alternates the two star operations of Kiveris et al. (2014) on spooled tables, so a hub is
-    only ever aggregated by min() and no component is gathered in one task.
-    """
-
-    def both(e: DataFrame) -> DataFrame:
-        return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-    def star(links: DataFrame, large: bool) -> DataFrame:
-        # links: a -> b. The smallest of a's neighbours and itself; others are hung below it.
-        low = links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        joined = links.join(low.hint("merge"), "a")
-        if large:
-            joined = joined.filter("b > a")
-            return joined.select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
-        hung = joined.select(F.col("b").alias("a"), F.col("low").alias("b"))
-        own = low.select("a", F.col("low").alias("b"))
-        return hung.union(own).filter("a <> b").distinct()
-
-    now = spool(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    before = None
-    for _ in range(max_rounds):
-        grown = spool(star(both(now), large=True), "large-star")
-        down = grown.select(
-            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-        )
-        now = spool(star(down, large=False), "small-star")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    member = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    root = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return member.union(root)
+__all__ = ["BLANK", "BLANK_CHARS", "components", "let", "shared_dir", "spool", "table", "words"]
