@@ -70,15 +70,15 @@ def encode(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarra
     blank = (kind == 3) | (kind == 4)
     starts = np.flatnonzero(~blank & np.r_[True, blank[:-1] | (at[1:] != at[:-1])]) if len(data) else np.empty(0, np.int64)
     again = np.zeros((n, 3), np.float32)
-    if len(starts) > 2:
+    if len(starts):
         lead = np.zeros(starts[0], np.int64)
         place = np.arange(len(data)) - np.r_[lead, np.repeat(starts, np.diff(np.r_[starts, len(data)]))]
         marks = np.where(blank, 0, (data.astype(np.int64) + 1) * ((place * 2654435761 + 97) & 0xFFFFF))
         word, of = np.add.reduceat(marks, starts), at[starts]
-        n_words = np.maximum(np.bincount(of, minlength=n), 1)
+        n_words = np.bincount(of, minlength=n)
         for k in (1, 2):
             same = (word[k:] == word[:-k]) & (of[k:] == of[:-k])
-            again[:, k - 1] = np.bincount(of[k:][same], minlength=n) / n_words
+            again[:, k - 1] = np.bincount(of[k:][same], minlength=n) / np.maximum(n_words, 1)
         again[:, 2] = np.minimum(n_words, 100) / 100
     shape = np.log1p(size)[:, None] / np.log(PASSAGE)
     return np.hstack([one, two, repeat, again, shape, np.ones((n, 1))]).astype(np.float32), doc

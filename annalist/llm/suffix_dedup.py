@@ -116,6 +116,13 @@ def _bucket(anchor: np.ndarray, n: int) -> np.ndarray:
     return ((anchor >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values starts and stops; none of nothing."""
+    turn = np.flatnonzero(values[1:] != values[:-1]) + 1
+    bounds = np.r_[0, turn, len(values)] if len(values) else np.empty(0, np.int64)
+    return bounds[:-1], bounds[1:]
+
+
 def _joined(pieces: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pieces (id, offset, bytes, ..) end to end: ids, offsets, where each starts, the bytes."""
     ids = np.array([p[0] for p in pieces], np.int64)
@@ -175,9 +182,8 @@ def anchors(texts: DataFrame, n_buckets: int) -> DataFrame:
             bucket, key, row = bucket[order], key[order], row[order]
             fresh = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]
             bucket, key, row = bucket[fresh], key[fresh], row[fresh]
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             out = [[], [], [], []]
-            for a, b in zip(cut, np.r_[cut[1:], len(bucket)], strict=True):
+            for a, b in zip(*_runs(bucket), strict=True):
                 first = np.flatnonzero(np.r_[True, row[a + 1 : b] != row[a : b - 1]])
                 count = np.diff(np.r_[first, b - a])
                 values = int(bucket[a]), key[a:b].tobytes(), ids[row[a:b][first]].tobytes(), count.astype(np.uint32).tobytes()
@@ -200,16 +206,15 @@ def shared_anchors(packed: DataFrame, n_buckets: int) -> DataFrame:
         doc = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)) for _, i, c in parts])
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
-        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-        size = np.diff(np.r_[head, len(key)])
-        shared = np.repeat(doc[head] != doc[head + size - 1], size)
+        head, tail = _runs(key)
+        shared = np.repeat(doc[head] != doc[tail - 1], tail - head)
         key, doc = key[shared], doc[shared]
         order = np.argsort(doc, kind="stable")
         key, doc = key[order], doc[order]
-        cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, np.int64)
+        begin, stop = _runs(doc)
         mark = np.uint32(bucket).tobytes()
-        blobs = [mark + key[a:b].tobytes() for a, b in zip(cut, np.r_[cut[1:], len(doc)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(doc[cut], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "keys"])
+        blobs = [mark + key[a:b].tobytes() for a, b in zip(begin, stop, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(doc[begin], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, parts = None, []
@@ -260,9 +265,8 @@ def segments(texts: DataFrame, shared: DataFrame, n_buckets: int, n_shards: int)
             stop = first + windows[order] + LENGTH - 1
             begin, doc = first - starts[row] + offsets[row], ids[row]
             raw = data.tobytes()
-            cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.empty(0, np.int64)
             shards, blobs = [], []
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(shard)], strict=True):
+            for a, b in zip(*(x.tolist() for x in _runs(shard)), strict=True):
                 seen: dict[bytes, int] = {}
                 of = [seen.setdefault(raw[x:y], len(seen)) for x, y in zip(first[a:b].tolist(), stop[a:b].tolist(), strict=True)]
                 buffers = (
