@@ -25,28 +25,28 @@ sims AS MATERIALIZED (SELECT a.id a, b.id b, list_cosine_similarity(a.vec, b.vec
 """
 
 
-@query(f"WITH {_VECTORS} SELECT a, b, round(similarity, 6) similarity FROM sims")
+@query(f"WITH {_VECTORS} SELECT a, b, round(similarity, 8) similarity FROM sims")
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pairs.similar_pairs(vectors(spark, sf_dir), THRESHOLD)
-    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return found.select("a", "b", F.round("similarity", 8).alias("similarity"))
 
 
 @query()
 def cosine_pairs_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pairs.similar_pairs(vectors(spark, sf_dir), THRESHOLD, "lsh")
-    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return found.select("a", "b", F.round("similarity", 8).alias("similarity"))
 
 
 @query("""WITH v AS MATERIALIZED (SELECT vec_id id, embedding::DOUBLE[] vec FROM embeddings),
 s AS (SELECT q.id query_id, v.id, list_cosine_similarity(q.vec, v.vec) similarity FROM v q JOIN v ON q.id % 50 = 0 AND v.id <> q.id AND v.id % 50 <> 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) rank FROM s WHERE similarity > 0.2)
-SELECT query_id, id, round(similarity, 6) similarity, cast(rank AS int) rank FROM r WHERE rank <= 5""")
+SELECT query_id, id, round(similarity, 8) similarity, cast(rank AS int) rank FROM r WHERE rank <= 5""")
 def nearest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 50 as a query against all others."""
     own = vectors(spark, sf_dir)
     asked = own.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
     found = pairs.nearest_events(asked, own.filter("id % 50 <> 0").select("id", "vector"), 5, 0.2)
-    return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+    return found.select("query_id", "id", F.round("similarity", 8).alias("similarity"), "rank")
 
 
 _LEADERS = f"""

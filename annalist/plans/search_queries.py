@@ -37,20 +37,20 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {CHUNK_SQL}, {QUERY_SQL}, {_NEAR} SELECT query_id, chunk_id, round(distance, 6) distance, round(similarity, 6) similarity, cast(r AS int) rank FROM near")
+@query(f"WITH {CHUNK_SQL}, {QUERY_SQL}, {_NEAR} SELECT query_id, chunk_id, round(distance, 8) distance, round(similarity, 8) similarity, cast(r AS int) rank FROM near")
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.semantic_chunks(chunks(spark, sf_dir), queries(spark, sf_dir), 100)
-    return found.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"), "rank")
+    return found.select("query_id", "chunk_id", F.round("distance", 8).alias("distance"), F.round("similarity", 8).alias("similarity"), "rank")
 
 
 @query(f"""WITH {CHUNK_SQL}, {QUERY_SQL}, {_NEAR},
 best AS (SELECT query_id, doc_id, min(distance) distance FROM near JOIN chunks USING (chunk_id) GROUP BY 1, 2),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) r FROM best),
 texts AS (SELECT doc_id, string_agg(chunk_text, '' ORDER BY chunk_index) t FROM chunks GROUP BY 1)
-SELECT query_id, doc_id, round(distance, 6) distance, cast(r AS int) rank, md5(t) text_md5 FROM top JOIN texts USING (doc_id) WHERE r <= 10""")
+SELECT query_id, doc_id, round(distance, 8) distance, cast(r AS int) rank, md5(t) text_md5 FROM top JOIN texts USING (doc_id) WHERE r <= 10""")
 def semantic_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.semantic_articles(chunks(spark, sf_dir), queries(spark, sf_dir))
-    return found.select("query_id", "doc_id", F.round("distance", 6).alias("distance"), "rank", F.md5("text").alias("text_md5"))
+    return found.select("query_id", "doc_id", F.round("distance", 8).alias("distance"), "rank", F.md5("text").alias("text_md5"))
 
 
 @query(f"""{_BM25}, {_NEAR},
