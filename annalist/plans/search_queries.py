@@ -27,7 +27,7 @@ lexical AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) bm25 FROM
 """
 _NEAR = """
 dist AS (SELECT query_id, chunk_id, 1 - list_cosine_similarity(vector, query_vector) distance FROM chunks, asked),
-near AS (SELECT query_id, chunk_id, round(distance, 9) distance, (2 - distance) / 2 similarity, r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) r FROM dist) WHERE r <= 100)
+near AS (SELECT query_id, chunk_id, distance, (2 - distance) / 2 similarity, r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) r FROM dist) WHERE r <= 100)
 """
 
 
