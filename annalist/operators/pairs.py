@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,14 +86,16 @@ def _lsh_pairs(own: DataFrame, threshold: float, bucket: float = 2.0, tables: in
     )
 
 
-def nearest_events(queries: DataFrame, store: DataFrame, k: int = 5, threshold: float = 0.80, query_block: int = 2048) -> DataFrame:
-    """(query_id, id, similarity, rank): up to k stored events of each query with similarity above
-    the threshold (strictly), nearest first, ties by id.
+def nearest(queries: DataFrame, store: DataFrame, k: int, threshold: float | None = None, query_block: int = 2048) -> DataFrame:
+    """(query_id, id, similarity, rank): the k stored vectors nearest to each query, ties by id;
+    with a threshold only those above it (strictly).
 
-    queries: query_id, vector; store: id, vector. Queries are cut in blocks that meet every
-    partition of the store; a task keeps k of each query before the shuffle that merges them.
+    queries: query_id, vector; store: id, vector. Queries are cut in blocks that meet every shard
+    of the store; a task keeps k of each query before the shuffle that merges them.
+    Ranks compare twelve digits, so that equal vectors tie.
     """
     asked = _usable(queries.select("query_id", "vector"), "vector")
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "id": store.schema["id"].dataType.simpleString()}
     n = max(1, math.ceil(asked.count() / query_block))
     shards = max(1, asked.sparkSession.sparkContext.defaultParallelism)
     kept = _usable(store.select("id", "vector"), "vector").select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "vector")
@@ -101,24 +104,34 @@ def nearest_events(queries: DataFrame, store: DataFrame, k: int = 5, threshold:
     right = kept.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def near(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        found_q, found_i, found_s = [], [], []
         if a.num_rows and b.num_rows:
+            b = b.take(pa.compute.sort_indices(b["id"]))  # the stable sorts below break ties by id
             q, s = _matrix(a["vector"].combine_chunks()), _matrix(b["vector"].combine_chunks())
-            ids, asked_ids = b["id"].to_numpy(), a["query_id"].to_numpy()
             for at in range(0, len(q), 256):
-                sims = q[at : at + 256] @ s.T
-                for i, row in enumerate(sims):
-                    hit = np.flatnonzero(row > threshold)
-                    best = hit[np.lexsort((ids[hit], -row[hit]))][:k]
-                    out += [(int(asked_ids[at + i]), int(ids[j]), float(row[j])) for j in best]
-        columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "id": pa.array(columns[1], pa.int64()), "similarity": pa.array(columns[2], pa.float64())})
-
-    found = left.groupBy("part", "shard").cogroup(right.groupBy("part", "shard")).applyInArrow(near, "query_id long, id long, similarity double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+                for i, row in enumerate(q[at : at + 256] @ s.T):
+                    hit = np.arange(len(row)) if threshold is None else np.flatnonzero(row > threshold)
+                    best = hit[np.argsort(-np.round(row[hit], 12), kind="stable")[:k]]
+                    found_q.append(np.full(len(best), at + i))
+                    found_i.append(best)
+                    found_s.append(row[best])
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+        return pa.table({
+            "query_id": a["query_id"].take(pa.array(join(found_q, np.int64), pa.int64())), "id": b["id"].take(pa.array(join(found_i, np.int64), pa.int64())),
+            "similarity": pa.array(join(found_s, np.float64), pa.float64()),
+        })
+
+    schema = f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double"
+    found = left.groupBy("part", "shard").cogroup(right.groupBy("part", "shard")).applyInArrow(near, schema)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("similarity", 12).desc(), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def nearest_events(queries: DataFrame, store: DataFrame, k: int = 5, threshold: float = 0.80, query_block: int = 2048) -> DataFrame:
+    """(query_id, id, similarity, rank): up to k stored events of each query above the threshold."""
+    return nearest(queries, store, k, threshold, query_block)
+
+
 def _paired(keyed: DataFrame, per_key: int = 2000) -> DataFrame:
     """Distinct pairs a < b of rows (key, id) with one key; large keys are dealt to block pairs."""
     size = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / per_key).cast("int").alias("n"))

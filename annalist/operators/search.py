@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.functions.vectors import cosine_distance
+from annalist.operators.pairs import nearest
 
 K1, B = 1.2, 0.75
 
@@ -56,29 +56,20 @@ def search_news(keywords: DataFrame, articles: DataFrame, k: int = 3) -> DataFra
 def semantic_chunks(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """(query_id, chunk columns, distance, similarity, rank): the nearest n chunks of each query.
 
-    queries: query_id, query_vector. The queries are a stated set met by every chunk, spread over
-    the tasks that read the chunks; each task keeps n of a query before anything is shuffled.
+    queries: query_id, query_vector. Blocks of queries meet all shards of the chunks.
     """
-    few = queries.select("query_id", "query_vector").filter("query_vector is not null")
-    held = [(r.query_id, list(map(float, r.query_vector))) for r in few.collect()]
-    found = None
-    for at in range(0, len(held), 64):
-        block = F.array(*[F.struct(F.lit(q).alias("query_id"), F.lit(v).alias("query_vector")) for q, v in held[at : at + 64]])
-        part = chunks.filter("vector is not null").withColumn("_q", F.explode(block))
-        part = part.select(F.col("_q.query_id").alias("query_id"), "chunk_id", cosine_distance(F.col("vector"), F.col("_q.query_vector")).alias("distance"))
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = chunks.limit(0).select(F.lit(None).cast("string").alias("query_id"), "chunk_id", F.lit(None).cast("double").alias("distance"))
-    best = top_per_query(found.filter("distance is not null"), n, [F.col("distance"), F.col("chunk_id")])
-    text = chunks.drop("vector")
-    return best.withColumn("similarity", (2 - F.col("distance")) / 2).join(text.hint("merge"), "chunk_id")
+    asked = queries.select("query_id", F.col("query_vector").alias("vector"))
+    best = nearest(asked, chunks.select(F.col("chunk_id").alias("id"), "vector"), n).withColumnRenamed("id", "chunk_id")
+    distance = 1 - F.col("similarity")
+    near = best.select("query_id", "chunk_id", "rank", distance.alias("distance"), ((2 - distance) / 2).alias("similarity"))
+    return near.join(chunks.drop("vector").hint("merge"), "chunk_id")
 
 
 def semantic_articles(chunks: DataFrame, queries: DataFrame, article_limit: int = 10, pool: int = 100) -> DataFrame:
     """(query_id, doc_id, distance, rank, text): articles of the nearest chunks, with all their chunks."""
     near = semantic_chunks(chunks, queries, pool)
     best = near.groupBy("query_id", "doc_id").agg(F.min("distance").alias("distance"))
-    top = top_per_query(best, article_limit, [F.col("distance"), F.col("doc_id")])
+    top = top_per_query(best, article_limit, [F.round("distance", 12), F.col("doc_id")])
     return top.join(article_texts(chunks, top.select("doc_id").distinct()).hint("merge"), "doc_id")
 
 
