@@ -16,6 +16,8 @@ from annalist.functions.dates import ranges_overlap
 
 #: Vectors in a block; a task holds two blocks.
 BLOCK = 4096
+#: Arrow types of the ids that nearest() takes.
+_IDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -105,8 +107,12 @@ def nearest(queries: DataFrame, store: DataFrame, k: int, threshold: float | Non
 
     def near(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         found_q, found_i, found_s = [], [], []
+        # a side without rows comes without columns
+        a_ids = a["query_id"] if a.num_rows else pa.array([], _IDS[kinds["query_id"]])
+        b_ids = pa.array([], _IDS[kinds["id"]])
         if a.num_rows and b.num_rows:
             b = b.take(pa.compute.sort_indices(b["id"]))  # the stable sorts below break ties by id
+            b_ids = b["id"]
             q, s = _matrix(a["vector"].combine_chunks()), _matrix(b["vector"].combine_chunks())
             for at in range(0, len(q), 256):
                 for i, row in enumerate(q[at : at + 256] @ s.T):
@@ -117,7 +123,7 @@ def nearest(queries: DataFrame, store: DataFrame, k: int, threshold: float | Non
                     found_s.append(row[best])
         join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
         return pa.table({
-            "query_id": a["query_id"].take(pa.array(join(found_q, np.int64), pa.int64())), "id": b["id"].take(pa.array(join(found_i, np.int64), pa.int64())),
+            "query_id": a_ids.take(pa.array(join(found_q, np.int64), pa.int64())), "id": b_ids.take(pa.array(join(found_i, np.int64), pa.int64())),
             "similarity": pa.array(join(found_s, np.float64), pa.float64()),
         })
 
