@@ -101,7 +101,7 @@ def nearest(queries: DataFrame, store: DataFrame, k: int, threshold: float | Non
     n = max(1, math.ceil(asked.count() / query_block))
     shards = max(1, asked.sparkSession.sparkContext.defaultParallelism)
     kept = _usable(store.select("id", "vector"), "vector").select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "vector")
-    left = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("part"), "query_id", "vector")
+    left = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("part"), "query_id", F.col("vector").alias("asked"))
     left = left.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     right = kept.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
@@ -113,7 +113,7 @@ def nearest(queries: DataFrame, store: DataFrame, k: int, threshold: float | Non
         if a.num_rows and b.num_rows:
             b = b.take(pa.compute.sort_indices(b["id"]))  # the stable sorts below break ties by id
             b_ids = b["id"]
-            q, s = _matrix(a["vector"].combine_chunks()), _matrix(b["vector"].combine_chunks())
+            q, s = _matrix(a["asked"].combine_chunks()), _matrix(b["vector"].combine_chunks())
             for at in range(0, len(q), 256):
                 for i, row in enumerate(q[at : at + 256] @ s.T):
                     hit = np.arange(len(row)) if threshold is None else np.flatnonzero(row > threshold)
