@@ -15,7 +15,7 @@ K1, B = 1.2, 0.75
 
 def terms(text: Column) -> Column:
     """Lower-case words of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def bm25_scores(chunks: DataFrame, queries: DataFrame, text: str = "chunk_text", key: str = "chunk_id") -> DataFrame:
