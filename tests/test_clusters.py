@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions.dates import ymd
 from annalist.operators import cluster, pairs
+from annalist.plans import cluster_queries
 
 
 def random_vectors(seed, n=40, d=3):
@@ -89,6 +90,21 @@ def test_nearest_is_strict_and_ordered(spark):
         assert [i for _, i in sorted(got.get(q, []))] == best
 
 
+def test_nearest_query_searches_the_other_queries_too(spark, tmp_path):
+    v = random_vectors(3, 120, 4)
+    v[100], v[7] = v[50], v[50]
+    rows = [(k, [float(x) for x in row], 0) for k, row in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in cluster_queries.nearest_events(spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id))
+    sims = np.round(v @ v.T, 12)
+    for q in (0, 50, 100):
+        best = sorted((j for j in range(120) if j != q and sims[q, j] > 0.2), key=lambda j: (-sims[q, j], j))[:5]
+        assert sorted(got.get(q, [])) == list(enumerate(best, 1))
+    assert [i for _, i in sorted(got[50])][:2] == [7, 100]
+
+
 def test_rule_clusters_equal_the_loop(spark):
     rng = random.Random(7)
     rows = []
