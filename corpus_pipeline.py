@@ -12,13 +12,21 @@ from annalist.llm.queries import tokenizer_files
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """The documents whose id is not among the dropped ones; rows without an id stay.
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a ``row`` number of their own: ids may be null, or repeat with any text.
 
-    The dropped ids are written first, so that their real size decides how they are joined.
+    The numbers are written with the rows, since reading the same files again may number them anew.
     """
-    gone = spool(dropped.select("doc_id").distinct(), name)
-    return docs.select(*DOCUMENTS).join(gone, "doc_id", "left_anti").select(*DOCUMENTS)
+    return spool(docs.select(*DOCUMENTS, F.monotonically_increasing_id().alias("row")), "numbered")
+
+
+def _without(rows: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """The documents whose row is not among the dropped ones.
+
+    The dropped rows are written first, so that their real size decides how they are joined.
+    """
+    gone = spool(dropped.select("row").distinct(), name)
+    return rows.join(gone, "row", "left_anti").select(*DOCUMENTS)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,16 +38,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    found = ngram_join.join(docs.select("doc_id", "text"))
-    return _without(docs, found.filter("class_id <> doc_id"), "near-duplicates")
+    """Of each group of near duplicates one row stays: that of the smallest id, null being the
+    largest; among rows of one id the one of least hash. Texts without words are no duplicates."""
+    rows = _numbered(docs)
+    found = ngram_join.join(rows.select(F.col("row").alias("doc_id"), "text"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text", "lang", "source", "n_chars").alias("hash"), "row")
+    linked = found.filter("n_links > 0").select(F.col("doc_id").alias("row"), "class_id")
+    placed = spool(linked.join(rows.select("row", order.alias("place")).hint("merge"), "row"), "linked")
+    first = placed.groupBy("class_id").agg(F.min("place").alias("place")).select("place.row")
+    return _without(rows, placed.join(first.hint("merge"), "row", "left_anti"), "near-duplicates")
 
 
 def keep_untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     items = table(spark, sf_dir, "benchmark", "item_id", "text")
-    found = decontam.search(docs.select("doc_id", "text"), items)
-    return _without(docs, found.filter("doc_id is not null"), "contaminated")
+    rows = _numbered(docs)
+    found = decontam.search(rows.select(F.col("row").alias("doc_id"), "text"), items)
+    return _without(rows, found.select(F.col("doc_id").alias("row")), "contaminated")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

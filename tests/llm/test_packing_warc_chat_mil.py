@@ -194,3 +194,23 @@ def test_pipeline_stages_keep_the_columns_and_decide(spark):
     assert now.filter("text like '%abcdefgh12%'").count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, now, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == held
+
+
+def test_pipeline_decides_by_rows_when_ids_repeat_or_are_null(spark):
+    rng = random.Random(11)
+    new = lambda: [f"w{rng.randrange(5000)}" for _ in range(120)]
+    plain, other, clean, lone = (" ".join(new()) for _ in range(4))
+    near = plain + " tail"
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("text is not null").orderBy("item_id").first().text
+    rows = [
+        (5, plain), (5, plain), (5, plain), (7, near), (7, clean), (None, near), (None, other), (None, other), (8, other), (9, None), (9, None), (None, lone),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], schema).repartition(3)
+    order = lambda found: sorted(((r.doc_id, r.text) for r in found.collect()), key=str)
+    kept = corpus_pipeline.keep_distinct(spark, docs, SF)
+    assert kept.columns == list(corpus_pipeline.DOCUMENTS)
+    assert order(kept) == sorted([(5, plain), (7, clean), (8, other), (9, None), (9, None), (None, lone)], key=str)
+    leaky = f"{plain} {item} {other}"
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in [(1, leaky), (1, clean), (1, clean), (None, leaky), (None, lone)]], schema)
+    assert order(corpus_pipeline.keep_untested(spark, docs, SF)) == sorted([(1, clean), (1, clean), (None, lone)], key=str)
