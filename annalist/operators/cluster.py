@@ -14,6 +14,9 @@ from annalist.functions.scores import match_score, quick_exclude, rule_match
 from annalist.operators.pairs import block_candidates, similar_pairs, with_sides
 from annalist.scratch import components, spool
 
+#: Near matches, which a verifier may confirm: at most so many years apart, at least so many points.
+NEAR_YEARS, NEAR_SCORE = 3, 15
+
 
 def leaders(points: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(id, is_leader) of greedy leader clustering in the order of ``rank``.
@@ -89,18 +92,28 @@ def hybrid_cluster(
     return joined.select("id", F.coalesce("component", "leader").alias("leader"))
 
 
-def rule_cluster(events: DataFrame) -> DataFrame:
+def rule_cluster(events: DataFrame, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, leader) by rules: year order, not excluded, rule match; the best score wins, then the
     earliest group.
 
     events: id, entity_ids, entity_types, year, date_range, language, description. Candidates
-    share an entity, which a rule match needs anyway.
+    share an entity, which a rule match needs anyway. ``verify`` takes the near matches (a, b):
+    not excluded, no rule match, an entity in common, at most three years apart if both are known,
+    a score of 15 or more; those it returns count as matches, behind every match by rule.
     """
     order = F.struct(F.col("year").isNull(), "year", "id")
     ranked = rank_by(events.select("id", order.alias("rank_key")), "rank_key")
-    pairs = with_sides(block_candidates(events, ("entity",)), events)
-    matched = pairs.filter(~quick_exclude(F.col("x"), F.col("y")) & rule_match(F.col("x"), F.col("y")))
-    scored = spool(matched.select("a", "b", match_score(F.col("x"), F.col("y")).alias("score")), "rule-pairs")
+    x, y = F.col("x"), F.col("y")
+    kept = with_sides(block_candidates(events, ("entity",)), events).filter(~quick_exclude(x, y))
+    scored = kept.filter(rule_match(x, y)).select("a", "b", F.struct(F.lit(1).alias("by_rule"), match_score(x, y).alias("points")).alias("score"))
+    scored = spool(scored, "rule-pairs")
+    if verify is not None:
+        close = F.coalesce(F.abs(x["year"] - y["year"]) <= NEAR_YEARS, F.lit(True))
+        near = kept.filter(~F.coalesce(rule_match(x, y), F.lit(False)) & close)
+        near = near.select("a", "b", F.struct(F.lit(0).alias("by_rule"), match_score(x, y).alias("points")).alias("score")).filter(F.col("score.points") >= NEAR_SCORE)
+        near = spool(near, "near-matches")
+        confirmed = verify(near.select("a", "b")).select("a", "b").distinct()
+        scored = spool(scored.union(near.join(confirmed.hint("merge"), ["a", "b"], "left_semi")), "confirmed-pairs")
     state = leaders(ranked, scored)
     return assign(ranked, scored, state, "score")
 

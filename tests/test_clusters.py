@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist.functions.dates import ymd
-from annalist.operators import cluster, pairs
+from annalist.operators import cluster, pairs, scoring
 from annalist.plans import cluster_queries
 
 
@@ -139,6 +139,28 @@ def test_rule_clusters_equal_the_loop(spark):
     assert got == expected
 
 
+def test_rule_cluster_unites_confirmed_near_matches(spark):
+    rows = [
+        (1, ["a", "b"], 2000), (2, ["a", "c"], 2001), (3, ["a", "d"], 2000), (4, ["z", "y"], 2000), (5, ["a", "b"], 2000), (6, ["a", "c"], 2004),
+    ]
+    t = spark.createDataFrame([(i, e, ["T"], y, "en", "text") for i, e, y in rows], "id long, entity_ids array<string>, entity_types array<string>, year int, language string, description string")
+    year = F.col("year")
+    t = t.withColumn("date_range", F.struct(ymd(year, F.lit(1), F.lit(1)).alias("start_date"), ymd(year, F.lit(12), F.lit(31)).alias("end_date")))
+    pair = "a long, b long, is_same boolean, confidence double"
+    answers = spark.createDataFrame([(2, 1, True, 0.9), (1, 3, True, 0.5), (1, 4, True, 0.9), (1, 6, True, 0.9), (3, 5, True, 0.9)], pair)
+    asked = []
+
+    def verify(found):
+        asked.extend((r.a, r.b) for r in found.collect())
+        return scoring.scored_verifier(answers)(found)
+
+    got = {r.id: r.leader for r in cluster.rule_cluster(t, verify).collect()}
+    # 4 shares no entity and 6 is too late for 1: never asked; 5 matches 1 by rule, which goes before its answer with 3
+    assert sorted(asked) == [(1, 2), (1, 3), (2, 3), (2, 5), (3, 5)]
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1, 6: 6}
+    assert {r.id: r.leader for r in cluster.rule_cluster(t).collect()}[2] == 2
+
+
 @pytest.mark.parametrize("seed", [8, 9])
 def test_canonicalise_equals_the_loop_with_a_store(spark, seed):
     v = random_vectors(seed, 50)
