@@ -1,43 +1,68 @@
-"""External induced suffix sorting of one shard, for use inside a task.
-
-The suffixes of a shard are ordered as in SA-IS and its external form eSAIS (Bingmann, Fischer,
-Osipov 2013): left-most-S suffixes are named by their substrings, the string of names is sorted
-by recursion, and all other suffixes are induced from them in two scans. The priority queue of
-a scan is keyed by the first symbol; within a symbol tuples leave in the order they came, so
-it is kept as one first-in-first-out queue a symbol. Queues, the text and the result are
-numpy arrays in memory up to a bound, and files in the task's own temporary folder beyond it.
-
-Only the order by the first ``depth`` symbols matters to the caller, so the recursion ends by
-doubling ranks once its alphabet is too large for one queue a symbol, and common-prefix values
-are cut off at that depth.
+"""External induced suffix sorting with common-prefix values, for use inside a task.
+
+As in eSAIS (Bingmann, Fischer, Osipov 2013): left-most-S suffixes are sorted by their substrings
+in a first pair of scans and named, the string of names is sorted by recursion, and a second pair
+of scans induces all suffixes from them. A scan takes tuples from a priority queue in the order
+of their symbol, ties in the order of arrival, and puts the tuple of the suffix before each back.
+
+* A queue is cut into buckets of neighbouring symbols; a bucket is sorted when its turn comes. What
+  it induces into itself is found round by round before its order is fixed. A symbol that is too
+  frequent for one block has a bucket of its own and is taken piece by piece.
+* A tuple is (symbol, position, m): m is the least common prefix seen between the suffix that put
+  it there and the one that put the tuple before it, so the common prefix of the two is m + 1. In
+  the first pair of scans m only says whether two substrings are still equal, which gives the names.
+* The recursion hands back the common prefixes of the names as well. Only what differs after
+  them is compared in the text, and so are the borders between the two types of a symbol.
+
+Values are cut off at ``depth`` symbols, and an order of suffixes that agree on so many is not
+fixed. A name stands for two symbols at least, so each level needs half the depth of the one
+before, and the recursion ends where equal names already agree to the depth.
+
+Queues, stored suffixes and arrays are in memory up to a bound and in files of the task's
+own folder beyond it; the same steps run either way. Texts in files are read at random through the
+page cache of the machine.
 """
 
 from __future__ import annotations
 
+import os
 import shutil
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Elements of a shard up to which its arrays stay in memory.
-IN_MEMORY = 48 << 20
-#: Recursion keeps one queue a symbol up to this alphabet.
-MOST_QUEUES = 1024
+#: Bytes of arrays and tuples of a sort that stay in memory.
+MEMORY = 256 << 20
+#: Tuples in a block: at least so many where there are as many, then a share of the text.
+LEAST_BLOCK, BLOCK_SHARE = 1 << 15, 8
+#: The prefix value of substrings that have not differed yet.
+EQUAL = 255
 
+Stream = Iterator[tuple[np.ndarray, np.ndarray]]
 
-class Spill:
-    """Temporary files of one sort; everything goes when the block ends."""
 
-    def __init__(self, on_disk: bool):
-        self.folder = tempfile.mkdtemp(prefix="induced-") if on_disk else None
+class Scratch:
+    """Task-local memory and files of one sort; the files go when the block ends."""
+
+    def __init__(self, memory: int = MEMORY):
+        self.memory = memory
+        self.folder: str | None = None
+
+    def path(self) -> str:
+        if self.folder is None:
+            self.folder = tempfile.mkdtemp(prefix="induced-")
+        handle, path = tempfile.mkstemp(dir=self.folder)
+        os.close(handle)
+        return path
 
     def array(self, n: int, dtype) -> np.ndarray:
-        if self.folder is None or n == 0:
+        """An array of n values, not set; in a file if it is large."""
+        if n * np.dtype(dtype).itemsize <= self.memory // 16:
             return np.empty(n, dtype)
-        file = tempfile.NamedTemporaryFile(dir=self.folder, delete=False)
-        return np.memmap(file, dtype, "w+", shape=(n,))
+        return np.memmap(self.path(), dtype, "w+", shape=(n,))
 
-    def __enter__(self) -> Spill:
+    def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
@@ -45,244 +70,444 @@ class Spill:
             shutil.rmtree(self.folder, ignore_errors=True)
 
 
-class Queue:
-    """First-in-first-out suffix positions of one symbol.
+class Buckets:
+    """Rows of some columns in numbered buckets, each read from its front or from its back.
 
-    What is read leaves in blocks as large as what waits, up to ``BLOCK``; blocks that were
-    read are kept, on disk if there is a folder, for the scan that runs backwards.
+    Beyond a share of the memory the rows of all buckets go to a file, a run for each bucket.
     """
 
-    BLOCK = 4 << 20
-
-    def __init__(self, folder: str | None, dtype):
-        self.dtype = np.dtype(dtype)
-        self.waiting: list[np.ndarray] = []
-        self.done: list[np.ndarray] = []
-        self.file = tempfile.TemporaryFile(dir=folder) if folder else None
-        self.in_file: list[int] = []
-        self.at = 0  # first value in the file that was not read
-
-    def put(self, values: np.ndarray) -> None:
-        self.waiting.append(values)
-        if self.file is not None and sum(map(len, self.waiting)) > self.BLOCK // 16:
-            self.flush()
-
-    def flush(self) -> None:
-        self.file.seek(0, 2)
-        for values in self.waiting:
-            self.file.write(values.astype(self.dtype).tobytes())
-            self.in_file.append(len(values))
-        self.waiting = []
-
-    def next(self) -> np.ndarray | None:
-        """What waits, as one block; None if nothing does."""
-        if self.file is not None:
-            self.flush()
-            left = min(sum(self.in_file) - self.at, self.BLOCK)
-            if not left:
-                return None
-            self.at += left
-            return self._read(self.at - left, left)
-        if not self.waiting:
-            return None
-        block = np.concatenate(self.waiting)
-        self.waiting = []
-        self.done.append(block)
-        return block
-
-    def _read(self, start: int, count: int) -> np.ndarray:
-        self.file.seek(start * self.dtype.itemsize)
-        return np.frombuffer(self.file.read(count * self.dtype.itemsize), self.dtype)
+    def __init__(self, scratch: Scratch, count: int, kinds: tuple):
+        self.scratch = scratch
+        self.kinds = [np.dtype(k) for k in kinds]
+        self.width = sum(k.itemsize for k in self.kinds)
+        self.held: list[list] = [[] for _ in range(count)]
+        self.bytes = 0
+        self.file = None
 
-    def backwards(self):
-        """All that was read, from the last value to the first."""
-        if self.file is None:
-            for block in reversed(self.done):
-                yield block[::-1]
+    def put(self, bucket: int, columns: tuple) -> None:
+        if not len(columns[0]):
             return
-        for stop in range(self.at, 0, -self.BLOCK):
-            start = max(0, stop - self.BLOCK)
-            yield self._read(start, stop - start)[::-1]
-
-    def forwards(self):
+        self.held[bucket].append(columns)
+        self.bytes += self.width * len(columns[0])
+        if self.bytes > self.scratch.memory // 8:
+            self._to_file()
+
+    def deal(self, bucket: np.ndarray, columns: tuple) -> None:
+        """Puts rows whose buckets come in runs."""
+        if len(bucket):
+            cut = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
+                self.put(int(bucket[a]), tuple(c[a:b] for c in columns))
+
+    def _to_file(self) -> None:
         if self.file is None:
-            yield from self.done
+            self.file = open(self.scratch.path(), "w+b")  # noqa: SIM115 - the folder goes as a whole
+        self.file.seek(0, 2)
+        for pieces in self.held:
+            at = next((k for k, p in enumerate(pieces) if not isinstance(p[0], int)), len(pieces))
+            fresh = pieces[at:]
+            if fresh:
+                del pieces[at:]
+                count = sum(len(p[0]) for p in fresh)
+                pieces.append((self.file.tell(), count))
+                for k, kind in enumerate(self.kinds):
+                    for p in fresh:
+                        self.file.write(np.ascontiguousarray(p[k], kind).tobytes())
+        self.bytes = 0
+
+    def _load(self, piece: tuple, first: int, stop: int) -> tuple:
+        """Rows first to stop of a piece."""
+        if not isinstance(piece[0], int):
+            return tuple(c[first:stop] for c in piece)
+        at, count = piece
+        out = []
+        for kind in self.kinds:
+            self.file.seek(at + first * kind.itemsize)
+            out.append(np.frombuffer(self.file.read((stop - first) * kind.itemsize), kind))
+            at += count * kind.itemsize
+        return tuple(out)
+
+    def _parts(self, bucket: int, limit: int, back: bool) -> list[tuple]:
+        pieces, parts, got = self.held[bucket], [], 0
+        while pieces and got < limit:
+            piece = pieces.pop(-1 if back else 0)
+            in_file = isinstance(piece[0], int)
+            size = piece[1] if in_file else len(piece[0])
+            take = min(size, limit - got)
+            first, stop = (size - take, size) if back else (0, take)
+            parts.append(self._load(piece, first, stop))
+            if not in_file:
+                self.bytes -= self.width * take
+            if take < size:
+                keep = (0, first) if back else (stop, size)
+                # what is left is a piece of its own; from a file it is read now, a bucket at a time
+                rest = self._load(piece, *keep) if not in_file else self._again(piece, *keep)
+                pieces.insert(len(pieces) if back else 0, rest)
+            got += take
+        return parts
+
+    def _again(self, piece: tuple, first: int, stop: int) -> tuple:
+        """The rows of a piece in the file as a piece of their own: written behind, read in steps."""
+        self.file.seek(0, 2)
+        start = self.file.tell()
+        at = piece[0]
+        for kind in self.kinds:
+            for a in range(first, stop, 1 << 20):
+                b = min(stop, a + (1 << 20))
+                self.file.seek(at + a * kind.itemsize)
+                data = self.file.read((b - a) * kind.itemsize)
+                self.file.seek(0, 2)
+                self.file.write(data)
+            at += piece[1] * kind.itemsize
+        return start, stop - first
+
+    def each(self, bucket: int, step: int = 1 << 20) -> Iterator[tuple]:
+        """All rows of a bucket from the front, which stay."""
+        for piece in list(self.held[bucket]):
+            size = piece[1] if isinstance(piece[0], int) else len(piece[0])
+            for a in range(0, size, step):
+                yield self._load(piece, a, min(size, a + step))
+
+    def front(self, bucket: int, limit: int) -> tuple | None:
+        """Up to limit rows from the front; None if there are none."""
+        parts = self._parts(bucket, limit, back=False)
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else None
+
+    def back(self, bucket: int, limit: int) -> tuple | None:
+        """Up to limit rows from the back, the last one first."""
+        parts = self._parts(bucket, limit, back=True)
+        return tuple(np.concatenate([c[::-1] for c in column]) for column in zip(*parts, strict=True)) if parts else None
+
+
+class Grid:
+    """The buckets of an alphabet: neighbouring symbols of about a block, frequent ones alone."""
+
+    def __init__(self, x: np.ndarray, sigma: int, scratch: Scratch):
+        n = len(x)
+        self.block = max(LEAST_BLOCK, min(n >> BLOCK_SHARE, scratch.memory // 128))
+        count = np.zeros(sigma, np.int64)
+        for at in range(0, n, 1 << 20):
+            part = np.bincount(x[at : at + (1 << 20)])
+            count[: len(part)] += part
+        before = np.cumsum(count) - count
+        turn = np.r_[True, before[1:] // self.block != before[:-1] // self.block]
+        alone = count >= self.block
+        turn |= alone
+        turn[1:] |= alone[:-1]
+        self.of = (np.cumsum(turn) - 1).astype(np.int32)
+        self.first = np.flatnonzero(turn)
+        self.stop = np.r_[self.first[1:], sigma]
+        self.size = len(self.first)
+        self.position = np.int32 if n < 2**31 else np.int64
+
+
+class Lows:
+    """Least values of ranges of a block; where only equality counts, whether all are EQUAL."""
+
+    _log = np.zeros(2, np.uint8)
+
+    def __init__(self, values: np.ndarray, exact: bool):
+        self.n, self.exact = len(values), exact
+        if not exact:
+            self.sums = np.r_[0, np.cumsum(values != EQUAL)]
             return
-        for start in range(0, self.at, self.BLOCK):
-            yield self._read(start, min(self.BLOCK, self.at - start))
-
-
-def _is_s_type(x: np.ndarray, spill: Spill) -> np.ndarray:
-    """True where a suffix is smaller than the one after it; the last symbol is the least."""
-    change = np.flatnonzero(x[:-1] != x[1:])
-    out = spill.array(len(x), bool)
-    out[:-1] = np.repeat(x[change] < x[change + 1], np.diff(np.r_[-1, change]))
-    out[-1] = True
-    return out
-
+        levels = self.n.bit_length()
+        self.rows = np.empty((levels, self.n), np.uint8)
+        self.rows[0] = values
+        for j in range(1, levels):
+            half = 1 << (j - 1)
+            stop = self.n - 2 * half + 1
+            np.minimum(self.rows[j - 1, :stop], self.rows[j - 1, half : half + stop], out=self.rows[j, :stop])
+        if len(Lows._log) <= self.n:
+            Lows._log = (np.frexp(np.arange(2 * self.n + 2))[1] - 1).astype(np.uint8)
+
+    def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The least of values first to last, both included."""
+        if not self.exact:
+            return np.where(self.sums[last + 1] == self.sums[first], np.uint8(EQUAL), np.uint8(0))
+        j = Lows._log[last - first + 1]
+        flat, row = self.rows.ravel(), j.astype(np.int64) * self.n
+        return np.minimum(flat[row + first], flat[row + last + 1 - (1 << j.astype(np.int64))])
+
+
+def common(x: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, depth: int) -> np.ndarray:
+    """Common prefix of the suffixes at a and b, up to depth; ``known`` symbols are equal."""
+    out = np.minimum(known, depth).astype(np.int64)
+    live = np.flatnonzero(out < depth)
+    while len(live):
+        at = out[live]
+        live = live[x[a[live] + at] == x[b[live] + at]]
+        out[live] += 1
+        live = live[out[live] < depth]
+    return out.astype(np.uint8)
+
+
+def _one_more(m: np.ndarray, depth: int) -> np.ndarray:
+    return np.where(m == EQUAL, np.uint8(EQUAL), np.minimum(m, depth - 1).astype(np.uint8) + np.uint8(1))
+
+
+class Scan:
+    """One scan: visits seeds and what they induce in the order of symbols, or, flipped, against it.
+
+    ``seeds(bucket, limit)`` gives their next rows (position, prefix with the seed before). Kind 0
+    is what was induced; a symbol's seeds, kind 1, come behind it.
+    """
 
-def _deal(queues: dict[int, Queue], symbols: np.ndarray, values: np.ndarray, make) -> None:
-    """Appends each value to the queue of its symbol, keeping the order."""
-    if not len(values):
-        return
-    order = np.argsort(symbols, kind="stable")
-    symbols, values = symbols[order], values[order]
-    cut = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
-    for a, b in zip(cut, np.r_[cut[1:], len(symbols)], strict=True):
-        t = int(symbols[a])
-        if t not in queues:
-            queues[t] = make()
-        queues[t].put(values[a:b])
-
-
-def _induce(x: np.ndarray, s_type: np.ndarray, seeds: np.ndarray, spill: Spill) -> np.ndarray:
-    """All suffixes in the order that the seeds (left-most-S suffixes in theirs) imply."""
-    dtype = np.int32 if len(x) < 2**31 else np.int64
-
-    def make() -> Queue:
-        return Queue(spill.folder, dtype)
-
-    star: dict[int, Queue] = {}
-    left: dict[int, Queue] = {}
-    right: dict[int, Queue] = {}
-    _deal(star, x[seeds], seeds.astype(dtype), make)
-    symbols = np.unique(x)
-
-    def induced(block: np.ndarray, queues: dict[int, Queue], want_s: bool) -> None:
-        before = block[block > 0] - 1
-        before = before[s_type[before] == want_s]
-        _deal(queues, x[before], before, make)
-
-    for c in symbols.tolist():
-        while c in left and (block := left[c].next()) is not None:
-            induced(block, left, False)
-        if c in star:
-            while (block := star[c].next()) is not None:
-                induced(block, left, False)
-    for c in symbols[::-1].tolist():
-        while c in right and (block := right[c].next()) is not None:
-            induced(block, right, True)
-        if c in left:
-            for block in left[c].backwards():
-                induced(block, right, True)
-    out, at = spill.array(len(x), dtype), 0
-    # the terminator precedes no suffix, so no scan brings it
-    last = len(x) - 1
-    out[0], at = last, 1
-    for c in symbols.tolist():
-        blocks = [*(left[c].forwards() if c in left else ()), *(right[c].backwards() if c in right else ())]
-        for block in blocks:
-            out[at : at + len(block)] = block
-            at += len(block)
-    assert at == len(x), "induction lost suffixes"
+    def __init__(self, x: np.ndarray, sigma: int, grid: Grid, scratch: Scratch, depth: int, exact: bool, flipped: bool, seeds):
+        self.x, self.grid, self.depth, self.exact = x, grid, depth, exact
+        self.flipped, self.top, self.seeds = flipped, sigma - 1, seeds
+        self.queue = Buckets(scratch, grid.size, (np.int32, grid.position, np.uint8))
+        self.gap = np.full(sigma, EQUAL, np.uint8)
+        self.last: tuple[int, int, int] | None = None  # symbol, kind and position visited last
+
+    def symbols(self, at: np.ndarray) -> np.ndarray:
+        own = self.x[at].astype(np.int32)
+        return self.top - own if self.flipped else own
+
+    def bucket_of(self, symbol: np.ndarray) -> np.ndarray:
+        return self.grid.of[self.top - symbol if self.flipped else symbol]
+
+    def visit(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bucket, positions, kinds, common prefix with the suffix visited before) in order."""
+        buckets = range(self.grid.size)
+        for b in reversed(buckets) if self.flipped else buckets:
+            first, stop = int(self.grid.first[b]), int(self.grid.stop[b])
+            end = self.top - first + 1 if self.flipped else stop
+            if stop - first == 1:
+                while (rows := self.queue.front(b, self.grid.block)) is not None:
+                    yield (b, *self._piece(rows[0], rows[1], np.zeros(len(rows[1]), np.uint8), _one_more(rows[2], self.depth), None))
+                while (rows := self.seeds(b, self.grid.block)) is not None:
+                    yield (b, *self._piece(self.symbols(rows[0]), rows[0], np.ones(len(rows[0]), np.uint8), rows[1], None))
+                continue
+            parts = []
+            if (rows := self.queue.front(b, self.top + len(self.x))) is not None:
+                parts.append((rows[0], rows[1], np.zeros(len(rows[1]), np.uint8), _one_more(rows[2], self.depth)))
+            if (rows := self.seeds(b, self.top + len(self.x))) is not None:
+                parts.append((self.symbols(rows[0]), rows[0], np.ones(len(rows[0]), np.uint8), rows[1]))
+            if parts:
+                symbol, position, kind, prefix = (np.concatenate(c) for c in zip(*parts, strict=True))
+                key = 2 * (symbol - (end - (stop - first))) + kind
+                by = np.argsort(key.astype(np.uint16) if 2 * (stop - first) < 1 << 16 else key, kind="stable")
+                yield (b, *self._piece(symbol[by], position[by], kind[by], prefix[by], end))
+
+    def _before(self, symbol, position, kind):
+        """For each row, whether it induces the suffix before it, and that one's symbol."""
+        ahead = self.symbols(position - 1)
+        return (position > 0) & ((ahead > symbol) | ((ahead == symbol) & (kind == 0))), ahead
+
+    def _own(self, symbol, position, kind, prefix, end: int):
+        """Merges into a bucket what it induces into itself, round by round."""
+        n = len(position)
+        good, ahead = self._before(symbol, position, kind)
+        pick = np.flatnonzero(good & (ahead < end))
+        found, source, depth_of = [], [], []
+        base, at = 0, position
+        start = n
+        while len(pick):
+            own = ahead[pick], at[pick] - 1
+            found.append(own)
+            source.append(pick + base)
+            depth_of.append(np.full(len(pick), len(found)))
+            base, start = start, start + len(pick)
+            at = own[1]
+            good, ahead = self._before(own[0], at, np.zeros(len(at), np.uint8))
+            pick = np.flatnonzero(good & (ahead < end))
+        if not found:
+            return symbol, position, kind, prefix
+        new_symbol, new_position = (np.concatenate(c) for c in zip(*found, strict=True))
+        source, depth_of = np.concatenate(source), np.concatenate(depth_of)
+        lowest = int(symbol[0])
+        upto = np.cumsum(np.bincount(2 * (symbol - lowest) + kind, minlength=2 * (end - lowest)))
+        into = upto[2 * (new_symbol - lowest)]
+        rank = np.empty(start, np.int64)
+        rank[:n] = np.arange(n)
+        for k in range(1, len(found) + 1):
+            # relative orders never change as deeper ones join, so each round sorts by final ones
+            own = np.flatnonzero(depth_of <= k)
+            by = own[np.argsort((new_symbol[own].astype(np.int64) << 32) + rank[source[own]])]
+            spots = into[by]
+            rank[n + by] = spots + np.arange(len(by))
+            rank[:n] = np.arange(n) + np.cumsum(np.bincount(spots, minlength=n)[:n])
+        out = []
+        for old, new in ((symbol, new_symbol), (position, new_position), (kind, 0), (prefix, EQUAL if not self.exact else self.depth)):
+            merged = np.empty(start, old.dtype)
+            merged[rank[:n]], merged[rank[n:]] = old, new
+            out.append(merged)
+        symbol, position, kind, prefix = out
+        at, inducer = rank[n:][by], rank[source][by]
+        follows = (at > 0) & (symbol[at - 1] == symbol[at])
+        behind_new = np.r_[False, at[1:] - 1 == at[:-1]] & follows
+        first = np.where(behind_new, np.r_[0, inducer[:-1]] + 1, 0)
+        carried = np.where(behind_new, EQUAL, self.gap[symbol[at]]).astype(np.uint8)
+        self._borders(symbol, position, kind, prefix)
+        while True:
+            # a value depends on earlier ones only, so this settles after as many rounds as above
+            least = np.minimum(Lows(prefix, self.exact).of(first, inducer), carried)
+            fresh = np.where(follows, _one_more(least, self.depth), np.uint8(0))
+            if (fresh == prefix[at]).all():
+                return symbol, position, kind, prefix
+            prefix[at] = fresh
+
+    def _piece(self, symbol, position, kind, prefix, end: int | None):
+        """Fixes the order and prefixes of a block and puts what it induces into the queue.
+
+        With ``end`` the block is a whole bucket of symbols below it.
+        """
+        prefix = prefix.copy()
+        self._borders(symbol, position, kind, prefix)
+        if end is not None:
+            symbol, position, kind, prefix = self._own(symbol, position, kind, prefix, end)
+        self.last = int(symbol[-1]), int(kind[-1]), int(position[-1])
+        good, ahead = self._before(symbol, position, kind)
+        if end is not None:
+            good &= ahead >= end
+        rank = np.flatnonzero(good)
+        lows = Lows(prefix, self.exact)
+        least = int(lows.of(np.array([0]), np.array([len(prefix) - 1]))[0])
+        if len(rank):
+            key = ahead[rank]
+            by = np.argsort(key.astype(np.uint16) if self.top < 1 << 16 else key, kind="stable")
+            rank, key = rank[by], key[by]
+            fresh = np.r_[True, key[1:] != key[:-1]]
+            m = lows.of(np.where(fresh, 0, np.r_[0, rank[:-1]] + 1), rank)
+            m[fresh] = np.minimum(m[fresh], self.gap[key[fresh]])
+            last = np.r_[fresh[1:], True]
+            tail = rank[last]
+            open_ = np.full(len(tail), EQUAL, np.uint8)
+            inside = tail < len(prefix) - 1
+            open_[inside] = lows.of(tail[inside] + 1, np.full(int(inside.sum()), len(prefix) - 1))
+            np.minimum(self.gap, least, out=self.gap)
+            self.gap[key[last]] = open_
+            self.queue.deal(self.bucket_of(key), (key, position[rank] - 1, m))
+        else:
+            np.minimum(self.gap, least, out=self.gap)
+        return position, kind, prefix
+
+    def _borders(self, symbol, position, kind, prefix) -> None:
+        """Prefixes where a symbol or the seeds of a symbol begin."""
+        before = self.last or (-1, 0, 0)
+        turn = np.r_[symbol[0] != before[0], symbol[1:] != symbol[:-1]]
+        prefix[turn] = 0
+        seam = np.flatnonzero(~turn & (kind != np.r_[before[1], kind[:-1]].astype(kind.dtype)))
+        if len(seam):
+            other = np.r_[before[2], position[:-1]][seam]
+            prefix[seam] = common(self.x, position[seam], other, np.ones(len(seam), np.int64), self.depth) if self.exact else 0
+
+
+def _scans(x: np.ndarray, sigma: int, grid: Grid, scratch: Scratch, depth: int, exact: bool, seeds) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(positions, kinds, common prefix with the one before) of all suffixes but the last, from the
+    largest to the smallest; kind 0 is an S suffix."""
+    larger = Backwards(scratch, grid)
+    for b, position, kind, prefix in Scan(x, sigma, grid, scratch, depth, exact, False, seeds).visit():
+        own = kind == 0
+        larger.put(b, (position[own].astype(grid.position), prefix[own]))
+    for _, position, kind, prefix in Scan(x, sigma, grid, scratch, depth, exact, True, larger.rows).visit():
+        yield position, kind, prefix
+
+
+class Backwards(Buckets):
+    """Suffixes (position, prefix with the one before), read against the order they came in."""
+
+    def __init__(self, scratch: Scratch, grid: Grid):
+        super().__init__(scratch, grid.size, (grid.position, np.uint8))
+        self.after: dict[int, int] = {}
+
+    def rows(self, bucket: int, limit: int) -> tuple | None:
+        found = self.back(bucket, limit)
+        if found is None:
+            return None
+        position, prefix = found
+        shifted = np.r_[np.uint8(self.after.get(bucket, 0)), prefix[:-1]].astype(np.uint8)
+        self.after[bucket] = int(prefix[-1])
+        return position, shifted
+
+
+def star_positions(x: np.ndarray, scratch: Scratch) -> np.ndarray:
+    """Positions of the S suffixes behind an L suffix, read from the end in steps; the last is one."""
+    n, step = len(x), 1 << 20
+    found = Buckets(scratch, 1, (np.int64,))
+    later_s, total = True, 1  # the terminator
+    found.put(0, (np.array([n - 1]),))
+    for stop in range(n - 1, 0, -step):
+        a = max(0, stop - step)
+        # types of a..stop-1; a type goes back over equal symbols
+        rise = np.sign(x[a + 1 : stop + 1].astype(np.int64) - x[a:stop].astype(np.int64)).astype(np.int8)
+        rise = np.r_[rise, np.int8(1 if later_s else -1)]
+        known = np.flatnonzero(rise)
+        s_type = np.repeat(rise[known] > 0, np.diff(np.r_[-1, known]))
+        own = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
+        own = own[own + a < n - 1] + a
+        found.put(0, (own[::-1].astype(np.int64),))
+        total += len(own)
+        later_s = bool(s_type[0])
+    out, at = scratch.array(total, np.int64), 0
+    while (rows := found.back(0, 1 << 20)) is not None:
+        out[at : at + len(rows[0])] = rows[0]
+        at += len(rows[0])
     return out
 
 
-def _name(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For substrings in sorted order: True where one differs from the one before it."""
-    differs = np.ones(len(starts), bool)
-    length = ends - starts
-    pair = np.flatnonzero(length[1:] == length[:-1]) + 1
-    k = 0
-    while len(pair):
-        same = x[starts[pair] + k] == x[starts[pair - 1] + k]
-        pair = pair[same]
-        done = length[pair] == k
-        differs[pair[done]] = False
-        pair = pair[~done]
-        k += 1
-    return differs
-
-
-def _double(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a string of names by their first ``depth`` names.
-
-    A rank is the number of suffixes before its group, so a group that is split changes no other
-    rank, and only suffixes in groups of two or more are sorted again.
-    """
-    n = len(names)
-    count = np.bincount(names)
-    rank = (np.cumsum(count) - count)[names]
-    order = np.empty(n, np.int64)
-    open_ = np.flatnonzero(count[names] > 1)
-    closed = count[names] == 1
-    order[rank[closed]] = np.flatnonzero(closed)
-    step = 1
-    while len(open_):
-        if step >= depth:
-            by = np.argsort(rank[open_], kind="stable")
-            own = rank[open_][by]
-            head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            order[own + np.arange(len(own)) - np.repeat(head, np.diff(np.r_[head, len(own)]))] = open_[by]
-            break
-        after = np.full(len(open_), -1, np.int64)
-        inside = open_ + step < n
-        after[inside] = rank[open_[inside] + step]
-        by = np.argsort(rank[open_] * (n + 1) + after + 1)
-        open_, after = open_[by], after[by]
-        own = rank[open_]
-        group = np.r_[True, own[1:] != own[:-1]]
-        split = group | np.r_[True, after[1:] != after[:-1]]
-        head, first = np.flatnonzero(group), np.flatnonzero(split)
-        place = np.arange(len(own)) - np.repeat(head, np.diff(np.r_[head, len(own)]))
-        size = np.diff(np.r_[first, len(own)])
-        fresh = own + np.repeat(place[first], size)
-        rank[open_] = fresh
-        single = np.repeat(size, size) == 1
-        order[fresh[single]] = open_[single]
-        open_ = open_[~single]
-        step *= 2
-    return order
-
-
-def suffix_array(x: np.ndarray, depth: int, spill: Spill) -> np.ndarray:
-    """Suffix order of x by the first ``depth`` symbols; x ends in a unique least symbol.
-
-    An order of suffixes that agree on ``depth`` symbols is not fixed.
-    """
-    if len(x) == 1:
-        return np.zeros(1, np.int64)
-    s_type = _is_s_type(x, spill)
-    stars = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    if len(stars) > 1:
-        first = _induce(x, s_type, stars, spill)
-        is_star = np.zeros(len(x), bool)
-        is_star[stars] = True
-        ordered = first[is_star[first]]
-        del first
-        number = np.empty(len(x), np.int32 if len(x) < 2**31 else np.int64)
-        number[stars] = np.arange(len(stars))
-        place = number[ordered]
-        del number, is_star
-        after = place + 1
-        ends = np.where(after < len(stars), stars[np.minimum(after, len(stars) - 1)], len(x) - 1)
-        rank = np.cumsum(_name(x, ordered, ends)) - 1
-        if int(rank[-1]) + 1 < len(ordered):
-            names = np.empty(len(stars), np.int64)
-            names[place] = rank
-            # each name stands for two symbols at least
-            within = depth // 2 + 1
-            few = int(rank[-1]) < MOST_QUEUES and len(stars) > 16 * MOST_QUEUES
-            stars = stars[suffix_array(names, within, spill) if few else _double(names, within)]
+def suffixes(x: np.ndarray, sigma: int, depth: int, scratch: Scratch) -> Stream:
+    """(positions, common prefix with the one before) of all suffixes of x, from the largest to the
+    smallest; x ends in 0, which is nowhere else, and its symbols are below sigma."""
+    if not 1 < depth < EQUAL:
+        raise ValueError(f"depth {depth}")
+    n = len(x)
+    if n > 1:
+        grid = Grid(x, sigma, scratch)
+        stars = star_positions(x, scratch)
+        seeds = Backwards(scratch, grid)
+        before = None
+        for position, known in _sorted_stars(x, sigma, depth, grid, stars, scratch):
+            other = np.r_[position[0] if before is None else before, position[:-1]]
+            prefix = common(x, position[1:], other[1:], known[1:], depth) if before is None else common(x, position, other, known, depth)
+            prefix = np.r_[np.uint8(0), prefix] if before is None else prefix
+            before = position[-1]
+            seeds.deal(grid.of[x[position]], (position.astype(grid.position), prefix))
+        for position, _, prefix in _scans(x, sigma, grid, scratch, depth, True, seeds.rows):
+            yield position, prefix
+    yield np.array([n - 1]), np.zeros(1, np.uint8)
+
+
+def _sorted_stars(x: np.ndarray, sigma: int, depth: int, grid: Grid, stars: np.ndarray, scratch: Scratch) -> Stream:
+    """Star positions from the largest suffix to the smallest, and symbols known to be equal."""
+    seeds = Buckets(scratch, grid.size, (grid.position, np.uint8))
+    for at in range(0, len(stars), 1 << 20):
+        part = np.asarray(stars[at : at + (1 << 20)])
+        bucket = grid.of[x[part]]
+        by = np.argsort(bucket, kind="stable")
+        seeds.deal(bucket[by], (part[by].astype(grid.position), np.full(len(part), EQUAL, np.uint8)))
+    name_at = scratch.array(len(x), grid.position)
+    ordered = Buckets(scratch, 1, (grid.position,))
+    names, equal, repeated = 0, False, False
+    for position, kind, prefix in _scans(x, sigma, grid, scratch, depth, False, seeds.front):
+        differs = np.cumsum(prefix != EQUAL)
+        star = np.flatnonzero((kind == 0) & (position > 0) & (x[position - 1] > x[position]))
+        if len(star):
+            apart = np.diff(np.r_[0, differs[star]])
+            fresh = apart > 0
+            # the first one continues the block before, if nothing has differed since
+            fresh[0] = bool(fresh[0]) or not equal
+            own = names + np.cumsum(fresh)
+            names = int(own[-1])
+            repeated |= not fresh.all()
+            name_at[position[star]] = own
+            ordered.put(0, (position[star].astype(grid.position),))
+            equal = bool(differs[-1] == differs[star[-1]])
         else:
-            stars = ordered
-    return _induce(x, s_type, stars, spill)
-
-
-def common_prefix_at_least(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """True where a suffix of the order shares ``depth`` symbols with the one before it.
-
-    Every suffix given must have ``depth`` symbols.
-    """
-    shared = np.zeros(len(order), bool)
-    step = 1 << 18
-    for at in range(1, len(order), step):
-        a, b = order[at - 1 : at - 1 + step], order[at : at + step]
-        a = a[: len(b)]
-        live = np.arange(len(b))
-        for k in range(depth - 1, -1, -1):
-            live = live[data[a[live] + k] == data[b[live] + k]]
-            if not len(live):
-                break
-        shared[at + live] = True
-    return shared
+            equal = equal and bool(differs[-1] == 0)
+    if repeated and depth > 2:
+        own = scratch.array(len(stars), grid.position)
+        for at in range(0, len(stars) - 1, 1 << 20):
+            stop = min(len(stars) - 1, at + (1 << 20))
+            own[at:stop] = names + 1 - name_at[stars[at:stop]]
+        own[-1] = 0
+        within = depth // 2 + 1
+        for place, same in suffixes(own, names + 1, within, scratch):
+            position = stars[place]
+            known = stars[np.minimum(place + same, len(stars) - 1)] - position
+            yield np.asarray(position), np.where(same >= within, depth, known)
+        return
+    while (rows := ordered.front(0, 1 << 20)) is not None:
+        yield rows[0].astype(np.int64), np.zeros(len(rows[0]), np.int64)
+    yield np.array([len(x) - 1]), np.zeros(1, np.int64)

@@ -8,19 +8,23 @@ document with a smaller id.
    document only can't repeat. Anchor hashes are dealt out in packed rows, 4 bytes each.
 3. The windows of shared anchors are cut out as segments (neighbouring windows of one anchor)
    and dealt to shards by anchor, so equal windows meet in a shard.
-4. Each shard keeps one of each distinct segment with its smallest id, and sorts their suffixes
-   by external induced sorting (``induced_sort``). Runs of neighbours in the suffix array that
+4. Each shard sorts the suffixes of its distinct segments by external induced sorting
+   (``induced_sort``), which also carries the common prefixes. Neighbours in the suffix array that
    share LENGTH bytes are equal windows; the smallest id of a run decides for all of it.
 5. Intervals to remove go back to the texts by id.
 
-No step holds more than a batch of texts or one shard; a shard beyond memory is sorted through
-files in the task's own folder, which go when it ends. A hot passage makes its shard longer, but
-copies of its segments are collapsed before the sort.
+Hot passages. What a batch of texts can decide alone never leaves it: an anchor that two of its texts
+have is shared, and a segment that a smaller id of the batch has too goes. So a batch sends an anchor
+or a segment once, however many of its texts hold it.
+
+Memory. A step holds a batch of texts, the anchors of one bucket, or ``MEMORY`` bytes of a shard.
+The texts, suffixes, queues and occurrences of a shard beyond that are in files of the task's own
+folder, which go when it ends. Numbers of buckets and shards follow the bytes of the texts.
 
 Defined results. Null text: empty. Texts under LENGTH bytes lose nothing. Null doc_id: nothing is
 removed, and it removes nothing. A doc_id repeated with one text: its rows are one document; with
-several texts: the one with the least hash stands for the id, the others stay whole.
-Empty table: no rows.
+several texts: the one with the least hash stands for the id, the others stay whole. Very long
+texts are cut into pieces that overlap by a window. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,16 +39,18 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.llm.common import shared_dir, spool
-from annalist.llm.induced_sort import IN_MEMORY, Spill, common_prefix_at_least, suffix_array
+from annalist.llm.common import join_groups, shared_dir, spool
+from annalist.llm.induced_sort import MEMORY, Buckets, Scratch, suffixes
 
 LENGTH = 50
 GRAM = 16
 SPREAD = LENGTH - GRAM + 1  # grams in a window
 #: Bytes of text handled at a time.
 STEP = 2 << 20
-#: Shards a shuffle partition; a task sorts one after the other.
-SHARDS = 8
+#: Bytes of texts a bucket of anchors, a shard of segments, and a task of either.
+BUCKET_BYTES, SHARD_BYTES, TASK_BYTES = 6 << 20, 3 << 20, 256 << 20
+#: Distinct segments that a shard remembers to collapse copies; beyond it remembers anew.
+MEMO_SEGMENTS = 400_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -171,44 +177,58 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def anchors(texts: DataFrame, n_buckets: int) -> DataFrame:
-    """(bucket, keys, ids, counts): per batch and bucket the distinct anchor keys of each text."""
+    """(bucket, batch, keys, ids, counts): per batch and bucket the distinct anchor keys of each text.
+
+    Rows of batch -1 are to be compared with those of other batches. An anchor of several texts of a
+    batch is there once; all its texts are in rows under the batch's own number, as shared already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pieces in _batched(batches):
             ids, _, starts, data = _joined(pieces)
+            number = int(ids[0]) & 0x3FFFFFFF
             _, anchor, _, row = _groups(starts, data)
-            bucket, key = _bucket(anchor, n_buckets), _key(anchor)
-            order = np.lexsort((key, row, bucket))
-            bucket, key, row = bucket[order], key[order], row[order]
-            fresh = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]
-            bucket, key, row = bucket[fresh], key[fresh], row[fresh]
-            out = [[], [], [], []]
-            for a, b in zip(*_runs(bucket), strict=True):
-                first = np.flatnonzero(np.r_[True, row[a + 1 : b] != row[a : b - 1]])
-                count = np.diff(np.r_[first, b - a])
-                values = int(bucket[a]), key[a:b].tobytes(), ids[row[a:b][first]].tobytes(), count.astype(np.uint32).tobytes()
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
+            own = (_bucket(anchor, n_buckets).astype(np.uint64) << np.uint64(32)) | _key(anchor)
+            order = np.lexsort((ids[row], own))
+            own, doc = own[order], ids[row][order]
+            fresh = np.r_[True, (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])]
+            own, doc = own[fresh], doc[fresh]
+            head, tail = _runs(own)
+            several = np.repeat(tail - head > 1, tail - head)
+            first = np.zeros(len(own), bool)
+            first[head] = True
+            out: list[list] = [[], [], [], [], []]
+            for batch, pick in ((-1, first), (number, several)):
+                bucket, key, of = (own[pick] >> np.uint64(32)).astype(np.int64), own[pick].astype(np.uint32), doc[pick]
+                by = np.lexsort((of, bucket))
+                bucket, key, of = bucket[by], key[by], of[by]
+                for a, b in zip(*_runs(bucket), strict=True):
+                    begin, stop = _runs(of[a:b])
+                    values = int(bucket[a]), batch, key[a:b].tobytes(), of[a:b][begin].tobytes(), (stop - begin).astype(np.uint32).tobytes()
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "keys", "ids", "counts"]
+                [*(pa.array(c, pa.int32()) for c in out[:2]), *(pa.array(c, pa.binary()) for c in out[2:])],
+                ["bucket", "batch", "keys", "ids", "counts"],
             )
 
     long_enough = texts.filter(F.octet_length("body") >= LENGTH).select("doc_id", "body")
-    return long_enough.mapInArrow(run, "bucket int, keys binary, ids binary, counts binary")
+    return long_enough.mapInArrow(run, "bucket int, batch int, keys binary, ids binary, counts binary")
 
 
-def shared_anchors(packed: DataFrame, n_buckets: int) -> DataFrame:
+def shared_anchors(packed: DataFrame, n_buckets: int, n_tasks: int) -> DataFrame:
     """(doc_id, keys): for each text the anchors that another text has too: a list of blobs, each
     the bucket and then its keys, in 32 bits each."""
 
-    def matched(bucket: int, parts: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+    def matched(bucket: int, compared: bool, parts: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
         key = np.concatenate([np.frombuffer(k, np.uint32) for k, _, _ in parts])
         doc = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)) for _, i, c in parts])
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        head, tail = _runs(key)
-        shared = np.repeat(doc[head] != doc[tail - 1], tail - head)
-        key, doc = key[shared], doc[shared]
+        if compared:
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            head, tail = _runs(key)
+            shared = np.repeat(doc[head] != doc[tail - 1], tail - head)
+            key, doc = key[shared], doc[shared]
         order = np.argsort(doc, kind="stable")
         key, doc = key[order], doc[order]
         begin, stop = _runs(doc)
@@ -219,19 +239,26 @@ def shared_anchors(packed: DataFrame, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, parts = None, []
         for b in batches:
-            for bucket, *blobs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if bucket != open_:
+            for bucket, batch, *blobs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (bucket, batch) != open_:
                     if parts:
-                        yield matched(open_, parts)
-                    open_, parts = bucket, []
+                        yield matched(open_[0], open_[1] < 0, parts)
+                    open_, parts = (bucket, batch), []
                 parts.append(tuple(blobs))
         if parts:
-            yield matched(open_, parts)
+            yield matched(open_[0], open_[1] < 0, parts)
 
-    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+    dealt = _dealt(packed, n_tasks, "bucket", "batch")
     return dealt.mapInArrow(run, "doc_id long, keys binary").groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
 
 
+def _dealt(rows: DataFrame, n_tasks: int, *by: str) -> DataFrame:
+    """Rows by key, in more tasks than the session's shuffles have where the input asks for it."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n_tasks, *by) if n_tasks > parts else rows.repartition(*by)
+    return dealt.sortWithinPartitions(*by)
+
+
 def _wide(blobs: list[bytes]) -> Iterator[np.ndarray]:
     """bucket << 32 | key of the anchors in blobs of shared_anchors."""
     for blob in blobs:
@@ -246,8 +273,10 @@ _PACKED = (("data", np.uint8), ("sizes", np.uint32), ("of", np.uint32), ("ids",
 def segments(texts: DataFrame, shared: DataFrame, n_buckets: int, n_shards: int) -> DataFrame:
     """(shard, packed): segments of the windows of shared anchors, per batch of texts and shard.
 
-    A blob holds the distinct segments of the batch once (data, sizes) and, for each occurrence,
-    which one it is, its text and where it starts (of, ids, starts); compressed.
+    A blob holds the distinct segments of the batch once (data, sizes) and, for each occurrence in
+    the text of smallest id, which one it is, its text and where it starts (of, ids, starts);
+    compressed. The other occurrences go anyway: their intervals are in one blob a batch, under a
+    negative number of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,109 +294,192 @@ def segments(texts: DataFrame, shared: DataFrame, n_buckets: int, n_shards: int)
             stop = first + windows[order] + LENGTH - 1
             begin, doc = first - starts[row] + offsets[row], ids[row]
             raw = data.tobytes()
-            shards, blobs = [], []
+            shards, blobs, goes = [], [], []
             for a, b in zip(*(x.tolist() for x in _runs(shard)), strict=True):
                 seen: dict[bytes, int] = {}
-                of = [seen.setdefault(raw[x:y], len(seen)) for x, y in zip(first[a:b].tolist(), stop[a:b].tolist(), strict=True)]
+                of = np.array([seen.setdefault(raw[x:y], len(seen)) for x, y in zip(first[a:b].tolist(), stop[a:b].tolist(), strict=True)], np.uint32)
+                own, at, size = doc[a:b], begin[a:b], stop[a:b] - first[a:b]
+                least = np.full(len(seen), np.iinfo(np.int64).max)
+                np.minimum.at(least, of, own)
+                later = own > least[of]
+                if later.any():
+                    goes.append(np.stack([own[later], at[later], at[later] + size[later]]))
+                    of, own, at = of[~later], own[~later], at[~later]
                 buffers = (
                     b"".join(seen), np.fromiter(map(len, seen), np.uint32, len(seen)).tobytes(),
-                    np.array(of, np.uint32).tobytes(), doc[a:b].tobytes(), begin[a:b].tobytes(),
+                    of.tobytes(), own.tobytes(), at.tobytes(),
                 )
                 sizes = np.array([len(x) for x in buffers], np.int64).tobytes()
                 shards.append(int(shard[a]))
                 blobs.append(codec.compress(sizes + b"".join(buffers)))
+            if goes:
+                shards.append(-1 - (int(ids[0]) & 0x3FFFFFFF))
+                blobs.append(codec.compress(np.concatenate(goes, axis=1).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "packed"])
 
     joined = texts.join(shared.hint("merge"), "doc_id").select("doc_id", "body", "keys")
     return joined.mapInArrow(run, "shard int, packed binary")
 
 
-def unpack(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct segments of a shard, and for each occurrence which one, its id and its start."""
-    codec = zstandard.ZstdDecompressor()
-    seen: dict[bytes, int] = {}
-    which, ids, starts = [], [], []
-    for blob in blobs:
-        raw = codec.decompress(blob)
+class Shard:
+    """The segments that meet in a shard: added blob by blob, then solved; large ones lie in files."""
+
+    def __init__(self, memory: int):
+        self.scratch = Scratch(memory)
+        self.text = Buckets(self.scratch, 1, (np.uint16,))
+        self.sizes = Buckets(self.scratch, 1, (np.int64,))
+        self.rows = Buckets(self.scratch, 1, (np.int64, np.int64, np.int64))
+        self.seen: dict[bytes, int] = {}
+        self.count = 0
+        self.codec = zstandard.ZstdDecompressor()
+
+    def add(self, blob: bytes) -> None:
+        raw = self.codec.decompress(blob)
         at, parts = 8 * len(_PACKED), []
         for n, (_, kind) in zip(np.frombuffer(raw[:at], np.int64).tolist(), _PACKED, strict=True):
             parts.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at))
             at += n
-        data, sizes, of, own_ids, own_starts = parts
+        data, sizes, of, ids, starts = parts
         stop = np.cumsum(sizes, dtype=np.int64)
         body = data.tobytes()
-        place = [seen.setdefault(body[x:y], len(seen)) for x, y in zip((stop - sizes).tolist(), stop.tolist(), strict=True)]
-        which.append(np.array(place, np.int32)[of])
-        ids.append(own_ids)
-        starts.append(own_starts)
-    return list(seen), np.concatenate(which), np.concatenate(ids), np.concatenate(starts)
-
-
-def removable(distinct: list[bytes], which: np.ndarray, ids: np.ndarray, starts: np.ndarray):
-    """(id, begin, stop) of runs of windows that also start in a text of smaller id; one shard."""
-    least = np.full(len(distinct), np.iinfo(np.int64).max)
-    np.minimum.at(least, which, ids)
-    size = np.fromiter(map(len, distinct), np.int64, len(distinct))
-    windows = size - LENGTH + 1
-    base = np.cumsum(size + 1) - size - 1
-    n = int((size + 1).sum())
-    with Spill(n > IN_MEMORY) as spill:
-        x = spill.array(n + 1, np.uint16)
-        for at, part in zip(base.tolist(), distinct, strict=True):
-            x[at : at + len(part)] = np.frombuffer(part, np.uint8)
-        # symbols: bytes from 2, the end of a segment 1, the end of the shard 0
-        x[:n] += 2
-        x[base + size] = 1
-        x[n] = 0
-        is_window = np.repeat(np.tile([True, False], len(size)), np.column_stack([windows, np.full(len(size), LENGTH)]).ravel())
-        order = np.asarray(suffix_array(x, LENGTH, spill))
-        order = order[order < n]
-        order = order[is_window[order]]
-        equal = common_prefix_at_least(x, order, LENGTH)
-        of = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
-        head = np.flatnonzero(~equal)
-        low = np.minimum.reduceat(least[of[order]], head)
-        best = np.empty(n, np.int64)
-        best[order] = np.repeat(low, np.diff(np.r_[head, len(order)]))
-    # occurrences whose segment has a window of smaller id somewhere
-    lowest = np.minimum.reduceat(np.where(is_window, best, np.iinfo(np.int64).max), base)
-    live = np.flatnonzero(lowest[which] < ids)
-    which, ids, starts = which[live], ids[live], starts[live]
-    count = windows[which]
-    row = np.repeat(np.arange(len(which)), count)
-    inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    place = np.flatnonzero(best[base[which][row] + inside] < ids[row])
-    if not len(place):
-        none = np.empty(0, np.int64)
-        return none, none, none
-    head = np.flatnonzero(np.r_[True, (place[1:] != place[:-1] + 1) | (row[place[1:]] != row[place[:-1]])])
-    tail = np.r_[head[1:], len(place)] - 1
-    r = row[place[head]]
-    return ids[r], starts[r] + inside[place[head]], starts[r] + inside[place[tail]] + LENGTH
-
-
-def intervals(packed: DataFrame) -> DataFrame:
+        place, fresh = np.empty(len(sizes), np.int64), []
+        for k, (x, y) in enumerate(zip((stop - sizes).tolist(), stop.tolist(), strict=True)):
+            segment = body[x:y]
+            number = self.seen.get(segment)
+            if number is None:
+                if len(self.seen) >= MEMO_SEGMENTS:
+                    self.seen.clear()
+                number = self.seen[segment] = self.count
+                self.count += 1
+                fresh.append(segment)
+            place[k] = number
+        if fresh:
+            # symbols: bytes from 2, the end of a segment 1
+            size = np.fromiter(map(len, fresh), np.int64, len(fresh))
+            own = np.frombuffer(b"".join(fresh), np.uint8).astype(np.uint16) + np.uint16(2)
+            self.text.put(0, (np.insert(own, np.cumsum(size), np.uint16(1)),))
+            self.sizes.put(0, (size,))
+        self.rows.put(0, (place[of], ids, starts))
+
+    def _filled(self, n: int, dtype, parts: Iterator[np.ndarray]) -> np.ndarray:
+        out, at = self.scratch.array(n, dtype), 0
+        for part in parts:
+            out[at : at + len(part)] = part
+            at += len(part)
+        return out
+
+    def _least_windows(self, x, of, base, windows, least) -> np.ndarray:
+        """For each position the smallest id of its window: that of the run of equal windows."""
+        best = self._filled(len(x), np.int64, (least[of[a : a + (1 << 20)]] for a in range(0, len(x), 1 << 20)))
+        # a run that goes on beyond the block: its least id, and its windows
+        open_low, open_rows = None, Buckets(self.scratch, 1, (np.int64,))
+
+        def close() -> None:
+            nonlocal open_low
+            for (held,) in open_rows.each(0):
+                best[held] = open_low
+            open_rows.held[0].clear()
+            open_low = None
+
+        for position, prefix in suffixes(x, 258, LENGTH, self.scratch):
+            position = np.asarray(position)
+            segment = of[position]
+            own = position - base[segment] < windows[segment]
+            # a suffix that ends before a window's length shares none with a window, so it parts runs
+            position, segment, head = position[own], segment[own], prefix[own] < LENGTH
+            if not len(position):
+                continue
+            ids = least[segment]
+            border = np.flatnonzero(head)
+            lead = int(border[0]) if len(border) else len(head)
+            if lead and open_low is not None:
+                open_low = min(open_low, int(ids[:lead].min()))
+                open_rows.put(0, (position[:lead].astype(np.int64),))
+            if not len(border):
+                continue
+            if open_low is not None:
+                close()
+            low = np.minimum.reduceat(ids, border)
+            last = int(border[-1])
+            best[position[lead:last]] = np.repeat(low[:-1], np.diff(border))
+            open_low = int(low[-1])
+            open_rows.put(0, (position[last:].astype(np.int64),))
+        if open_low is not None:
+            close()
+        return best
+
+    def solve(self) -> Iterator[pa.RecordBatch]:
+        """(doc_id, begin, stop) of runs of windows that also start in a text of smaller id."""
+        self.seen = {}
+        with self.scratch:
+            size = self._filled(self.count, np.int64, (s for (s,) in self.sizes.each(0)))
+            windows = size - LENGTH + 1
+            base = np.cumsum(size + 1) - size - 1
+            n = int(base[-1] + size[-1]) + 1
+            x = self.scratch.array(n + 1, np.uint16)
+            at = 0
+            for (part,) in self.text.each(0):
+                x[at : at + len(part)] = part
+                at += len(part)
+            x[n] = 0
+            of = self.scratch.array(n + 1, np.int32 if self.count < 2**31 else np.int64)
+            step = 1 << 16
+            for a in range(0, self.count, step):
+                b = min(self.count, a + step)
+                stop = int(base[b]) if b < self.count else n + 1
+                length = size[a:b] + 1
+                length[-1] += stop - int(base[a]) - int(length.sum())
+                of[int(base[a]) : stop] = np.repeat(np.arange(a, b), length)
+            least = np.full(self.count, np.iinfo(np.int64).max)
+            for which, ids, _ in self.rows.each(0):
+                np.minimum.at(least, which, ids)
+            best = self._least_windows(x, of, base, windows, least)
+            lowest = np.empty(self.count, np.int64)
+            for a in range(0, self.count, step):
+                b = min(self.count, a + step)
+                begin, stop = int(base[a]), int(base[b]) if b < self.count else n
+                own = of[begin:stop]
+                window = np.arange(begin, stop) - base[own] < windows[own]
+                lowest[a:b] = np.minimum.reduceat(np.where(window, best[begin:stop], np.iinfo(np.int64).max), base[a:b] - begin)
+            for which, ids, starts in self.rows.each(0, 1 << 15):
+                yield self._removed(best, base, windows, lowest, which, ids, starts)
+
+    @staticmethod
+    def _removed(best, base, windows, lowest, which, ids, starts) -> pa.RecordBatch:
+        live = np.flatnonzero(lowest[which] < ids)
+        which, ids, starts = which[live], ids[live], starts[live]
+        count = windows[which]
+        row = np.repeat(np.arange(len(which)), count)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        place = np.flatnonzero(best[base[which][row] + inside] < ids[row])
+        head = np.flatnonzero(np.r_[True, (place[1:] != place[:-1] + 1) | (row[place[1:]] != row[place[:-1]])]) if len(place) else place
+        tail = np.r_[head[1:], len(place)].astype(np.int64) - 1 if len(place) else head
+        r = row[place[head]]
+        found = ids[r], starts[r] + inside[place[head]], starts[r] + inside[place[tail]] + LENGTH
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], ["doc_id", "begin", "stop"])
+
+
+def intervals(packed: DataFrame, n_tasks: int, memory: int = MEMORY) -> DataFrame:
     """(doc_id, spans): intervals of bytes to remove, from the shards."""
 
-    def solved(blobs: list[bytes]) -> pa.RecordBatch:
-        held = unpack(blobs)
-        blobs.clear()
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in removable(*held)], ["doc_id", "begin", "stop"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, blobs = None, []
+        open_, shard = None, None
         for b in batches:
-            for shard, blob in zip(*b.columns, strict=True):
-                here = shard.as_py()
+            for number, blob in zip(*b.columns, strict=True):
+                here = number.as_py()
+                if here < 0:
+                    goes = np.frombuffer(zstandard.decompress(blob.as_py()), np.int64).reshape(3, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in goes], ["doc_id", "begin", "stop"])
+                    continue
                 if here != open_:
-                    if blobs:
-                        yield solved(blobs)
-                    open_, blobs = here, []
-                blobs.append(blob.as_py())
-        if blobs:
-            yield solved(blobs)
-
-    found = packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "doc_id long, begin long, stop long")
+                    if shard is not None:
+                        yield from shard.solve()
+                    open_, shard = here, Shard(memory)
+                shard.add(blob.as_py())
+        if shard is not None:
+            yield from shard.solve()
+
+    found = _dealt(packed, n_tasks, "shard").mapInArrow(run, "doc_id long, begin long, stop long")
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
 
 
@@ -405,7 +517,7 @@ def distinct_texts(docs: DataFrame, n_buckets: int) -> tuple[DataFrame, DataFram
     own = docs.select("doc_id", body.alias("body")).withColumn("sha", F.sha2("body", 256))
     keys = spool(own.select("doc_id", "sha", F.octet_length("body").cast("long").alias("n_bytes")), "text-keys")
     known = keys.filter("doc_id is not null")
-    firsts = known.groupBy("sha").agg(F.min("doc_id").alias("first_id"))
+    firsts = spool(known.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "first-texts")
     chosen = firsts.groupBy(F.col("first_id").alias("doc_id")).agg(F.min("sha").alias("sha"))
     one = Window.partitionBy("doc_id").orderBy("sha")
     rows = (
@@ -419,7 +531,7 @@ def distinct_texts(docs: DataFrame, n_buckets: int) -> tuple[DataFrame, DataFram
     name = f"texts_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     rows.write.format("parquet").option("compression", "zstd").bucketBy(n_buckets, "doc_id").option("path", path).saveAsTable(name)
-    all_keys = keys.join(firsts.hint("merge"), "sha", "left")
+    all_keys = join_groups(keys, firsts, ["sha"], "left")
     return all_keys, spark.table(name)
 
 
@@ -429,9 +541,10 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys, texts = distinct_texts(docs, parts)
-    n_buckets = 4 * parts
-    shared = spool(shared_anchors(anchors(texts, n_buckets), n_buckets), "shared-anchors")
-    spans = spool(intervals(segments(texts, shared, n_buckets, SHARDS * parts)), "spans")
+    size = keys.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    n_buckets, n_shards, n_tasks = (max(parts, -(-size // x)) for x in (BUCKET_BYTES, SHARD_BYTES, TASK_BYTES))
+    shared = spool(shared_anchors(anchors(texts, n_buckets), n_buckets, n_tasks), "shared-anchors")
+    spans = spool(intervals(segments(texts, shared, n_buckets, n_shards), n_tasks), "spans")
     changed = spool(cut_out(texts, spans).drop(*([] if keep_text else ["kept"])), "cut")
     rows = keys.join(changed.hint("merge"), "doc_id", "left")
     copy = (F.col("first_id") < F.col("doc_id")) & (F.col("n_bytes") >= LENGTH)

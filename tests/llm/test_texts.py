@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -187,26 +188,77 @@ def test_dedup_of_odd_ids_and_of_nothing(spark):
     assert suffix_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("on_disk", [False, True])
-def test_suffix_order_on_random_strings(on_disk):
+def longest_first(x, depth, memory=induced_sort.MEMORY):
+    """Suffixes from the least to the largest, and the prefix each shares with the one before."""
+    with induced_sort.Scratch(memory) as scratch:
+        parts = [(np.asarray(p), np.asarray(v)) for p, v in induced_sort.suffixes(x, int(x.max()) + 1, depth, scratch)]
+    position, prefix = (np.concatenate(c)[::-1] for c in zip(*parts, strict=True))
+    return position.tolist(), np.r_[0, prefix[:-1]].tolist()
+
+
+def shared_prefix(a, b):
+    return next((k for k, (u, v) in enumerate(zip(a, b, strict=False)) if u != v), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("block,memory", [(1 << 15, 1 << 28), (4, 512), (64, 4096)])
+def test_suffix_order_and_prefixes_of_random_strings(monkeypatch, block, memory):
+    monkeypatch.setattr(induced_sort, "LEAST_BLOCK", block)
     rng = np.random.default_rng(2)
     for trial in range(60):
         k = int(rng.integers(1, 5))
-        x = np.r_[rng.integers(1, k + 1, rng.integers(1, 120)), 0] if trial % 3 else np.r_[np.tile(rng.integers(1, k + 1, 4), 25), 0]
-        with induced_sort.Spill(on_disk) as spill:
-            order = np.array(induced_sort.suffix_array(x, 10**6, spill))
-        assert order.tolist() == sorted(range(len(x)), key=lambda i: tuple(x[i:]))
-        with induced_sort.Spill(on_disk) as spill:
-            cut = np.array(induced_sort.suffix_array(x, 7, spill))
-        assert [tuple(x[i : i + 7]) for i in cut] == sorted(tuple(x[i : i + 7]) for i in range(len(x)))
+        x = np.r_[rng.integers(1, k + 1, rng.integers(0, 150)), 0] if trial % 3 else np.r_[np.tile(rng.integers(1, k + 1, rng.integers(1, 6)), 25), 0]
+        for depth in (2, 3, 7, 50, 120):
+            order, prefix = longest_first(x, depth, memory)
+            keys = [tuple(x[i : i + depth]) for i in order]
+            assert sorted(order) == list(range(len(x))) and keys == sorted(keys)
+            assert prefix[1:] == [shared_prefix(a, b) for a, b in zip(keys, keys[1:], strict=False)]
 
 
-def test_recursion_keeps_the_order(monkeypatch):
+def test_recursion_with_large_alphabets(monkeypatch):
+    monkeypatch.setattr(induced_sort, "LEAST_BLOCK", 256)
     rng = np.random.default_rng(9)
-    monkeypatch.setattr(induced_sort, "MOST_QUEUES", 40)
-    x = np.r_[rng.integers(1, 4, 9000), 0]
-    with induced_sort.Spill(False) as spill:
-        order = np.array(induced_sort.suffix_array(x, 50, spill))
+    x = np.r_[rng.integers(1, 4, 30_000), 0].astype(np.uint16)
+    order, prefix = longest_first(x, 50)
     text = bytes(x.astype(np.uint8))
     keys = [text[i : i + 50] for i in order]
-    assert keys == sorted(keys) and sorted(order.tolist()) == list(range(len(x)))
+    assert keys == sorted(keys) and sorted(order) == list(range(len(x)))
+    assert prefix[1:] == [shared_prefix(a, b) for a, b in zip(keys, keys[1:], strict=False)]
+
+
+def test_a_shard_twenty_times_its_memory(tmp_path, monkeypatch):
+    """The bound holds for what is allocated; files hold the rest, and go."""
+    monkeypatch.setattr(induced_sort.tempfile, "tempdir", str(tmp_path))
+    bound = 512 << 10
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.integers(1, 30, 20 * bound // 8), 0].astype(np.uint16)  # a suffix takes 8 bytes at least
+    x[1000:3000] = x[501_000:503_000]
+    tracemalloc.start()
+    total, longest = 0, 0
+    with induced_sort.Scratch(bound) as scratch:
+        for position, prefix in induced_sort.suffixes(x, 30, 50, scratch):
+            total += len(position)
+            longest = max(longest, int(np.max(prefix)))
+        assert scratch.folder is not None
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == len(x) and longest == 50
+    assert peak < 40 << 20  # blocks of LEAST_BLOCK rows, and steps of a million positions, whatever the length
+    assert not list(tmp_path.iterdir())
+
+
+def test_shards_in_files_give_the_same(spark, monkeypatch):
+    rows = dedup_corpus(5)
+    monkeypatch.setattr(suffix_dedup.intervals, "__defaults__", (2048,))
+    monkeypatch.setattr(suffix_dedup, "MEMO_SEGMENTS", 3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_removed(rows)
+
+
+def test_dedup_of_a_very_long_text(spark):
+    """Longer than a step: pieces overlap, so windows across their borders count."""
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(5_000_000))
+    cut = suffix_dedup.STEP - 20
+    rows = [(1, long[cut : cut + 200]), (2, long), (3, "0" * 40 + long[-70:])]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, 0), 2: (200, 1), 3: (70, 1)}
