@@ -35,7 +35,7 @@ import numpy as np
 #: Bytes of arrays and tuples of a sort that stay in memory.
 MEMORY = 256 << 20
 #: Tuples in a block: at least so many where there are as many, then a share of the text.
-LEAST_BLOCK, BLOCK_SHARE = 1 << 15, 8
+LEAST_BLOCK, BLOCK_SHARE = 1 << 14, 8
 #: The prefix value of substrings that have not differed yet.
 EQUAL = 255
 
@@ -209,7 +209,8 @@ class Lows:
     def __init__(self, values: np.ndarray, exact: bool):
         self.n, self.exact = len(values), exact
         if not exact:
-            self.sums = np.r_[0, np.cumsum(values != EQUAL)]
+            self.sums = np.zeros(self.n + 1, np.int32)
+            np.cumsum(values != EQUAL, out=self.sums[1:])
             return
         levels = self.n.bit_length()
         self.rows = np.empty((levels, self.n), np.uint8)
@@ -296,48 +297,61 @@ class Scan:
         return (position > 0) & ((ahead > symbol) | ((ahead == symbol) & (kind == 0))), ahead
 
     def _own(self, symbol, position, kind, prefix, end: int):
-        """Merges into a bucket what it induces into itself, round by round."""
+        """Merges into a bucket what it induces into itself; also what each row induces.
+
+        First all such rows are found, round by round. Then those of each round are placed among the
+        ones before, by their symbol and the place of what induced them: relative places never
+        change as later rounds join.
+        """
         n = len(position)
         good, ahead = self._before(symbol, position, kind)
-        pick = np.flatnonzero(good & (ahead < end))
-        found, source, depth_of = [], [], []
-        base, at = 0, position
-        start = n
-        while len(pick):
-            own = ahead[pick], at[pick] - 1
-            found.append(own)
-            source.append(pick + base)
-            depth_of.append(np.full(len(pick), len(found)))
-            base, start = start, start + len(pick)
-            at = own[1]
+        rounds = []  # symbol, position, number of the inducing row; and what each row induces
+        base, at, total, all_good, all_ahead = 0, position, n, [good], [ahead]
+        while len(pick := np.flatnonzero(good & (ahead < end))):
+            own = ahead[pick], at[pick] - 1, pick + base
+            rounds.append(own)
+            base, at, total = total, own[1], total + len(pick)
             good, ahead = self._before(own[0], at, np.zeros(len(at), np.uint8))
-            pick = np.flatnonzero(good & (ahead < end))
-        if not found:
-            return symbol, position, kind, prefix
-        new_symbol, new_position = (np.concatenate(c) for c in zip(*found, strict=True))
-        source, depth_of = np.concatenate(source), np.concatenate(depth_of)
+            all_good.append(good)
+            all_ahead.append(ahead)
+        if not rounds:
+            return symbol, position, kind, prefix, all_good[0], all_ahead[0]
         lowest = int(symbol[0])
         upto = np.cumsum(np.bincount(2 * (symbol - lowest) + kind, minlength=2 * (end - lowest)))
+        new_symbol, new_position, source = (np.concatenate(c) for c in zip(*rounds, strict=True))
         into = upto[2 * (new_symbol - lowest)]
-        rank = np.empty(start, np.int64)
-        rank[:n] = np.arange(n)
-        for k in range(1, len(found) + 1):
-            # relative orders never change as deeper ones join, so each round sorts by final ones
-            own = np.flatnonzero(depth_of <= k)
-            by = own[np.argsort((new_symbol[own].astype(np.int64) << 32) + rank[source[own]])]
+        rank = np.arange(total)
+        by, start = np.empty(0, np.int64), 0
+        for own, _, from_ in rounds:
+            key = (own.astype(np.int64) << 32) + rank[from_]
+            order = np.argsort(key)
+            fresh = order + start
+            if len(by):
+                spot = np.searchsorted((new_symbol[by].astype(np.int64) << 32) + rank[source[by]], key[order])
+                by = np.insert(by, spot, fresh)
+            else:
+                by = fresh
+            start += len(own)
             spots = into[by]
             rank[n + by] = spots + np.arange(len(by))
             rank[:n] = np.arange(n) + np.cumsum(np.bincount(spots, minlength=n)[:n])
         out = []
         for old, new in ((symbol, new_symbol), (position, new_position), (kind, 0), (prefix, EQUAL if not self.exact else self.depth)):
-            merged = np.empty(start, old.dtype)
+            merged = np.empty(total, old.dtype)
             merged[rank[:n]], merged[rank[n:]] = old, new
             out.append(merged)
-        symbol, position, kind, prefix = out
-        at, inducer = rank[n:][by], rank[source][by]
+        for parts in (all_good, all_ahead):
+            merged = np.empty(total, parts[0].dtype)
+            merged[rank] = np.concatenate(parts)
+            out.append(merged)
+        symbol, position, kind, prefix, good, ahead = out
+        at, inducer = rank[n:][by], rank[source[by]]
         follows = (at > 0) & (symbol[at - 1] == symbol[at])
-        behind_new = np.r_[False, at[1:] - 1 == at[:-1]] & follows
-        first = np.where(behind_new, np.r_[0, inducer[:-1]] + 1, 0)
+        behind_new = follows.copy()
+        behind_new[0] = False
+        behind_new[1:] &= at[1:] - 1 == at[:-1]
+        first = np.zeros(len(at), np.int64)
+        first[1:] = np.where(behind_new[1:], inducer[:-1] + 1, 0)
         carried = np.where(behind_new, EQUAL, self.gap[symbol[at]]).astype(np.uint8)
         self._borders(symbol, position, kind, prefix)
         while True:
@@ -345,7 +359,7 @@ class Scan:
             least = np.minimum(Lows(prefix, self.exact).of(first, inducer), carried)
             fresh = np.where(follows, _one_more(least, self.depth), np.uint8(0))
             if (fresh == prefix[at]).all():
-                return symbol, position, kind, prefix
+                return symbol, position, kind, prefix, good, ahead
             prefix[at] = fresh
 
     def _piece(self, symbol, position, kind, prefix, end: int | None):
@@ -355,42 +369,50 @@ class Scan:
         """
         prefix = prefix.copy()
         self._borders(symbol, position, kind, prefix)
-        if end is not None:
-            symbol, position, kind, prefix = self._own(symbol, position, kind, prefix, end)
-        self.last = int(symbol[-1]), int(kind[-1]), int(position[-1])
-        good, ahead = self._before(symbol, position, kind)
-        if end is not None:
+        if end is None:
+            good, ahead = self._before(symbol, position, kind)
+        else:
+            symbol, position, kind, prefix, good, ahead = self._own(symbol, position, kind, prefix, end)
             good &= ahead >= end
+        self.last = int(symbol[-1]), int(kind[-1]), int(position[-1])
         rank = np.flatnonzero(good)
+        end_rank = len(prefix) - 1
         lows = Lows(prefix, self.exact)
-        least = int(lows.of(np.array([0]), np.array([len(prefix) - 1]))[0])
         if len(rank):
             key = ahead[rank]
             by = np.argsort(key.astype(np.uint16) if self.top < 1 << 16 else key, kind="stable")
             rank, key = rank[by], key[by]
-            fresh = np.r_[True, key[1:] != key[:-1]]
-            m = lows.of(np.where(fresh, 0, np.r_[0, rank[:-1]] + 1), rank)
+            fresh = np.ones(len(key) + 1, bool)
+            np.not_equal(key[1:], key[:-1], out=fresh[1:-1])
+            last, fresh = fresh[1:], fresh[:-1]
+            since = np.zeros(len(key), np.int64)
+            since[1:] = rank[:-1] + 1
+            since[fresh] = 0
+            m = lows.of(since, rank)
             m[fresh] = np.minimum(m[fresh], self.gap[key[fresh]])
-            last = np.r_[fresh[1:], True]
             tail = rank[last]
             open_ = np.full(len(tail), EQUAL, np.uint8)
-            inside = tail < len(prefix) - 1
-            open_[inside] = lows.of(tail[inside] + 1, np.full(int(inside.sum()), len(prefix) - 1))
-            np.minimum(self.gap, least, out=self.gap)
+            inside = tail < end_rank
+            open_[inside] = lows.of(tail[inside] + 1, np.full(int(inside.sum()), end_rank))
+            np.minimum(self.gap, prefix.min(), out=self.gap)
             self.gap[key[last]] = open_
             self.queue.deal(self.bucket_of(key), (key, position[rank] - 1, m))
         else:
-            np.minimum(self.gap, least, out=self.gap)
+            np.minimum(self.gap, prefix.min(), out=self.gap)
         return position, kind, prefix
 
     def _borders(self, symbol, position, kind, prefix) -> None:
         """Prefixes where a symbol or the seeds of a symbol begin."""
         before = self.last or (-1, 0, 0)
-        turn = np.r_[symbol[0] != before[0], symbol[1:] != symbol[:-1]]
+        turn = np.empty(len(symbol), bool)
+        turn[0] = symbol[0] != before[0]
+        np.not_equal(symbol[1:], symbol[:-1], out=turn[1:])
         prefix[turn] = 0
-        seam = np.flatnonzero(~turn & (kind != np.r_[before[1], kind[:-1]].astype(kind.dtype)))
+        seam = np.flatnonzero((kind[1:] != kind[:-1]) & ~turn[1:]) + 1
+        if not turn[0] and kind[0] != before[1]:
+            seam = np.concatenate([[0], seam])
         if len(seam):
-            other = np.r_[before[2], position[:-1]][seam]
+            other = np.where(seam > 0, position[seam - 1], before[2])
             prefix[seam] = common(self.x, position[seam], other, np.ones(len(seam), np.int64), self.depth) if self.exact else 0
 
 

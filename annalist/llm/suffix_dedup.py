@@ -8,9 +8,10 @@ document with a smaller id.
    document only can't repeat. Anchor hashes are dealt out in packed rows, 4 bytes each.
 3. The windows of shared anchors are cut out as segments (neighbouring windows of one anchor)
    and dealt to shards by anchor, so equal windows meet in a shard.
-4. Each shard sorts the suffixes of its distinct segments by external induced sorting
-   (``induced_sort``), which also carries the common prefixes. Neighbours in the suffix array that
-   share LENGTH bytes are equal windows; the smallest id of a run decides for all of it.
+4. A segment that no other distinct segment of its shard shares the anchor with equals its copies
+   only, so their smallest id decides. Of all others each shard sorts the suffixes by external
+   induced sorting (``induced_sort``), which also carries the common prefixes. Neighbours in the suffix
+   array that share LENGTH bytes are equal windows; the smallest id of a run decides for all of it.
 5. Intervals to remove go back to the texts by id.
 
 Hot passages. What a batch of texts can decide alone never leaves it: an anchor that two of its texts
@@ -267,13 +268,13 @@ def _wide(blobs: list[bytes]) -> Iterator[np.ndarray]:
 
 
 #: The buffers of one batch of segments for one shard, and their types.
-_PACKED = (("data", np.uint8), ("sizes", np.uint32), ("of", np.uint32), ("ids", np.int64), ("starts", np.int64))
+_PACKED = (("data", np.uint8), ("sizes", np.uint32), ("anchors", np.uint64), ("of", np.uint32), ("ids", np.int64), ("starts", np.int64))
 
 
 def segments(texts: DataFrame, shared: DataFrame, n_buckets: int, n_shards: int) -> DataFrame:
     """(shard, packed): segments of the windows of shared anchors, per batch of texts and shard.
 
-    A blob holds the distinct segments of the batch once (data, sizes) and, for each occurrence in
+    A blob holds the distinct segments of the batch once (data, sizes, anchors) and, for each occurrence in
     the text of smallest id, which one it is, its text and where it starts (of, ids, starts);
     compressed. The other occurrences go anyway: their intervals are in one blob a batch, under a
     negative number of its own.
@@ -290,7 +291,7 @@ def segments(texts: DataFrame, shared: DataFrame, n_buckets: int, n_shards: int)
             first, anchor, windows, row = first[pick], anchor[pick], windows[pick], row[pick]
             shard = (anchor % np.uint64(n_shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            first, row, shard = first[order], row[order], shard[order]
+            first, row, shard, anchor = first[order], row[order], shard[order], anchor[order]
             stop = first + windows[order] + LENGTH - 1
             begin, doc = first - starts[row] + offsets[row], ids[row]
             raw = data.tobytes()
@@ -301,12 +302,14 @@ def segments(texts: DataFrame, shared: DataFrame, n_buckets: int, n_shards: int)
                 own, at, size = doc[a:b], begin[a:b], stop[a:b] - first[a:b]
                 least = np.full(len(seen), np.iinfo(np.int64).max)
                 np.minimum.at(least, of, own)
+                marks = np.empty(len(seen), np.uint64)
+                marks[of] = anchor[a:b]
                 later = own > least[of]
                 if later.any():
                     goes.append(np.stack([own[later], at[later], at[later] + size[later]]))
                     of, own, at = of[~later], own[~later], at[~later]
                 buffers = (
-                    b"".join(seen), np.fromiter(map(len, seen), np.uint32, len(seen)).tobytes(),
+                    b"".join(seen), np.fromiter(map(len, seen), np.uint32, len(seen)).tobytes(), marks.tobytes(),
                     of.tobytes(), own.tobytes(), at.tobytes(),
                 )
                 sizes = np.array([len(x) for x in buffers], np.int64).tobytes()
@@ -327,7 +330,7 @@ class Shard:
     def __init__(self, memory: int):
         self.scratch = Scratch(memory)
         self.text = Buckets(self.scratch, 1, (np.uint16,))
-        self.sizes = Buckets(self.scratch, 1, (np.int64,))
+        self.sizes = Buckets(self.scratch, 1, (np.int64, np.uint64))
         self.rows = Buckets(self.scratch, 1, (np.int64, np.int64, np.int64))
         self.seen: dict[bytes, int] = {}
         self.count = 0
@@ -339,10 +342,10 @@ class Shard:
         for n, (_, kind) in zip(np.frombuffer(raw[:at], np.int64).tolist(), _PACKED, strict=True):
             parts.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at))
             at += n
-        data, sizes, of, ids, starts = parts
+        data, sizes, anchor, of, ids, starts = parts
         stop = np.cumsum(sizes, dtype=np.int64)
         body = data.tobytes()
-        place, fresh = np.empty(len(sizes), np.int64), []
+        place, fresh, which = np.empty(len(sizes), np.int64), [], []
         for k, (x, y) in enumerate(zip((stop - sizes).tolist(), stop.tolist(), strict=True)):
             segment = body[x:y]
             number = self.seen.get(segment)
@@ -352,13 +355,14 @@ class Shard:
                 number = self.seen[segment] = self.count
                 self.count += 1
                 fresh.append(segment)
+                which.append(k)
             place[k] = number
         if fresh:
             # symbols: bytes from 2, the end of a segment 1
             size = np.fromiter(map(len, fresh), np.int64, len(fresh))
             own = np.frombuffer(b"".join(fresh), np.uint8).astype(np.uint16) + np.uint16(2)
             self.text.put(0, (np.insert(own, np.cumsum(size), np.uint16(1)),))
-            self.sizes.put(0, (size,))
+            self.sizes.put(0, (size, anchor[which]))
         self.rows.put(0, (place[of], ids, starts))
 
     def _filled(self, n: int, dtype, parts: Iterator[np.ndarray]) -> np.ndarray:
@@ -408,41 +412,71 @@ class Shard:
             close()
         return best
 
+    def _compared(self, size: np.ndarray) -> np.ndarray:
+        """Numbers of the segments that share their anchor with another one."""
+        anchor = self._filled(self.count, np.uint64, (m for _, m in self.sizes.each(0)))
+        order = np.argsort(anchor, kind="stable")
+        own = anchor[order]
+        same = own[1:] == own[:-1]
+        return np.sort(order[np.r_[False, same] | np.r_[same, False]])
+
+    def _text(self, size: np.ndarray, pick: np.ndarray) -> np.ndarray:
+        """The picked segments end to end, each with its end symbol, and the end of all."""
+        whole = self._filled(int((size + 1).sum()), np.uint16, (t for (t,) in self.text.each(0)))
+        wanted = np.zeros(self.count, bool)
+        wanted[pick] = True
+        x = self.scratch.array(int((size[pick] + 1).sum()) + 1, np.uint16)
+        step, begin, at = 1 << 16, 0, 0
+        for a in range(0, self.count, step):
+            length = size[a : a + step] + 1
+            stop = begin + int(length.sum())
+            part = whole[begin:stop][np.repeat(wanted[a : a + step], length)]
+            x[at : at + len(part)] = part
+            begin, at = stop, at + len(part)
+        x[-1] = 0
+        return x
+
     def solve(self) -> Iterator[pa.RecordBatch]:
         """(doc_id, begin, stop) of runs of windows that also start in a text of smaller id."""
         self.seen = {}
         with self.scratch:
-            size = self._filled(self.count, np.int64, (s for (s,) in self.sizes.each(0)))
+            all_sizes = self._filled(self.count, np.int64, (s for s, _ in self.sizes.each(0)))
+            all_least = np.full(self.count, np.iinfo(np.int64).max)
+            for which, ids, _ in self.rows.each(0):
+                np.minimum.at(all_least, which, ids)
+            pick = self._compared(all_sizes)
+            place = np.full(self.count, -1, np.int64)
+            place[pick] = np.arange(len(pick))
+            size, least = all_sizes[pick], all_least[pick]
             windows = size - LENGTH + 1
             base = np.cumsum(size + 1) - size - 1
-            n = int(base[-1] + size[-1]) + 1
-            x = self.scratch.array(n + 1, np.uint16)
-            at = 0
-            for (part,) in self.text.each(0):
-                x[at : at + len(part)] = part
-                at += len(part)
-            x[n] = 0
-            of = self.scratch.array(n + 1, np.int32 if self.count < 2**31 else np.int64)
-            step = 1 << 16
-            for a in range(0, self.count, step):
-                b = min(self.count, a + step)
-                stop = int(base[b]) if b < self.count else n + 1
-                length = size[a:b] + 1
-                length[-1] += stop - int(base[a]) - int(length.sum())
-                of[int(base[a]) : stop] = np.repeat(np.arange(a, b), length)
-            least = np.full(self.count, np.iinfo(np.int64).max)
-            for which, ids, _ in self.rows.each(0):
-                np.minimum.at(least, which, ids)
-            best = self._least_windows(x, of, base, windows, least)
-            lowest = np.empty(self.count, np.int64)
-            for a in range(0, self.count, step):
-                b = min(self.count, a + step)
-                begin, stop = int(base[a]), int(base[b]) if b < self.count else n
-                own = of[begin:stop]
-                window = np.arange(begin, stop) - base[own] < windows[own]
-                lowest[a:b] = np.minimum.reduceat(np.where(window, best[begin:stop], np.iinfo(np.int64).max), base[a:b] - begin)
+            x = self._text(all_sizes, pick)
+            n = len(x) - 1
+            best = lowest = np.empty(0, np.int64)
+            if len(pick):
+                of = self._filled(n + 1, np.int32 if len(pick) < 2**31 else np.int64, self._owners(size))
+                best = self._least_windows(x, of, base, windows, least)
+                lowest = np.empty(len(pick), np.int64)
+                step = 1 << 16
+                for a in range(0, len(pick), step):
+                    b = min(len(pick), a + step)
+                    begin, stop = int(base[a]), int(base[b]) if b < len(pick) else n
+                    own = of[begin:stop]
+                    window = np.arange(begin, stop) - base[own] < windows[own]
+                    lowest[a:b] = np.minimum.reduceat(np.where(window, best[begin:stop], np.iinfo(np.int64).max), base[a:b] - begin)
             for which, ids, starts in self.rows.each(0, 1 << 15):
-                yield self._removed(best, base, windows, lowest, which, ids, starts)
+                alone = place[which] < 0
+                goes = alone & (all_least[which] < ids)
+                yield _spans(ids[goes], starts[goes], starts[goes] + all_sizes[which[goes]])
+                yield self._removed(best, base, windows, lowest, place[which[~alone]], ids[~alone], starts[~alone])
+
+    @staticmethod
+    def _owners(size: np.ndarray) -> Iterator[np.ndarray]:
+        """The segment of each symbol; the end of all goes with the last one."""
+        step = 1 << 16
+        for a in range(0, len(size), step):
+            yield np.repeat(np.arange(a, min(len(size), a + step)), size[a : a + step] + 1)
+        yield np.array([len(size) - 1])
 
     @staticmethod
     def _removed(best, base, windows, lowest, which, ids, starts) -> pa.RecordBatch:
@@ -452,11 +486,16 @@ class Shard:
         row = np.repeat(np.arange(len(which)), count)
         inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         place = np.flatnonzero(best[base[which][row] + inside] < ids[row])
-        head = np.flatnonzero(np.r_[True, (place[1:] != place[:-1] + 1) | (row[place[1:]] != row[place[:-1]])]) if len(place) else place
-        tail = np.r_[head[1:], len(place)].astype(np.int64) - 1 if len(place) else head
+        if not len(place):
+            return _spans(place, place, place)
+        head = np.flatnonzero(np.r_[True, (place[1:] != place[:-1] + 1) | (row[place[1:]] != row[place[:-1]])])
+        tail = np.r_[head[1:], len(place)] - 1
         r = row[place[head]]
-        found = ids[r], starts[r] + inside[place[head]], starts[r] + inside[place[tail]] + LENGTH
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], ["doc_id", "begin", "stop"])
+        return _spans(ids[r], starts[r] + inside[place[head]], starts[r] + inside[place[tail]] + LENGTH)
+
+
+def _spans(ids: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (ids, begin, stop)], ["doc_id", "begin", "stop"])
 
 
 def intervals(packed: DataFrame, n_tasks: int, memory: int = MEMORY) -> DataFrame:
@@ -469,7 +508,7 @@ def intervals(packed: DataFrame, n_tasks: int, memory: int = MEMORY) -> DataFram
                 here = number.as_py()
                 if here < 0:
                     goes = np.frombuffer(zstandard.decompress(blob.as_py()), np.int64).reshape(3, -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in goes], ["doc_id", "begin", "stop"])
+                    yield _spans(*goes)
                     continue
                 if here != open_:
                     if shard is not None:
