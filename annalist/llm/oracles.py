@@ -48,24 +48,42 @@ def _quoted(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-def _located(kind: str, order: int, pattern: str, keep: str = "true") -> str:
+def _located(kind: str, order: int, pattern: str, keep: str = "true", texts: str = "d") -> str:
+    """Matches in texts (doc_id, off, t), offsets counted from off."""
     p = _quoted(pattern)
-    return f"""(SELECT doc_id, {order} o, '{kind}' kind, s, s + length(m) e, m FROM (SELECT doc_id, m[k] m,
+    return f"""(SELECT doc_id, {order} o, '{kind}' kind, off + s AS s, off + s + length(m) e, m FROM (SELECT doc_id, off, m[k] m,
   cast(coalesce(list_sum([length(x) for x in g[1:k]]), 0) + coalesce(list_sum([length(x) for x in m[1:k - 1]]), 0) AS bigint) s
-  FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) k FROM (SELECT doc_id, regexp_extract_all(t, '{p}') m, regexp_split_to_array(t, '{p}') g FROM d))) WHERE {keep})"""
+  FROM (SELECT doc_id, off, m, g, unnest(range(1, len(m) + 1)) k FROM (SELECT doc_id, off, regexp_extract_all(t, '{p}') m, regexp_split_to_array(t, '{p}') g FROM {texts}))) WHERE {keep})"""
 
 
 _ALLOWED = " OR ".join(f"regexp_matches(m, '{_quoted(p)}')" for p in secrets.ALLOW)
 _W = secrets.WINDOW
+_THRESHOLD = "CASE " + " ".join(f"WHEN regexp_matches(m, '{c.pattern}') THEN {c.threshold}" for c in secrets.CLASSES) + " END"
+
+
+def _hot(tokens: str) -> str:
+    """The tokens of which some window reaches the threshold of their class, and no rule allows."""
+    return f"""(SELECT doc_id, s, e, m FROM (SELECT doc_id, s, e, m, i, -sum(n / {_W} * log2(n / {_W})) h
+  FROM (SELECT doc_id, s, e, m, i, c, count(*) n FROM (SELECT doc_id, s, e, m, i, substring(m, cast(i + j AS int), 1) c
+    FROM (SELECT *, unnest(range(1, length(m) - {_W} + 2)) i FROM {tokens} WHERE NOT ({_ALLOWED})), (SELECT unnest(range(0, {_W})) j)) GROUP BY ALL) GROUP BY ALL)
+  GROUP BY doc_id, s, e, m HAVING max(h) >= {_THRESHOLD})"""
+
+
 OP4 = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
+WITH d AS MATERIALIZED (SELECT doc_id, 0 off, coalesce(text, '') t FROM documents),
 base AS MATERIALIZED (SELECT * FROM {_located("assign", 0, secrets.ASSIGN, f"length(regexp_extract(m, '{_quoted(secrets.ASSIGN)}', 1)) >= 6")}
   UNION ALL {_located("access", 1, secrets.ACCESS)} UNION ALL {_located("hex", 2, secrets.HEX)}),
-cand AS MATERIALIZED (SELECT * FROM {_located("entropy", 3, secrets.CANDIDATE)} c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.e AND c.s < b.e) AND NOT ({_ALLOWED})),
-ch AS (SELECT doc_id, s, e, m, i, substring(m, cast(i + j AS int), 1) c FROM (SELECT *, unnest(range(1, length(m) - {_W} + 2)) i FROM cand), (SELECT unnest(range(0, {_W})) j)),
-ent AS (SELECT doc_id, s, e, m, i, -sum(n / {_W} * log2(n / {_W})) h FROM (SELECT doc_id, s, e, m, i, c, count(*) n FROM ch GROUP BY ALL) GROUP BY ALL),
-hot AS (SELECT doc_id, 3 o, 'entropy' kind, s, e, m FROM ent GROUP BY doc_id, s, e, m HAVING max(h) >= CASE WHEN regexp_matches(m, '{secrets.CLASSES[0].pattern}') THEN {secrets.CLASSES[0].threshold} ELSE {secrets.CLASSES[1].threshold} END),
-every AS (SELECT * FROM base UNION ALL SELECT * FROM hot),
+reach AS (SELECT doc_id, s, e, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) before FROM base),
+island AS (SELECT doc_id, s, e, sum(CASE WHEN before IS NULL OR s >= before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e) n FROM reach),
+gone AS (SELECT doc_id, min(s) s, max(e) e FROM island GROUP BY doc_id, n),
+gap AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) p FROM gone),
+blank AS (SELECT doc_id, string_agg(substring(t, cast(p + 1 AS int), cast(s - p AS int)) || repeat(' ', cast(e - s AS int)), '' ORDER BY s) || substring(any_value(t), cast(max(e) + 1 AS int)) t FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+left_over AS MATERIALIZED (SELECT doc_id, 0 off, coalesce(b.t, d.t) t FROM d LEFT JOIN blank b USING (doc_id)),
+cand AS MATERIALIZED (SELECT * FROM {_located("entropy", 3, secrets.CANDIDATE, texts="left_over")}),
+whole AS MATERIALIZED (SELECT * FROM {_hot("cand")}),
+rest AS MATERIALIZED (SELECT doc_id, s off, m t FROM cand WHERE regexp_matches(m, '[/_-]') AND NOT EXISTS (SELECT 1 FROM whole w WHERE w.doc_id = cand.doc_id AND w.s = cand.s)),
+part AS MATERIALIZED (SELECT * FROM {_located("entropy", 3, secrets.PART, texts="rest")}),
+every AS (SELECT doc_id, o, kind, s, e FROM base UNION ALL SELECT doc_id, 3, 'entropy', s, e FROM whole UNION ALL SELECT doc_id, 3, 'entropy', s, e FROM {_hot("part")}),
 b AS (SELECT doc_id, count(*) FILTER (kind = 'assign') n_assign, count(*) FILTER (kind = 'access') n_access, count(*) FILTER (kind = 'hex') n_hex, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) j FROM base GROUP BY 1),
 x AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) spans FROM every GROUP BY 1)
 SELECT d.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(j, '')) base_sha256, coalesce(spans, '') spans
