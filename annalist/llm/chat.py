@@ -13,6 +13,8 @@ Segments are made row by row, so a conversation of any length is spread over all
 the digests of a whole conversation, which are sequential by definition, read its segments in
 order: as a stream from Spark's external sort, holding one segment at a time.
 
+Very long texts are read back in a few passes, at some copies of the text in memory.
+
 Defined results. Null text or null parts: empty. Null role: the empty role. Null or equal turns:
 nulls first, ties by role, then text. Null conv_id: one conversation of its own. Unknown part
 kinds: a placeholder of 0 tokens. Repeated rows are repeated turns. Empty table: no rows.
@@ -38,8 +40,7 @@ ATTACHMENT = "struct<kind:string, ref:string, tokens:long>"
 LOSS_ROLE = "assistant"
 
 _SPECIAL = r"([<>\[\]|\\])"
-_UNESCAPE = re.compile(r"([<>\[\]|\\])\\")
-_SEGMENT = re.compile(r"\A<<((?:[^<>\[\]|\\]|[<>\[\]|\\]\\)*)>>((?:[^<>\[\]|\\]|[<>\[\]|\\]\\|<\|[a-z]+:\d+\|>)*)<</\1>>\Z", re.S)
+_MARKS = "<>[]|"
 _PLACEHOLDER = re.compile(r"<\|[a-z]+:\d+\|>")
 
 
@@ -48,7 +49,18 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub(r"\1", text)
+    """The text before it was escaped; ValueError if some control character was not.
+
+    Every mark is followed by its own backslash, so marks can be put back one kind after the other;
+    the backslashes left then are pairs.
+    """
+    for mark in _MARKS:
+        if text.count(mark) != text.count(mark + "\\"):
+            raise ValueError(f"bare {mark!r} inside a text")
+        text = text.replace(mark + "\\", mark)
+    if "\\" in text.replace("\\\\", ""):
+        raise ValueError("bare backslash inside a text")
+    return text.replace("\\\\", "\\")
 
 
 def as_parts(rows: DataFrame) -> DataFrame:
@@ -105,11 +117,18 @@ def format_turns(messages: DataFrame) -> DataFrame:
 
 
 def read_segment(segment: str) -> tuple[str, str]:
-    """(role, text) of a segment; placeholders are no text."""
-    found = _SEGMENT.match(segment)
-    if found is None:
+    """(role, text) of a segment; placeholders are no text.
+
+    An escaped text has no two of the template's characters side by side, so the first ``>>`` ends the
+    role, and what is between it and the closing mark is the body: some passes over the text, no more.
+    """
+    stop = segment.find(">>", 2)
+    role = segment[2:stop]
+    close = f"<</{role}>>"
+    if not segment.startswith("<<") or stop < 0 or not segment.endswith(close) or len(segment) < stop + 2 + len(close):
         raise ValueError(f"not a segment: {segment[:80]!r}")
-    return unescape(found[1]), unescape(_PLACEHOLDER.sub("", found[2]))
+    body = _PLACEHOLDER.sub("", segment[stop + 2 : len(segment) - len(close)])
+    return unescape(role), unescape(body)
 
 
 DIGESTS = (
@@ -155,11 +174,13 @@ def digests(segments: DataFrame) -> DataFrame:
         if state is not None:
             yield batch([closed(open_id, state)])
 
+    # ties by text: the closing mark is no part of it
+    body = F.substr("segment", F.lit(1), F.length("segment") - F.length(escape(F.col("role"))) - len("<</>>"))
     total = F.aggregate("attachments", F.lit(0).cast("long"), lambda acc, a: acc + a["tokens"])
     return (
         segments.select("conv_id", "turn", "role", "segment", "loss", F.size("attachments").alias("n_found"), total.alias("tokens"))
         .repartition("conv_id")
-        .sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "segment")
+        .sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", body)
         .select("conv_id", "segment", "loss", "n_found", "tokens")
         .mapInArrow(stream, DIGESTS)
     )

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -214,3 +217,28 @@ def test_pipeline_decides_by_rows_when_ids_repeat_or_are_null(spark):
     leaky = f"{plain} {item} {other}"
     docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in [(1, leaky), (1, clean), (1, clean), (None, leaky), (None, lone)]], schema)
     assert order(corpus_pipeline.keep_untested(spark, docs, SF)) == sorted([(1, clean), (1, clean), (None, lone)], key=str)
+
+
+def test_a_long_segment_is_read_in_seconds_and_little_memory():
+    text = ("<b>plain</b> [words] | \\ é" * 1_600_000)[:40_000_000]
+    body = re.sub(r"([<>\[\]|\\])", r"\1\\", text)
+    segment = f"<<user>>{body}<|image:0|><</user>>"
+    tracemalloc.start()
+    began = time.time()
+    assert chat.read_segment(segment) == ("user", text)
+    assert time.time() - began < 60  # tracing slows it
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("segment", ["<<user>>a<b<</user>>", "<<user>>a", "<<user>>a<</other>>", "user>>a<</user>>", "<<user>><</user", "<<us|er>>a<</us|er>>"])
+def test_broken_segments_are_refused(segment):
+    with pytest.raises(ValueError):
+        chat.read_segment(segment)
+
+
+def test_equal_turns_come_by_text(spark):
+    texts = ["ab", "ab!", "ab<", "ab", "ab~", "", "<", "<a"]
+    rows = spark.createDataFrame([(1, 0, "assistant", t) for t in texts], "conv_id long, turn long, role string, text string")
+    row = chat.digests(chat.format_turns(chat.as_parts(rows))).collect()[0]
+    assert row.loss_sha256 == hashlib.sha256("".join(sorted(texts)).encode()).hexdigest()
