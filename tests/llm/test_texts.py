@@ -92,10 +92,8 @@ def test_bands_reach_the_recall():
     assert len(shingle_set(np.arange(3, dtype=np.uint64))) == 1
 
 
-@pytest.mark.parametrize("block_chars", [decontam.BLOCK_CHARS, 400])
-def test_decontamination_equals_brute_force(spark, monkeypatch, block_chars):
-    monkeypatch.setattr(decontam, "BLOCK_CHARS", block_chars)
-    monkeypatch.setattr(decontam.item_blocks, "__defaults__", (block_chars,))
+@pytest.mark.parametrize("block_chars", [decontam.BLOCK_CHARS, 400, 50])
+def test_decontamination_equals_brute_force(spark, block_chars):
     rng = random.Random(6)
     word = lambda: f"w{rng.randrange(60)}"
     items = [(k, " ".join(word() for _ in range(rng.choice([1, 3, 5, 8, 40, 90])))) for k in range(25)] + [(None, "w1 w2 w3 w4 w5 w6"), (90, None), (91, " ")]
@@ -107,7 +105,7 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, block_chars):
             quoted[rng.randrange(len(quoted))] = "edited"
         at = rng.randrange(len(body) + 1)
         docs.append((k + 3, " ".join(body[:at] + quoted + body[at:])))
-    found = decontam.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = decontam.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_chars)
     got = sorted(((r.doc_id, r.item_id, r.n_found) for r in found.collect()), key=str)
     expected = []
     for i, text in items:
@@ -118,6 +116,8 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, block_chars):
             if own and 5 * len(own & theirs) >= 4 * len(own):
                 expected.append((d, i, len(own & theirs)))
     assert got == sorted(expected, key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1, "documents are read once"
 
 
 def test_decontamination_of_nothing(spark):
@@ -130,8 +130,8 @@ def test_decontamination_of_nothing(spark):
 def test_least_hits_keep_recall():
     rng = random.Random(8)
     for n in (5, 20, 64, 300):
-        k = min(n, decontam.SKETCH)
-        least = decontam.least_hits(n, k)
+        k, least = decontam.sketch_of(decontam.size_class(n))
+        k = min(n, k)
         missing = set(range(n - -(-n * 4 // 5)))
         assert all(sum(x not in missing for x in rng.sample(range(n), k)) >= least for _ in range(500))
 
