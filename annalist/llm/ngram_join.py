@@ -18,7 +18,8 @@ joins it.
 
 Defined results. Null, empty or blank text: no n-grams, no links, its own class. Fewer than five
 words: one n-gram of all of them. Null doc_id: class and links null. Rows that repeat a doc_id
-with one text count as copies; with different texts they share a class. Empty table: no rows.
+with one text count as copies; with different texts they share a class. Very long texts are compared
+whole. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import components, spool
+from annalist.llm.common import components, join_groups, spool
 from annalist.llm.shingles import MinHash, WordHashes, bands_for, shingle_set
 
 THRESHOLD = (4, 5)  # Jaccard 0.8 as a fraction: compared in whole numbers
@@ -75,11 +76,12 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
 
 def blocks(groups: DataFrame, classes: DataFrame) -> DataFrame:
     """(id, copies, component, block, n_blocks): the block of each class in its group."""
-    sized = groups.join(classes.select("id", "copies", "n_grams").hint("merge"), "id")
+    sized = spool(groups.join(classes.select("id", "copies", "n_grams").hint("merge"), "id"), "grouped")
     total = sized.groupBy("component").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_grams") / BLOCK_NGRAMS)).cast("int").alias("n_blocks")
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_grams") / BLOCK_NGRAMS)).cast("int").alias("n_blocks"),
+        F.count(F.lit(1)).alias("n"),
     )
-    placed = sized.join(total.hint("merge"), "component")
+    placed = join_groups(sized, spool(total, "group-sizes"), ["component"])
     return placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
 
 

@@ -1,8 +1,8 @@
 """Packing: documents into sequences of at most ``width`` tokens, first-fit decreasing.
 
 A document is its token ids and an end id. It is cut at multiples of the width; full pieces are
-sequences of their own, the rest of each document is packed. Documents go to random groups by a
-seeded hash of their id; each group is packed alone, so groups are the unit of work and of
+sequences of their own, the rest of each document is packed. Pieces go to random groups by a
+seeded hash of their id, place, checksum and row; each group is packed alone, so groups are the unit of work and of
 memory (about ``group_docs`` small rows), and no order over the corpus is needed.
 
 First fit uses a tournament tree over the free space of the open bins: every inner node has
@@ -14,7 +14,8 @@ memo, which is exact, since every pre-token of this vocabulary starts at a singl
 other white space (texts with runs of spaces or special strings are encoded whole).
 
 Defined results. Null or empty text: the end id alone. Null doc_id: packed as its own document.
-Repeated rows: each is packed. Empty table: no pieces.
+Repeated rows: each is packed. Very long texts are cut like all. Empty table: no pieces.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -147,5 +148,6 @@ def pack(pieces: DataFrame, n_docs: int, width: int = WIDTH, group_docs: int = G
         rows["offset"] = placed[:, 1]
         return rows
 
-    key = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups))
+    # the checksum and the row's number spread null and repeated ids, and repeated rows
+    key = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
     return pieces.withColumn("_group", key).groupBy("_group").applyInPandas(one_group, PACKED)

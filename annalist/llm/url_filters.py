@@ -8,7 +8,9 @@ Native: DataFrame functions and pyspark.ml only.
 
 Defined results. Null url or one without ``://``: empty host and path, no tokens, no base rule;
 such rows are allowed. Null page_id and repeated rows pass through one by one. No labels: no
-mined rules. Urls that repeat are judged once per distinct url after map-side aggregation.
+mined rules. Urls that repeat are judged once per distinct url after map-side aggregation; the rows of
+a hot url meet a broadcast answer. Very long urls are matched whole. Empty table: no rows. Other
+columns are kept.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.llm.common import join_groups, spool
+
 #: (verdict, host, path prefix); a rule fits its host and all subdomains, the longest one wins.
 BASE_RULES = (
     ("allow", "org", "/"),
@@ -135,7 +139,11 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds host, path, rule, verdict, mined_rule, mined_confidence to rows with a url."""
     base = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     base = base.withColumn("_base", base_rule(F.col("host"), F.col("path")))
-    found = base.join(match_rules(pages.select("url"), rules).hint("merge"), "url", "left")
+    # each distinct url is matched once; its rows, which may be a third of all, get the answer back
+    urls = spool(pages.filter("url is not null").groupBy("url").agg(F.count(F.lit(1)).alias("n")), "urls")
+    answers = spool(urls.join(match_rules(urls, rules).hint("merge"), "url", "left"), "matched-urls")
+    none = {"mined_rule": F.lit(None).cast("string"), "mined_confidence": F.lit(None).cast("double")}
+    found = join_groups(base.filter("url is not null"), answers, ["url"]).unionByName(base.filter("url is null").withColumns(none))
     return found.withColumns(
         {
             "rule": F.col("_base.rule"),

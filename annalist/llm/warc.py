@@ -8,12 +8,13 @@ Equal payloads of at least ``MIN_REVISIT`` bytes are stored once: the record wit
 page_id is the response, the others are revisits without payload.
 
 Scale: digests are computed in the scan; only (digest, page_id) rows are aggregated, with a
-map-side minimum, and the join back on page_id spreads evenly however many copies a payload
-has. Each task writes archives of bounded size straight to the shared folder, under a name of
+map-side minimum, and copies of a hot payload meet a broadcast row of it; the join back on page_id
+spreads evenly, or sends the revisits to the pages where they are few. Each task writes archives of bounded size straight to the shared folder, under a name of
 its own attempt; only archives listed by the task that won are read.
 
 Defined results. Null html: empty payload. Null page_id: written with no id, read back as null,
-never the response of others. Repeated page_ids: one record each. Empty table: no archive.
+never the response of others. Repeated page_ids: one record each. Very long payloads are one record, held
+whole by the task that writes or reads it. Empty table: no archive. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +30,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import shared_dir, spool
+from annalist.llm.common import join_groups, shared_dir, spool
 
 MIN_REVISIT = 100
 #: A task starts a new archive after so many bytes, so one archive always fits a task that reads it.
 ARCHIVE_BYTES = 32 << 20
+#: A reader hands on payloads of so many bytes together.
+BATCH_BYTES = 8 << 20
+#: So many revisits, of about 200 bytes each in memory, are sent to all executors.
+BROADCAST_REVISITS = 100_000
 #: The dictionary is trained on at most so many records of the archive, of so many bytes each.
 DICT_BYTES, DICT_RECORDS, DICT_RECORD_BYTES = 16 << 10, 96, 8 << 10
 LEVEL = 3
@@ -52,7 +57,7 @@ def record_block(page_id, uri, digest, size, refers_to, payload: bytes) -> bytes
     kind = "response" if refers_to is None else "revisit"
     head = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}-{digest}')}>"),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("Content-Type", "text/html; charset=utf-8"),
@@ -151,10 +156,12 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
         {"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)}
     )
     keys = own.filter(F.col("page_id").isNotNull() & (F.col("size") >= MIN_REVISIT)).select("page_id", "digest")
-    first = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = keys.join(first.hint("merge"), "digest").filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    first = spool(keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "first-pages")
+    later = join_groups(keys, first, ["digest"]).filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
     later = spool(later, "revisits")
-    joined = own.join(later.hint("merge"), ["page_id", "digest"], "left")
+    # few revisits go to the pages; otherwise both are shuffled
+    later = F.broadcast(later) if later.count() <= BROADCAST_REVISITS else later.hint("merge")
+    joined = own.join(later, ["page_id", "digest"], "left")
     return joined.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
 
 
@@ -227,18 +234,20 @@ def read(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
         fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
         for b in batches:
             for path, expected in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows, seen = [], 0
+                rows, seen, size = [], 0, 0
                 with fs.open_input_stream(path) as stream:
                     for data in read_archive(stream):
-                        rows.append(parse_record(data))
+                        record = parse_record(data)
+                        rows.append({n: record[n] for n in names})
                         seen += 1
-                        if len(rows) >= 256:
-                            yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in rows], schema=schema)
-                            rows = []
+                        size += len(record["payload"]) if payloads else 0
+                        if len(rows) >= 1024 or size >= BATCH_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows, size = [], 0
                 if seen != expected:
                     raise WarcError(f"{path}: {seen} records, {expected} expected")
                 if rows:
-                    yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in rows], schema=schema)
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     listed = archives.select("path", "n_records")
     return listed.repartition(max(1, archives.sparkSession.sparkContext.defaultParallelism) * 2, "path").mapInArrow(records, fields)
