@@ -92,7 +92,19 @@ def pages_to_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.pages_to_articles(read(spark, sf_dir, "pages"))
 
 
-@query()
+_CHUNKS = rf"""
+own AS (SELECT doc_id, regexp_replace(text, '{corpus.EDGES}', '', 'g') t FROM documents),
+parted AS (SELECT doc_id, t, regexp_extract_all(t, '{corpus.PARAGRAPHS}') p, regexp_extract_all(t, '{corpus.SENTENCES}') s FROM own WHERE length(t) > 3000),
+sized AS (SELECT doc_id, t, flatten(list_transform(CASE WHEN len(p) > 1 THEN p ELSE s END, lambda u: list_transform(range(0, (length(u) - 1) // 1800 + 1), lambda k: least(1800, length(u) - k * 1800)))) n FROM parted),
+ended AS (SELECT doc_id, t, list_transform(range(1, len(n) + 1), lambda i: list_sum(n[1:i])) ends FROM sized),
+cut AS (SELECT doc_id, t, ends, 0 k, 0::HUGEINT b, list_max(list_filter(ends, lambda x: x <= 2000)) e FROM ended
+  UNION ALL SELECT doc_id, t, ends, k + 1, e - 200, list_max(list_filter(ends, lambda x: x <= e - 200 + 2000)) FROM cut WHERE e < length(t)),
+chunked AS (SELECT doc_id, 0 chunk_index, t chunk_text FROM own WHERE t <> '' AND length(t) <= 3000
+  UNION ALL SELECT doc_id, k, substring(t, cast(b + 1 AS int), cast(e - b AS int)) FROM cut)
+"""
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT * FROM chunked")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.chunk_documents(read(spark, sf_dir, "documents"), 2000, 200, 3000)
 
@@ -107,7 +119,8 @@ def article_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CHUNKS} SELECT doc_id, count(*) n_chunks, min(length(chunk_text)) min_chars, max(length(chunk_text)) max_chars, round(avg(length(chunk_text)), 1) avg_chars
+FROM chunked GROUP BY doc_id""")
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.chunk_stats(corpus.chunk_documents(read(spark, sf_dir, "documents"), 2000, 200, 3000))
 
@@ -119,12 +132,13 @@ def extract_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.extract_events(read(spark, sf_dir, "documents").select("doc_id", dated.alias("text")))
 
 
-@query()
+@query("""WITH a AS (SELECT conv_id || '-' || turn response_id, text, (conv_id + turn) % 4 k FROM conversations WHERE role = 'assistant')
+SELECT response_id, text description, '1999' date FROM a UNION ALL SELECT response_id, 'last', CASE WHEN k <> 3 THEN '2001' END FROM a""")
 def records_from_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant texts as model answers: fenced, bare, with text around, or cut off."""
+    """Assistant texts as model answers: fenced, bare, with text around, or cut off in the last item."""
     rows = read(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    body = F.to_json(F.array(F.struct(F.substring("text", 1, 40).alias("description"), F.lit("1999").alias("date")), F.struct(F.lit("last").alias("description"), F.lit("2001").alias("date"))))
-    k = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    body = F.to_json(F.array(F.struct(F.col("text").alias("description"), F.lit("1999").alias("date")), F.struct(F.lit("last").alias("description"), F.lit("2001").alias("date"))))
+    k = (F.col("conv_id") + F.col("turn")) % 4
     content = (
         F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 1, body)
         .when(k == 2, F.concat(F.lit("Here it is: "), body, F.lit(" done"))).otherwise(F.expr("substring(_b, 1, length(_b) - 12)"))

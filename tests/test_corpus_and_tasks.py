@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 import uuid
 
 import pytest
@@ -24,20 +26,43 @@ def test_html_main_block_and_fallback():
     assert corpus.html_text('<body>a<p class="navbox">b</p><script>x</script></body>') == "a\nb" and corpus.html_text(None) == ""
 
 
-def test_chunks_overlap_and_repeat_nothing_at_the_start():
-    assert corpus.split_text("  ") == [] and corpus.split_text("short") == ["short"]
-    text = "\n\n".join(f"paragraph {k} " + "x" * 300 for k in range(12))
-    chunks = corpus.split_text(text, 1000, 200)
-    assert chunks[0].count("paragraph 0") == 1 and all(len(c) <= 1000 + 202 for c in chunks)
-    assert all(b.startswith(a[-200:]) for a, b in zip(chunks, chunks[1:], strict=False))
-    assert all(f"paragraph {k} " in "".join(chunks) for k in range(12))
+def sliced(text, size, overlap, only_above):
+    """Chunks by a plain loop over the ends of units."""
+    text = (text or "").strip(" \t\r\n")
+    if len(text) <= only_above:
+        return [text] if text else []
+    units = re.findall(r"(?s).+?(?:\n[ \t\r\n]*\n|\Z)", text)
+    if len(units) == 1:
+        units = re.findall(r"(?s).+?(?:[.!?]+[ \t\r\n]+|\Z)", text)
+    ends, at = [], 0
+    for unit in units:
+        ends += [at + k for k in range(size - overlap, len(unit), size - overlap)] + [at + len(unit)]
+        at += len(unit)
+    chunks, begin = [], 0
+    while True:
+        stop = max(e for e in ends if e <= begin + size)
+        chunks.append(text[begin:stop])
+        if stop == len(text):
+            return chunks
+        begin = stop - overlap
+
+
+def test_chunks_are_overlapping_slices_that_end_with_units(spark):
+    rng = random.Random(1)
+    unit = lambda: "é" * rng.randrange(1, 90) + rng.choice([". ", "! ", "\n\n", "\n \n ", " "])
+    texts = [None, "", " \n ", "short", "x" * 1000, "x. " * 400, "a\n\n" * 300] + ["".join(unit() for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    got = corpus.chunk_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 200, 30, 250).collect()
+    expected = [(k, i, c) for k, t in enumerate(texts) for i, c in enumerate(sliced(t, 200, 30, 250))]
+    assert sorted((r.doc_id, r.chunk_index, r.chunk_text) for r in got) == expected
+    with pytest.raises(ValueError):
+        corpus.chunk_documents(spark.createDataFrame([], "doc_id long, text string"), 100, 100)
 
 
 @pytest.mark.parametrize(
     "answer,expected",
     [
         ('```json\n[{"a": 1}]\n```', [{"a": 1}]), ('Here: {"a": [1, 2]} bye', {"a": [1, 2]}), ('[{"a": "x"}, {"a": "y", "b": "cut', [{"a": "x"}, {"a": "y"}]),
-        ('{"events": [{"d": "1"}, {"d": ', {"events": [{"d": "1"}]}), ("no json", None), (None, None), ('{"a": "b, ]"', {}),
+        ('{"events": [{"d": "1"}, {"d": ', {"events": [{"d": "1"}]}), ("no json", None), (None, None), ("see [note]: {\"a\": \"[\"}", {"a": "["}), ("7", 7), ('{"a": "\\\\\\"', {}), ("[" * 5000, []), ("[" * 200_000 + "]" * 200_000, None), ('{"a": "b, ]"', {}),
     ],
 )
 def test_answers(answer, expected):
