@@ -266,31 +266,68 @@ def _month_number(name: Column) -> Column:
     return number
 
 
+#: Days of named events (year, month, day).
+EVENTS = {"fall of the berlin wall": (1989, 11, 9), "meiji restoration": (1868, 1, 3)}
+#: Named eras and the span of traditions, first and last year.
+ERAS = {
+    "heian": (794, 1185), "edo": (1603, 1868), "meiji": (1868, 1912), "taisho": (1912, 1926), "showa": (1926, 1989),
+    "algonquin": (-1000, 1600), "greek myth": (-800, 600), "norse": (-200, 1300), "chinese folklore": (-2000, 1000),
+    "african myth": (-3000, 1000), "san people": (-20000, 1500),
+}
+#: The last days of eras that ended on a known day.
+LAST_DAYS = {"heian": (1185, 4, 25), "edo": (1868, 1, 3), "meiji": (1912, 7, 30), "taisho": (1926, 12, 25), "showa": (1989, 1, 7)}
+ORDINALS = {"first": 1, "1st": 1, "second": 2, "2nd": 2, "third": 3, "3rd": 3, "fourth": 4, "4th": 4, "last": 4}
+COUNTS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
+SPANS = {"year": 1, "decade": 10, "century": 100, "centurie": 100, "millennium": 1000, "millennia": 1000}
+THIRDS = {"early": 0, "mid": 1, "middle": 1, "late": 2}
+
+
+def _looked_up(value: Column, values: dict) -> Column:
+    found = F.lit(None).cast("int")
+    for name, number in values.items():
+        found = F.when(value == name, number).otherwise(found)
+    return found
+
+
+def thanksgiving(year: Column) -> Column:
+    """The fourth Thursday of November."""
+    first = F.make_date(year, F.lit(11), F.lit(1))
+    return F.date_add(first, F.pmod(5 - F.dayofweek(first), F.lit(7)) + 21)
+
+
 def parse_date_text(text: Column) -> Column:
-    """date_info of a date string: days, months, years, ranges, decades, centuries, seasons, BCE.
+    """date_info of a date string; the first rule that matches wins, and what no rule reads is ``unknown``.
 
-    The first rule that matches wins; texts no rule reads have precision ``unknown``.
+    Read are days, months, years, ranges, quarters, decades, centuries, millennia, seasons, holidays, the
+    early, middle or late third of a month, year, decade or century, "before" a year, named events and
+    what is so many years before or after one, the first and last day of an era, eras, and BCE. A third of a
+    year is four months, of a month ten days or what is left of it, of a decade four, three and three
+    years. Two-digit years behind an apostrophe are those from 1930 to 2029.
     """
     t = F.trim(F.lower(text))
     bce = t.rlike(r"\b(bce?|b\.c\.e?\.?)(\b|$)")
     name = "(" + "|".join(m[:3] + "[a-z]*" for m in MONTHS) + ")"
+    third = r"\b(early|mid|middle|late)[\s-]+(?:of\s+)?(?:the\s+)?"
+    null = F.lit(None).cast("int")
 
     def group(pattern: str, k: int) -> Column:
         return F.regexp_extract(t, pattern, k)
 
     def number(pattern: str, k: int) -> Column:
-        return F.nullif(group(pattern, k), F.lit("")).cast("int")
+        return group(pattern, k).try_cast("int")
 
-    def info(precision: str, y1, m1=None, d1=None, y2=None, m2=None, d2=None) -> Column:
-        null = F.lit(None).cast("int")
+    def info(precision, y1, m1=None, d1=None, y2=None, m2=None, d2=None, era: Column | None = None) -> Column:
         part = lambda v: null if v is None else v.cast("int")
-        signed = lambda v: null if v is None else F.when(bce, -F.abs(v)).otherwise(v).cast("int")
+        signed = lambda v: null if v is None else (v if era is not None else F.when(bce, -F.abs(v)).otherwise(v)).cast("int")
         return F.struct(
-            text.alias("original_text"), text.alias("display_text"), F.lit(precision).alias("precision"),
+            text.alias("original_text"), text.alias("display_text"), (F.lit(precision) if isinstance(precision, str) else precision).alias("precision"),
             signed(y1).alias("start_year"), part(m1).alias("start_month"), part(d1).alias("start_day"),
-            signed(y2).alias("end_year"), part(m2).alias("end_month"), part(d2).alias("end_day"), bce.alias("is_bce"),
+            signed(y2).alias("end_year"), part(m2).alias("end_month"), part(d2).alias("end_day"), (bce if era is None else era).alias("is_bce"),
         )
 
+    def day(y: Column, m: Column, d: Column) -> Column:
+        return info("day", y, m, d)
+
     iso = r"^(\d{4})-(\d{1,2})-(\d{1,2})"
     mdy = rf"{name}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{3,4}})"
     dmy = rf"(\d{{1,2}})(?:st|nd|rd|th)?\s+(?:of\s+)?{name},?\s+(\d{{3,4}})"
@@ -299,34 +336,91 @@ def parse_date_text(text: Column) -> Column:
     decade = r"(\d{3})0'?s\b"
     century = r"(\d{1,2})(?:st|nd|rd|th)\s+century"
     millennium = r"(\d{1,2})(?:st|nd|rd|th)\s+millennium"
-    season = r"(spring|summer|autumn|fall|winter)\s+(?:of\s+)?(\d{3,4})"
+    season = r"(spring|summer|autumn|fall|winter)\s+(?:of\s+)?(\d{3,4}|'\d\d)\b"
     ym = r"^(\d{4})-(\d{1,2})$"
-    bare = r"(\d{1,4})\s*(?:bce?|b\.c\.|ce|ad|a\.d\.)|(\d{4})|^(?:c\.|ca\.|circa|about|around|before|after|in)?\s*(\d{3,4})$"
-    n, k = number(century, 1), number(millennium, 1)
+    before = r"\b(?:before|prior to)\s+(\d{3,4})\b"
+    bare = r"(\d{1,4})\s*(?:bce?|b\.c\.|ce|ad|a\.d\.)|(\d{4})|^(?:c\.|ca\.|circa|about|around|after|in)?\s*(\d{3,4})$"
+    short_quarter, long_quarter = r"\bq([1-4])\s+(?:of\s+)?(\d{4})", rf"\b({'|'.join(ORDINALS)})\s+quarter\s+(?:of\s+)?(\d{{4}})"
+    holiday_week, holiday = r"\bweek of thanksgiving\D{0,5}(\d{4})", r"\bthanksgiving\D{0,9}(\d{4})"
+    christmas_season, christmas = r"\bchristmas season\D{0,5}(\d{4})", r"\bchristmas(?: day| eve)?\D{0,5}(\d{4})"
+    relative = rf"\b(\d+|{'|'.join(COUNTS)})\s+({'|'.join(SPANS)})s?\s+(after|before)\b"
+    third_month, third_year = rf"{third}{name},?\s+(?:of\s+)?(\d{{3,4}})", rf"{third}(\d{{4}})$"
+    third_decade, third_century = third + decade, third + century
+
     which = group(season, 1)
-    first, last = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for s, (a, b) in SEASONS.items():
-        first, last = F.when(which == s, a).otherwise(first), F.when(which == s, b).otherwise(last)
+    season_year = F.when(group(season, 2).startswith("'"), F.pmod(F.substring(group(season, 2), 2, 2).try_cast("int") - 30, F.lit(100)) + 1930).otherwise(number(season, 2))
+    first, last = _looked_up(which, {k: v[0] for k, v in SEASONS.items()}), _looked_up(which, {k: v[1] for k, v in SEASONS.items()})
+    quarter = F.coalesce(number(short_quarter, 1), _looked_up(group(long_quarter, 1), ORDINALS))
+    quarter_year = F.coalesce(number(short_quarter, 2), number(long_quarter, 2))
+
+    def third_of(pattern: str) -> Column:
+        return _looked_up(group(pattern, 1), THIRDS)
 
     def years(n: Column, size: int, precision: str) -> Column:
-        ce = info(precision, (n - 1) * size + 1, y2=n * size)
         # N-th before: from the far end to the near one
-        before = info(precision, n * size, y2=(n - 1) * size)
-        return F.when(bce, before).otherwise(ce)
+        return F.when(bce, info(precision, n * size, y2=(n - 1) * size + 1)).otherwise(info(precision, (n - 1) * size + 1, y2=n * size))
+
+    def day_in(pattern: str) -> Column:
+        k, y, m = third_of(pattern), number(pattern, 3), _month_number(group(pattern, 2))
+        end = F.when(k == 2, F.dayofmonth(F.last_day(F.make_date(y, m, F.lit(1))))).otherwise(10 * k + 10)
+        return info("day", y, m, 10 * k + 1, y, m, end)
+
+    def years_in(pattern: str) -> Column:
+        """A third of a decade: four years, three and three."""
+        k, y = third_of(pattern), number(pattern, 2) * 10
+        return info("year", y + F.when(k > 0, 3 * k + 1).otherwise(0), y2=y + 3 * k + 3)
+
+    def century_in(pattern: str) -> Column:
+        k, n = third_of(pattern), number(pattern, 2)
+        a, z = F.element_at(F.array(*map(F.lit, (1, 34, 67))), k + 1), F.element_at(F.array(*map(F.lit, (33, 66, 100))), k + 1)
+        before_christ = info("year", n * 100 - a + 1, y2=n * 100 - z + 1)
+        return F.when(bce, before_christ).otherwise(info("year", (n - 1) * 100 + a, y2=(n - 1) * 100 + z))
+
+    moment, era, last_day = F.lit(None), F.lit(None), F.lit(None)
+    kind = "struct<y:int,m:int,d:int>"
+    triple = lambda v: F.struct(*[F.lit(x).alias(n) for x, n in zip(v, "ymd", strict=True)]).cast(kind)
+    moment, last_day = moment.cast(kind), last_day.cast(kind)
+    era = era.cast("struct<a:int,z:int>")
+    for word, value in EVENTS.items():
+        moment = F.when(t.contains(word), triple(value)).otherwise(moment)
+    for word, value in LAST_DAYS.items():
+        last_day = F.when(t.contains(word), triple(value)).otherwise(last_day)
+    for word, value in ERAS.items():
+        era = F.when(t.contains(word), F.struct(F.lit(value[0]).alias("a"), F.lit(value[1]).alias("z")).cast("struct<a:int,z:int>")).otherwise(era)
+    amount = F.coalesce(number(relative, 1), _looked_up(group(relative, 1), COUNTS)) * _looked_up(group(relative, 2), SPANS)
+    away = moment["y"] + F.when(group(relative, 3) == "after", amount).otherwise(-amount)
+    week = thanksgiving(number(holiday_week, 1))
+    week_start, week_end = F.date_sub(week, 4), F.date_add(week, 2)
+    thursday = thanksgiving(number(holiday, 1))
+    christmas_day = F.when(t.contains("christmas eve"), 24).otherwise(25)
 
     year = F.coalesce(number(bare, 1), number(bare, 2), number(bare, 3))
     return (
-        F.when(t.rlike(iso), info("day", number(iso, 1), number(iso, 2), number(iso, 3)))
-        .when(t.rlike(mdy), info("day", number(mdy, 3), _month_number(group(mdy, 1)), number(mdy, 2)))
-        .when(t.rlike(dmy), info("day", number(dmy, 3), _month_number(group(dmy, 2)), number(dmy, 1)))
-        .when(t.rlike(season), info("season", number(season, 2), first, None, number(season, 2), last, None))
+        F.when(t.rlike(iso), day(number(iso, 1), number(iso, 2), number(iso, 3)))
+        .when(t.rlike(mdy), day(number(mdy, 3), _month_number(group(mdy, 1)), number(mdy, 2)))
+        .when(t.rlike(dmy), day(number(dmy, 3), _month_number(group(dmy, 2)), number(dmy, 1)))
+        .when(t.rlike(relative) & moment.isNotNull(), info("year", away))
+        .when(t.rlike(holiday_week), info("day", F.year(week_start), F.month(week_start), F.dayofmonth(week_start), F.year(week_end), F.month(week_end), F.dayofmonth(week_end)))
+        .when(t.rlike(holiday), day(number(holiday, 1), F.lit(11), F.dayofmonth(thursday)))
+        .when(t.rlike(christmas_season), info("season", number(christmas_season, 1), F.lit(12), None, number(christmas_season, 1), F.lit(12)))
+        .when(t.rlike(christmas), day(number(christmas, 1), F.lit(12), christmas_day))
+        .when(quarter.isNotNull() & quarter_year.isNotNull(), info("month", quarter_year, 3 * quarter - 2, None, quarter_year, 3 * quarter))
+        .when(t.rlike(season), info("season", season_year, first, None, season_year + (which == "winter").cast("int"), last))
+        .when(t.rlike(third_month), day_in(third_month))
+        .when(t.rlike(third_decade), years_in(third_decade))
+        .when(t.rlike(third_century), century_in(third_century))
+        .when(t.rlike(third_year), info("month", number(third_year, 2), 4 * third_of(third_year) + 1, None, number(third_year, 2), 4 * third_of(third_year) + 4))
         .when(t.rlike(my), info("month", number(my, 2), _month_number(group(my, 1))))
         .when(t.rlike(ym), info("month", number(ym, 1), number(ym, 2)))
-        .when(t.rlike(century), years(n, 100, "century"))
-        .when(t.rlike(millennium), years(k, 1000, "millennium"))
+        .when(t.rlike(century), years(number(century, 1), 100, "century"))
+        .when(t.rlike(millennium), years(number(millennium, 1), 1000, "millennium"))
         .when(t.rlike(decade), info("decade", number(decade, 1) * 10, y2=number(decade, 1) * 10 + 9))
         .when(t.rlike(span), info("year", number(span, 1), y2=number(span, 2)))
+        .when(t.rlike(before), info("year", None, y2=number(before, 1)))
         .when(year.isNotNull(), info("year", year))
+        .when(moment.isNotNull(), day(moment["y"], moment["m"], moment["d"]))
+        .when(t.rlike(r"\b(last day|end) of\b") & last_day.isNotNull(), day(last_day["y"], last_day["m"], last_day["d"]))
+        .when(era.isNotNull(), info("era", era["a"], y2=era["z"], era=era["a"] < 0))
         .otherwise(info("unknown", None))
     )
 
