@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions.dates import ranges_overlap
+from annalist.scratch import spool
 
 
 #: Vectors in a block; a task holds two blocks.
 BLOCK = 4096
+#: A pair at the threshold is found with this probability, by at most so many bands.
+RECALL, MOST_BANDS = 0.95, 64
 #: Arrow types of the ids that nearest() takes.
 _IDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
@@ -36,13 +39,15 @@ def similar_pairs(df: DataFrame, threshold: float, method: str = "exact", id: st
     """(a, b, similarity) of all pairs a < b with cosine >= threshold.
 
     exact: vectors are dealt to blocks; a task multiplies two blocks as matrices and returns only
-    the pairs that reach the threshold, so no row is made for other pairs. lsh: Spark's bucketed
-    random projections on unit vectors, rechecked exactly; it may miss pairs.
+    the pairs that reach the threshold, so no row is made for other pairs. lsh: bands of sign bits of random
+    planes, as many as find a pair at the threshold with ``RECALL``; only vectors that share a band are compared,
+    exactly. Each of the bands copies the vectors once, and at low thresholds bands have few bits, so it pays
+    from about 0.6 up.
     Null, zero and NaN vectors are in no pair.
     """
     own = _usable(df.select(F.col(id).alias("id"), F.col(vector).alias("vector")), "vector")
     if method == "lsh":
-        return _lsh_pairs(own, threshold)
+        return _lsh_pairs(own, threshold, block)
     if method != "exact":
         raise ValueError(f"method {method!r}")
     n = max(1, math.ceil(own.count() / block))
@@ -71,21 +76,90 @@ def similar_pairs(df: DataFrame, threshold: float, method: str = "exact", id: st
     return dealt.groupBy("left", "right").applyInArrow(multiply, "a long, b long, similarity double")
 
 
-def _lsh_pairs(own: DataFrame, threshold: float, bucket: float = 2.0, tables: int = 4) -> DataFrame:
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
+def sign_bands(threshold: float, recall: float = RECALL, most_bands: int = MOST_BANDS) -> tuple[int, int]:
+    """(bits, bands): the most bits a band with which a pair at the threshold shares a band with the recall.
 
-    unit = Normalizer(inputCol="v", outputCol="unit").transform(own.select("id", "vector", array_to_vector(F.col("vector").cast("array<double>")).alias("v")))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=11).fit(unit)
-    found = model.approxSimilarityJoin(unit, unit, math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9, "d")
-    from annalist.functions.vectors import cosine_similarity
-
-    exact = cosine_similarity(F.col("datasetA.vector"), F.col("datasetB.vector"))
-    return (
-        found.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), exact.alias("similarity"))
-        .filter((F.col("a") < F.col("b")) & (F.col("similarity") >= threshold))
-        .dropDuplicates(["a", "b"])
-    )
+    A random plane has both vectors on one side with probability 1 - angle / pi.
+    """
+    same = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    best = (1, 1)
+    for bits in range(1, 33):
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(same**bits))) if same < 1 else 1
+        if bands > most_bands:
+            break
+        best = bits, bands
+    return best
+
+
+def _lsh_pairs(own: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Pairs within buckets of equal sign bits, compared exactly. A bucket beyond a block is cut like
+    all vectors are in the exact form; the pairs of several bands are the same rows."""
+    bits, bands = sign_bands(threshold)
+    keyed = pa.schema([("id", pa.int64()), ("vector", pa.list_(pa.float64())), ("keys", pa.list_(pa.int64()))])
+
+    def sign_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = _matrix(b.column(1))
+            if planes is None:
+                planes = np.random.default_rng(11).standard_normal((rows.shape[1], bits * bands))
+            up = (rows @ planes > 0).reshape(len(rows), bands, bits)
+            keys = up @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(bands, dtype=np.int64) << 32)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(rows) + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(keyed.field(1).type), flat], schema=keyed)
+
+    signed = spool(own.mapInArrow(sign_keys, "id long, vector array<double>, keys array<long>"), "sign-keys")
+    rows = signed.select("id", F.explode("keys").alias("key"))
+    size = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    placed = rows.join(size.hint("merge"), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least("block", k).alias("left"), F.greatest("block", k).alias("right")))
+    dealt = placed.select("id", "key", "block", F.explode(others).alias("p")).select("id", "key", "p.left", "p.right", "block")
+    dealt = dealt.join(signed.select("id", "vector").hint("merge"), "id")
+    found = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by (key, left, right); one group at a time is held."""
+        held: list[pa.Table] = []
+
+        def solved() -> pa.Table:
+            t = pa.concat_tables(held).combine_chunks()
+            held.clear()
+            ids, side = t["id"].to_numpy(), t["block"].to_numpy()
+            unit = _matrix(t["vector"].chunk(0))
+            left, right = t["left"][0].as_py(), t["right"][0].as_py()
+            x, y = np.flatnonzero(side == left), np.flatnonzero(side == right)
+            i, j = np.nonzero(unit[x] @ unit[y].T >= threshold - 1e-12)
+            i, j = x[i], y[j]
+            keep = ids[i] < ids[j] if left == right else ids[i] != ids[j]
+            i, j = i[keep], j[keep]
+            return pa.table({
+                "a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "similarity": np.einsum("ij,ij->i", unit[i], unit[j])
+            }, schema=found)
+
+        last, out = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            marks = np.stack([t[c].to_numpy() for c in ("key", "left", "right")])
+            cut = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+            for start, stop in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows], strict=True):
+                here = tuple(marks[:, start].tolist())
+                if here != last and held:
+                    out.append(solved())
+                last = here
+                held.append(t.slice(start, stop - start))
+            if out:
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
+                out = []
+        if held:
+            yield from solved().to_batches()
+
+    by = ("key", "left", "right")
+    pairs = dealt.select("id", *by, "block", "vector").repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "a long, b long, similarity double")
+    return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def nearest(queries: DataFrame, store: DataFrame, k: int, threshold: float | None = None, query_block: int = 2048) -> DataFrame:

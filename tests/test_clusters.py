@@ -50,6 +50,20 @@ def test_pairs_and_leaders(spark, seed, block):
     assert lsh <= expected and len(lsh) >= 0.9 * len(expected)
 
 
+@pytest.mark.parametrize("threshold,spread", [(0.3, 0.9), (0.8, 0.35)])
+def test_sign_bands_find_nine_pairs_of_ten(spark, threshold, spread):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((60, 32))
+    v = centres[rng.integers(0, 60, 600)] + spread * rng.standard_normal((600, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    sims = v @ v.T
+    expected = {(a, b) for a in range(600) for b in range(a + 1, 600) if sims[a, b] >= threshold}
+    found = pairs.similar_pairs(table(spark, v), threshold, "lsh", block=64).collect()
+    got = {(r.a, r.b) for r in found}
+    assert len(expected) > 500 and got <= expected and len(got) == len(found) and len(got) >= 0.9 * len(expected)
+    assert all(abs(r.similarity - sims[r.a, r.b]) < 1e-6 for r in found)
+
+
 def test_identical_vectors_are_similar(spark):
     points = table(spark, np.ones((3, 3)))
     assert pairs.similar_pairs(points, 0.999).count() == 3
