@@ -8,10 +8,11 @@ document with a smaller id.
    document only can't repeat. Anchor hashes are dealt out in packed rows, 4 bytes each.
 3. The windows of shared anchors are cut out as segments (neighbouring windows of one anchor)
    and dealt to shards by anchor, so equal windows meet in a shard.
-4. A segment that no other distinct segment of its shard shares the anchor with equals its copies
-   only, so their smallest id decides. Of all others each shard sorts the suffixes by external
-   induced sorting (``induced_sort``), which also carries the common prefixes. Neighbours in the suffix
-   array that share LENGTH bytes are equal windows; the smallest id of a run decides for all of it.
+4. A window whose hash no other window of the distinct segments of its shard has is in one of them
+   only, so the smallest id of its copies decides. Of the stretches that the other windows cover each
+   shard sorts the suffixes by external induced sorting (``induced_sort``), which also carries the common
+   prefixes. Neighbours in the suffix array that share LENGTH bytes are equal windows; the smallest id of
+   a run decides for all of it.
 5. Intervals to remove go back to the texts by id.
 
 Hot passages. What a batch of texts can decide alone never leaves it: an anchor that two of its texts
@@ -71,6 +72,27 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def window_hashes(data: np.ndarray) -> np.ndarray:
+    """64-bit hash of the LENGTH symbols at each position."""
+    powers = {1: (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)}
+    powers[1] ^= powers[1] >> np.uint64(32)
+    mult, k, mults = _M, 1, {}
+    with np.errstate(over="ignore"):
+        while k <= LENGTH:
+            mults[k] = mult
+            if 2 * k <= LENGTH:
+                powers[2 * k] = powers[k][:-k] * mult + powers[k][k:]
+            mult, k = mult * mult, 2 * k
+    n, out, at = len(data) - LENGTH + 1, None, 0
+    for k in sorted(powers, reverse=True):
+        if LENGTH & k:
+            part = powers[k][at : at + n]
+            out = part if out is None else out * mults[k] + part
+            at += k
+    out = out ^ (out >> np.uint64(31))
+    return out * np.uint64(0xBF58476D1CE4E5B9)
+
+
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     k = 1
     while 2 * k <= width:
@@ -268,13 +290,13 @@ def _wide(blobs: list[bytes]) -> Iterator[np.ndarray]:
 
 
 #: The buffers of one batch of segments for one shard, and their types.
-_PACKED = (("data", np.uint8), ("sizes", np.uint32), ("anchors", np.uint64), ("of", np.uint32), ("ids", np.int64), ("starts", np.int64))
+_PACKED = (("data", np.uint8), ("sizes", np.uint32), ("of", np.uint32), ("ids", np.int64), ("starts", np.int64))
 
 
 def segments(texts: DataFrame, shared: DataFrame, n_buckets: int, n_shards: int) -> DataFrame:
     """(shard, packed): segments of the windows of shared anchors, per batch of texts and shard.
 
-    A blob holds the distinct segments of the batch once (data, sizes, anchors) and, for each occurrence in
+    A blob holds the distinct segments of the batch once (data, sizes) and, for each occurrence in
     the text of smallest id, which one it is, its text and where it starts (of, ids, starts);
     compressed. The other occurrences go anyway: their intervals are in one blob a batch, under a
     negative number of its own.
@@ -291,7 +313,7 @@ def segments(texts: DataFrame, shared: DataFrame, n_buckets: int, n_shards: int)
             first, anchor, windows, row = first[pick], anchor[pick], windows[pick], row[pick]
             shard = (anchor % np.uint64(n_shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            first, row, shard, anchor = first[order], row[order], shard[order], anchor[order]
+            first, row, shard = first[order], row[order], shard[order]
             stop = first + windows[order] + LENGTH - 1
             begin, doc = first - starts[row] + offsets[row], ids[row]
             raw = data.tobytes()
@@ -302,14 +324,12 @@ def segments(texts: DataFrame, shared: DataFrame, n_buckets: int, n_shards: int)
                 own, at, size = doc[a:b], begin[a:b], stop[a:b] - first[a:b]
                 least = np.full(len(seen), np.iinfo(np.int64).max)
                 np.minimum.at(least, of, own)
-                marks = np.empty(len(seen), np.uint64)
-                marks[of] = anchor[a:b]
                 later = own > least[of]
                 if later.any():
                     goes.append(np.stack([own[later], at[later], at[later] + size[later]]))
                     of, own, at = of[~later], own[~later], at[~later]
                 buffers = (
-                    b"".join(seen), np.fromiter(map(len, seen), np.uint32, len(seen)).tobytes(), marks.tobytes(),
+                    b"".join(seen), np.fromiter(map(len, seen), np.uint32, len(seen)).tobytes(),
                     of.tobytes(), own.tobytes(), at.tobytes(),
                 )
                 sizes = np.array([len(x) for x in buffers], np.int64).tobytes()
@@ -330,7 +350,7 @@ class Shard:
     def __init__(self, memory: int):
         self.scratch = Scratch(memory)
         self.text = Buckets(self.scratch, 1, (np.uint16,))
-        self.sizes = Buckets(self.scratch, 1, (np.int64, np.uint64))
+        self.sizes = Buckets(self.scratch, 1, (np.int64,))
         self.rows = Buckets(self.scratch, 1, (np.int64, np.int64, np.int64))
         self.seen: dict[bytes, int] = {}
         self.count = 0
@@ -342,10 +362,10 @@ class Shard:
         for n, (_, kind) in zip(np.frombuffer(raw[:at], np.int64).tolist(), _PACKED, strict=True):
             parts.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at))
             at += n
-        data, sizes, anchor, of, ids, starts = parts
+        data, sizes, of, ids, starts = parts
         stop = np.cumsum(sizes, dtype=np.int64)
         body = data.tobytes()
-        place, fresh, which = np.empty(len(sizes), np.int64), [], []
+        place, fresh = np.empty(len(sizes), np.int64), []
         for k, (x, y) in enumerate(zip((stop - sizes).tolist(), stop.tolist(), strict=True)):
             segment = body[x:y]
             number = self.seen.get(segment)
@@ -355,14 +375,13 @@ class Shard:
                 number = self.seen[segment] = self.count
                 self.count += 1
                 fresh.append(segment)
-                which.append(k)
             place[k] = number
         if fresh:
             # symbols: bytes from 2, the end of a segment 1
             size = np.fromiter(map(len, fresh), np.int64, len(fresh))
             own = np.frombuffer(b"".join(fresh), np.uint8).astype(np.uint16) + np.uint16(2)
             self.text.put(0, (np.insert(own, np.cumsum(size), np.uint16(1)),))
-            self.sizes.put(0, (size, anchor[which]))
+            self.sizes.put(0, (size,))
         self.rows.put(0, (place[of], ids, starts))
 
     def _filled(self, n: int, dtype, parts: Iterator[np.ndarray]) -> np.ndarray:
@@ -412,63 +431,107 @@ class Shard:
             close()
         return best
 
-    def _compared(self, size: np.ndarray) -> np.ndarray:
-        """Numbers of the segments that share their anchor with another one."""
-        anchor = self._filled(self.count, np.uint64, (m for _, m in self.sizes.each(0)))
-        order = np.argsort(anchor, kind="stable")
-        own = anchor[order]
-        same = own[1:] == own[:-1]
-        return np.sort(order[np.r_[False, same] | np.r_[same, False]])
-
-    def _text(self, size: np.ndarray, pick: np.ndarray) -> np.ndarray:
-        """The picked segments end to end, each with its end symbol, and the end of all."""
-        whole = self._filled(int((size + 1).sum()), np.uint16, (t for (t,) in self.text.each(0)))
-        wanted = np.zeros(self.count, bool)
-        wanted[pick] = True
-        x = self.scratch.array(int((size[pick] + 1).sum()) + 1, np.uint16)
-        step, begin, at = 1 << 16, 0, 0
-        for a in range(0, self.count, step):
-            length = size[a : a + step] + 1
-            stop = begin + int(length.sum())
-            part = whole[begin:stop][np.repeat(wanted[a : a + step], length)]
-            x[at : at + len(part)] = part
-            begin, at = stop, at + len(part)
-        x[-1] = 0
-        return x
+    def _stretches(self, x: np.ndarray) -> np.ndarray:
+        """Marks the symbols that windows of a hash found twice cover; in two passes over the text."""
+        n, step = len(x), 1 << 20
+        slots = 1 << min(26, max(16, (4 * n).bit_length()))
+        once, twice = np.zeros(slots, bool), np.zeros(slots, bool)
+        marks = self.scratch.array(n, np.int32)
+        covered = self.scratch.array(n, bool)
+        covered[:] = False
+        for a in range(0, n - LENGTH + 1, step):
+            b = min(n - LENGTH + 1, a + step)
+            part = np.asarray(x[a : b + LENGTH - 1])
+            slot = (window_hashes(part) >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(part == 1)])
+            slot[ends[LENGTH:] > ends[:-LENGTH]] = -1
+            marks[a:b] = slot
+            count = np.bincount(slot[slot >= 0], minlength=slots)
+            twice |= (once & (count > 0)) | (count > 1)
+            once |= count > 0
+        for a in range(0, n - LENGTH + 1, step):
+            b = min(n - LENGTH + 1, a + step)
+            slot = np.asarray(marks[a:b])
+            starts = np.zeros(b - a + LENGTH, np.int32)
+            starts[: b - a] = twice[slot] & (slot >= 0)
+            reach = np.cumsum(starts)
+            reach[LENGTH:] -= reach[:-LENGTH].copy()
+            covered[a : b + LENGTH - 1] |= reach[: b - a + LENGTH - 1] > 0
+        return covered
+
+    def _pieces(self, x: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each covered stretch begins and stops, and the stretches end to end, each with its end
+        symbol, and the end of all."""
+        begins, stops, texts = [], [], Buckets(self.scratch, 1, (np.uint16,))
+        step, before = 1 << 20, False
+        for a in range(0, len(x), step):
+            own = np.asarray(covered[a : a + step])
+            turn = np.flatnonzero(own != np.concatenate([[before], own[:-1]]))
+            begins.append(turn[own[turn]] + a)
+            stops.append(turn[~own[turn]] + a)
+            part = np.where(own, x[a : a + step], 1).astype(np.uint16)
+            keep = own.copy()
+            keep[turn] = True
+            texts.put(0, (part[keep],))
+            before = bool(own[-1])
+        begin, stop = np.concatenate(begins), np.concatenate(stops)
+        joined = self.scratch.array(int((stop - begin + 1).sum()) + 1, np.uint16)
+        at = 0
+        for (part,) in texts.each(0):
+            joined[at : at + len(part)] = part
+            at += len(part)
+        joined[-1] = 0
+        return begin, stop, joined
 
     def solve(self) -> Iterator[pa.RecordBatch]:
         """(doc_id, begin, stop) of runs of windows that also start in a text of smaller id."""
         self.seen = {}
         with self.scratch:
-            all_sizes = self._filled(self.count, np.int64, (s for s, _ in self.sizes.each(0)))
-            all_least = np.full(self.count, np.iinfo(np.int64).max)
+            size = self._filled(self.count, np.int64, (s for (s,) in self.sizes.each(0)))
+            least = np.full(self.count, np.iinfo(np.int64).max)
             for which, ids, _ in self.rows.each(0):
-                np.minimum.at(all_least, which, ids)
-            pick = self._compared(all_sizes)
-            place = np.full(self.count, -1, np.int64)
-            place[pick] = np.arange(len(pick))
-            size, least = all_sizes[pick], all_least[pick]
-            windows = size - LENGTH + 1
-            base = np.cumsum(size + 1) - size - 1
-            x = self._text(all_sizes, pick)
-            n = len(x) - 1
-            best = lowest = np.empty(0, np.int64)
-            if len(pick):
-                of = self._filled(n + 1, np.int32 if len(pick) < 2**31 else np.int64, self._owners(size))
-                best = self._least_windows(x, of, base, windows, least)
-                lowest = np.empty(len(pick), np.int64)
-                step = 1 << 16
-                for a in range(0, len(pick), step):
-                    b = min(len(pick), a + step)
-                    begin, stop = int(base[a]), int(base[b]) if b < len(pick) else n
-                    own = of[begin:stop]
-                    window = np.arange(begin, stop) - base[own] < windows[own]
-                    lowest[a:b] = np.minimum.reduceat(np.where(window, best[begin:stop], np.iinfo(np.int64).max), base[a:b] - begin)
+                np.minimum.at(least, which, ids)
+            ends = np.cumsum(size + 1)
+            whole = self._filled(int(ends[-1]), np.uint16, (t for (t,) in self.text.each(0)))
+            begin, stop, x = self._pieces(whole, self._stretches(whole))
+            segment = np.searchsorted(ends, begin, "right")
+            offset = begin - (ends - size - 1)[segment]
+            gone, first, last = self._smaller_elsewhere(x, stop - begin, least[segment])
+            # a copy under another id than the least goes whole; the least one loses what is smaller elsewhere
+            by = segment[gone]
+            count = np.bincount(by, minlength=self.count)
+            lead = np.cumsum(count) - count
+            from_, to = offset[gone] + first, offset[gone] + last + LENGTH
             for which, ids, starts in self.rows.each(0, 1 << 15):
-                alone = place[which] < 0
-                goes = alone & (all_least[which] < ids)
-                yield _spans(ids[goes], starts[goes], starts[goes] + all_sizes[which[goes]])
-                yield self._removed(best, base, windows, lowest, place[which[~alone]], ids[~alone], starts[~alone])
+                later = ids > least[which]
+                yield _spans(ids[later], starts[later], starts[later] + size[which[later]])
+                own = which[~later]
+                row = np.repeat(np.arange(len(own)), count[own])
+                span = lead[own][row] + np.arange(len(row)) - np.repeat(np.cumsum(count[own]) - count[own], count[own])
+                yield _spans(ids[~later][row], starts[~later][row] + from_[span], starts[~later][row] + to[span])
+
+    def _smaller_elsewhere(self, x: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of windows of the pieces that a piece of smaller id has too: piece, first and last window."""
+        found: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
+        if len(size):
+            base = np.cumsum(size + 1) - size - 1
+            of = self._filled(len(x), np.int32 if len(size) < 2**31 else np.int64, self._owners(size))
+            best = self._least_windows(x, of, base, size - LENGTH + 1, least)
+            step = 1 << 16
+            for a in range(0, len(size), step):
+                b = min(len(size), a + step)
+                lo, hi = int(base[a]), int(base[b]) if b < len(size) else len(x) - 1
+                own = np.asarray(of[lo:hi])
+                at = np.arange(lo, hi) - base[own]
+                place = np.flatnonzero((at <= size[own] - LENGTH) & (best[lo:hi] < least[own]))
+                if len(place):
+                    # the end symbol of a piece is no window, so runs don't cross pieces
+                    head = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1] + 1]))
+                    tail = np.concatenate([head[1:], [len(place)]]) - 1
+                    for column, values in zip(found, (own[place[head]], at[place[head]], at[place[tail]]), strict=True):
+                        column.append(values.astype(np.int64))
+        piece, first, last = (np.concatenate(c) for c in found)
+        return piece, first, last
 
     @staticmethod
     def _owners(size: np.ndarray) -> Iterator[np.ndarray]:
@@ -478,21 +541,6 @@ class Shard:
             yield np.repeat(np.arange(a, min(len(size), a + step)), size[a : a + step] + 1)
         yield np.array([len(size) - 1])
 
-    @staticmethod
-    def _removed(best, base, windows, lowest, which, ids, starts) -> pa.RecordBatch:
-        live = np.flatnonzero(lowest[which] < ids)
-        which, ids, starts = which[live], ids[live], starts[live]
-        count = windows[which]
-        row = np.repeat(np.arange(len(which)), count)
-        inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        place = np.flatnonzero(best[base[which][row] + inside] < ids[row])
-        if not len(place):
-            return _spans(place, place, place)
-        head = np.flatnonzero(np.r_[True, (place[1:] != place[:-1] + 1) | (row[place[1:]] != row[place[:-1]])])
-        tail = np.r_[head[1:], len(place)] - 1
-        r = row[place[head]]
-        return _spans(ids[r], starts[r] + inside[place[head]], starts[r] + inside[place[tail]] + LENGTH)
-
 
 def _spans(ids: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (ids, begin, stop)], ["doc_id", "begin", "stop"])
