@@ -101,7 +101,7 @@ def hybrid_chunks(
     elif lexical is None:
         both = vector.withColumn("bm25", F.lit(0.0))
     else:
-        both = vector.join(lexical, ["query_id", "chunk_id"], "full_outer").fillna(0.0, ["similarity", "bm25"])
+        both = vector.join(lexical.hint("merge"), ["query_id", "chunk_id"], "full_outer").fillna(0.0, ["similarity", "bm25"])
     fusion = vector_weight * F.col("similarity") + bm25_weight * F.col("bm25")
     return both.withColumn("fusion", F.round(fusion, 9))
 

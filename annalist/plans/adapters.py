@@ -107,15 +107,15 @@ chunks AS (SELECT d.doc_id chunk_id, cast(d.doc_id // 3 AS varchar) doc_id, cast
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query a benchmark item: its first six words, and the vector of its id."""
+    """One query a benchmark item: its whole text, and the vector of the id modulo the vectors."""
     items, vecs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "embeddings")
-    own = items.select(F.col("item_id").cast("string").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ").alias("query_text"), F.col("item_id").alias("vec_id"))
-    return own.join(vecs.select("vec_id", F.col("embedding").alias("query_vector")).hint("merge"), "vec_id").drop("vec_id")
+    own = items.select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query_text"), (F.col("item_id") % vecs.count()).alias("vec_id"))
+    return own.join(vecs.select("vec_id", F.col("embedding").alias("query_vector")).hint("merge"), "vec_id", "left").drop("vec_id")
 
 
 QUERY_SQL = """
-asked AS (SELECT cast(item_id AS varchar) query_id, array_to_string(regexp_split_to_array(text, '\\s+')[1:6], ' ') query_text,
-  e.embedding::DOUBLE[] query_vector FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)
+asked AS (SELECT cast(item_id AS varchar) query_id, text query_text, e.embedding::DOUBLE[] query_vector
+  FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id % (SELECT count(*) FROM embeddings))
 """
 
 TASK_COLUMNS = {

@@ -72,7 +72,7 @@ def assemble_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def search_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.col("source").alias("title"), F.col("text").alias("text_content"))
-    words = read(spark, sf_dir, "benchmark").select(F.explode(F.slice(F.split("text", r"\s+"), 1, 2)).alias("keyword"))
+    words = read(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("keyword")).filter("keyword <> ''")
     return search.search_news(words, articles).select("keyword", "article_id", "rank", F.round("score", 6).alias("score"))
 
 
