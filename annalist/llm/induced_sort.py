@@ -226,9 +226,9 @@ class Lows:
         """The least of values first to last, both included."""
         if not self.exact:
             return np.where(self.sums[last + 1] == self.sums[first], np.uint8(EQUAL), np.uint8(0))
-        j = Lows._log[last - first + 1]
+        j = Lows._log.take(last - first + 1)
         flat, row = self.rows.ravel(), j.astype(np.int64) * self.n
-        return np.minimum(flat[row + first], flat[row + last + 1 - (1 << j.astype(np.int64))])
+        return np.minimum(flat.take(row + first), flat.take(row + last + 1 - (1 << j.astype(np.int64))))
 
 
 def common(x: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, depth: int) -> np.ndarray:
@@ -262,8 +262,8 @@ class Scan:
         self.last: tuple[int, int, int] | None = None  # symbol, kind and position visited last
 
     def symbols(self, at: np.ndarray) -> np.ndarray:
-        own = self.x[at].astype(np.int32)
-        return self.top - own if self.flipped else own
+        own = self.x.take(at, mode="wrap").astype(np.int32)
+        return np.subtract(self.top, own, out=own) if self.flipped else own
 
     def bucket_of(self, symbol: np.ndarray) -> np.ndarray:
         return self.grid.of[self.top - symbol if self.flipped else symbol]

@@ -51,6 +51,8 @@ SPREAD = LENGTH - GRAM + 1  # grams in a window
 STEP = 2 << 20
 #: Bytes of texts a bucket of anchors, a shard of segments, and a task of either.
 BUCKET_BYTES, SHARD_BYTES, TASK_BYTES = 6 << 20, 3 << 20, 256 << 20
+#: Positions hashed at a time, so that the steps of a hash stay in the processor's cache.
+CACHED = 1 << 14
 #: Distinct segments that a shard remembers to collapse copies; beyond it remembers anew.
 MEMO_SEGMENTS = 400_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -108,9 +110,10 @@ def window_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     data is at least LENGTH long. The anchor of a window is its leftmost gram of least hash.
     """
-    h = gram_hashes(data)
-    least = _sliding_min(h, SPREAD)
-    n = len(least)
+    n = len(data) - LENGTH + 1
+    least = np.empty(n, np.uint64)
+    for a in range(0, n, CACHED):
+        least[a : a + CACHED] = _sliding_min(gram_hashes(data[a : a + CACHED + LENGTH - 1]), SPREAD)
     turn = np.flatnonzero(least[1:] != least[:-1]) + 1
     starts = np.r_[0, turn]
     # a run of one least value may hold several grams of that value: cut where the leftmost leaves
@@ -121,7 +124,7 @@ def window_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     extra_hash: list[np.ndarray] = []
     for g in long:
         a, b = int(starts[g]), int(stops[g])
-        spots = np.flatnonzero(h[a : b - 1 + SPREAD] == least[a]) + a
+        spots = np.flatnonzero(gram_hashes(data[a : b + LENGTH - 1]) == least[a]) + a
         lead = spots[np.searchsorted(spots, np.arange(a, b))]
         cut = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]]) + a
         extra_start.append(cut)
@@ -169,7 +172,7 @@ def _groups(starts: np.ndarray, data: np.ndarray):
     first = np.concatenate([first, edge])
     at = np.searchsorted(first[: len(anchor)], edge, "right") - 1
     anchor, row = np.concatenate([anchor, anchor[at]]), np.concatenate([row, np.arange(1, len(starts) - 1)])
-    order = np.lexsort((np.r_[np.zeros(len(first) - len(edge)), np.ones(len(edge))], first))
+    order = np.argsort(first, kind="stable")  # an edge comes behind a group that starts there, and stays
     first, anchor, row = first[order], anchor[order], row[order]
     keep = np.r_[first[1:] != first[:-1], True]
     first, anchor, row = first[keep], anchor[keep], row[keep]
@@ -282,11 +285,14 @@ def _dealt(rows: DataFrame, n_tasks: int, *by: str) -> DataFrame:
     return dealt.sortWithinPartitions(*by)
 
 
-def _wide(blobs: list[bytes]) -> Iterator[np.ndarray]:
+def _wide(blobs: list[bytes]) -> np.ndarray:
     """bucket << 32 | key of the anchors in blobs of shared_anchors."""
-    for blob in blobs:
-        own = np.frombuffer(blob, np.uint32).astype(np.uint64)
-        yield (own[0] << np.uint64(32)) | own[1:]
+    size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+    flat = np.frombuffer(b"".join(blobs), np.uint32).astype(np.uint64)
+    head = np.cumsum(size) - size
+    keys = np.ones(len(flat), bool)
+    keys[head] = False
+    return (np.repeat(flat[head], size - 1) << np.uint64(32)) | flat[keys]
 
 
 #: The buffers of one batch of segments for one shard, and their types.
@@ -308,8 +314,10 @@ def segments(texts: DataFrame, shared: DataFrame, n_buckets: int, n_shards: int)
             ids, offsets, starts, data = _joined(pieces)
             first, anchor, windows, row = _groups(starts, data)
             own = (_bucket(anchor, n_buckets).astype(np.uint64) << np.uint64(32)) | _key(anchor)
-            wanted = np.unique(np.concatenate([w for p in pieces for w in _wide(p[3])]))
-            pick = np.isin(own, wanted)
+            wanted = np.sort(_wide([blob for p in pieces for blob in p[3]]))
+            spot = np.searchsorted(wanted, own)
+            pick = spot < len(wanted)
+            pick[pick] = wanted[spot[pick]] == own[pick]
             first, anchor, windows, row = first[pick], anchor[pick], windows[pick], row[pick]
             shard = (anchor % np.uint64(n_shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
@@ -433,9 +441,9 @@ class Shard:
 
     def _stretches(self, x: np.ndarray) -> np.ndarray:
         """Marks the symbols that windows of a hash found twice cover; in two passes over the text."""
-        n, step = len(x), 1 << 20
+        n, step = len(x), 4 * CACHED
         slots = 1 << min(26, max(16, (4 * n).bit_length()))
-        once, twice = np.zeros(slots, bool), np.zeros(slots, bool)
+        once, twice, last = np.zeros(slots, bool), np.zeros(slots, bool), np.empty(slots, np.int32)
         marks = self.scratch.array(n, np.int32)
         covered = self.scratch.array(n, bool)
         covered[:] = False
@@ -446,14 +454,17 @@ class Shard:
             ends = np.concatenate([[0], np.cumsum(part == 1)])
             slot[ends[LENGTH:] > ends[:-LENGTH]] = -1
             marks[a:b] = slot
-            count = np.bincount(slot[slot >= 0], minlength=slots)
-            twice |= (once & (count > 0)) | (count > 1)
-            once |= count > 0
+            own = slot[slot >= 0]
+            # of windows of one slot the last one written stays, so any other one finds it there
+            number = np.arange(len(own), dtype=np.int32)
+            last[own] = number
+            twice[own[once.take(own) | (last.take(own) != number)]] = True
+            once[own] = True
         for a in range(0, n - LENGTH + 1, step):
             b = min(n - LENGTH + 1, a + step)
             slot = np.asarray(marks[a:b])
             starts = np.zeros(b - a + LENGTH, np.int32)
-            starts[: b - a] = twice[slot] & (slot >= 0)
+            starts[: b - a] = twice.take(slot, mode="wrap") & (slot >= 0)
             reach = np.cumsum(starts)
             reach[LENGTH:] -= reach[:-LENGTH].copy()
             covered[a : b + LENGTH - 1] |= reach[: b - a + LENGTH - 1] > 0
