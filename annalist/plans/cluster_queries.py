@@ -38,14 +38,11 @@ def cosine_pairs_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH v AS MATERIALIZED (SELECT vec_id id, embedding::DOUBLE[] vec FROM embeddings),
-s AS (SELECT q.id query_id, v.id, list_cosine_similarity(q.vec, v.vec) similarity FROM v q JOIN v ON q.id % 50 = 0 AND v.id <> q.id AND v.id % 50 <> 0),
+s AS (SELECT q.id query_id, v.id, list_cosine_similarity(q.vec, v.vec) similarity FROM v q JOIN v ON q.id % 50 = 0 AND v.id <> q.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) rank FROM s WHERE similarity > 0.2)
 SELECT query_id, id, round(similarity, 8) similarity, cast(rank AS int) rank FROM r WHERE rank <= 5""")
 def nearest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector whose id is divisible by 50 as a query against all others, other queries included.
-
-    The SQL leaves all queries out of the searched side, so it has fewer or other neighbours.
-    """
+    """Every vector whose id is divisible by 50 as a query against all others, other queries included."""
     own = vectors(spark, sf_dir)
     asked = own.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
     found = pairs.nearest_events(asked, own.select("id", "vector"), 6, 0.2).filter("id <> query_id")  # one more, as a query may find itself

@@ -190,17 +190,17 @@ def _entity_world(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     requests = c.select(name.alias("name"), lang.alias("language"), F.when(k % 2 == 0, "PERSON").otherwise("PLACE").alias("entity_type"))
     documents = c.filter(k % 5 == 0).select(name.alias("title"), lang.alias("language"), F.concat(F.lit("x"), k.cast("string")).alias("entity_id"))
     pages = c.filter(k % 7 != 0).select(
-        name.alias("title"), lang.alias("language"), F.concat(F.lit("Q"), (k % 900).cast("string")).alias("kb_id"), (k % 11 == 0).alias("is_disambiguation")
+        name.alias("title"), lang.alias("language"), F.concat(F.lit("Q"), (k - k % 2).cast("string")).alias("kb_id"), (k % 11 == 0).alias("is_disambiguation")
     )
     kind = F.when(k % 4 == 0, entities.UNKNOWN).otherwise("ORG").alias("entity_type")
-    known = c.filter(k % 3 == 0).filter(k < 900).select(F.concat(F.lit("x"), k.cast("string")).alias("id"), name.alias("entity_name"), kind, F.concat(F.lit("Q"), k.cast("string")).alias("wikibase_item"))
+    known = c.filter(k % 3 == 0).select(F.concat(F.lit("x"), k.cast("string")).alias("id"), name.alias("entity_name"), kind, F.concat(F.lit("Q"), k.cast("string")).alias("wikibase_item"))
     return requests, documents, pages, known
 
 
 _WORLD = """
 WITH c AS (SELECT c_custkey k, c_name name, ['en', 'de', 'fr'][cast(c_custkey % 3 + 1 AS int)] lang, CASE WHEN c_custkey % 2 = 0 THEN 'PERSON' ELSE 'PLACE' END et FROM customer),
-known AS (SELECT 'x' || k id, CASE WHEN k % 4 = 0 THEN 'UNKNOWN' ELSE 'ORG' END kt, 'Q' || k kb FROM c WHERE k % 3 = 0 AND k < 900),
-found AS (SELECT c.*, CASE WHEN k % 5 = 0 THEN 'x' || k END by_title, CASE WHEN k % 7 <> 0 THEN 'Q' || (k % 900) END kb, k % 7 <> 0 AND k % 11 = 0 dis FROM c),
+known AS (SELECT 'x' || k id, CASE WHEN k % 4 = 0 THEN 'UNKNOWN' ELSE 'ORG' END kt, 'Q' || k kb FROM c WHERE k % 3 = 0),
+found AS (SELECT c.*, CASE WHEN k % 5 = 0 THEN 'x' || k END by_title, CASE WHEN k % 7 <> 0 THEN 'Q' || (k - k % 2) END kb, k % 7 <> 0 AND k % 11 = 0 dis FROM c),
 stat AS (SELECT f.*, n.id kb_entity, CASE WHEN by_title IS NOT NULL THEN 200 WHEN dis THEN 300 WHEN n.id IS NOT NULL THEN 202 WHEN f.kb IS NOT NULL THEN 201 ELSE 500 END status FROM found f LEFT JOIN known n ON n.kb = f.kb),
 done AS (SELECT *, CASE status WHEN 200 THEN by_title WHEN 202 THEN kb_entity WHEN 201 THEN sha256('entity-' || kb) END entity_id FROM stat)
 """
@@ -224,7 +224,7 @@ def new_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, _, known = _entity_world(spark, sf_dir)
     k = F.col("c_custkey")
     candidates = a.read(spark, sf_dir, "customer").filter(k % 7 != 0).select(
-        F.col("c_name").alias("name"), F.when(k % 2 == 0, "PERSON").otherwise("PLACE").alias("entity_type"), F.concat(F.lit("Q"), (k % 900).cast("string")).alias("kb_id"),
+        F.col("c_name").alias("name"), F.when(k % 2 == 0, "PERSON").otherwise("PLACE").alias("entity_type"), F.concat(F.lit("Q"), (k - k % 2).cast("string")).alias("kb_id"),
         F.concat(F.lit("u"), k.cast("string")).alias("url"), F.lit("web").alias("source_type"), k.alias("seq"),
     )
     documents = candidates.filter("seq % 2 = 0").select(F.col("url").alias("wikipedia_url"), "source_type")

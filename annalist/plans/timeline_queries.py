@@ -63,9 +63,9 @@ def valid_timeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _world(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Parts as events, line items as raw events, suppliers as entities and customers' nations as documents."""
     li = a.read(spark, sf_dir, "lineitem")
-    raw_id = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
+    raw_id = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     snippet = F.when(F.col("l_linenumber") == 1, " ").otherwise(F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" line "), F.col("l_linenumber").cast("string")))
-    raw = li.select(raw_id.alias("id"), (F.col("l_suppkey") % 30).cast("string").alias("source_document_id"), snippet.alias("source_text_snippet")).dropDuplicates(["id"])
+    raw = li.select(raw_id.alias("id"), (F.col("l_suppkey") % 30).cast("string").alias("source_document_id"), snippet.alias("source_text_snippet")).distinct()
     nations = a.read(spark, sf_dir, "nation")
     date_info = F.struct(
         F.lit("").alias("original_text"), F.lit("").alias("display_text"), F.lit("year").alias("precision"), (F.col("p_partkey") % 2000 + 1).cast("int").alias("start_year"),
@@ -87,10 +87,10 @@ def _hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.hydrate_events(w["events"], w["event_entities"], w["entities"], w["event_raw"], w["raw"], w["documents"])
 
 
-_RAW = "raw AS (SELECT DISTINCT l_partkey, l_orderkey || '-' || l_linenumber || '-' || l_partkey rid, cast(l_suppkey % 30 AS varchar) doc, l_linenumber FROM lineitem)"
+_RAW = "raw AS (SELECT DISTINCT l_partkey, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey rid, cast(l_suppkey % 30 AS varchar) doc, l_linenumber FROM lineitem)"
 
 
-@query(f"""WITH {_RAW}, one AS (SELECT l_partkey, rid, min(doc) doc FROM raw GROUP BY 1, 2)
+@query(f"""WITH {_RAW}
 SELECT cast(p_partkey AS varchar) id, (SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_partkey = p_partkey) n_entities,
  (SELECT count(DISTINCT rid) FROM raw WHERE l_partkey = p_partkey) n_raw FROM part""")
 def hydrate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +108,7 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VIEW = f"""
-WITH {_RAW}, own AS (SELECT l_partkey, rid, doc, CASE WHEN l_linenumber = 1 THEN NULL ELSE 'part ' || l_partkey || ' line ' || l_linenumber END snip FROM raw
-  WHERE rid IN (SELECT rid FROM raw GROUP BY 1 HAVING count(*) = 1)),
+WITH {_RAW}, own AS (SELECT l_partkey, rid, doc, CASE WHEN l_linenumber = 1 THEN NULL ELSE 'part ' || l_partkey || ' line ' || l_linenumber END snip FROM raw),
 last AS (SELECT l_partkey, CASE WHEN cast(doc AS int) < 25 THEN 'src_' ELSE 'src_' END || doc ref, arg_max(snip, rid) snip FROM own WHERE snip IS NOT NULL GROUP BY 1, 2),
 snips AS (SELECT l_partkey, string_agg(ref || '=' || snip, ';' ORDER BY ref) source_snippets, count(*) > 1 is_merged FROM last GROUP BY 1),
 links AS (SELECT l_orderkey, l_partkey, l_linenumber, round(l_discount * 10, 2) relevance_score FROM lineitem)
@@ -119,15 +118,7 @@ links AS (SELECT l_orderkey, l_partkey, l_linenumber, round(l_discount * 10, 2)
 @query(f"""{_VIEW} SELECT cast(l_orderkey AS varchar) viewpoint_id, cast(l_partkey AS varchar) event_id, l_linenumber sequence_order, relevance_score, p_name description,
  coalesce(source_snippets, '') source_snippets, coalesce(is_merged, false) is_merged FROM links JOIN part ON p_partkey = l_partkey LEFT JOIN snips USING (l_partkey)""")
 def timeline_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw events whose key is not unique in the test table are left out on both sides."""
-    w = _world(spark, sf_dir)
-    li = a.read(spark, sf_dir, "lineitem")
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
-    rows = li.select(key.alias("raw_event_id"), (F.col("l_suppkey") % 30).alias("d")).distinct()
-    single = rows.groupBy("raw_event_id").count().filter("count = 1").select("raw_event_id")
-    links = w["event_raw"].join(single.hint("merge"), "raw_event_id", "left_semi")
-    hydrated = timeline.hydrate_events(w["events"], w["event_entities"], w["entities"], links, w["raw"], w["documents"])
-    view = timeline.timeline_view(a.viewpoint_links(spark, sf_dir), hydrated)
+    view = timeline.timeline_view(a.viewpoint_links(spark, sf_dir), _hydrated(spark, sf_dir))
     shown = F.array_join(F.transform(F.map_entries("source_snippets"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return view.select("viewpoint_id", "event_id", "sequence_order", "relevance_score", "description", shown.alias("source_snippets"), "is_merged")
 
