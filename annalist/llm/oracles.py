@@ -120,6 +120,39 @@ SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || c
  cast(sum(n) AS bigint) formatted_chars, 0::BIGINT n_attachments, 0::BIGINT attachment_tokens FROM e GROUP BY 1
 """
 
+# crc32 of the decimal id: each character is mixed in, then eight shifts follow
+_CRC = """xor(4294967295::UBIGINT, list_reduce(list_concat([4294967295::UBIGINT], flatten(list_transform(string_split(cast(doc_id AS varchar), ''), lambda x: [ascii(x)::UBIGINT + 1, 0, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, e: CASE WHEN e > 0 THEN xor(c, e - 1) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END))"""
+
+OP11 = f"""
+WITH w AS (SELECT row_number() OVER () r, doc_id, {_WORDS} ws, {_CRC} h FROM documents),
+g AS (SELECT *, cast(len(ws) AS bigint) n, cast(h // 10 AS bigint) g FROM w),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END a, 3 + g % 8 b FROM g),
+p AS (SELECT r, doc_id, n, a, 1 + (n - a) // b p, ws FROM a),
+x AS MATERIALIZED (SELECT r, n, i, CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END word FROM (SELECT *, unnest(range(0, n)) i FROM p)),
+same AS (SELECT x.r, x.i, y.i - x.i q FROM x JOIN x y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+held AS (SELECT r, q, min(i) s, count(*) + q len FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) k FROM same) GROUP BY r, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS MATERIALIZED (SELECT * FROM held o WHERE NOT EXISTS (SELECT 1 FROM held i WHERE i.r = o.r AND i.q < o.q AND i.s <= o.s AND i.s + i.len >= o.s + o.len)),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + len)) i FROM run),
+best AS (SELECT r, count(*) n_runs, arg_max({{'s': s, 'len': len, 'q': q}}, {{'len': len, 's': -s, 'q': -q}}) b, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) listed FROM run GROUP BY r),
+kept AS (SELECT x.r, string_agg(word, ' ' ORDER BY x.i) t FROM x LEFT JOIN gone USING (r, i) WHERE gone.i IS NULL GROUP BY x.r)
+SELECT doc_id, coalesce(n_runs, 0) n_runs, b.s AS "start", b.len AS "length", b.q AS period, 1000 * b.len // b.q exponent_milli, sha256(coalesce(listed, '')) runs_sha256, sha256(coalesce(t, '')) collapsed_sha256
+FROM w LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () r, doc_id, {_TERMS} ts FROM documents),
+tf AS MATERIALIZED (SELECT r, t, count(*) tf FROM (SELECT r, unnest(ts) t FROM d) GROUP BY ALL),
+n AS (SELECT count(*) big_n, coalesce(sum(len(ts)), 0)::BIGINT big_l FROM d WHERE len(ts) > 0),
+w AS (SELECT t, cast(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS bigint) w FROM (SELECT t, count(*) df FROM tf GROUP BY t), n),
+m AS (SELECT r, doc_id, 50 + (50 * len(ts) * big_n) // big_l m FROM d, n WHERE len(ts) > 0),
+item AS (SELECT k, item_id, unnest(list_distinct(ts)) t FROM (SELECT row_number() OVER () k, item_id, {_TERMS} ts FROM benchmark)),
+s AS (SELECT k, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT score FROM item JOIN tf USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS "rank" FROM s WHERE score > 0)
+SELECT item_id, cast("rank" AS int) AS "rank", doc_id, score FROM ranked WHERE "rank" <= 50
+"""
+
 ORACLES = {
     "op1_ngram_join": OP1,
     "op2_url_filters": OP2,
@@ -128,4 +161,6 @@ ORACLES = {
     "op7_quality_rules": OP7,
     "op8_decontamination": OP8,
     "op10_chat_formatting": OP10,
+    "op11_periodic_runs": OP11,
+    "op12_lexical_search": OP12,
 }

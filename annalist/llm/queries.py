@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, decontam, mil, ngram_join, packing, quality_rules, secrets, suffix_dedup, url_filters, warc
+from annalist.llm import chat, decontam, langid, lexical, mil, ngram_join, packing, periods, quality_rules, secrets, suffix_dedup, url_filters, warc
 from annalist.llm.common import table
 from annalist.llm.oracles import ORACLES
 
@@ -98,6 +98,24 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(chat.as_parts(rows.union(extra))))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, a tenth of which get a repeated tail."""
+    docs = periods.with_repetitions(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return periods.digests(periods.find(docs))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    labelled = langid.label(docs, langid.train(docs))
+    return labelled.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_url_filters": op2_url_filters,
@@ -109,6 +127,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_language_id": op13_language_id,
 }
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_files"]
