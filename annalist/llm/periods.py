@@ -5,7 +5,7 @@ and can't be extended on either side.
 
 1. Words become numbers. Of a batch of texts those stretches are kept in which a run can lie: inside a run every
    5-gram, or for periods below five every word, comes again at the period's distance. The test is made
-   for each power of two of the period, so a stretch is kept only if the repetition is as long as a run of that
+   for ranges of the period, each up to ``WIDER`` times its least, so a stretch is kept only if the repetition is as long as a run of that
    period must be. It keeps every run whole, and little else.
 2. The suffix automaton of a stretch is built. Its suffix links are a tree, and the words are replayed on it by the
    access operation of link-cut trees: the path from the state of a prefix to the root gets the place of the
@@ -39,7 +39,7 @@ from annalist.llm.shingles import ngrams
 LEAST_LENGTH, LEAST_POWER = 6, 4
 #: Words of texts whose stretches are looked for together.
 STEP_WORDS = 200_000
-_GRAM = 5
+_GRAM, WIDER = 5, 2**0.5
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 RUN = "struct<start: bigint, length: bigint, period: bigint>"
 _RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
@@ -79,14 +79,16 @@ def covered(codes: np.ndarray) -> np.ndarray:
         mark(first, last + q + 1)
     if n >= _GRAM:
         far = _last_seen(ngrams(codes.astype(np.uint64) * _SPREAD, _GRAM))
-        top = 2 * (_GRAM - 1)
-        while LEAST_POWER * (top // 2 + 1) <= n:
-            least = (LEAST_POWER - 1) * (top // 2 + 1) - _GRAM + 1
-            near = far <= top
-            if np.count_nonzero(near) >= least:
-                first, last = _stretches(near, least)
-                mark(first - top, last + _GRAM)
-            top *= 2
+        place = np.flatnonzero(far <= n // LEAST_POWER)
+        far, low = far[place], _GRAM
+        while LEAST_POWER * low <= n:
+            top = max(low, int(low * WIDER))
+            near = place[far <= top]
+            turn = np.flatnonzero(np.diff(near) > 1)
+            first, last = near[np.append(0, turn + 1)[: len(near)]], near[np.append(turn, len(near) - 1)[: len(near)]]
+            long = last - first + 1 >= (LEAST_POWER - 1) * low - _GRAM + 1
+            mark(first[long] - top, last[long] + _GRAM)
+            low = top + 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -94,35 +96,33 @@ class SuffixAutomaton:
     """States 1 (the root) and up, of a list of numbers; ``prefix[i]`` is the state of words 0..i."""
 
     def __init__(self, codes: list[int]):
-        self.link, self.length = array("i", [0, 0]), array("i", [0, 0])
-        self.prefix = array("i")
+        link, length, prefix = array("i", [0, 0]), array("i", [0, 0]), array("i")
         moves: list[dict[int, int]] = [{}, {}]
-        link, length = self.link, self.length
         last = 1
-        for code in codes:
+        for size, code in enumerate(codes, 1):
             new = len(moves)
             moves.append({})
-            length.append(length[last] + 1)
-            link.append(1)
+            length.append(size)
             at = last
             while at and code not in moves[at]:
                 moves[at][code] = new
                 at = link[at]
-            if at:
-                to = moves[at][code]
-                if length[to] != length[at] + 1:
-                    copy = len(moves)
-                    moves.append(moves[to].copy())
-                    length.append(length[at] + 1)
-                    link.append(link[to])
-                    link[to] = copy
-                    while at and moves[at].get(code) == to:
-                        moves[at][code] = copy
-                        at = link[at]
-                    to = copy
-                link[new] = to
-            self.prefix.append(new)
+            to = moves[at][code] if at else 1
+            if at and length[to] != length[at] + 1:
+                copy = len(moves)
+                moves.append(moves[to].copy())
+                length.append(length[at] + 1)
+                link.append(copy)
+                link.append(link[to])
+                link[to] = copy
+                while at and moves[at].get(code) == to:
+                    moves[at][code] = copy
+                    at = link[at]
+            else:
+                link.append(to)
+            prefix.append(new)
             last = new
+        self.link, self.length, self.prefix = link, length, prefix
 
 
 class PathColours:
@@ -171,16 +171,19 @@ class PathColours:
 
     def access(self, state: int, colour: int) -> list[tuple[int, int]]:
         """Gives the path the colour; (deepest state, former colour) of the segments it crosses."""
+        up, left, right, colours = self.up, self.left, self.right, self.colour
         crossed, below = [], 0
         while state:
-            self._splay(state)
-            deeper = self.right[state]
+            above = up[state]
+            if above and (left[above] == state or right[above] == state):
+                self._splay(state)
+            deeper = right[state]
             if deeper:
-                self.colour[deeper] = self.colour[state]
-            self.right[state] = below
-            crossed.append((state, self.colour[state]))
-            below, state = state, self.up[state]
-        self.colour[below] = colour
+                colours[deeper] = colours[state]
+            right[state] = below
+            crossed.append((state, colours[state]))
+            below, state = state, up[state]
+        colours[below] = colour
         return crossed
 
 
@@ -191,7 +194,7 @@ def runs_of(codes: list[int]) -> list[tuple[int, int, int]]:
     for i, state in enumerate(automaton.prefix):
         for deepest, e in paths.access(state, i):
             common, d = length[deepest], i - e
-            if e >= 0 and common >= (LEAST_POWER - 1) * d and common + d >= LEAST_LENGTH:
+            if common >= (LEAST_POWER - 1) * d and e >= 0 and common + d >= LEAST_LENGTH:
                 end[i + 1 - common - d, d] = i + 1
     return sorted((start, stop - start, d) for (start, d), stop in end.items())
 
