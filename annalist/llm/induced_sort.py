@@ -109,20 +109,25 @@ class Buckets:
             if fresh:
                 del pieces[at:]
                 count = sum(len(p[0]) for p in fresh)
-                pieces.append((self.file.tell(), count))
+                # where its columns lie end to end, their length, and which rows are left
+                pieces.append((self.file.tell(), count, 0, count))
                 for k, kind in enumerate(self.kinds):
                     for p in fresh:
                         self.file.write(np.ascontiguousarray(p[k], kind).tobytes())
         self.bytes = 0
 
+    @staticmethod
+    def _size(piece: tuple) -> int:
+        return piece[3] - piece[2] if isinstance(piece[0], int) else len(piece[0])
+
     def _load(self, piece: tuple, first: int, stop: int) -> tuple:
-        """Rows first to stop of a piece."""
+        """Rows first to stop of what is left of a piece."""
         if not isinstance(piece[0], int):
             return tuple(c[first:stop] for c in piece)
-        at, count = piece
+        at, count, lead, _ = piece
         out = []
         for kind in self.kinds:
-            self.file.seek(at + first * kind.itemsize)
+            self.file.seek(at + (lead + first) * kind.itemsize)
             out.append(np.frombuffer(self.file.read((stop - first) * kind.itemsize), kind))
             at += count * kind.itemsize
         return tuple(out)
@@ -131,40 +136,23 @@ class Buckets:
         pieces, parts, got = self.held[bucket], [], 0
         while pieces and got < limit:
             piece = pieces.pop(-1 if back else 0)
-            in_file = isinstance(piece[0], int)
-            size = piece[1] if in_file else len(piece[0])
+            in_file, size = isinstance(piece[0], int), self._size(piece)
             take = min(size, limit - got)
             first, stop = (size - take, size) if back else (0, take)
             parts.append(self._load(piece, first, stop))
             if not in_file:
                 self.bytes -= self.width * take
             if take < size:
-                keep = (0, first) if back else (stop, size)
-                # what is left is a piece of its own; from a file it is read now, a bucket at a time
-                rest = self._load(piece, *keep) if not in_file else self._again(piece, *keep)
+                a, b = (0, first) if back else (stop, size)
+                rest = (*piece[:2], piece[2] + a, piece[2] + b) if in_file else self._load(piece, a, b)
                 pieces.insert(len(pieces) if back else 0, rest)
             got += take
         return parts
 
-    def _again(self, piece: tuple, first: int, stop: int) -> tuple:
-        """The rows of a piece in the file as a piece of their own: written behind, read in steps."""
-        self.file.seek(0, 2)
-        start = self.file.tell()
-        at = piece[0]
-        for kind in self.kinds:
-            for a in range(first, stop, 1 << 20):
-                b = min(stop, a + (1 << 20))
-                self.file.seek(at + a * kind.itemsize)
-                data = self.file.read((b - a) * kind.itemsize)
-                self.file.seek(0, 2)
-                self.file.write(data)
-            at += piece[1] * kind.itemsize
-        return start, stop - first
-
     def each(self, bucket: int, step: int = 1 << 20) -> Iterator[tuple]:
         """All rows of a bucket from the front, which stay."""
         for piece in list(self.held[bucket]):
-            size = piece[1] if isinstance(piece[0], int) else len(piece[0])
+            size = self._size(piece)
             for a in range(0, size, step):
                 yield self._load(piece, a, min(size, a + step))
 

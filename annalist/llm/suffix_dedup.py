@@ -1,15 +1,15 @@
 """Suffix-array dedup: removes every byte of a string of ``LENGTH`` bytes that also starts in a
 document with a smaller id.
 
-1. Equal texts are found by SHA-256; only the one with the smallest id is sorted, the others
-   lose everything. The distinct texts are written once, bucketed by id.
+1. Texts are hashed (SHA-256) and written once, bucketed by a number of the row. Of equal texts only
+   one of the smallest id is sorted, and those of larger ids lose everything.
 2. Pruning. A window of LENGTH bytes is represented by its anchor, the leftmost of its 16-byte
    grams of least hash. Equal windows have equal anchors, so windows whose anchor occurs in one
    document only can't repeat. Anchor hashes are dealt out in packed rows, 4 bytes each.
 3. The windows of shared anchors are cut out as segments (neighbouring windows of one anchor)
    and dealt to shards by anchor, so equal windows meet in a shard.
 4. A window whose hash no other window of the distinct segments of its shard has is in one of them
-   only, so the smallest id of its copies decides. Of the stretches that the other windows cover each
+   only, so the smallest id of its copies decides. Of the distinct stretches that the other windows cover each
    shard sorts the suffixes by external induced sorting (``induced_sort``), which also carries the common
    prefixes. Neighbours in the suffix array that share LENGTH bytes are equal windows; the smallest id of
    a run decides for all of it.
@@ -21,12 +21,13 @@ or a segment once, however many of its texts hold it.
 
 Memory. A step holds a batch of texts, the anchors of one bucket, or ``MEMORY`` bytes of a shard.
 The texts, suffixes, queues and occurrences of a shard beyond that are in files of the task's own
-folder, which go when it ends. Numbers of buckets and shards follow the bytes of the texts.
+folder, which go when it ends; beside them a task has filters of windows of at most 48 MB, a memo of ``MEMO_BYTES``,
+and some numbers a segment. Numbers of buckets and shards follow the bytes of the texts.
 
 Defined results. Null text: empty. Texts under LENGTH bytes lose nothing. Null doc_id: nothing is
-removed, and it removes nothing. A doc_id repeated with one text: its rows are one document; with
-several texts: the one with the least hash stands for the id, the others stay whole. Very long
-texts are cut into pieces that overlap by a window. Empty table: no rows. Other columns are ignored.
+removed, and it removes nothing. A doc_id repeated, with one text or several: each row loses what starts in a
+text of a smaller id, and nothing to rows of its own id. Very long texts are cut into pieces that overlap by a
+window. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +35,13 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.common import join_groups, shared_dir, spool
@@ -53,8 +56,8 @@ STEP = 2 << 20
 BUCKET_BYTES, SHARD_BYTES, TASK_BYTES = 6 << 20, 3 << 20, 256 << 20
 #: Positions hashed at a time, so that the steps of a hash stay in the processor's cache.
 CACHED = 1 << 14
-#: Distinct segments that a shard remembers to collapse copies; beyond it remembers anew.
-MEMO_SEGMENTS = 400_000
+#: Bytes of distinct segments that a shard remembers to collapse copies; beyond it remembers anew.
+MEMO_BYTES = 32 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -182,18 +185,23 @@ def _groups(starts: np.ndarray, data: np.ndarray):
     return first[live], anchor[live], (stop - first)[live], row[live]
 
 
+def _batch_number(ids: np.ndarray) -> int:
+    """A number of 30 bits, spread, by the first text of a batch."""
+    return (int(ids[0]) * 0x9E3779B97F4A7C15 >> 20) & 0x3FFFFFFF
+
+
 def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows (doc_id, body, ..) as pieces (doc_id, offset, bytes, ..), in lists of about STEP bytes.
+    """Rows (text_id, body, ..) as pieces (text_id, offset, bytes, ..), in lists of about STEP bytes.
 
     A longer text is cut so that every window lies in one piece.
     """
     held, size = [], 0
     for b in batches:
         for row in zip(*b.columns, strict=True):
-            doc_id, body, *rest = (x.as_py() for x in row)
+            text_id, body, *rest = (x.as_py() for x in row)
             for at in range(0, max(1, len(body) - LENGTH + 1), STEP):
                 piece = body[at : at + STEP + LENGTH - 1]
-                held.append((doc_id, at, piece, *rest))
+                held.append((text_id, at, piece, *rest))
                 size += len(piece)
                 if size >= STEP:
                     yield held
@@ -203,7 +211,7 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def anchors(texts: DataFrame, n_buckets: int) -> DataFrame:
-    """(bucket, batch, keys, ids, counts): per batch and bucket the distinct anchor keys of each text.
+    """(bucket, batch, keys, ids, counts): per batch and bucket the distinct anchor keys of each text, by its number.
 
     Rows of batch -1 are to be compared with those of other batches. An anchor of several texts of a
     batch is there once; all its texts are in rows under the batch's own number, as shared already.
@@ -212,7 +220,7 @@ def anchors(texts: DataFrame, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pieces in _batched(batches):
             ids, _, starts, data = _joined(pieces)
-            number = int(ids[0]) & 0x3FFFFFFF
+            number = _batch_number(ids)
             _, anchor, _, row = _groups(starts, data)
             own = (_bucket(anchor, n_buckets).astype(np.uint64) << np.uint64(32)) | _key(anchor)
             order = np.lexsort((ids[row], own))
@@ -238,12 +246,12 @@ def anchors(texts: DataFrame, n_buckets: int) -> DataFrame:
                 ["bucket", "batch", "keys", "ids", "counts"],
             )
 
-    long_enough = texts.filter(F.octet_length("body") >= LENGTH).select("doc_id", "body")
+    long_enough = texts.filter(F.octet_length("body") >= LENGTH).select("text_id", "body")
     return long_enough.mapInArrow(run, "bucket int, batch int, keys binary, ids binary, counts binary")
 
 
 def shared_anchors(packed: DataFrame, n_buckets: int, n_tasks: int) -> DataFrame:
-    """(doc_id, keys): for each text the anchors that another text has too: a list of blobs, each
+    """(text_id, keys): for each text the anchors that another text has too: a list of blobs, each
     the bucket and then its keys, in 32 bits each."""
 
     def matched(bucket: int, compared: bool, parts: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
@@ -260,7 +268,7 @@ def shared_anchors(packed: DataFrame, n_buckets: int, n_tasks: int) -> DataFrame
         begin, stop = _runs(doc)
         mark = np.uint32(bucket).tobytes()
         blobs = [mark + key[a:b].tobytes() for a, b in zip(begin, stop, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(doc[begin], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[begin], pa.int64()), pa.array(blobs, pa.binary())], ["text_id", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, parts = None, []
@@ -275,7 +283,7 @@ def shared_anchors(packed: DataFrame, n_buckets: int, n_tasks: int) -> DataFrame
             yield matched(open_[0], open_[1] < 0, parts)
 
     dealt = _dealt(packed, n_tasks, "bucket", "batch")
-    return dealt.mapInArrow(run, "doc_id long, keys binary").groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+    return dealt.mapInArrow(run, "text_id long, keys binary").groupBy("text_id").agg(F.collect_list("keys").alias("keys"))
 
 
 def _dealt(rows: DataFrame, n_tasks: int, *by: str) -> DataFrame:
@@ -296,14 +304,14 @@ def _wide(blobs: list[bytes]) -> np.ndarray:
 
 
 #: The buffers of one batch of segments for one shard, and their types.
-_PACKED = (("data", np.uint8), ("sizes", np.uint32), ("of", np.uint32), ("ids", np.int64), ("starts", np.int64))
+_PACKED = (("data", np.uint8), ("sizes", np.uint32), ("of", np.uint32), ("ids", np.int64), ("texts", np.int64), ("starts", np.int64))
 
 
 def segments(texts: DataFrame, shared: DataFrame, n_buckets: int, n_shards: int) -> DataFrame:
     """(shard, packed): segments of the windows of shared anchors, per batch of texts and shard.
 
     A blob holds the distinct segments of the batch once (data, sizes) and, for each occurrence in
-    the text of smallest id, which one it is, its text and where it starts (of, ids, starts);
+    texts of smallest id, which one it is, its id and text and where it starts (of, ids, texts, starts);
     compressed. The other occurrences go anyway: their intervals are in one blob a batch, under a
     negative number of its own.
     """
@@ -311,10 +319,11 @@ def segments(texts: DataFrame, shared: DataFrame, n_buckets: int, n_shards: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = zstandard.ZstdCompressor(level=1)
         for pieces in _batched(batches):
-            ids, offsets, starts, data = _joined(pieces)
+            texts_of, offsets, starts, data = _joined(pieces)
+            ids = np.array([p[3] for p in pieces], np.int64)
             first, anchor, windows, row = _groups(starts, data)
             own = (_bucket(anchor, n_buckets).astype(np.uint64) << np.uint64(32)) | _key(anchor)
-            wanted = np.sort(_wide([blob for p in pieces for blob in p[3]]))
+            wanted = np.sort(_wide([blob for p in pieces for blob in p[4]]))
             spot = np.searchsorted(wanted, own)
             pick = spot < len(wanted)
             pick[pick] = wanted[spot[pick]] == own[pick]
@@ -323,32 +332,32 @@ def segments(texts: DataFrame, shared: DataFrame, n_buckets: int, n_shards: int)
             order = np.argsort(shard, kind="stable")
             first, row, shard = first[order], row[order], shard[order]
             stop = first + windows[order] + LENGTH - 1
-            begin, doc = first - starts[row] + offsets[row], ids[row]
+            begin, doc, text = first - starts[row] + offsets[row], ids[row], texts_of[row]
             raw = data.tobytes()
             shards, blobs, goes = [], [], []
             for a, b in zip(*(x.tolist() for x in _runs(shard)), strict=True):
                 seen: dict[bytes, int] = {}
                 of = np.array([seen.setdefault(raw[x:y], len(seen)) for x, y in zip(first[a:b].tolist(), stop[a:b].tolist(), strict=True)], np.uint32)
-                own, at, size = doc[a:b], begin[a:b], stop[a:b] - first[a:b]
+                own, at, size, which = doc[a:b], begin[a:b], stop[a:b] - first[a:b], text[a:b]
                 least = np.full(len(seen), np.iinfo(np.int64).max)
                 np.minimum.at(least, of, own)
                 later = own > least[of]
                 if later.any():
-                    goes.append(np.stack([own[later], at[later], at[later] + size[later]]))
-                    of, own, at = of[~later], own[~later], at[~later]
+                    goes.append(np.stack([which[later], at[later], at[later] + size[later]]))
+                    of, own, at, which = of[~later], own[~later], at[~later], which[~later]
                 buffers = (
                     b"".join(seen), np.fromiter(map(len, seen), np.uint32, len(seen)).tobytes(),
-                    of.tobytes(), own.tobytes(), at.tobytes(),
+                    of.tobytes(), own.tobytes(), which.tobytes(), at.tobytes(),
                 )
                 sizes = np.array([len(x) for x in buffers], np.int64).tobytes()
                 shards.append(int(shard[a]))
                 blobs.append(codec.compress(sizes + b"".join(buffers)))
             if goes:
-                shards.append(-1 - (int(ids[0]) & 0x3FFFFFFF))
+                shards.append(-1 - _batch_number(texts_of))
                 blobs.append(codec.compress(np.concatenate(goes, axis=1).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "packed"])
 
-    joined = texts.join(shared.hint("merge"), "doc_id").select("doc_id", "body", "keys")
+    joined = texts.join(shared.hint("merge"), "text_id").select("text_id", "body", "doc_id", "keys")
     return joined.mapInArrow(run, "shard int, packed binary")
 
 
@@ -359,8 +368,9 @@ class Shard:
         self.scratch = Scratch(memory)
         self.text = Buckets(self.scratch, 1, (np.uint16,))
         self.sizes = Buckets(self.scratch, 1, (np.int64,))
-        self.rows = Buckets(self.scratch, 1, (np.int64, np.int64, np.int64))
+        self.rows = Buckets(self.scratch, 1, (np.int64,) * 4)
         self.seen: dict[bytes, int] = {}
+        self.seen_bytes = 0
         self.count = 0
         self.codec = zstandard.ZstdDecompressor()
 
@@ -370,7 +380,7 @@ class Shard:
         for n, (_, kind) in zip(np.frombuffer(raw[:at], np.int64).tolist(), _PACKED, strict=True):
             parts.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at))
             at += n
-        data, sizes, of, ids, starts = parts
+        data, sizes, of, ids, texts, starts = parts
         stop = np.cumsum(sizes, dtype=np.int64)
         body = data.tobytes()
         place, fresh = np.empty(len(sizes), np.int64), []
@@ -378,8 +388,10 @@ class Shard:
             segment = body[x:y]
             number = self.seen.get(segment)
             if number is None:
-                if len(self.seen) >= MEMO_SEGMENTS:
+                if self.seen_bytes >= MEMO_BYTES:
                     self.seen.clear()
+                    self.seen_bytes = 0
+                self.seen_bytes += len(segment) + 100
                 number = self.seen[segment] = self.count
                 self.count += 1
                 fresh.append(segment)
@@ -390,7 +402,7 @@ class Shard:
             own = np.frombuffer(b"".join(fresh), np.uint8).astype(np.uint16) + np.uint16(2)
             self.text.put(0, (np.insert(own, np.cumsum(size), np.uint16(1)),))
             self.sizes.put(0, (size,))
-        self.rows.put(0, (place[of], ids, starts))
+        self.rows.put(0, (place[of], ids, texts, starts))
 
     def _filled(self, n: int, dtype, parts: Iterator[np.ndarray]) -> np.ndarray:
         out, at = self.scratch.array(n, dtype), 0
@@ -442,7 +454,7 @@ class Shard:
     def _stretches(self, x: np.ndarray) -> np.ndarray:
         """Marks the symbols that windows of a hash found twice cover; in two passes over the text."""
         n, step = len(x), 4 * CACHED
-        slots = 1 << min(26, max(16, (4 * n).bit_length()))
+        slots = 1 << min(23, max(16, (4 * n).bit_length()))
         once, twice, last = np.zeros(slots, bool), np.zeros(slots, bool), np.empty(slots, np.int32)
         marks = self.scratch.array(n, np.int32)
         covered = self.scratch.array(n, bool)
@@ -494,32 +506,72 @@ class Shard:
         joined[-1] = 0
         return begin, stop, joined
 
+    def _collapsed(self, size: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which distinct piece each piece is; sizes of the distinct ones, and those end to end."""
+        memo: dict[bytes, int] = {}
+        held, number, fresh_sizes = 0, np.empty(len(size), np.int64), []
+        texts = Buckets(self.scratch, 1, (np.uint16,))
+        stop = np.cumsum(size + 1)
+        count, step = 0, 1 << 14
+        for a in range(0, len(size), step):
+            b = min(len(size), a + step)
+            base = int(stop[a] - size[a] - 1)
+            part = np.asarray(x[base : int(stop[b - 1])])
+            raw, ends = part.tobytes(), 2 * (stop[a:b] - base)
+            fresh = np.zeros(b - a, bool)
+            for k, (z, n) in enumerate(zip(ends.tolist(), size[a:b].tolist(), strict=True)):
+                piece = raw[z - 2 * n - 2 : z]
+                found = memo.get(piece)
+                if found is None:
+                    if held >= MEMO_BYTES:
+                        memo.clear()
+                        held = 0
+                    held += len(piece) + 100
+                    found = memo[piece] = count
+                    count += 1
+                    fresh[k] = True
+                number[a + k] = found
+            fresh_sizes.append(size[a:b][fresh])
+            texts.put(0, (part[np.repeat(fresh, size[a:b] + 1)],))
+        distinct = np.concatenate(fresh_sizes) if fresh_sizes else size
+        joined = self._filled(int((distinct + 1).sum()) + 1, np.uint16, (t for (t,) in texts.each(0)))
+        joined[-1] = 0
+        return number, distinct, joined
+
     def solve(self) -> Iterator[pa.RecordBatch]:
-        """(doc_id, begin, stop) of runs of windows that also start in a text of smaller id."""
+        """(text_id, begin, stop) of runs of windows that also start in a text of smaller id."""
         self.seen = {}
-        with self.scratch:
-            size = self._filled(self.count, np.int64, (s for (s,) in self.sizes.each(0)))
-            least = np.full(self.count, np.iinfo(np.int64).max)
-            for which, ids, _ in self.rows.each(0):
-                np.minimum.at(least, which, ids)
-            ends = np.cumsum(size + 1)
-            whole = self._filled(int(ends[-1]), np.uint16, (t for (t,) in self.text.each(0)))
-            begin, stop, x = self._pieces(whole, self._stretches(whole))
-            segment = np.searchsorted(ends, begin, "right")
-            offset = begin - (ends - size - 1)[segment]
-            gone, first, last = self._smaller_elsewhere(x, stop - begin, least[segment])
-            # a copy under another id than the least goes whole; the least one loses what is smaller elsewhere
-            by = segment[gone]
-            count = np.bincount(by, minlength=self.count)
-            lead = np.cumsum(count) - count
-            from_, to = offset[gone] + first, offset[gone] + last + LENGTH
-            for which, ids, starts in self.rows.each(0, 1 << 15):
-                later = ids > least[which]
-                yield _spans(ids[later], starts[later], starts[later] + size[which[later]])
-                own = which[~later]
-                row = np.repeat(np.arange(len(own)), count[own])
-                span = lead[own][row] + np.arange(len(row)) - np.repeat(np.cumsum(count[own]) - count[own], count[own])
-                yield _spans(ids[~later][row], starts[~later][row] + from_[span], starts[~later][row] + to[span])
+        size = self._filled(self.count, np.int64, (s for (s,) in self.sizes.each(0)))
+        least = np.full(self.count, np.iinfo(np.int64).max)
+        for which, ids, _, _ in self.rows.each(0):
+            np.minimum.at(least, which, ids)
+        ends = np.cumsum(size + 1)
+        whole = self._filled(int(ends[-1]), np.uint16, (t for (t,) in self.text.each(0)))
+        begin, stop, x = self._pieces(whole, self._stretches(whole))
+        segment = np.searchsorted(ends, begin, "right")
+        offset = begin - (ends - size - 1)[segment]
+        number, distinct, x = self._collapsed(stop - begin, x)
+        low = np.full(len(distinct), np.iinfo(np.int64).max)
+        np.minimum.at(low, number, least[segment])
+        gone, first, last = self._smaller_elsewhere(x, distinct, low)
+        # a piece that a smaller id has too goes whole; its least ids lose what is smaller elsewhere
+        later = np.flatnonzero(least[segment] > low[number])
+        own = np.flatnonzero(least[segment] == low[number])
+        count = np.bincount(gone, minlength=len(distinct))
+        own, span = _spread(own, (np.cumsum(count) - count)[number[own]], count[number[own]])
+        by = np.concatenate([segment[later], segment[own]])
+        from_ = np.concatenate([offset[later], offset[own] + first[span]])
+        to = np.concatenate([offset[later] + (stop - begin)[later], offset[own] + last[span] + LENGTH])
+        order = np.argsort(by, kind="stable")
+        by, from_, to = by[order], from_[order], to[order]
+        # a copy under another id than the least goes whole as well
+        count = np.bincount(by, minlength=self.count)
+        lead = np.cumsum(count) - count
+        for which, ids, texts, starts in self.rows.each(0, 1 << 15):
+            later = ids > least[which]
+            yield _spans(texts[later], starts[later], starts[later] + size[which[later]])
+            row, span = _spread(np.flatnonzero(~later), lead[which[~later]], count[which[~later]])
+            yield _spans(texts[row], starts[row] + from_[span], starts[row] + to[span])
 
     def _smaller_elsewhere(self, x: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Runs of windows of the pieces that a piece of smaller id has too: piece, first and last window."""
@@ -553,41 +605,46 @@ class Shard:
         yield np.array([len(size) - 1])
 
 
+def _spread(rows: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row as many times as it counts, with the numbers from its first on."""
+    return np.repeat(rows, count), np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+
 def _spans(ids: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (ids, begin, stop)], ["doc_id", "begin", "stop"])
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (ids, begin, stop)], ["text_id", "begin", "stop"])
 
 
 def intervals(packed: DataFrame, n_tasks: int, memory: int = MEMORY) -> DataFrame:
-    """(doc_id, spans): intervals of bytes to remove, from the shards."""
+    """(text_id, spans): intervals of bytes to remove, from the shards."""
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[bytes]]]:
+        rows = ((n.as_py(), blob.as_py()) for b in batches for n, blob in zip(*b.columns, strict=True))
+        for number, group in groupby(rows, itemgetter(0)):
+            yield number, (blob for _, blob in group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, shard = None, None
-        for b in batches:
-            for number, blob in zip(*b.columns, strict=True):
-                here = number.as_py()
-                if here < 0:
-                    goes = np.frombuffer(zstandard.decompress(blob.as_py()), np.int64).reshape(3, -1)
-                    yield _spans(*goes)
-                    continue
-                if here != open_:
-                    if shard is not None:
-                        yield from shard.solve()
-                    open_, shard = here, Shard(memory)
-                shard.add(blob.as_py())
-        if shard is not None:
-            yield from shard.solve()
-
-    found = _dealt(packed, n_tasks, "shard").mapInArrow(run, "doc_id long, begin long, stop long")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
+        for number, blobs in shards(batches):
+            if number < 0:
+                for blob in blobs:
+                    yield _spans(*np.frombuffer(zstandard.decompress(blob), np.int64).reshape(3, -1))
+                continue
+            shard = Shard(memory)
+            with shard.scratch:
+                for blob in blobs:
+                    shard.add(blob)
+                yield from shard.solve()
+
+    found = _dealt(packed, n_tasks, "shard").mapInArrow(run, "text_id long, begin long, stop long")
+    return found.groupBy("text_id").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
 
 
 def cut_out(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, n_removed, n_spans, kept_sha256, kept) of the texts that lose bytes."""
+    """(text_id, n_removed, n_spans, kept_sha256, kept) of the texts that lose bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [[], [], [], [], []]
-            for doc_id, body, spans in zip(*b.columns, strict=True):
+            for text_id, body, spans in zip(*b.columns, strict=True):
                 text = body.as_py()
                 pairs = np.array([(s["begin"], s["stop"]) for s in spans.as_py()], np.int64)
                 pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
@@ -595,42 +652,28 @@ def cut_out(texts: DataFrame, spans: DataFrame) -> DataFrame:
                 head = np.flatnonzero(np.r_[True, pairs[1:, 0] > reach[:-1]])
                 begin, stop = pairs[head, 0], reach[np.r_[head[1:], len(pairs)] - 1]
                 kept = b"".join(text[a:z] for a, z in zip(np.r_[0, stop].tolist(), np.r_[begin, len(text)].tolist(), strict=True))
-                values = (doc_id.as_py(), int((stop - begin).sum()), len(begin), hashlib.sha256(kept).hexdigest(), kept)
+                values = (text_id.as_py(), int((stop - begin).sum()), len(begin), hashlib.sha256(kept).hexdigest(), kept)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"]
+                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["text_id", "n_removed", "n_spans", "kept_sha256", "kept"]
             )
 
-    joined = texts.join(spans.hint("merge"), "doc_id").select("doc_id", "body", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    joined = texts.join(spans.hint("merge"), "text_id").select("text_id", "body", "spans")
+    return joined.mapInArrow(run, "text_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def distinct_texts(docs: DataFrame, n_buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Keys of all rows (doc_id, sha, n_bytes, first_id), and the distinct texts (doc_id, body)
-    as a table bucketed by id, so that later joins on the id don't shuffle texts again."""
-    spark = docs.sparkSession
+def stored_texts(docs: DataFrame, n_buckets: int) -> str:
+    """Writes all rows (text_id, doc_id, sha, n_bytes, body) as a table bucketed by a number of the row,
+    so that later joins on it don't shuffle texts again; the table's name."""
     body = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    own = docs.select("doc_id", body.alias("body")).withColumn("sha", F.sha2("body", 256))
-    keys = spool(own.select("doc_id", "sha", F.octet_length("body").cast("long").alias("n_bytes")), "text-keys")
-    known = keys.filter("doc_id is not null")
-    firsts = spool(known.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "first-texts")
-    chosen = firsts.groupBy(F.col("first_id").alias("doc_id")).agg(F.min("sha").alias("sha"))
-    one = Window.partitionBy("doc_id").orderBy("sha")
-    rows = (
-        own.withColumnRenamed("sha", "own_sha")
-        .join(chosen.hint("merge"), "doc_id")
-        .filter("sha = own_sha")
-        .withColumn("_n", F.row_number().over(one))
-        .filter("_n = 1")
-        .select("doc_id", "body")
-    )
+    rows = docs.select(F.monotonically_increasing_id().alias("text_id"), "doc_id", body.alias("body"))
+    rows = rows.repartition(n_buckets, "text_id").withColumn("sha", F.sha2("body", 256)).withColumn("n_bytes", F.octet_length("body").cast("long"))
     name = f"texts_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
-    rows.write.format("parquet").option("compression", "zstd").bucketBy(n_buckets, "doc_id").option("path", path).saveAsTable(name)
-    all_keys = join_groups(keys, firsts, ["sha"], "left")
-    return all_keys, spark.table(name)
+    path = f"{shared_dir(docs.sparkSession)}/{name}"
+    rows.write.format("parquet").option("compression", "zstd").bucketBy(n_buckets, "text_id").option("path", path).saveAsTable(name)
+    return name
 
 
 def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -638,25 +681,40 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     also ``kept``, the remaining bytes of the documents that lose some, else null."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys, texts = distinct_texts(docs, parts)
+    name = stored_texts(docs, parts)
+    texts = spark.table(name)
+    keys = texts.select("text_id", "doc_id", "sha", "n_bytes")
+    first = F.min(F.struct("doc_id", "text_id")).alias("first")
+    known = keys.filter("doc_id is not null").groupBy("sha").agg(first, F.count(F.lit(1)).alias("n"))
+    firsts = spool(known.select("sha", F.col("first.doc_id").alias("first_id"), F.col("first.text_id").alias("chosen"), "n"), "first-texts")
     size = keys.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     n_buckets, n_shards, n_tasks = (max(parts, -(-size // x)) for x in (BUCKET_BYTES, SHARD_BYTES, TASK_BYTES))
-    shared = spool(shared_anchors(anchors(texts, n_buckets), n_buckets, n_tasks), "shared-anchors")
+    chosen = firsts.select(F.col("chosen").alias("text_id"))
+    sorted_ = texts.join(chosen.hint("merge"), "text_id", "left_semi").select("text_id", "doc_id", "body")
+    shared = spool(shared_anchors(anchors(sorted_, n_buckets), n_buckets, n_tasks), "shared-anchors")
     spans = spool(intervals(segments(texts, shared, n_buckets, n_shards), n_tasks), "spans")
-    changed = spool(cut_out(texts, spans).drop(*([] if keep_text else ["kept"])), "cut")
-    rows = keys.join(changed.hint("merge"), "doc_id", "left")
-    copy = (F.col("first_id") < F.col("doc_id")) & (F.col("n_bytes") >= LENGTH)
-    copy = F.coalesce(copy, F.lit(False))
-    mine = ~copy & (F.col("first_id") == F.col("doc_id")) & F.col("n_removed").isNotNull()
+    cut = cut_out(texts, spans).withColumnRenamed("text_id", "chosen")
+    changed = spool(cut.drop(*([] if keep_text else ["kept"])), "cut")
+    rows = spool(join_groups(keys, firsts, ["sha"], "left"), "text-keys")
+    spark.sql(f"DROP TABLE {name}")  # the files stay with the other scratch tables
+    copy = F.coalesce((F.col("first_id") < F.col("doc_id")) & (F.col("n_bytes") >= LENGTH), F.lit(False))
+    mine = F.coalesce(F.col("first_id") == F.col("doc_id"), F.lit(False))
     empty = hashlib.sha256(b"").hexdigest()
 
-    def of(when_copy, when_changed, otherwise):
-        return F.when(copy, when_copy).when(mine, when_changed).otherwise(otherwise)
-
-    return rows.select(
-        "doc_id", "n_bytes",
-        of(F.col("n_bytes"), F.col("n_removed"), F.lit(0)).cast("long").alias("n_removed"),
-        of(F.lit(1), F.col("n_spans"), F.lit(0)).cast("long").alias("n_spans"),
-        of(F.lit(empty), F.col("kept_sha256"), F.col("sha")).alias("kept_sha256"),
-        *([of(F.lit(b""), F.col("kept"), F.lit(None)).alias("kept")] if keep_text else []),
+    def result(of: DataFrame, removed, n_spans, sha, kept) -> DataFrame:
+        values = [removed.cast("long").alias("n_removed"), n_spans.cast("long").alias("n_spans"), sha.alias("kept_sha256")]
+        return of.select("doc_id", "n_bytes", *values, *([kept.cast("binary").alias("kept")] if keep_text else []))
+
+    none, zero = F.lit(None), F.lit(0)
+    own = rows.filter(mine).join(changed.hint("merge"), "chosen", "left")
+    lost = F.col("n_removed").isNotNull()
+    return (
+        result(rows.filter(copy), F.col("n_bytes"), F.lit(1), F.lit(empty), F.lit(b""))
+        .union(result(rows.filter(~copy & ~mine), zero, zero, F.col("sha"), none))
+        .union(
+            result(
+                own, F.coalesce("n_removed", zero), F.coalesce("n_spans", zero), F.when(lost, F.col("kept_sha256")).otherwise(F.col("sha")),
+                F.col("kept") if keep_text else none,
+            )
+        )
     )

@@ -188,6 +188,28 @@ def test_dedup_of_odd_ids_and_of_nothing(spark):
     assert suffix_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_dedup_of_repeated_ids_with_several_texts(spark):
+    """Each row loses what starts under a smaller id, nothing to rows of its own id."""
+    rng = random.Random(11)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    c = make(82)
+    rows = [(1, c + make(350)), (2, c + make(350)), (2, c + make(353)), (3, c + "tail" + make(200)), (-4, make(30) + c), (None, c)]
+    shared = [make(60) for _ in range(5)]
+    rows += [(rng.randrange(8), rng.choice(shared) + make(rng.randrange(90)) + rng.choice(shared)) for _ in range(40)]
+    rows += rng.choices(rows, k=15)
+    want = []
+    for i, text in rows:
+        if i is None:
+            want.append((None, len(text), 0, 0, hashlib.sha256(text.encode()).hexdigest(), None))
+            continue
+        one = brute_removed([(k, t) for k, t in rows if k is not None and k < i] + [(i, text)])[i]
+        want.append((i, *one))
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=True).collect()
+    assert sorted((tuple(r[:5]) for r in got), key=str) == sorted((w[:5] for w in want), key=str)
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got if r.kept is not None)
+    assert all(r.kept is not None for r in got if r.n_removed)
+
+
 def longest_first(x, depth, memory=induced_sort.MEMORY):
     """Suffixes from the least to the largest, and the prefix each shares with the one before."""
     with induced_sort.Scratch(memory) as scratch:
@@ -249,7 +271,7 @@ def test_a_shard_twenty_times_its_memory(tmp_path, monkeypatch):
 def test_shards_in_files_give_the_same(spark, monkeypatch):
     rows = dedup_corpus(5)
     monkeypatch.setattr(suffix_dedup.intervals, "__defaults__", (2048,))
-    monkeypatch.setattr(suffix_dedup, "MEMO_SEGMENTS", 3)
+    monkeypatch.setattr(suffix_dedup, "MEMO_BYTES", 500)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_removed(rows)
 
