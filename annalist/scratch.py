@@ -32,17 +32,36 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: A group of more than one part in so many of all rows is hot; there are fewer than so many of them.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Joins rows with one row a group, however many rows a group has; drops its column ``n``.
+
+    groups holds the number of rows of each group as ``n`` and should be a written table. The rows of hot
+    groups, fewer than ``HOT_SHARE`` by their definition, meet a broadcast copy of them; all others are
+    merged by key.
+    """
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") * HOT_SHARE > F.lit(total)
+    hot = F.broadcast(groups.filter(is_hot).drop("n"))
+    rest = groups.filter(~is_hot).drop("n")
+    return rows.join(hot, by).unionByName(rows.join(hot.select(*by), by, "left_anti").join(rest.hint("merge"), by, how))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component), component = smallest id.
 
-    Alternates the two star operations of Kiveris et al. (2014) on written tables, so a hub is
-    only ever aggregated by min() and no component is gathered in one task.
+    Alternates the two star operations of Kiveris et al. (2014) on written tables until nothing changes,
+    which takes a number of rounds in the square of the logarithm of the nodes at most. A hub is
+    aggregated by min() and its links are spread over tasks, so no component is gathered in one.
     """
 
     def hang(links: DataFrame, only_larger: bool) -> DataFrame:
         """Hangs each neighbour of a below the smallest of a and its neighbours."""
-        low = links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        hung = links.join(low.hint("merge"), "a")
+        low = spool(links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.lit(1)).alias("n")), "lows")
+        hung = join_groups(links, low, ["a"])
         if only_larger:
             hung = hung.filter("b > a")
         hung = hung.select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -59,14 +78,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = spool(ordered.filter("a <> b").distinct(), "edges")
-    for _ in range(max_rounds):
-        if settled(now):
-            break
+    while not settled(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         grown = spool(hang(both, only_larger=True), "large-star")
         down = grown.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         now = spool(hang(down, only_larger=False), "small-star")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
