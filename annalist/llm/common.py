@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.scratch import components, shared_dir, spool
+from annalist.scratch import components, join_groups, shared_dir, spool
 
 #: A word is a maximal run of characters outside this class.
 BLANK = r"[\x20\x09-\x0D]"
@@ -30,22 +30,4 @@ def words(text: Column) -> Column:
     )
 
 
-#: A group of more than one part in so many of all rows is hot; there are fewer than so many of them.
-HOT_SHARE = 1000
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """Joins rows with one row a group, however many rows a group has; drops its column ``n``.
-
-    groups holds the number of rows of each group as ``n`` and should be a written table. The rows of hot
-    groups, fewer than ``HOT_SHARE`` by their definition, meet a broadcast copy of them; all others are
-    merged by key.
-    """
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    is_hot = F.col("n") * HOT_SHARE > F.lit(total)
-    hot = F.broadcast(groups.filter(is_hot).drop("n"))
-    rest = groups.filter(~is_hot).drop("n")
-    return rows.join(hot, by).unionByName(rows.join(hot.select(*by), by, "left_anti").join(rest.hint("merge"), by, how))
-
-
 __all__ = ["BLANK", "BLANK_CHARS", "components", "join_groups", "let", "shared_dir", "spool", "table", "words"]

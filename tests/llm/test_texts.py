@@ -80,6 +80,29 @@ def test_join_of_odd_ids_and_of_nothing(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_join_of_repeated_ids_with_several_texts(spark):
+    """Each row is a document: its links are those of its own text."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(400)}"
+    rows = []
+    for k in range(12):
+        base = [word() for _ in range(rng.choice([60, 90]))]
+        for _ in range(rng.randrange(1, 4)):
+            near = list(base)
+            near[rng.randrange(len(near))] = "edited"
+            rows.append((rng.randrange(6), " ".join(near)))
+        rows.append((20 + k, " ".join(base)))
+    rows += rows[:6]
+    rows += [(5, "one " + " ".join(f"v{k}" for k in range(60_000))), (3, " ".join(f"v{k}" for k in range(60_000)))]
+    ids, found = [i for i, _ in rows], brute_classes([t for _, t in rows])
+    least = {}
+    for k, (root, _) in found.items():
+        least[root] = min(least.get(root, ids[k]), ids[k])
+    want = sorted((ids[k], least[root], n) for k, (root, n) in found.items())
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == want
+
+
 def test_bands_reach_the_recall():
     bands, rows = bands_for(0.8, ngram_join.RECALL, ngram_join.MOST_HASHES)
     assert bands * rows <= ngram_join.MOST_HASHES and (1 - 0.8**rows) ** bands <= 1 - ngram_join.RECALL
