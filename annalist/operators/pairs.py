@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions.dates import ranges_overlap
+from annalist.operators import cells
+from annalist.operators.cells import CellIndex, unit_rows, usable
 from annalist.scratch import spool
 
 
@@ -19,61 +20,71 @@ from annalist.scratch import spool
 BLOCK = 4096
 #: A pair at the threshold is found with this probability, by at most so many bands.
 RECALL, MOST_BANDS = 0.95, 64
-#: Arrow types of the ids that nearest() takes.
-_IDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    width = len(column[0]) if len(column) else 0
-    rows = np.asarray(column.flatten(), np.float64).reshape(-1, width)
-    size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-    return rows / np.where(size > 0, size, 1)
-
-
-def _usable(df: DataFrame, vector: str) -> DataFrame:
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))
-    return df.filter(F.col(vector).isNotNull() & finite & F.exists(vector, lambda x: x != 0))
+#: Vectors of a cell of the exact form, about.
+CELL_ROWS = 1024
 
 
 def similar_pairs(df: DataFrame, threshold: float, method: str = "exact", id: str = "id", vector: str = "vector", block: int = BLOCK) -> DataFrame:
     """(a, b, similarity) of all pairs a < b with cosine >= threshold.
 
-    exact: vectors are dealt to blocks; a task multiplies two blocks as matrices and returns only
-    the pairs that reach the threshold, so no row is made for other pairs. lsh: bands of sign bits of random
-    planes, as many as find a pair at the threshold with ``RECALL``; only vectors that share a band are compared,
-    exactly. Each of the bands copies the vectors once, and at low thresholds bands have few bits, so it pays
-    from about 0.6 up.
+    exact: vectors belong to the cell of their nearest pivot, and are copied to the cells before it that the triangle
+    inequality doesn't rule out, so a pair is compared once, in its first cell. Cells beyond a block are dealt to pairs of
+    blocks; a task multiplies two of them as matrices and returns the pairs that reach the threshold. At 0.8 and
+    with vectors in groups a few cells are left; where vectors are in no groups, or at low thresholds, all are, and the
+    work is that of all pairs. lsh: bands of sign bits of random planes, as many as find a pair at the threshold with
+    ``RECALL``; only vectors that share a band are compared, exactly. Each of the bands copies the vectors once,
+    and at low thresholds bands have few bits, so it pays from about 0.6 up.
     Null, zero and NaN vectors are in no pair.
     """
-    own = _usable(df.select(F.col(id).alias("id"), F.col(vector).alias("vector")), "vector")
+    own = usable(df.select(F.col(id).alias("id"), F.col(vector).alias("vector")), "vector")
     if method == "lsh":
         return _lsh_pairs(own, threshold, block)
     if method != "exact":
         raise ValueError(f"method {method!r}")
-    n = max(1, math.ceil(own.count() / block))
-    placed = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.least("block", k).alias("left"), F.greatest("block", k).alias("right")))
-    dealt = placed.select("id", "vector", "block", F.explode(pairs).alias("p")).select("p.left", "p.right", "block", "id", "vector")
+    return _pairs_in_cells(placed_in_cells(own, threshold), threshold, block)
+
+
+def placed_in_cells(own: DataFrame, threshold: float, cell_rows: int | None = None) -> DataFrame:
+    """(cell, id, vector, copies), written: where the exact form of ``similar_pairs`` compares a vector."""
+    index = CellIndex.build(own, math.ceil(own.count() / (cell_rows or CELL_ROWS)))
+    return spool(cells.with_copies(index, math.acos(max(-1.0, min(1.0, threshold)))), "placed-vectors")
+
+
+def _pairs_in_cells(placed: DataFrame, least: float, block: int) -> DataFrame:
+    homes = placed.select("cell", F.lit(True).alias("home"), "id", "vector")
+    copies = placed.select(F.explode("copies").alias("cell"), F.lit(False).alias("home"), "id", "vector")
+    rows = homes.union(copies)
+    # at most cells.MOST_CELLS rows
+    size = rows.groupBy("cell").agg(
+        F.greatest(F.lit(1), F.ceil(F.count_if("home") / block)).cast("int").alias("n"), F.ceil(F.count_if(~F.col("home")) / block).cast("int").alias("m")
+    )
+    sized = rows.join(F.broadcast(size), "cell")
+    of = F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("n")).otherwise(F.col("m"))).cast("int")
+    # blocks of copies come behind those of the cell's own; they meet all of these, but no copies
+    placed_rows = sized.withColumn("block", F.when(F.col("home"), of).otherwise(F.col("n") + of))
+    every = F.sequence(F.lit(0), F.when(F.col("home"), F.col("n") + F.col("m")).otherwise(F.col("n")) - 1)
+    pairs = F.transform(every, lambda k: F.struct(F.least("block", k).alias("left"), F.greatest("block", k).alias("right")))
+    dealt = placed_rows.select("cell", "id", "vector", "block", F.explode(pairs).alias("p")).select("cell", "p.left", "p.right", "block", "id", "vector")
 
     def multiply(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         left, right = table["left"][0].as_py(), table["right"][0].as_py()
         ids, side = table["id"].to_numpy(), table["block"].to_numpy()
-        rows = _matrix(table["vector"].chunk(0))
+        unit = unit_rows(table["vector"].chunk(0))
         a = np.flatnonzero(side == left)
         b = np.flatnonzero(side == right)
         out_a, out_b, out_s = [], [], []
         for at in range(0, len(a), 512):
             part = a[at : at + 512]
-            sims = rows[part] @ rows[b].T
-            i, j = np.nonzero(sims >= threshold - 1e-12)
+            sims = unit[part] @ unit[b].T
+            i, j = np.nonzero(sims >= least - 1e-12)
             x, y, s = ids[part[i]], ids[b[j]], sims[i, j]
             keep = x != y if left != right else x < y
             out_a.append(np.minimum(x, y)[keep]), out_b.append(np.maximum(x, y)[keep]), out_s.append(s[keep])
         columns = [np.concatenate(c) if c else np.empty(0) for c in (out_a, out_b, out_s)]
         return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64()), "similarity": pa.array(columns[2], pa.float64())})
 
-    return dealt.groupBy("left", "right").applyInArrow(multiply, "a long, b long, similarity double")
+    return dealt.groupBy("cell", "left", "right").applyInArrow(multiply, "a long, b long, similarity double")
 
 
 def sign_bands(threshold: float, recall: float = RECALL, most_bands: int = MOST_BANDS) -> tuple[int, int]:
@@ -102,7 +113,7 @@ def _lsh_pairs(own: DataFrame, threshold: float, block: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = _matrix(b.column(1))
+            rows = unit_rows(b.column(1))
             if planes is None:
                 planes = np.random.default_rng(11).standard_normal((rows.shape[1], bits * bands))
             up = (rows @ planes > 0).reshape(len(rows), bands, bits)
@@ -127,7 +138,7 @@ def _lsh_pairs(own: DataFrame, threshold: float, block: int) -> DataFrame:
             t = pa.concat_tables(held).combine_chunks()
             held.clear()
             ids, side = t["id"].to_numpy(), t["block"].to_numpy()
-            unit = _matrix(t["vector"].chunk(0))
+            unit = unit_rows(t["vector"].chunk(0))
             left, right = t["left"][0].as_py(), t["right"][0].as_py()
             x, y = np.flatnonzero(side == left), np.flatnonzero(side == right)
             i, j = np.nonzero(unit[x] @ unit[y].T >= threshold - 1e-12)
@@ -162,54 +173,19 @@ def _lsh_pairs(own: DataFrame, threshold: float, block: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def nearest(queries: DataFrame, store: DataFrame, k: int, threshold: float | None = None, query_block: int = 2048) -> DataFrame:
+def nearest(queries: DataFrame, store: DataFrame | CellIndex, k: int, threshold: float | None = None) -> DataFrame:
     """(query_id, id, similarity, rank): the k stored vectors nearest to each query, ties by id;
-    with a threshold only those above it (strictly).
+    with a threshold only those above it (strictly). Exact; see ``cells.search``.
 
-    queries: query_id, vector; store: id, vector. Queries are cut in blocks that meet every shard
-    of the store; a task keeps k of each query before the shuffle that merges them.
-    Ranks compare twelve digits, so that equal vectors tie.
+    queries: query_id, vector; store: id, vector, or an index of it, which several searches can share.
     """
-    asked = _usable(queries.select("query_id", "vector"), "vector")
-    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "id": store.schema["id"].dataType.simpleString()}
-    n = max(1, math.ceil(asked.count() / query_block))
-    shards = max(1, asked.sparkSession.sparkContext.defaultParallelism)
-    kept = _usable(store.select("id", "vector"), "vector").select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "vector")
-    left = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("part"), "query_id", F.col("vector").alias("asked"))
-    left = left.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = kept.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-    def near(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        found_q, found_i, found_s = [], [], []
-        # a side without rows comes without columns
-        a_ids = a["query_id"] if a.num_rows else pa.array([], _IDS[kinds["query_id"]])
-        b_ids = pa.array([], _IDS[kinds["id"]])
-        if a.num_rows and b.num_rows:
-            b = b.take(pa.compute.sort_indices(b["id"]))  # the stable sorts below break ties by id
-            b_ids = b["id"]
-            q, s = _matrix(a["asked"].combine_chunks()), _matrix(b["vector"].combine_chunks())
-            for at in range(0, len(q), 256):
-                for i, row in enumerate(q[at : at + 256] @ s.T):
-                    hit = np.arange(len(row)) if threshold is None else np.flatnonzero(row > threshold)
-                    best = hit[np.argsort(-np.round(row[hit], 12), kind="stable")[:k]]
-                    found_q.append(np.full(len(best), at + i))
-                    found_i.append(best)
-                    found_s.append(row[best])
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-        return pa.table({
-            "query_id": a_ids.take(pa.array(join(found_q, np.int64), pa.int64())), "id": b_ids.take(pa.array(join(found_i, np.int64), pa.int64())),
-            "similarity": pa.array(join(found_s, np.float64), pa.float64()),
-        })
-
-    schema = f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double"
-    found = left.groupBy("part", "shard").cogroup(right.groupBy("part", "shard")).applyInArrow(near, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("similarity", 12).desc(), "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
-def nearest_events(queries: DataFrame, store: DataFrame, k: int = 5, threshold: float = 0.80, query_block: int = 2048) -> DataFrame:
+    index = store if isinstance(store, CellIndex) else CellIndex.build(store)
+    return cells.search(queries, index, k, threshold).found
+
+
+def nearest_events(queries: DataFrame, store: DataFrame | CellIndex, k: int = 5, threshold: float = 0.80) -> DataFrame:
     """(query_id, id, similarity, rank): up to k stored events of each query above the threshold."""
-    return nearest(queries, store, k, threshold, query_block)
+    return nearest(queries, store, k, threshold)
 
 
 def _paired(keyed: DataFrame, per_key: int = 2000) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist.functions.dates import ymd
-from annalist.operators import cluster, pairs, scoring
+from annalist.operators import cells, cluster, pairs, scoring
 from annalist.plans import cluster_queries
 
 
@@ -35,8 +35,9 @@ def sequential(sims, t):
     return leader
 
 
-@pytest.mark.parametrize("seed,block", [(1, 4096), (2, 7)])
-def test_pairs_and_leaders(spark, seed, block):
+@pytest.mark.parametrize("seed,block,cell_rows", [(1, 4096, 1024), (2, 7, 1024), (3, 4, 6)])
+def test_pairs_and_leaders(spark, monkeypatch, seed, block, cell_rows):
+    monkeypatch.setattr(pairs, "CELL_ROWS", cell_rows)
     v = random_vectors(seed)
     points = table(spark, v)
     bad = spark.createDataFrame([(100, 100, [0.0, 0.0, 0.0]), (101, 101, None), (102, 102, [float("nan"), 1.0, 0.0])], points.schema)
@@ -64,6 +65,66 @@ def test_sign_bands_find_nine_pairs_of_ten(spark, threshold, spread):
     assert all(abs(r.similarity - sims[r.a, r.b]) < 1e-6 for r in found)
 
 
+def grouped_vectors(seed, groups, each, d=16, spread=0.12):
+    rng = np.random.default_rng(seed)
+    v = np.repeat(rng.standard_normal((groups, d)), each, axis=0)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v += spread * rng.standard_normal(v.shape) / np.sqrt(d)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("threshold", [0.95, 0.8, 0.3])
+def test_pivots_lose_no_pair_and_copy_little(spark, threshold):
+    """A third of the vectors are equal and another group is large; the rest are in small groups."""
+    v = grouped_vectors(4, 40, 12)
+    v[:160] = v[0]
+    v[160:200] = v[160] + 0.02 * random_vectors(9, 40, 16)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    sims = v @ v.T
+    placed = pairs.placed_in_cells(table(spark, v).select("id", "vector"), threshold, 20)
+    found = pairs._pairs_in_cells(placed, threshold, 32).collect()
+    a, b = np.nonzero(np.triu(sims >= threshold - 1e-12, 1))
+    assert len(found) == len(a) and {(r.a, r.b) for r in found} == set(zip(a.tolist(), b.tolist(), strict=True))
+    copies, cells_ = placed.agg(F.sum(F.size("copies")), F.countDistinct("cell")).first()
+    if threshold > 0.9:
+        assert cells_ > 15 and copies < 2 * len(v)
+
+
+@pytest.mark.parametrize("k,threshold", [(5, None), (3, 0.8), (40, None)])
+def test_search_by_cells_is_exact_and_visits_few_rows(spark, monkeypatch, k, threshold):
+    monkeypatch.setattr(cells, "SLOT_ROWS", 50)
+    monkeypatch.setattr(cells, "QUERY_BLOCK", 9)
+    v = grouped_vectors(6, 60, 20)
+    v[:300] = v[0]
+    store = table(spark, v).select("id", "vector")
+    index = cells.CellIndex.build(store, 48)
+    asked = store.filter("id % 37 = 0").select(F.col("id").cast("string").alias("query_id"), "vector")
+    done = cells.search(asked, index, k, threshold)
+    got = {}
+    for r in done.found.collect():
+        got.setdefault(int(r.query_id), []).append((r.rank, r.id))
+    sims = np.round(v @ v.T, 12)
+    for q in range(0, len(v), 37):
+        best = sorted((j for j in range(len(v)) if threshold is None or sims[q, j] > threshold), key=lambda j: (-sims[q, j], j))[:k]
+        assert sorted(got.get(q, [])) == list(enumerate(best, 1))
+    visits = done.visits.collect()
+    assert len(visits) == len({tuple(r) for r in visits})
+    if k < 10:
+        compared = sum(int(index.count[r.cell]) for r in visits if int(r.query_id) >= 300)
+        queries = len([q for q in range(0, len(v), 37) if q >= 300])
+        assert compared / queries < 0.2 * len(v), "a query meets a small part of the store"
+    near = {(int(r.query_id), r.id) for r in cells.within(asked, index, 0.9).collect()}
+    assert near == {(q, j) for q in range(0, len(v), 37) for j in range(len(v)) if sims[q, j] >= 0.9}
+
+
+def test_search_of_nothing(spark):
+    v = table(spark, random_vectors(1, 20)).select("id", "vector")
+    asked = v.select(F.col("id").alias("query_id"), "vector")
+    assert pairs.nearest(asked, v.limit(0), 3).count() == 0
+    assert pairs.nearest(asked.limit(0), v, 3).count() == 0
+    assert pairs.similar_pairs(v.limit(0), 0.8).count() == 0
+
+
 def test_identical_vectors_are_similar(spark):
     points = table(spark, np.ones((3, 3)))
     assert pairs.similar_pairs(points, 0.999).count() == 3
@@ -96,7 +157,7 @@ def test_nearest_is_strict_and_ordered(spark):
     store = table(spark, v).select("id", "vector")
     asked = store.filter("id < 10").select(F.col("id").alias("query_id"), "vector")
     got = {}
-    for r in pairs.nearest_events(asked, store.filter("id >= 10"), 3, 0.5, query_block=4).collect():
+    for r in pairs.nearest_events(asked, store.filter("id >= 10"), 3, 0.5).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.id))
     sims = v @ v.T
     for q in range(10):
