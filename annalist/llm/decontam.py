@@ -40,7 +40,8 @@ THRESHOLD = (4, 5)
 RECALL = 1 - 1e-9
 LEAST_SKETCH, SKETCH = 8, 32
 BLOCK_CHARS = 4_000_000
-GROUP_WORDS = 4_000_000
+#: Words of documents held together for the blocks in files, and for the one in memory.
+GROUP_WORDS, HELD_WORDS = 4_000_000, 200_000
 _FILTER = np.uint64((1 << 20) - 1)
 FOUND = "doc_id long, item_id long, n_item_ngrams long, n_found long, containment double"
 
@@ -166,7 +167,7 @@ def _read_blocks(paths: list[str]) -> Iterator[list[ItemIndex]]:
 
 
 def _search(docs: DataFrame, blocks: Callable[[], Iterator[list[ItemIndex]]], by_batch: bool) -> DataFrame:
-    """Probes groups of documents against all blocks: an Arrow batch, or ``GROUP_WORDS`` words."""
+    """Probes groups of documents, of ``HELD_WORDS`` or ``GROUP_WORDS`` words, against all blocks."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_item_ngrams", pa.int64()), ("n_found", pa.int64()), ("containment", pa.float64())]
     )
@@ -191,12 +192,9 @@ def _search(docs: DataFrame, blocks: Callable[[], Iterator[list[ItemIndex]]], by
                 words = (text.as_py() or b"").split()
                 held.append((doc_id.as_py(), words, memo.of(words)))
                 size += len(words)
-                if size >= GROUP_WORDS:
+                if size >= (HELD_WORDS if by_batch else GROUP_WORDS):
                     yield from flush()
                     size = 0
-            if by_batch:
-                yield from flush()
-                size = 0
         if held:
             yield from flush()
 
