@@ -87,6 +87,18 @@ def _lists(held: np.ndarray, numbers: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers[column], pa.int32()))
 
 
+def in_cells(rows: DataFrame, centre: np.ndarray) -> DataFrame:
+    """Adds ``cell``, the nearest pivot, and ``far``, the angle to it, to rows with a usable ``vector``."""
+    shared = rows.sparkSession.sparkContext.broadcast(centre)
+
+    def add(unit: np.ndarray) -> list[pa.Array]:
+        far = angle(unit @ shared.value.T)
+        cell = far.argmin(axis=1)
+        return [pa.array(cell, pa.int32()), pa.array(far[np.arange(len(far)), cell])]
+
+    return _mapped(rows, "vector", add, {"cell": "int", "far": "double"})
+
+
 @dataclass
 class CellIndex:
     """A store by cells. rows: cell, slot, id, vector, written; of each cell its pivot, the largest angle
@@ -106,14 +118,11 @@ class CellIndex:
         """Of a store (id, vector); as many cells as the root of its rows unless told otherwise."""
         kept = usable(store.select("id", "vector"), "vector")
         centre = pivots(kept, cells or math.isqrt(kept.count()) or 1)
-        shared = store.sparkSession.sparkContext.broadcast(centre)
+        return CellIndex.over(spool(in_cells(kept, centre), "cells"), centre)
 
-        def add(unit: np.ndarray) -> list[pa.Array]:
-            far = angle(unit @ shared.value.T)
-            cell = far.argmin(axis=1)
-            return [pa.array(cell, pa.int32()), pa.array(far[np.arange(len(far)), cell])]
-
-        placed = spool(_mapped(kept, "vector", add, {"cell": "int", "far": "double"}), "cells")
+    @staticmethod
+    def over(placed: DataFrame, centre: np.ndarray) -> CellIndex:
+        """An index of a written table (id, vector, cell, far), far being the angle to the cell's pivot."""
         radius, count = np.full(len(centre), -1.0), np.zeros(len(centre), np.int64)
         for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():
             radius[r.cell], count[r.cell] = r.far, r.n
@@ -179,7 +188,8 @@ def _met(visits: DataFrame, index: CellIndex, n_queries: int, k: int | None, lea
     slots = F.array(*[F.lit(int(n)) for n in index.slots])
     left = visits.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
     left = left.withColumn("slot", F.explode(F.sequence(F.lit(0), F.get(slots, F.col("cell")) - 1)))
-    right = index.rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = F.broadcast(visits.select("cell").distinct())  # at most MOST_CELLS rows
+    right = index.rows.join(met, "cell", "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     kinds = {"query_id": _kind(visits, "query_id"), "id": _kind(index.rows, "id")}
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:

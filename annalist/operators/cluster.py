@@ -1,17 +1,14 @@
-"""Clustering of events: by leaders, by leaders with a verifier, by rules, and by ordered insertion."""
+"""Clustering of events: by leaders, by leaders with a verifier, and by rules."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions.scores import match_score, quick_exclude, rule_match
-from annalist.operators.pairs import block_candidates, similar_pairs, with_sides
+from annalist.operators.pairs import block_candidates, with_sides
 from annalist.scratch import components, spool
 
 #: Near matches, which a verifier may confirm: at most so many years apart, at least so many points.
@@ -128,55 +125,6 @@ def rank_by(points: DataFrame, key: str) -> DataFrame:
     )
 
 
-def canonicalise(raw: DataFrame, store: DataFrame, near: float = 0.80, cross: float = 0.85, same: float = 0.95, k: int = 5) -> DataFrame:
-    """(raw_id, event_id, is_new): raw events inserted in order into a store of events.
-
-    raw: id, rank, vector, document_id; store: event_id, vector, document_ids. A raw event takes
-    the nearest of up to k events above ``near`` whose similarity reaches ``same`` if the event
-    has a raw event of its document, else ``cross``; otherwise it makes an event, whose id is its
-    own. Events of different components of the graph above ``near`` never meet, so each
-    component is replayed alone, in order. Ids of raw events and stored events must differ.
-    """
-    both = raw.select("id", "vector").union(store.select(F.col("event_id").alias("id"), "vector"))
-    pairs = spool(similar_pairs(both, near).filter(F.col("similarity") > near), "near-pairs")
-    group = components(pairs)
-    rows = raw.select("id", "rank", "vector", F.array(F.col("document_id")).alias("documents"), F.lit(False).alias("stored")).union(
-        store.select("event_id", F.lit(None).cast("long"), "vector", "document_ids", F.lit(True))
-    )
-    grouped = rows.join(group.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    busy = grouped.filter("not stored").select("component").distinct()
-    grouped = grouped.join(busy.hint("merge"), "component", "left_semi")
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        events, out = [], []
-        for r in rows[rows["stored"]].sort_values("id").itertuples():
-            events.append((r.id, _unit(r.vector), set(r.documents)))
-        for r in rows[~rows["stored"]].sort_values("rank").itertuples():
-            v, document, target = _unit(r.vector), r.documents[0], None
-            sims = sorted(((float(e[1] @ v), e[0], n) for n, e in enumerate(events) if e[1] is not None and v is not None), key=lambda x: (-x[0], x[1]))
-            for s, _, n in [x for x in sims if x[0] > near][:k]:
-                if s >= (same if document in events[n][2] else cross):
-                    target = n
-                    break
-            if target is None:
-                events.append((r.id, v, {document}))
-                out.append((r.id, r.id, True))
-            else:
-                events[target][2].add(document)
-                out.append((r.id, events[target][0], False))
-        return pd.DataFrame(out, columns=["raw_id", "event_id", "is_new"])
-
-    return grouped.groupBy("component").applyInPandas(replay, "raw_id long, event_id long, is_new boolean")
-
-
-def _unit(vector) -> np.ndarray | None:
-    if vector is None:
-        return None
-    v = np.asarray(vector, np.float64)
-    size = math.sqrt(float(v @ v))
-    return v / size if size > 0 and not math.isnan(size) else None
-
-
 def merge_stats(groups: DataFrame, n_uncertain: int = 0) -> DataFrame:
     """One row: events, groups, groups of two or more, uncertain pairs."""
     size = groups.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))

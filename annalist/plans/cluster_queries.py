@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.functions.scores import match_score, overlap_ratio, pair_key, quick_exclude, relevance_band, rule_match
-from annalist.operators import cluster, pairs, scoring, timeline
+from annalist.operators import canonical, cluster, pairs, scoring, timeline
 from annalist.plans.adapters import RANGE_SQL, SIDE_SQL, events, vectors
 from annalist.plans.registry import Registry
 
@@ -128,7 +128,7 @@ def canonicalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd vectors enter a store of the even ones."""
     own = vectors(spark, sf_dir).withColumn("document_id", (F.col("id") % 20).cast("string"))
     store = own.filter("id % 2 = 0").select(F.col("id").alias("event_id"), "vector", F.array("document_id").alias("document_ids"))
-    return cluster.canonicalise(own.filter("id % 2 = 1").select("id", "rank", "vector", "document_id"), store, THRESHOLD, 0.35, 0.45)
+    return canonical.canonicalise(own.filter("id % 2 = 1").select("id", "rank", "vector", "document_id"), store, THRESHOLD, 0.35, 0.45)
 
 
 _ENTITY_PAIRS = f"""

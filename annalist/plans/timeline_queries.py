@@ -191,27 +191,42 @@ def _files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
+def _batches(spark: SparkSession, sf_dir: str, name: str, key: str, parts: int = 4) -> DataFrame:
+    """A table as a stream of as many batches, in ranges of an integer key: one file each, written in order."""
+    rows, folder = a.read(spark, sf_dir, name), f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
+    low, high = rows.agg(F.coalesce(F.min(key), F.lit(0)), F.coalesce(F.max(key), F.lit(0))).first()
+    part = F.floor((F.col(key) - low) * parts / (high - low + 1))
+    for k in range(parts):
+        rows.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def _finished(stream: DataFrame, name: str) -> DataFrame:
     spark, folder = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
     ingest.run_to_table(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-@query()
+_PROGRESS = "SELECT DISTINCT cast(user_id % 20 AS varchar) viewpoint_id, event_type step_name, props AS message FROM events"
+
+
+@query("""SELECT DISTINCT cast(user_id % 20 AS varchar) source_document_id, sha256(cast(user_id % 20 AS varchar) || '-' || event_type || '-' || strftime(ts, '%Y-%m-%d')) deduplication_signature
+FROM events""")
 def stream_dedupe_raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _stream(spark, sf_dir).select(
+    """Raw events in four batches, each with copies of those before."""
+    raw = _batches(spark, sf_dir, "events", "event_id").select(
         F.col("event_id").alias("id"), (F.col("user_id") % 20).cast("string").alias("source_document_id"), F.col("event_type").alias("description"),
-        F.date_format("ts", "yyyy-MM-dd").alias("event_date_str"), F.col("ts").cast("timestamp").alias("created_at"),
+        F.date_format("ts", "yyyy-MM-dd").alias("event_date_str"),
     )
-    return _finished(ingest.stream_dedupe_raw_events(raw, delay="40 days"), "stream-raw").select("source_document_id", "deduplication_signature")
+    return _finished(ingest.stream_dedupe_raw_events(raw), "stream-raw").select("source_document_id", "deduplication_signature")
 
 
-@query("SELECT DISTINCT cast(user_id % 20 AS varchar) viewpoint_id, event_type step_name, props AS message FROM events")
+@query(f"{_PROGRESS} EXCEPT {_PROGRESS} WHERE event_id % 7 = 0")
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = _stream(spark, sf_dir).select(
-        (F.col("user_id") % 20).cast("string").alias("viewpoint_id"), F.col("event_type").alias("step_name"), F.col("ts").cast("timestamp").alias("event_timestamp"), F.col("props").alias("message")
-    )
-    return _finished(ingest.stream_progress(steps, "40 days"), "stream-progress").drop("event_timestamp")
+    """Steps in four batches, without those that a table from before holds."""
+    columns = ((F.col("user_id") % 20).cast("string").alias("viewpoint_id"), F.col("event_type").alias("step_name"), F.col("props").alias("message"))
+    stored = a.read(spark, sf_dir, "events").filter("event_id % 7 = 0").select(*columns)
+    return _finished(ingest.stream_progress(_batches(spark, sf_dir, "events", "event_id").select(*columns), stored), "stream-progress")
 
 
 @query("""SELECT user_id task_id, arg_max(CASE event_type WHEN 'click' THEN 'completed' ELSE event_type END, (ts, event_type)) status, arg_max(event_type, (ts, event_type)) = 'click' is_terminal FROM events GROUP BY 1""")
@@ -232,9 +247,9 @@ def stream_task_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_canonicalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors as raw events in one stream; links of raw events to events."""
-    rows = _files(spark, sf_dir, "embeddings")
+    """All vectors as raw events in four batches; links of raw events to events. Thresholds are those of vectors far apart."""
+    rows = _batches(spark, sf_dir, "embeddings", "vec_id")
     raw = rows.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("rank"), F.col("embedding").alias("vector"), (F.col("vec_id") % 20).cast("string").alias("document_id"))
     folder = f"{shared_dir(spark)}/stream-canonical-{uuid.uuid4().hex}"
-    ingest.stream_canonicalise(raw, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    ingest.stream_canonicalise(raw, f"{folder}/out", f"{folder}/checkpoint", near=0.30, cross=0.32, same=0.40).awaitTermination()
     return spark.read.parquet(f"{folder}/out/links").select("raw_id", "event_id", "document_id")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist.functions.dates import ymd
-from annalist.operators import cells, cluster, pairs, scoring
+from annalist.operators import canonical, cells, cluster, pairs, scoring
 from annalist.plans import cluster_queries
 
 
@@ -236,24 +236,60 @@ def test_rule_cluster_unites_confirmed_near_matches(spark):
     assert {r.id: r.leader for r in cluster.rule_cluster(t).collect()}[2] == 2
 
 
-@pytest.mark.parametrize("seed", [8, 9])
-def test_canonicalise_equals_the_loop_with_a_store(spark, seed):
-    v = random_vectors(seed, 50)
-    rng = random.Random(seed)
-    document = [str(rng.randrange(4)) for _ in range(50)]
-    all_ = spark.createDataFrame([(k, k, [float(x) for x in v[k]], document[k]) for k in range(50)], "id long, rank long, vector array<double>, document_id string")
-    store = all_.filter("id < 15").select(F.col("id").alias("event_id"), "vector", F.array("document_id").alias("document_ids"))
-    got = {r.raw_id: r.event_id for r in cluster.canonicalise(all_.filter("id >= 15"), store).collect()}
-    events, expected = [[k, v[k], {document[k]}] for k in range(15)], {}
-    for k in range(15, 50):
-        near = sorted(((float(e[1] @ v[k]), e) for e in events if float(e[1] @ v[k]) > 0.8), key=lambda x: (-x[0], x[1][0]))[:5]
-        hit = next((e for s, e in near if s >= (0.95 if document[k] in e[2] else 0.85)), None)
+def inserted(v, document, n_stored, near, cross, same, k):
+    """The sequential loop: events in order, each with the documents it has so far."""
+    sims = np.round(v @ v.T, 12)
+    events, out = {i: {document[i]} for i in range(n_stored)}, {}
+    for i in range(n_stored, len(v)):
+        close = sorted((e for e in events if sims[e, i] > near), key=lambda e: (-sims[e, i], e))[:k]
+        hit = next((e for e in close if sims[e, i] >= (same if document[i] in events[e] else cross)), None)
         if hit is None:
-            events.append([k, v[k], {document[k]}])
+            events[i] = {document[i]}
         else:
-            hit[2].add(document[k])
-        expected[k] = k if hit is None else hit[0]
-    assert got == expected
+            events[hit].add(document[i])
+        out[i] = i if hit is None else hit
+    return out
+
+
+def insert_all(spark, v, document, n_stored, *thresholds):
+    rows = [(k, k, [float(x) for x in v[k]], document[k]) for k in range(len(v))]
+    all_ = spark.createDataFrame(rows, "id long, rank long, vector array<double>, document_id string")
+    store = all_.filter(F.col("id") < n_stored).select(F.col("id").alias("event_id"), "vector", F.array("document_id").alias("document_ids"))
+    return {r.raw_id: r.event_id for r in canonical.canonicalise(all_.filter(F.col("id") >= n_stored), store, *thresholds).collect()}
+
+
+@pytest.mark.parametrize(
+    "seed,documents,thresholds",
+    [(8, 4, (0.80, 0.85, 0.95, 5)), (9, 2, (0.80, 0.85, 0.95, 1)), (10, 3, (0.3, 0.35, 0.9, 2)), (11, 1, (0.5, 0.6, 0.95, 3))],
+)
+def test_canonicalise_equals_the_loop_with_a_store(spark, seed, documents, thresholds):
+    rng = random.Random(seed)
+    v = random_vectors(seed, 50)
+    document = [None if rng.random() < 0.1 else str(rng.randrange(documents)) for _ in range(50)]
+    assert insert_all(spark, v, document, 15, *thresholds) == inserted(v, document, 15, *thresholds)
+
+
+def test_a_large_cluster_takes_few_rounds(spark, monkeypatch):
+    """A third of the rows are near copies of one another, others nearly equal to them: no chain as long as the cluster."""
+    rng = np.random.default_rng(3)
+    v = random_vectors(5, 180, 8)
+    v[20:80] = v[20] + 0.02 * random_vectors(6, 60, 8)
+    v[80:120] = v[20] + 0.45 * random_vectors(7, 40, 8)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    document = [str(d) for d in rng.integers(0, 400, len(v))]
+    calls, real = [], canonical._decide
+    monkeypatch.setattr(canonical, "_decide", lambda *a: calls.append(1) or real(*a))
+    assert insert_all(spark, v, document, 10) == inserted(v, document, 10, 0.80, 0.85, 0.95, 5)
+    assert len(calls) <= 12
+
+
+def test_canonicalise_of_odd_rows(spark):
+    rows = [(1, 1, None, "a"), (2, 2, [0.0, 0.0], "a"), (3, 3, [1.0, 0.0], "b"), (4, 4, [1.0, 0.0], None), (5, 5, [1.0, 0.0], None)]
+    raw = spark.createDataFrame(rows, "id long, rank long, vector array<double>, document_id string")
+    none = spark.createDataFrame([], "event_id long, vector array<double>, document_ids array<string>")
+    got = {r.raw_id: (r.event_id, r.is_new) for r in canonical.canonicalise(raw, none).collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (3, True), 4: (3, False), 5: (3, False)}
+    assert canonical.canonicalise(raw.limit(0), none).count() == 0
 
 
 def test_ranks_are_places_in_order(spark):

@@ -7,11 +7,13 @@ import random
 import re
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from annalist import schemas
-from annalist.operators import entities, scoring, search, tasks, timeline
+from annalist.operators import canonical, entities, scoring, search, tasks, timeline
+from annalist.plans import timeline_queries
 from annalist.scratch import shared_dir
 from annalist.sources import corpus, tables
 from annalist.streaming import ingest
@@ -184,6 +186,38 @@ def test_stream_canonicalise_in_two_batches_equals_one(spark):
     assert links == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
 
 
+def test_stream_canonicalise_query_matches_and_equals_one_batch(spark, tmp_path):
+    """Several batches, with matches, give what one insertion of all rows gives."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((90, 6))
+    rows = [(k, [float(x) for x in row], 0) for k, row in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.raw_id: r.event_id for r in timeline_queries.stream_canonicalise(spark, str(tmp_path)).collect()}
+    raw = spark.createDataFrame([(k, k, x, str(k % 20)) for k, x, _ in rows], "id long, rank long, vector array<float>, document_id string")
+    none = spark.createDataFrame([], "event_id long, vector array<float>, document_ids array<string>")
+    want = {r.raw_id: r.event_id for r in canonical.canonicalise(raw, none, 0.30, 0.32, 0.40).collect()}
+    assert got == want and len(set(got.values())) < 70
+
+
+def test_stream_uniqueness_never_expires(spark):
+    """A copy a year later, in a query started anew from the checkpoint, is dropped; so is one of a stored row."""
+    folder = f"{shared_dir(spark)}/unique-{uuid.uuid4().hex}"
+    schema = "id long, source_document_id string, description string, event_date_str string, created_at timestamp"
+    stored = spark.sql("SELECT 'd9' AS source_document_id, sha2('d9-old-1', 256) AS deduplication_signature")
+    batches = [
+        [(1, "d1", "a", "1", "2024-01-01"), (2, "d1", "a", "1", "2024-01-02"), (3, "d9", "old", "1", "2024-01-01"), (4, None, "a", "1", "2024-01-01")],
+        [(5, "d1", "a", "1", "2025-06-01"), (6, "d2", "a", "1", "2025-06-01"), (7, None, "a", "1", "2025-06-01")],
+        [(8, "d1", "a", "1", "2029-06-01"), (9, "d2", "a", "1", "2019-06-01"), (10, "d3", "b", None, "2029-06-01"), (11, "d9", "old", "1", "2029-06-01")],
+    ]
+    for part in batches:
+        rows = spark.createDataFrame([(*r[:4], r[4]) for r in part], schema.replace("timestamp", "string"))
+        rows.withColumn("created_at", F.col("created_at").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = ingest.stream_dedupe_raw_events(spark.readStream.schema(schema).parquet(f"{folder}/in"), stored)
+        ingest.run_to_table(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    got = sorted(r.id for r in spark.read.parquet(f"{folder}/out").collect())
+    assert got in ([1, 4, 6, 10], [2, 4, 6, 10])
+
+
 def test_stream_status_keeps_the_latest(spark):
     folder = f"{shared_dir(spark)}/status-{uuid.uuid4().hex}"
     schema = "task_id string, status string, changed_at timestamp"
