@@ -266,14 +266,22 @@ def _month_number(name: Column) -> Column:
     return number
 
 
-#: Days of named events (year, month, day).
-EVENTS = {"fall of the berlin wall": (1989, 11, 9), "meiji restoration": (1868, 1, 3)}
-#: Named eras and the span of traditions, first and last year.
+#: Days of named events (year, month, day). Names are patterns between word borders.
+EVENTS = {
+    "fall of the berlin wall": (1989, 11, 9), "meiji restoration": (1868, 1, 3), "battle of hastings": (1066, 10, 14), "fall of constantinople": (1453, 5, 29),
+    "storming of the bastille": (1789, 7, 14), "battle of waterloo": (1815, 6, 18), "attack on pearl harbou?r": (1941, 12, 7), "d-day": (1944, 6, 6),
+    "moon landing": (1969, 7, 20), "september 11 attacks": (2001, 9, 11),
+}
+#: Named eras and the span of traditions, first and last year. Names are patterns between word borders.
 ERAS = {
     "heian": (794, 1185), "edo": (1603, 1868), "meiji": (1868, 1912), "taisho": (1912, 1926), "showa": (1926, 1989),
-    "algonquin": (-1000, 1600), "greek myth": (-800, 600), "norse": (-200, 1300), "chinese folklore": (-2000, 1000),
-    "african myth": (-3000, 1000), "san people": (-20000, 1500),
+    "algonquin": (-1000, 1600), "greek myth(?:s|ology|ological)?": (-800, 600), "norse": (-200, 1300), "chinese folklore": (-2000, 1000),
+    "african myth(?:s|ology|ological)?": (-3000, 1000), "san people": (-20000, 1500), "roman empire": (-27, 476), "middle ages": (500, 1500),
+    "tang dynasty": (618, 907), "song dynasty": (960, 1279), "ming dynasty": (1368, 1644), "qing dynasty": (1644, 1912), "victorian": (1837, 1901),
+    "(?:world war i|first world war)": (1914, 1918), "(?:world war ii|second world war)": (1939, 1945),
 }
+#: A name with one of these words is that of a place.
+PLACES = "bay city coast county desert district forest hotel island islands lake lakes mountain mountains park province region river state town valley village".split()
 #: The last days of eras that ended on a known day.
 LAST_DAYS = {"heian": (1185, 4, 25), "edo": (1868, 1, 3), "meiji": (1912, 7, 30), "taisho": (1926, 12, 25), "showa": (1989, 1, 7)}
 ORDINALS = {"first": 1, "1st": 1, "second": 2, "2nd": 2, "third": 3, "3rd": 3, "fourth": 4, "4th": 4, "last": 4}
@@ -295,14 +303,87 @@ def thanksgiving(year: Column) -> Column:
     return F.date_add(first, F.pmod(5 - F.dayofweek(first), F.lit(7)) + 21)
 
 
+_ORDINAL = r"\d{1,2}(?:st|nd|rd|th)"
+_MARK = r"\b(?:bce?|b\.c\.e?\.?|ce|ad|a\.d\.)(?:\b|$)"
+_YEARS = r"\d{3,4}(?:0'?s|s)?(?:\s*(?:bce?|ce|ad))?"
+#: The two ends of a range: in words, around a dash, or years around a hyphen.
+RANGES = (
+    r"^between\s+(.+?)\s+and\s+(.+)$",
+    r"^(?:from\s+)?(.+?)(?:\s+-\s+|\s*[–—]\s*|\s+(?:to|until|till|through)\s+)(.+)$",
+    rf"^({_YEARS})-({_YEARS})$",
+)
+_DAYS = r"^([a-z]+\s+)(\d{1,2})\s*[-–—]\s*(\d{1,2})((?:,|\s).*\d{3,4})$"
+
+
+def range_ends(text: Column) -> Column:
+    """The ends of a date range as an array of two texts; empty if it is none.
+
+    What the first end leaves out it takes from the second: the year, ``century`` or ``millennium``, BC.
+    """
+    t = F.trim(F.lower(text))
+    left, right = F.lit(""), F.lit("")
+    for pattern in reversed(RANGES):
+        left = F.when(t.rlike(pattern), F.regexp_extract(t, pattern, 1)).otherwise(left)
+        right = F.when(t.rlike(pattern), F.regexp_extract(t, pattern, 2)).otherwise(right)
+    part = lambda k: F.regexp_extract(t, _DAYS, k)
+    left = F.when(t.rlike(_DAYS), F.concat(part(1), part(2), part(4))).otherwise(left)
+    right = F.when(t.rlike(_DAYS), F.concat(part(1), part(3), part(4))).otherwise(right)
+    size, year = F.regexp_extract(right, "(century|millennium)", 1), F.regexp_extract(right, r"(\d{3,4})\D*$", 1)
+    mark = F.regexp_extract(right, r"\b(bce?)\b", 1)
+    whole = (
+        F.when(left.rlike(rf"^(?:the\s+)?{_ORDINAL}$") & (size != ""), F.concat(left, F.lit(" "), size, F.lit(" "), mark))
+        .when(left.rlike(r"^[\d,]+$|century|millennium") & ~left.rlike(_MARK) & (mark != ""), F.concat(left, F.lit(" "), mark))
+        .when(~left.rlike(rf"\d{{3,4}}|'\d\d|century|millennium|{_MARK}") & (year != ""), F.concat(left, F.lit(" "), year))
+        .otherwise(left)
+    )
+    return F.when((left != "") & (right != ""), F.array(whole, right)).otherwise(F.array().cast("array<string>"))
+
+
+def _joined(whole: Column, first: Column, second: Column) -> Column:
+    """One date of the two ends of a range: years if it spans several, else months or days; periods of a kind stay so."""
+    has_end = second["end_year"].isNotNull()
+    end = [F.when(has_end, second[f"end_{p}"]).otherwise(second[f"start_{p}"]) for p in ("year", "month", "day")]
+    long = first["precision"].isin("decade", "century", "millennium", "era") & (first["precision"] == second["precision"])
+    same_year = first["start_year"] == end[0]
+    same_month = same_year & (first["start_month"] == end[1])
+    precision = (
+        F.when(long, first["precision"])
+        .when(same_month & first["start_day"].isNotNull() & end[2].isNotNull(), "day")
+        .when(same_year & first["start_month"].isNotNull() & end[1].isNotNull(), "month")
+        .otherwise("year")
+    )
+    return F.struct(
+        whole["original_text"].alias("original_text"), whole["display_text"].alias("display_text"), precision.alias("precision"),
+        *[first[f"start_{p}"].alias(f"start_{p}") for p in ("year", "month", "day")], *[e.alias(f"end_{p}") for e, p in zip(end, ("year", "month", "day"), strict=True)],
+        first["is_bce"].alias("is_bce"),
+    )
+
+
 def parse_date_text(text: Column) -> Column:
+    """date_info of a date string: of one date, or of a range whose ends are both read by the rules for one date.
+
+    See ``parse_single_date`` for what is read. A range of which one end is not read is taken as a single date.
+    """
+    # the rules are in the plan once, as the body of a lambda over the text and its ends
+    read = F.transform(F.concat(F.array(text), range_ends(text)), parse_single_date)
+
+    def one(dates: Column) -> Column:
+        ends = F.filter(F.slice(dates, 2, 2), lambda d: d["precision"] != "unknown")
+        whole = F.get(dates, F.lit(0))
+        return F.when(F.size(ends) == 2, _joined(whole, F.get(ends, F.lit(0)), F.get(ends, F.lit(1)))).otherwise(whole)
+
+    return F.get(F.transform(F.array(read), one), F.lit(0))
+
+
+def parse_single_date(text: Column) -> Column:
     """date_info of a date string; the first rule that matches wins, and what no rule reads is ``unknown``.
 
     Read are days, months, years, ranges, quarters, decades, centuries, millennia, seasons, holidays, the
     early, middle or late third of a month, year, decade or century, "before" a year, named events and
     what is so many years before or after one, the first and last day of an era, eras, and BCE. A third of a
     year is four months, of a month ten days or what is left of it, of a decade four, three and three
-    years. Two-digit years behind an apostrophe are those from 1930 to 2029.
+    years. Two-digit years behind an apostrophe are those from 1930 to 2029. Names of events and eras are
+    whole words, and none beside a word for a place.
     """
     t = F.trim(F.lower(text))
     bce = t.rlike(r"\b(bce?|b\.c\.e?\.?)(\b|$)")
@@ -337,7 +418,7 @@ def parse_date_text(text: Column) -> Column:
     century = r"(\d{1,2})(?:st|nd|rd|th)\s+century"
     millennium = r"(\d{1,2})(?:st|nd|rd|th)\s+millennium"
     season = r"(spring|summer|autumn|fall|winter)\s+(?:of\s+)?(\d{3,4}|'\d\d)\b"
-    ym = r"^(\d{4})-(\d{1,2})$"
+    ym = r"^(\d{4})-(0?[1-9]|1[0-2])$"
     before = r"\b(?:before|prior to)\s+(\d{3,4})\b"
     bare = r"(\d{1,4})\s*(?:bce?|b\.c\.|ce|ad|a\.d\.)|(\d{4})|^(?:c\.|ca\.|circa|about|around|after|in)?\s*(\d{3,4})$"
     short_quarter, long_quarter = r"\bq([1-4])\s+(?:of\s+)?(\d{4})", rf"\b({'|'.join(ORDINALS)})\s+quarter\s+(?:of\s+)?(\d{{4}})"
@@ -376,17 +457,22 @@ def parse_date_text(text: Column) -> Column:
         before_christ = info("year", n * 100 - a + 1, y2=n * 100 - z + 1)
         return F.when(bce, before_christ).otherwise(info("year", (n - 1) * 100 + a, y2=(n - 1) * 100 + z))
 
+    place = t.rlike(rf"\b(?:{'|'.join(PLACES)})\b")
+
+    def named(pattern: str) -> Column:
+        return t.rlike(rf"\b{pattern}\b") & ~place
+
     moment, era, last_day = F.lit(None), F.lit(None), F.lit(None)
     kind = "struct<y:int,m:int,d:int>"
     triple = lambda v: F.struct(*[F.lit(x).alias(n) for x, n in zip(v, "ymd", strict=True)]).cast(kind)
     moment, last_day = moment.cast(kind), last_day.cast(kind)
     era = era.cast("struct<a:int,z:int>")
     for word, value in EVENTS.items():
-        moment = F.when(t.contains(word), triple(value)).otherwise(moment)
+        moment = F.when(named(word), triple(value)).otherwise(moment)
     for word, value in LAST_DAYS.items():
-        last_day = F.when(t.contains(word), triple(value)).otherwise(last_day)
+        last_day = F.when(named(word), triple(value)).otherwise(last_day)
     for word, value in ERAS.items():
-        era = F.when(t.contains(word), F.struct(F.lit(value[0]).alias("a"), F.lit(value[1]).alias("z")).cast("struct<a:int,z:int>")).otherwise(era)
+        era = F.when(named(word), F.struct(F.lit(value[0]).alias("a"), F.lit(value[1]).alias("z")).cast("struct<a:int,z:int>")).otherwise(era)
     amount = F.coalesce(number(relative, 1), _looked_up(group(relative, 1), COUNTS)) * _looked_up(group(relative, 2), SPANS)
     away = moment["y"] + F.when(group(relative, 3) == "after", amount).otherwise(-amount)
     week = thanksgiving(number(holiday_week, 1))

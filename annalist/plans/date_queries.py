@@ -107,20 +107,22 @@ def format_event_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MONTH_NAMES = "['" + "', '".join(m.title() for m in dates.MONTHS) + "']"
 _NORMALISED = f"""
 WITH base AS ({EVENT_SQL}),
-made AS (SELECT id, id % 13 f, abs(start_year) % 2000 + 1 y, coalesce(start_month, 5) m, id % 20 + 1 n, {_MONTH_NAMES}[coalesce(start_month, 5)] mon FROM base WHERE start_year IS NOT NULL),
+made AS (SELECT id, id % 18 f, abs(start_year) % 2000 + 1 y, coalesce(start_month, 5) m, id % 20 + 1 n, {_MONTH_NAMES}[coalesce(start_month, 5)] mon FROM base WHERE start_year IS NOT NULL),
 padded AS (SELECT *, lpad(cast(y AS varchar), 4, '1') y4, cast(lpad(cast(y AS varchar), 4, '1') AS int) v4, lpad(cast(y AS varchar), 3, '1') y3, cast(substring(lpad(cast(y AS varchar), 3, '1'), 1, 3) AS int) v3 FROM made),
 texts AS (SELECT *, CASE f WHEN 0 THEN mon || ' 3, ' || y4 WHEN 1 THEN 'spring of ' || y4 WHEN 2 THEN n || 'th century BCE' WHEN 3 THEN substring(y3, 1, 3) || '0s' WHEN 4 THEN y4 || '-12-05'
   WHEN 5 THEN 'circa ' || y || ' BC' WHEN 6 THEN 'long ago' WHEN 7 THEN 'Q' || (n % 4 + 1) || ' ' || y4 WHEN 8 THEN 'late ' || y4 WHEN 9 THEN 'mid-' || mon || ' ' || y4
-  WHEN 10 THEN 'the early ' || substring(y3, 1, 3) || '0s' WHEN 11 THEN 'before ' || y4 ELSE 'the week of Thanksgiving, ' || y4 END date_text FROM padded),
+  WHEN 10 THEN 'the early ' || substring(y3, 1, 3) || '0s' WHEN 11 THEN 'before ' || y4 WHEN 12 THEN 'the week of Thanksgiving, ' || y4
+  WHEN 13 THEN mon || ' ' || y4 || ' - June ' || (v4 + 1) WHEN 14 THEN v3 || '0s-' || (v3 + 1) || '0s' WHEN 15 THEN n || 'th century - ' || (n + 1) || 'th century'
+  WHEN 16 THEN 10 * n || ' BC - ' || 5 * n || ' AD' ELSE 'the freedom movement in Toledo, Macedonia' END date_text FROM padded),
 turkey AS (SELECT *, make_date(v4, 11, 1) + cast((11 - dayofweek(make_date(v4, 11, 1))) % 7 + 21 AS int) feast FROM texts)
 SELECT id, date_text, date_text original_text, date_text display_text,
- ['day', 'season', 'century', 'decade', 'day', 'year', 'unknown', 'month', 'month', 'day', 'year', 'year', 'day'][f + 1] AS precision,
- cast(CASE f WHEN 2 THEN -n * 100 WHEN 3 THEN v3 * 10 WHEN 5 THEN -y WHEN 6 THEN NULL WHEN 10 THEN v3 * 10 WHEN 11 THEN NULL ELSE v4 END AS int) start_year,
- cast(CASE f WHEN 0 THEN m WHEN 1 THEN 3 WHEN 4 THEN 12 WHEN 7 THEN 3 * (n % 4 + 1) - 2 WHEN 8 THEN 9 WHEN 9 THEN m WHEN 12 THEN month(feast - 4) END AS int) start_month,
+ ['day', 'season', 'century', 'decade', 'day', 'year', 'unknown', 'month', 'month', 'day', 'year', 'year', 'day', 'year', 'decade', 'century', 'year', 'unknown'][f + 1] AS precision,
+ cast(CASE f WHEN 2 THEN -n * 100 WHEN 3 THEN v3 * 10 WHEN 5 THEN -y WHEN 6 THEN NULL WHEN 10 THEN v3 * 10 WHEN 11 THEN NULL WHEN 14 THEN v3 * 10 WHEN 15 THEN (n - 1) * 100 + 1 WHEN 16 THEN -10 * n WHEN 17 THEN NULL ELSE v4 END AS int) start_year,
+ cast(CASE f WHEN 0 THEN m WHEN 1 THEN 3 WHEN 4 THEN 12 WHEN 7 THEN 3 * (n % 4 + 1) - 2 WHEN 8 THEN 9 WHEN 9 THEN m WHEN 12 THEN month(feast - 4) WHEN 13 THEN m END AS int) start_month,
  cast(CASE f WHEN 0 THEN 3 WHEN 4 THEN 5 WHEN 9 THEN 11 WHEN 12 THEN day(feast - 4) END AS int) start_day,
- cast(CASE f WHEN 1 THEN v4 WHEN 2 THEN -((n - 1) * 100 + 1) WHEN 3 THEN v3 * 10 + 9 WHEN 7 THEN v4 WHEN 8 THEN v4 WHEN 9 THEN v4 WHEN 10 THEN v3 * 10 + 3 WHEN 11 THEN v4 WHEN 12 THEN v4 END AS int) end_year,
- cast(CASE f WHEN 1 THEN 5 WHEN 7 THEN 3 * (n % 4 + 1) WHEN 8 THEN 12 WHEN 9 THEN m WHEN 12 THEN month(feast + 2) END AS int) end_month,
- cast(CASE f WHEN 9 THEN 20 WHEN 12 THEN day(feast + 2) END AS int) end_day, f IN (2, 5) is_bce FROM turkey
+ cast(CASE f WHEN 1 THEN v4 WHEN 2 THEN -((n - 1) * 100 + 1) WHEN 3 THEN v3 * 10 + 9 WHEN 7 THEN v4 WHEN 8 THEN v4 WHEN 9 THEN v4 WHEN 10 THEN v3 * 10 + 3 WHEN 11 THEN v4 WHEN 12 THEN v4 WHEN 13 THEN v4 + 1 WHEN 14 THEN v3 * 10 + 19 WHEN 15 THEN (n + 1) * 100 WHEN 16 THEN 5 * n END AS int) end_year,
+ cast(CASE f WHEN 1 THEN 5 WHEN 7 THEN 3 * (n % 4 + 1) WHEN 8 THEN 12 WHEN 9 THEN m WHEN 12 THEN month(feast + 2) WHEN 13 THEN 6 END AS int) end_month,
+ cast(CASE f WHEN 9 THEN 20 WHEN 12 THEN day(feast + 2) END AS int) end_day, f IN (2, 5, 16) is_bce FROM turkey
 """
 
 
@@ -137,6 +139,9 @@ def normalise_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(y4, F.lit("-12-05")), F.concat(F.lit("circa "), y.cast("string"), F.lit(" BC")), F.lit("long ago"),
         F.concat(F.lit("Q"), (n % 4 + 1).cast("string"), F.lit(" "), y4), F.concat(F.lit("late "), y4), F.concat(F.lit("mid-"), name, F.lit(" "), y4),
         F.concat(F.lit("the early "), y3, F.lit("0s")), F.concat(F.lit("before "), y4), F.concat(F.lit("the week of Thanksgiving, "), y4),
+        F.concat(name, F.lit(" "), y4, F.lit(" - June "), (y4.cast("int") + 1).cast("string")), F.concat(y3, F.lit("0s-"), (y3.cast("int") + 1).cast("string"), F.lit("0s")),
+        F.concat(n.cast("string"), F.lit("th century - "), (n + 1).cast("string"), F.lit("th century")),
+        F.concat((10 * n).cast("string"), F.lit(" BC - "), (5 * n).cast("string"), F.lit(" AD")), F.lit("the freedom movement in Toledo, Macedonia"),
     ]
     text = F.element_at(F.array(*forms), (F.col("id") % len(forms)).cast("int") + 1)
     parsed = dates.normalise_dates(own.select("id", text.alias("date_text")), "date_text")

@@ -97,6 +97,17 @@ PARSED = [
     ("19th century", ("century", 1801, None, None, 1900, None, None, False)), ("1914-1918", ("year", 1914, None, None, 1918, None, None, False)),
     ("from 1939 to 1945", ("year", 1939, None, None, 1945, None, None, False)), ("44 BC", ("year", -44, None, None, None, None, None, True)),
     ("circa 1300", ("year", 1300, None, None, None, None, None, False)), ("before 1500", ("year", None, None, None, 1500, None, None, False)),
+    ("September 2017 - June 2018", ("year", 2017, 9, None, 2018, 6, None, False)), ("March to May 1999", ("month", 1999, 3, None, 1999, 5, None, False)),
+    ("June 3-7, 1950", ("day", 1950, 6, 3, 1950, 6, 7, False)), ("June 28 – July 2, 1950", ("month", 1950, 6, 28, 1950, 7, 2, False)),
+    ("1960s-1970s", ("decade", 1960, None, None, 1979, None, None, False)), ("20th century - 21st century", ("century", 1901, None, None, 2100, None, None, False)),
+    ("19th to 20th century", ("century", 1801, None, None, 2000, None, None, False)), ("100 BC - 50 AD", ("year", -100, None, None, 50, None, None, True)),
+    ("500 - 300 BC", ("year", -500, None, None, -300, None, None, True)), ("between 1815 and 1848", ("year", 1815, None, None, 1848, None, None, False)),
+    ("early 1990s - late 2000s", ("year", 1990, None, None, 2009, None, None, False)), ("2010-2015", ("year", 2010, None, None, 2015, None, None, False)),
+    ("2010-05", ("month", 2010, 5, None, None, None, None, False)), ("the Edo period", ("era", 1603, None, None, 1868, None, None, False)),
+    ("the Battle of Hastings", ("day", 1066, 10, 14, None, None, None, False)), ("the Ming dynasty", ("era", 1368, None, None, 1644, None, None, False)),
+    *((place, ("unknown", None, None, None, None, None, None, False)) for place in (
+        "the freedom movement", "Toledo", "Macedonia", "The Norseman hotel", "Algonquin Park", "the Showa district", "Middle Ages Village", "to be decided", "North - South",
+    )),
     ("long ago", ("unknown", None, None, None, None, None, None, False)), ("2nd millennium", ("millennium", 1001, None, None, 2000, None, None, False)),
 ]
 
