@@ -163,6 +163,21 @@ def test_assembled_articles_skip_what_they_contain(spark):
     assert got == {"d1": "alpha beta\n\n... gamma", "d2": "x"}
 
 
+def test_chunks_of_a_very_long_text_are_its_slices(spark):
+    rng = random.Random(2)
+    text = "".join(rng.choice(["Höhe 𝄞 und Maß. ", "one two three! ", "x" * 40 + "? "]) for _ in range(60_000)).strip()
+    rows = spark.createDataFrame([(1, text), (2, "short"), (3, " \n "), (4, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.chunk_index, r.chunk_text) for r in corpus.chunk_documents(rows, 2000, 200, 3000).collect())
+    long = [t for d, _, t in got if d == 1]
+    assert [k for d, k, _ in got if d == 1] == list(range(len(long))) and got[len(long) :] == [(2, 0, "short")]
+    at = 0
+    for k, chunk in enumerate(long):
+        assert len(chunk) <= 2000 and text[at : at + len(chunk)] == chunk
+        assert at + len(chunk) == len(text) or (chunk.endswith(" ") and len(chunk) > 1900)
+        at += len(chunk) - 200 if k + 1 < len(long) else len(chunk)
+    assert at == len(text)
+
+
 def test_pages_and_filters_check_their_input(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, k string")
     assert tasks.filter_by(rows, k=None).count() == 1 and tasks.filter_any(rows, []).count() == 0
