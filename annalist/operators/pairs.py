@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions.dates import ranges_overlap
 from annalist.operators import cells
 from annalist.operators.cells import CellIndex, unit_rows, usable
-from annalist.scratch import spool
+from annalist.scratch import join_groups, spool
 
 
 #: Vectors in a block; a task holds two blocks.
@@ -188,36 +188,93 @@ def nearest_events(queries: DataFrame, store: DataFrame | CellIndex, k: int = 5,
     return nearest(queries, store, k, threshold)
 
 
-def _paired(keyed: DataFrame, per_key: int = 2000) -> DataFrame:
-    """Distinct pairs a < b of rows (key, id) with one key; large keys are dealt to block pairs."""
-    size = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / per_key).cast("int").alias("n"))
-    placed = keyed.join(size.hint("merge"), "key").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    left = placed.select("key", F.col("id").alias("a"), "slot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    right = placed.select("key", F.col("id").alias("b"), F.col("slot").alias("other"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
-    return left.join(right.hint("merge"), ["key", "slot", "other"]).filter("a < b").select("a", "b")
+def split_join(left: DataFrame, right: DataFrame, by: list[str], per_key: int = 2000) -> DataFrame:
+    """Inner join of rows with columns of their own; a key with many rows on either side is dealt to block pairs.
+
+    Each block pair is a key of its own, with ``per_key`` rows of either side at most, about; a row goes to as many
+    as the other side has blocks.
+    """
+    count = lambda df, name: df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    blocks = lambda name: F.ceil(F.col(name) / per_key).cast("int")
+    size = count(left, "n_left").join(count(right, "n_right").hint("merge"), by)
+    size = spool(size.select(*by, blocks("n_left").alias("_l"), blocks("n_right").alias("_r"), (F.col("n_left") + F.col("n_right")).alias("n")), "key-sizes")
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        slot = F.pmod(F.xxhash64(*df.columns), F.col(own)).cast("int")
+        sized = join_groups(df, size, by).withColumn("_own", slot).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return sized.drop("_l", "_r")
+
+    x = dealt(left, "_l", "_r").withColumnsRenamed({"_own": "_slot_l", "_other": "_slot_r"})
+    y = dealt(right, "_r", "_l").withColumnsRenamed({"_own": "_slot_r", "_other": "_slot_l"})
+    return x.join(y.hint("merge"), [*by, "_slot_l", "_slot_r"]).drop("_slot_l", "_slot_r")
 
 
-def block_candidates(events: DataFrame, by: tuple[str, ...] = ("entity", "type", "year")) -> DataFrame:
-    """Distinct pairs (a, b) of events that share an entity, or an entity type, or lie within a year.
+#: Points that a score can have beside those of common keys: language and description.
+OTHER_POINTS = 20
 
-    events: id, entity_ids, entity_types, year. The year range is an equi-join on three copies of
-    the year. Types are coarse keys; rule matches need a common entity, so ``by=("entity",)``
-    loses none of them.
+
+def block_candidates(events: DataFrame, by: tuple[str, ...] = ("entity", "type", "year"), least_score: int = 0) -> DataFrame:
+    """Pairs (a, b) of events that share an entity, or an entity type, or lie within a year; each pair once.
+
+    events: id, entity_ids, entity_types, year. Every entity, type and year is a key, a year being one of the next as
+    well, so neighbouring years share one. Events meet under each key, but a pair is only made under the
+    least key that both have, entities before types before years. With ``least_score`` a pair is only made if the match
+    score that its common keys allow reaches it; rows whose key can't bring any pair there are dropped before
+    they meet. Types are coarse keys; rule matches need a common entity, so ``by=("entity",)`` loses none of them.
+    """
+    if not set(by) <= {"entity", "type", "year"}:
+        raise ValueError(f"keys {by}")
+    none = F.array().cast("array<string>")
+    given = lambda c: F.filter(F.coalesce(F.array_distinct(c), none), lambda x: x.isNotNull())
+    years = F.when(F.col("year").isNotNull(), F.array("year", F.col("year") + 1).cast("array<string>")).otherwise(none)
+    of = {"entity": given(F.col("entity_ids").cast("array<string>")), "type": given(F.col("entity_types").cast("array<string>")), "year": years}
+
+    def marked(kind: str, mark: str) -> Column:
+        return F.transform(of[kind], lambda x: F.concat(F.lit(mark), x))
+
+    marks = [marked(kind, mark) for kind, mark in (("entity", "0:"), ("type", "1:"), ("year", "2:")) if kind in by]
+    keyed = events.select("id", F.col("year").cast("int").alias("year"), F.array_sort(F.concat(*marks)).alias("keys"), of["entity"].alias("entities"), of["type"].alias("types"))
+    rows = keyed.select("id", "year", "keys", "entities", "types", F.explode("keys").alias("key"))
+    if least_score:
+        # under a type no entity is common, under a year no type is either, where these are keys themselves
+        entities = F.when(F.col("key").startswith("0:") | F.lit("entity" not in by), 10 * F.size("entities")).otherwise(0)
+        types = F.when(F.col("key").startswith("2:") & F.lit("type" in by), 0).otherwise(5 * F.size("types"))
+        rows = rows.filter(entities + types + 30 + OTHER_POINTS >= least_score)
+    sides = [rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "year", "keys", "entities", "types")]) for s in "ab"]
+    met = split_join(*sides, ["key"]).filter("id_a < id_b").filter(F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b")))
+    if least_score:
+        common = 10 * F.size(F.array_intersect("entities_a", "entities_b")) + 5 * F.size(F.array_intersect("types_a", "types_b"))
+        apart = F.abs(F.col("year_a") - F.col("year_b"))
+        bonus = F.when(apart == 0, 30).when(apart == 1, 20).when(apart == 2, 10).otherwise(0)
+        met = met.filter(common + bonus + OTHER_POINTS >= least_score)
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
+def overlaps(events: DataFrame) -> DataFrame:
+    """Pairs a < b of all events (id, date_range) whose date ranges overlap, each once; those without a range have none.
+
+    A range of n days has the level of the power of two at or above n, at which it lies in two bins at most. Two ranges
+    meet at the higher of their levels, where both do, and a pair is made in the first bin that both lie in. A row is
+    copied twice a level, of which there are fewer than 23; bins with many rows are split.
     """
-    parts = []
-    if "entity" in by:
-        parts.append(_paired(events.select(F.explode(F.array_distinct("entity_ids")).alias("key"), "id")))
-    if "type" in by:
-        parts.append(_paired(events.select(F.explode(F.array_distinct("entity_types")).alias("key"), "id")))
-    if "year" in by:
-        own = events.filter("year is not null").select("id", "year")
-        spread = own.select(F.col("id").alias("b"), F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("year"))
-        near = own.withColumnRenamed("id", "a").join(spread.hint("merge"), "year").filter("a <> b")
-        parts.append(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    pairs = parts[0]
-    for part in parts[1:]:
-        pairs = pairs.union(part)
-    return pairs.distinct()
+    day = lambda c: F.datediff(F.col(f"date_range.{c}"), F.lit("0001-01-01").cast("date"))
+    own = events.filter("date_range.start_date is not null and date_range.end_date is not null").select("id", day("start_date").alias("s"), day("end_date").alias("e"))
+    length = F.col("e") - F.col("s") + 1
+    own = spool(own.withColumn("own", F.when(length == 1, 0).otherwise(F.length(F.bin(length - 1)))), "date-levels")
+    levels = sorted(r.own for r in own.select("own").distinct().collect())  # fewer than 23
+    every = F.array(*[F.lit(k) for k in levels]).cast("array<int>")
+    bins = F.array_distinct(F.array(F.expr("shiftright(s, level)"), F.expr("shiftright(e, level)")))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("level", F.explode(bins).alias("bin"), *[F.col(c).alias(f"{c}_{name}") for c in ("id", "s", "e", "own")])
+
+    longer = side(own.withColumn("level", F.col("own")), "x")
+    shorter = side(own.withColumn("level", F.explode(F.filter(every, lambda k: k >= F.col("own")))), "y")
+    met = split_join(longer, shorter, ["level", "bin"])
+    first = F.greatest(F.expr("shiftright(s_x, level)"), F.expr("shiftright(s_y, level)"))
+    once = (F.col("own_y") < F.col("own_x")) | (F.col("id_y") < F.col("id_x"))
+    kept = met.filter((F.col("bin") == first) & once & (F.col("s_x") <= F.col("e_y")) & (F.col("s_y") <= F.col("e_x")))
+    return kept.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
 
 
 def overlapping_events(pairs: DataFrame, events: DataFrame) -> DataFrame:

@@ -154,6 +154,20 @@ def block_candidates_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.block_candidates(events(spark, sf_dir), ("year",))
 
 
+@query(f"""WITH {SIDE_SQL}, pair AS (SELECT x.id a, y.id b, abs(x.year - y.year) apart, x.entity_ids xe, y.entity_ids ye, x.entity_types xt, y.entity_types yt FROM sides x JOIN sides y ON x.id < y.id
+  AND (x.event_type = y.event_type OR x.year BETWEEN y.year - 1 AND y.year + 1))
+SELECT a, b FROM pair WHERE 10 * len(list_intersect(xe, ye)) + 5 * len(list_intersect(xt, yt)) + CASE apart WHEN 0 THEN 30 WHEN 1 THEN 20 WHEN 2 THEN 10 ELSE 0 END + 20 >= 55""")
+def block_candidates_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by type or year whose score can still reach 55."""
+    return pairs.block_candidates(events(spark, sf_dir), ("type", "year"), 55)
+
+
+@query(f"WITH {RANGE_SQL} SELECT x.id a, y.id b FROM dated x JOIN dated y ON x.id < y.id AND x.start_date <= y.end_date AND y.start_date <= x.end_date")
+def date_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of events whose dates overlap, whatever they are about."""
+    return pairs.overlaps(events(spark, sf_dir))
+
+
 @query(f"""{_ENTITY_PAIRS} SELECT a, b, cast(10 * len(list_intersect(xe, ye)) + 5 * len(list_intersect(xt, yt))
   + CASE abs(xy - yy) WHEN 0 THEN 30 WHEN 1 THEN 20 WHEN 2 THEN 10 ELSE 0 END + CASE WHEN xl IS NOT DISTINCT FROM yl THEN 10 ELSE 0 END
   + CASE WHEN xd = yd THEN 10 ELSE 0 END AS int) score, a || '|' || b pair_key FROM full_pair""")

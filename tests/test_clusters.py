@@ -295,3 +295,44 @@ def test_canonicalise_of_odd_rows(spark):
 def test_ranks_are_places_in_order(spark):
     rows = spark.createDataFrame([(k, (k * 37) % 101) for k in range(101)], "id long, key long")
     assert {r.id: r.rank for r in cluster.rank_by(rows, "key").collect()} == {k: (k * 37) % 101 + 1 for k in range(101)}
+
+
+@pytest.mark.parametrize("per_key", [2000, 7])
+def test_overlaps_of_all_ranges(spark, monkeypatch, per_key):
+    """Ranges of days to millennia, a third of them in one month; each pair once."""
+    monkeypatch.setattr(pairs.split_join, "__defaults__", (per_key,))
+    rng = random.Random(per_key)
+    rows = []
+    for k in range(120):
+        first = rng.randrange(730_000, 730_020) if k % 3 == 0 else rng.randrange(1, 3_000_000)
+        rows.append((k, first, min(3_600_000, first + int(10 ** rng.uniform(0, 6)) - 1)))
+    rows += [(200, 5, 5), (201, 5, 5), (202, 6, 6), (203, None, None)]
+    frame = spark.createDataFrame(rows, "id long, s int, e int")
+    day = lambda c: F.date_add(F.lit("0001-01-01").cast("date"), F.col(c) - 1)
+    events = frame.select("id", F.when(F.col("s").isNotNull(), F.struct(day("s").alias("start_date"), day("e").alias("end_date"))).alias("date_range"))
+    got = [(r.a, r.b) for r in pairs.overlaps(events).collect()]
+    known = [r for r in rows if r[1] is not None]
+    want = {(x[0], y[0]) for x in known for y in known if x[0] < y[0] and x[1] <= y[2] and y[1] <= x[2]}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert pairs.overlaps(events.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("by,least", [(("entity", "type", "year"), 0), (("type",), 0), (("type", "year"), 55), (("entity", "type", "year"), 60), (("year",), 70)])
+def test_candidates_share_a_key_and_can_reach_the_score(spark, monkeypatch, by, least):
+    monkeypatch.setattr(pairs.split_join, "__defaults__", (9,))
+    rng = random.Random(len(by) + least)
+    rows = [
+        (k, rng.sample("abcdefgh", rng.randrange(3)), rng.sample("PQ", rng.randrange(3)), None if k % 9 == 0 else 1900 + (0 if k % 3 == 0 else rng.randrange(40)))
+        for k in range(70)
+    ] + [(80, ["a", "a"], None, None), (81, None, ["P", "P"], 1900)]
+    table_ = spark.createDataFrame(rows, "id long, entity_ids array<string>, entity_types array<string>, year int")
+    got = [(r.a, r.b) for r in pairs.block_candidates(table_, by, least).collect()]
+    want = set()
+    for x in rows:
+        for y in rows:
+            entities, types = len(set(x[1] or []) & set(y[1] or [])), len(set(x[2] or []) & set(y[2] or []))
+            gap = abs(x[3] - y[3]) if None not in (x[3], y[3]) else 99
+            met = ("entity" in by and entities) or ("type" in by and types) or ("year" in by and gap <= 1)
+            if x[0] < y[0] and met and (not least or 10 * entities + 5 * types + {0: 30, 1: 20, 2: 10}.get(gap, 0) + 20 >= least):
+                want.add((x[0], y[0]))
+    assert len(got) == len(set(got)) and set(got) == want
