@@ -85,6 +85,14 @@ def chronological_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.sequence_events(events(spark, sf_dir)).select("viewpoint_id", "id", "sequence_order")
 
 
+@query(f"""WITH {RANGE_SQL} SELECT id, cast(epoch(start_date) AS bigint) start_second, cast(start_date AS varchar) start_date_iso, cast(end_date AS varchar) end_date_iso,
+  event_date_str display_text, precision FROM dated""")
+def date_api(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of events as a client sees them, with the second that their first day begins."""
+    d = F.col("date_info")
+    return events(spark, sf_dir).select("id", dates.start_timestamp(d).cast("long").alias("start_second"), dates.date_api_struct(d).alias("d")).select("id", "start_second", "d.*")
+
+
 @query(f"""WITH {RANGE_SQL} SELECT id, row_number() OVER (ORDER BY start_date NULLS FIRST, id) AS place FROM dated""")
 def sort_by_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places in the order by timestamp, counted range by range."""

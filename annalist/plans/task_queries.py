@@ -305,3 +305,35 @@ def acquire_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         return lambda rows: rows.filter(F.col("doc_id") % step == 0).select(F.lit(name).alias("source_name"), url, F.col("doc_id").cast("string").alias("source_identifier"))
 
     return corpus.acquire_articles(docs, ["even", "missing", "third"], {"even": source("even", 2), "third": source("third", 3)})
+
+
+@query(f"{_T} SELECT id, created_at FROM tasks WHERE status = 'completed' ORDER BY created_at DESC, id DESC LIMIT 30")
+def recent_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thirty tasks that were completed last."""
+    return tasks.recent_completed(a.tasks(spark, sf_dir), 30).select("id", "created_at")
+
+
+@query(f"WITH base AS ({a.EVENT_SQL}) SELECT id, event_date_str FROM base JOIN embeddings ON vec_id = id WHERE trim(event_date_str) <> '' AND embedding IS NOT NULL")
+def timeline_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that have a date string and a vector."""
+    vectors = a.vectors(spark, sf_dir).select("id", F.col("vector").alias("description_vector"))
+    own = a.events(spark, sf_dir).join(vectors.hint("merge"), "id", "left")
+    return tasks.check_timeline_inputs(own, 64).select("id", "event_date_str")
+
+
+@query("SELECT event_id raw_event_id, cast(user_id AS varchar) entity_id, c_name entity_name FROM events JOIN customer ON c_custkey = user_id")
+def raw_event_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of events as entities, where a customer of that number exists."""
+    links = a.read(spark, sf_dir, "events").select(F.col("event_id").alias("raw_event_id"), F.col("user_id").cast("string").alias("entity_id"))
+    known = a.users(spark, sf_dir).withColumnRenamed("username", "entity_name")
+    return entities.raw_event_entities(links, known).select("raw_event_id", "entity_id", "entity_name")
+
+
+@query(f"""WITH base AS ({a.EVENT_SQL}), s AS (SELECT id, event_date_str, description, CASE WHEN id % 6 = 0 THEN ' ' WHEN id % 7 = 0 THEN NULL ELSE 'said' END snippet FROM base)
+SELECT id, coalesce(trim(event_date_str) <> '' AND trim(description) <> '' AND trim(snippet) <> '', false) is_valid FROM s""")
+def raw_event_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which raw events have a date string, a description and a snippet."""
+    snippet = F.when(F.col("id") % 6 == 0, " ").when(F.col("id") % 7 != 0, "said")
+    valid, rejected = corpus.valid_raw_events(a.events(spark, sf_dir).withColumn("snippet", snippet))
+    mark = lambda df, ok: df.select("id", F.lit(ok).alias("is_valid"))
+    return mark(valid, True).union(mark(rejected, False))

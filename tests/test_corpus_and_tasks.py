@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist import schemas
+from annalist.functions import text
 from annalist.operators import canonical, entities, scoring, search, tasks, timeline
 from annalist.plans import timeline_queries
 from annalist.scratch import shared_dir
@@ -178,6 +179,31 @@ def test_chunks_of_a_very_long_text_are_its_slices(spark):
     assert at == len(text)
 
 
+def test_orders_by_timestamp_and_by_year(spark):
+    info = "struct<original_text:string,display_text:string,precision:string,start_year:int,start_month:int,start_day:int,end_year:int,end_month:int,end_day:int,is_bce:boolean>"
+    day = lambda y, m, d: ("", "", "day", y, m, d, None, None, None, False)
+    rows = [(1, day(2001, 5, 2), 2001), (2, day(1999, 1, 1), None), (3, day(-44, 3, 15), 5), (4, None, 5), (5, day(1999, 1, 1), -3)]
+    events = spark.createDataFrame(rows, f"id long, date_info {info}, year int")
+    assert [r.id for r in timeline.sort_by_timestamp(events).collect()] == [3, 4, 2, 5, 1]
+    assert [r.id for r in timeline.merge_order(events).collect()] == [5, 3, 4, 1, 2]
+
+
+def test_progress_messages_and_kept_records(spark):
+    steps = spark.sql("SELECT array(named_struct('step_name', 's', 'event_timestamp', timestamp'2024-01-02 03:04:05.678', 'message', 'm')) AS steps, 1 AS k")
+    [row] = steps.select(F.explode(text.format_progress(F.col("steps"))).alias("m")).select("m.*").collect()
+    assert tuple(row) == ("m", "s", "2024-01-02T03:04:05.678Z")
+    kept = spark.createDataFrame([(1, "a", 5), (2, "a", 7), (3, "b", 9), (4, "a", 7), (5, None, 9)], "id long, topic string, last_accessed int")
+    assert [r.id for r in tasks.recent_by_topic(kept, "a").collect()] == [4, 2, 1]
+
+
+def test_chunk_corpus_is_read_with_its_schemas(spark, tmp_path):
+    for name, schema in (("chunks", schemas.CHUNKS), ("chunk_pages", schemas.PAGES)):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    chunks, pages = tables.read_chunk_corpus(spark, str(tmp_path))
+    assert chunks.columns == spark.createDataFrame([], schemas.CHUNKS).columns and pages.columns == spark.createDataFrame([], schemas.PAGES).columns
+    assert chunks.count() == pages.count() == 0
+
+
 def test_pages_and_filters_check_their_input(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, k string")
     assert tasks.filter_by(rows, k=None).count() == 1 and tasks.filter_any(rows, []).count() == 0
