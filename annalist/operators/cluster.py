@@ -15,14 +15,14 @@ from annalist.scratch import components, spool
 NEAR_YEARS, NEAR_SCORE = 3, 15
 
 
-def leaders(points: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def leaders(points: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, is_leader) of greedy leader clustering in the order of ``rank``.
 
     points: id, rank (unique); pairs: a, b. A point leads unless an earlier leader is its
     neighbour, which is the lexicographically first maximal independent set (Blelloch, Fineman
     and Shun 2012). In each round an undecided point with an earlier leader becomes a member,
     and one whose earlier neighbours are all members becomes a leader; the first undecided point
-    is always decided. Rounds are written out, so plans stay short.
+    is always decided, so rounds end. They are written out, so plans stay short.
     """
     rank = points.select("id", "rank")
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -32,15 +32,13 @@ def leaders(points: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -> Data
     lone = rank.select("id").join(earlier.select("id").distinct().hint("merge"), "id", "left_anti")
     state = spool(lone.select("id", F.lit(True).alias("is_leader")), "leaders")
     open_ = spool(earlier.select("id").distinct(), "undecided")
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            return state
+    while not open_.isEmpty():
         seen = earlier.join(open_.hint("merge"), "id", "left_semi").join(state.withColumnRenamed("id", "before").hint("merge"), "before", "left")
         votes = seen.groupBy("id").agg(F.max(F.coalesce("is_leader", F.lit(False))).alias("led"), F.bool_and(F.col("is_leader").isNotNull()).alias("settled"))
         now = spool(votes.filter("led or settled").select("id", (~F.col("led")).alias("is_leader")), "decided")
         state = spool(state.union(now), "leaders")
         open_ = spool(open_.join(now.select("id").hint("merge"), "id", "left_anti"), "undecided")
-    raise RuntimeError(f"leaders did not settle in {max_rounds} rounds")
+    return state
 
 
 def assign(points: DataFrame, pairs: DataFrame, state: DataFrame, score: str | None = None) -> DataFrame:

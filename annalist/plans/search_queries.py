@@ -69,7 +69,19 @@ def assemble_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.assemble_articles(ranked).select("query_id", "doc_id", "position", F.md5("text").alias("text_md5"))
 
 
-@query()
+_SPLIT = "[x for x in regexp_split_to_array(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+') if x <> '']"
+
+
+@query(f"""WITH kw AS (SELECT DISTINCT keyword FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) keyword FROM benchmark) WHERE keyword <> ''),
+words AS (SELECT doc_id, {_SPLIT.format("text")} ws FROM documents WHERE trim(source) <> ''),
+stat AS (SELECT count(*)::DOUBLE n, sum(len(ws)) / count(*) mean FROM words),
+wanted AS (SELECT DISTINCT keyword, unnest({_SPLIT.format("keyword")}) term FROM kw),
+tf AS (SELECT doc_id, len, term, count(*) tf FROM (SELECT doc_id, len(ws) len, unnest(ws) term FROM words) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+df AS (SELECT term, count(*) df FROM tf GROUP BY 1),
+scored AS (SELECT keyword, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) score
+  FROM tf JOIN df USING (term) JOIN wanted USING (term), stat GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY score DESC, doc_id) r FROM scored)
+SELECT keyword, doc_id article_id, cast(r AS int) rank, round(score, 6) score FROM ranked WHERE r <= 3""")
 def search_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.col("source").alias("title"), F.col("text").alias("text_content"))
     words = read(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("keyword")).filter("keyword <> ''")
@@ -147,12 +159,22 @@ def records_from_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.records_from_responses(answers, "description:string,date:string")[0]
 
 
-@query()
+_STOPS = ", ".join(f"('{w}', '{lang}')" for lang, ws in corpus.STOP_WORDS.items() for w in ws)
+
+
+@query(f"""WITH stop(word, language) AS (VALUES {_STOPS}),
+hits AS (SELECT doc_id, language, count(*) n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) word FROM documents) JOIN stop USING (word) GROUP BY 1, 2),
+best AS (SELECT doc_id, arg_max(language, (n, language)) language, max(n) hits FROM hits GROUP BY 1)
+SELECT doc_id, coalesce(language, 'und') AS language, coalesce(hits, 0) hits FROM documents LEFT JOIN best USING (doc_id)""")
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.detect_language(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) keyword FROM documents),
+tf AS (SELECT doc_id, keyword, count(*) tf FROM t WHERE length(keyword) >= 4 GROUP BY 1, 2),
+df AS (SELECT keyword, count(*) df FROM tf GROUP BY 1),
+s AS (SELECT doc_id, keyword, round(tf * ln((SELECT count(*) FROM documents) / df), 6) score FROM tf JOIN df USING (keyword))
+SELECT doc_id, cast(r AS int) rank, keyword, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, keyword) r FROM s) WHERE r <= 10""")
 def top_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.top_keywords(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
