@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from annalist.functions.scores import rule_match
 from annalist.operators.pairs import with_sides
 from annalist.operators.search import terms
+from annalist.scratch import join_groups, spool
 
 BatchScorer = Callable[[pd.DataFrame], pd.Series]
 
@@ -50,8 +51,7 @@ def score_rows(rows: DataFrame, keys: list[str], scorer: BatchScorer, batch: int
 def lexical_scores(items: DataFrame, topics: DataFrame) -> DataFrame:
     """(topic_id, item_id, score): the share of a topic's distinct words that an item holds.
 
-    The default of the event and article scorers. items: topic_id, item_id, text;
-    topics: topic_id, topic_text. A topic without words gives 1.
+    items: topic_id, item_id, text; topics: topic_id, topic_text. A topic without words gives 1.
     """
     asked = topics.select("topic_id", F.array_distinct(terms(F.col("topic_text"))).alias("wanted"))
     joined = items.join(asked.hint("merge"), "topic_id")
@@ -59,6 +59,37 @@ def lexical_scores(items: DataFrame, topics: DataFrame) -> DataFrame:
     return joined.select("topic_id", "item_id", F.when(F.size("wanted") == 0, 1.0).otherwise(share).alias("score"))
 
 
+def tfidf_scores(items: DataFrame, topics: DataFrame) -> DataFrame:
+    """(topic_id, item_id, score): the cosine of an item and its topic, as vectors of tf x idf of their words.
+
+    The default of the event and article scorers. items: topic_id, item_id, text, of which rows of one topic
+    and item make one text; topics: topic_id, topic_text, a row each. idf is 1 + ln((1 + n) / (1 + df)) over the
+    n items. Items of no topic go; an item or topic without words scores 0. Scores have nine digits.
+
+    Words are counted item by item before they meet frequencies and topics. Frequent words, and those of a
+    topic with most of the items, are spread by ``join_groups``.
+    """
+    own = items.join(topics.select("topic_id").distinct().hint("merge"), "topic_id", "left_semi")
+    words = own.select("topic_id", "item_id", F.explode_outer(terms(F.col("text"))).alias("term"))
+    tf = spool(words.groupBy("topic_id", "item_id", "term").agg(F.count(F.lit(1)).alias("tf")), "item-words")
+    n = tf.select("topic_id", "item_id").distinct().count()
+    held = spool(tf.filter("term is not null").groupBy("topic_id", "term").agg(F.count(F.lit(1)).alias("n")), "topic-words")
+    df = spool(held.groupBy("term").agg(F.sum("n").alias("df"), F.sum("n").alias("n")), "word-frequencies")
+    idf = 1 + F.log((F.lit(1.0) + F.lit(n)) / (1 + F.coalesce("df", F.lit(0))))
+
+    asked = topics.select("topic_id", F.explode(terms(F.col("topic_text"))).alias("term")).groupBy("topic_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weighed = spool(asked.join(df.select("term", "df").hint("merge"), "term", "left").select("topic_id", "term", (F.col("tf") * idf).alias("w")), "topic-weights")
+    length = weighed.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    wanted = weighed.join(length.hint("merge"), "topic_id").join(held.hint("merge"), ["topic_id", "term"])
+    wanted = spool(wanted.select("topic_id", "term", "n", (F.col("w") / F.col("length")).alias("wanted")), "topic-vectors")
+
+    weights = join_groups(tf, df, ["term"], "left").withColumn("w", F.col("tf") * idf).drop("df", "tf")
+    met = join_groups(weights, wanted, ["topic_id", "term"], "left").withColumn("w", F.when(F.col("term").isNotNull(), F.col("w")))
+    dot, square = F.sum(F.col("w") * F.col("wanted")), F.sum(F.col("w") * F.col("w"))
+    cosine = F.round(F.coalesce(F.try_divide(dot, F.sqrt(square)), F.lit(0.0)), 9)
+    return met.groupBy("topic_id", "item_id").agg(cosine.alias("score"))
+
+
 def rule_verifier(events: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """The default pair verifier: pairs that match by rule."""
 

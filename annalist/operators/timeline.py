@@ -216,26 +216,31 @@ def timeline_view(links: DataFrame, hydrated: DataFrame) -> DataFrame:
 
     The order of raw events is by id. ``is_merged``: more than one source with a snippet.
     """
+    # once an event, before the links: sorted neighbours instead of a search a source
     raw = F.coalesce("raw_events", F.array().cast(hydrated.schema["raw_events"].dataType))
     ref = lambda r: F.coalesce(F.concat(F.lit("src_"), r["source_document_id"]), F.concat(F.lit("src_unknown_"), r["raw_event_id"].cast("string")))
-    with_ref = F.transform(raw, lambda r: r.withField("ref", ref(r)))
-    spoken = F.filter("_raw", lambda r: F.trim(F.coalesce(r["source_text_snippet"], F.lit(""))) != "")
-    refs = F.array_sort(F.array_distinct(F.transform("_spoken", lambda r: r["ref"])))
-    last = lambda k: F.element_at(F.filter("_spoken", lambda r: r["ref"] == k), -1)["source_text_snippet"]
-    source = lambda r: F.struct(r["ref"].alias("ref"), r["title"].alias("title"), r["language"].alias("language"), r["url"].alias("url"), r["source_type"].alias("source_type"))
-    joined = links.join(hydrated.withColumnRenamed("id", "event_id").hint("merge"), "event_id")
-    return (
-        joined.withColumn("_raw", with_ref)
-        .withColumn("_spoken", spoken)
-        .withColumn("_refs", refs)
+    spoken = F.transform(raw, lambda r, i: F.struct(ref(r).alias("ref"), i.alias("place"), r["source_text_snippet"].alias("snippet")))
+    spoken = F.array_sort(F.filter(spoken, lambda r: F.trim(F.coalesce(r["snippet"], F.lit(""))) != ""))
+    source = lambda r: F.struct(ref(r).alias("ref"), r["title"].alias("title"), r["language"].alias("language"), r["url"].alias("url"), r["source_type"].alias("source_type"))
+    named = F.array_sort(F.transform(raw, lambda r, i: F.struct(source(r).alias("source"), i.alias("place"))))
+    last = lambda r, i: ~F.get("_spoken", i + 1)["ref"].eqNullSafe(r["ref"])
+    first = lambda r, i: (i == 0) | ~F.get("_named", i - 1)["source"].eqNullSafe(r["source"])
+    in_order = F.array_sort(F.transform(F.filter("_named", first), lambda r: F.struct(r["place"].alias("place"), r["source"].alias("source"))))
+    snippets = F.transform(F.filter("_spoken", last), lambda r: F.struct(r["ref"].alias("key"), r["snippet"].alias("value")))
+    once = (
+        hydrated.withColumn("_spoken", spoken)
+        .withColumn("_named", named)
         .select(
-            "viewpoint_id", "event_id", "sequence_order", "relevance_score", "event_date_str", "description", "date_info",
+            F.col("id").alias("event_id"), "event_date_str", "description", "date_info",
             F.coalesce("entities", F.array().cast(hydrated.schema["entities"].dataType)).alias("main_entities"),
-            F.map_from_arrays("_refs", F.transform("_refs", last)).alias("source_snippets"),
-            F.array_distinct(F.transform("_raw", source)).alias("sources"),
-            (F.size("_refs") > 1).alias("is_merged"),
+            F.map_from_entries(snippets).alias("source_snippets"),
+            F.transform(in_order, lambda r: r["source"]).alias("sources"),
         )
     )
+    return links.select("viewpoint_id", "event_id", "sequence_order", "relevance_score").join(once.hint("merge"), "event_id").select(
+        "viewpoint_id", "event_id", "sequence_order", "relevance_score", "event_date_str", "description", "date_info", "main_entities",
+        "source_snippets", "sources", (F.size("source_snippets") > 1).alias("is_merged"),
+    )
 
 
 def compact_result(view: DataFrame) -> DataFrame:

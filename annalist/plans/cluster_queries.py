@@ -251,6 +251,61 @@ def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.lexical_scores(items, topics).select("topic_id", "item_id", F.round("score", 6).alias("score"))
 
 
+def _tfidf_sql(items: str, topics: str) -> str:
+    """The cosine of each (topic_id, item_id, text) and its (topic_id, topic_text), for the other engine."""
+    split = "unnest([x for x in regexp_split_to_array(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+') if x <> ''])"
+    return f"""WITH items AS ({items}), topics AS ({topics}),
+tf AS (SELECT topic_id, item_id, term, count(*) tf FROM (SELECT topic_id, item_id, {split.format("text")} term FROM items SEMI JOIN topics USING (topic_id)) GROUP BY ALL),
+df AS (SELECT term, count(*) df FROM tf GROUP BY 1),
+size AS (SELECT count(*) n FROM (SELECT DISTINCT topic_id, item_id FROM items SEMI JOIN topics USING (topic_id))),
+asked AS (SELECT topic_id, term, count(*) tf FROM (SELECT topic_id, {split.format("topic_text")} term FROM topics) GROUP BY ALL),
+t AS (SELECT topic_id, term, tf * (1 + ln((1.0 + n) / (1 + coalesce(df, 0)))) w FROM asked LEFT JOIN df USING (term), size),
+i AS (SELECT topic_id, item_id, term, tf * (1 + ln((1.0 + n) / (1 + df))) w FROM tf JOIN df USING (term), size),
+length_t AS (SELECT topic_id, sqrt(sum(w * w)) lt FROM t GROUP BY 1),
+length_i AS (SELECT topic_id, item_id, sqrt(sum(w * w)) li FROM i GROUP BY 1, 2),
+dot AS (SELECT i.topic_id, i.item_id, sum(i.w * t.w) d FROM i JOIN t USING (topic_id, term) GROUP BY 1, 2)
+SELECT topic_id, item_id, round(coalesce(d / (lt * li), 0), 9) score FROM (SELECT DISTINCT topic_id, item_id FROM items SEMI JOIN topics USING (topic_id))
+ LEFT JOIN length_t USING (topic_id) LEFT JOIN length_i USING (topic_id, item_id) LEFT JOIN dot USING (topic_id, item_id)"""
+
+
+@query(_tfidf_sql(
+    "SELECT user_id % 20 topic_id, event_id item_id, event_type || ' ' || props AS text FROM events",
+    "SELECT DISTINCT user_id % 20 topic_id, 'click k ' || (user_id % 20) topic_text FROM events",
+))
+def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event against its topic, by TF-IDF."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    items = rows.select((F.col("user_id") % 20).alias("topic_id"), F.col("event_id").alias("item_id"), F.concat_ws(" ", "event_type", "props").alias("text"))
+    topics = items.select("topic_id").distinct().withColumn("topic_text", F.concat(F.lit("click k "), F.col("topic_id").cast("string")))
+    return scoring.tfidf_scores(items, topics)
+
+
+@query(_tfidf_sql(
+    "SELECT doc_id % 20 topic_id, doc_id item_id, text FROM documents",
+    "SELECT item_id % 20 topic_id, string_agg(text, ' ') topic_text FROM benchmark GROUP BY 1",
+))
+def article_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against a topic of benchmark texts, by TF-IDF."""
+    items = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") % 20).alias("topic_id"), F.col("doc_id").alias("item_id"), "text")
+    texts = spark.read.parquet(f"{sf_dir}/benchmark.parquet").groupBy((F.col("item_id") % 20).alias("topic_id"))
+    topics = texts.agg(F.array_join(F.collect_list("text"), " ").alias("topic_text"))
+    return scoring.tfidf_scores(items, topics)
+
+
+@query("""SELECT DISTINCT event_type topic, props AS text, CASE WHEN length(props) % 3 <> 0 THEN (length(props) - length(replace(props, '1', '')))::DOUBLE / length(props) END score
+FROM events""")
+def batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch scorer over distinct texts, which fails for some rows: those have no score, the others of their batch do."""
+
+    def scorer(rows):
+        if (rows["text"].str.len() % 3 == 0).any():
+            raise ValueError("a text that can't be scored")
+        return rows["text"].str.count("1") / rows["text"].str.len()
+
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("topic"), F.col("props").alias("text"))
+    return scoring.score_rows(rows, ["topic", "text"], scorer)
+
+
 @query()
 def encode_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of all benchmark texts and document texts."""

@@ -170,6 +170,25 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.detect_language(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query(r"""WITH words AS (SELECT doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) word FROM documents),
+tf AS MATERIALIZED (SELECT doc_id, any_value(lang) lang, word, count(*) tf FROM words WHERE word <> '' GROUP BY doc_id, word),
+padded AS (SELECT DISTINCT word, ' ' || word || ' ' p FROM tf),
+grams AS MATERIALIZED (SELECT word, gram, count(*) k FROM (SELECT word, unnest(list_concat(list_transform(range(1, length(p)), lambda i: substring(p, i, 2)), list_transform(range(1, length(p) - 1), lambda i: substring(p, i, 3)))) gram FROM padded) GROUP BY 1, 2),
+vocabulary AS (SELECT lang, word, sum(tf) tf FROM tf WHERE lang IS NOT NULL GROUP BY 1, 2),
+counts AS MATERIALIZED (SELECT gram, lang, sum(tf * k) c FROM vocabulary JOIN grams USING (word) GROUP BY 1, 2),
+bases AS (SELECT lang, cast(floor(1000 * ln((sum(c) + (SELECT count(DISTINCT gram) FROM counts))::DOUBLE)) AS bigint) base FROM counts GROUP BY 1),
+per_word AS (SELECT word, lang, sum(k * cast(floor(1000 * ln((c + 1)::DOUBLE)) AS bigint)) s FROM grams JOIN counts USING (gram) GROUP BY 1, 2),
+total AS (SELECT doc_id, sum(tf * n) total FROM tf JOIN (SELECT word, sum(k) n FROM grams GROUP BY 1) USING (word) GROUP BY 1),
+sums AS (SELECT doc_id, per_word.lang, sum(tf * s) s FROM tf JOIN per_word USING (word) GROUP BY 1, 2),
+scored AS (SELECT doc_id, lang, total, coalesce(s, 0) - total * base score FROM total CROSS JOIN bases LEFT JOIN sums USING (doc_id, lang)),
+ranked AS (SELECT *, lead(score) OVER w AS other, row_number() OVER w AS r FROM scored WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, lang))
+SELECT doc_id, coalesce(ranked.lang, 'und') AS language, cast((score - other) // total AS bigint) margin FROM documents LEFT JOIN (SELECT * FROM ranked WHERE r = 1) ranked USING (doc_id)""")
+def classify_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of all labelled documents, read by every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return corpus.classify_languages(docs.select("doc_id", "text"), corpus.fit_languages(docs.select("lang", "text")))
+
+
 @query(r"""WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) keyword FROM documents),
 tf AS (SELECT doc_id, keyword, count(*) tf FROM t WHERE length(keyword) >= 4 GROUP BY 1, 2),
 df AS (SELECT keyword, count(*) df FROM tf GROUP BY 1),

@@ -307,6 +307,29 @@ def acquire_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.acquire_articles(docs, ["even", "missing", "third"], {"even": source("even", 2), "third": source("third", 3)})
 
 
+@query("""SELECT 'even' AS source, 'ok' state, count(*) FILTER (doc_id % 2 = 0) n_articles FROM documents UNION ALL SELECT 'broken', 'failed', 0
+UNION ALL SELECT 'missing', 'unknown', 0 UNION ALL SELECT 'all', 'ok', count(*) FROM documents""")
+def source_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four sources over all documents, of which one raises an error in its tasks and one isn't known."""
+    docs = a.read(spark, sf_dir, "documents")
+    url, key = F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("source_url"), F.col("doc_id").cast("string").alias("source_identifier")
+    broken = lambda rows: rows.select(url, F.raise_error(F.lit("no answer")).cast("string").alias("source_identifier"))
+    sources = {"even": lambda rows: rows.filter("doc_id % 2 = 0").select(url, key), "broken": broken, "all": lambda rows: rows.select(url, key)}
+    return corpus.acquire_with_status(docs, ["even", "broken", "missing", "all"], sources)[1].drop("error")
+
+
+@query("""SELECT page_id, page_id % 3 = 0 is_disambiguation, CASE WHEN page_id % 3 = 0 THEN list_filter([trim(split_part(url, ',', 1)), 'Page ' || page_id], lambda x: x <> '' AND length(x) < 100) END options FROM pages""")
+def disambiguation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third page lists its url and a title as what may be meant, among lines that aren't options."""
+    p = F.col("page_id").cast("string")
+    extract = F.concat(F.lit("May mean:\n* "), F.coalesce("url", F.lit("")), F.lit(", the page\n no option\n** Page "), p, F.lit(" – a page"))
+    info = a.read(spark, sf_dir, "pages").select(
+        p.alias("title"), F.lit("en").alias("language"), "page_id", "url", F.lit("Q1").alias("kb_id"), (F.col("page_id") % 3 == 0).alias("is_disambiguation"),
+        extract.alias("extract"), F.lit(None).cast("string").alias("redirect_to"),
+    )
+    return corpus.lookup_page_info(info.select("title", "language"), info).select("page_id", "is_disambiguation", "options")
+
+
 @query(f"{_T} SELECT id, created_at FROM tasks WHERE status = 'completed' ORDER BY created_at DESC, id DESC LIMIT 30")
 def recent_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The thirty tasks that were completed last."""

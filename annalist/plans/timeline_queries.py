@@ -123,7 +123,12 @@ def timeline_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.select("viewpoint_id", "event_id", "sequence_order", "relevance_score", "description", shown.alias("source_snippets"), "is_merged")
 
 
-@query()
+@query(f"""WITH {_RAW}, named AS (SELECT DISTINCT l_partkey, l_suppkey, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+people AS (SELECT l_partkey, list(s_name ORDER BY cast(l_suppkey AS varchar)) entities FROM named GROUP BY 1),
+firsts AS (SELECT l_partkey, n_name, min(rid) rid FROM raw JOIN nation ON cast(n_nationkey AS varchar) = doc GROUP BY 1, 2),
+titles AS (SELECT l_partkey, list(n_name ORDER BY rid) sources FROM firsts GROUP BY 1)
+SELECT cast(l_orderkey AS varchar) viewpoint_id, cast(l_partkey AS varchar) event_id, 'year ' || l_partkey date, p_name description, coalesce(entities, []) entities, coalesce(sources, []) sources
+FROM lineitem JOIN part ON p_partkey = l_partkey LEFT JOIN people USING (l_partkey) LEFT JOIN titles USING (l_partkey)""")
 def compact_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.compact_result(timeline.timeline_view(a.viewpoint_links(spark, sf_dir), _hydrated(spark, sf_dir)))
 
@@ -158,6 +163,16 @@ def entity_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.seeded_timeline(docs, F.col("lang") == "en", events_of, "entity_id")
 
 
+@query("""WITH d AS (SELECT doc_id, coalesce(sha256(text), '') signature, source FROM documents),
+s AS (SELECT signature document_key, string_agg(DISTINCT source, ',' ORDER BY source) data_source_preference FROM d GROUP BY 1)
+SELECT document_key, 'e' || doc_id event_id, coalesce(data_source_preference, '') data_source_preference, 1.0::DOUBLE relevance_score FROM d JOIN s ON document_key = signature""")
+def document_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timelines seeded by documents: rows with one text are the articles of one document."""
+    docs = a.read(spark, sf_dir, "documents").select(F.coalesce(F.sha2("text", 256), F.lit("")).alias("document_key"), "doc_id", F.col("source").alias("source_type"))
+    events_of = lambda own: own.withColumn("event_id", F.concat(F.lit("e"), F.col("doc_id").cast("string")))
+    return timeline.seeded_timeline(docs, F.lit(True), events_of, "document_key")
+
+
 @query()
 def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One Markdown document a viewpoint of a completed order."""

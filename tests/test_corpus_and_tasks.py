@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 import re
 import uuid
@@ -268,3 +269,90 @@ def test_stream_status_keeps_the_latest(spark):
     status = ingest.stream_task_status(spark.readStream.schema(schema).parquet(f"{folder}/in"))
     ingest.run_to_table(status, "", f"{folder}/checkpoint", "update", lambda df, _: seen.update({r.task_id: (r.status, r.is_terminal) for r in df.collect()})).awaitTermination()
     assert seen == {"a": ("completed", True), "b": ("pending", False)}
+
+
+def test_tfidf_cosine_is_a_plain_loop(spark):
+    rng = random.Random(4)
+    words = ["the"] * 9 + [f"w{k}" for k in range(30)]
+    items = [(rng.choice([1, 1, 1, 2, 3]), rng.randrange(60), " ".join(rng.choices(words, k=rng.randrange(12)))) for _ in range(150)]
+    items += [(1, None, "the w1"), (2, 7, None), (3, 900, "..."), (9, 1, "no topic"), (None, 5, "the"), (1, 901, "the " * 5000)]
+    topics = [(1, "w1 w2 w2 unseen the"), (2, ""), (3, "W3, w4!"), (4, "w1")]
+    together, asked = {}, {t: re.findall(r"\w+", x.lower()) for t, x in topics}
+    for t, i, x in items:
+        if t in asked:
+            together.setdefault((t, i), []).extend(re.findall(r"\w+", (x or "").lower()))
+    df = {}
+    for ws in together.values():
+        for w in set(ws):
+            df[w] = df.get(w, 0) + 1
+
+    def vector(ws):
+        return {w: ws.count(w) * (1 + math.log((1 + len(together)) / (1 + df.get(w, 0)))) for w in set(ws)}
+
+    def cosine(x, y):
+        size = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        return sum(v * y.get(w, 0) for w, v in x.items()) / size if size else 0.0
+
+    frames = spark.createDataFrame(items, "topic_id long, item_id long, text string"), spark.createDataFrame(topics, "topic_id long, topic_text string")
+    got = {(r.topic_id, r.item_id): r.score for r in scoring.tfidf_scores(*frames).collect()}
+    assert set(got) == set(together)
+    for (t, i), ws in together.items():
+        assert got[t, i] == pytest.approx(cosine(vector(ws), vector(asked[t])), abs=1e-8)
+    assert scoring.tfidf_scores(frames[0].limit(0), frames[1]).count() == 0 == scoring.tfidf_scores(frames[0], frames[1].limit(0)).count()
+
+
+def test_languages_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    held_out = F.col("doc_id") % 4 == 1
+    model = corpus.fit_languages(docs.filter(~held_out))
+    got = corpus.classify_languages(docs.filter(held_out).select("doc_id", "text"), model).join(docs, "doc_id")
+    right, n = got.agg(F.count_if(F.col("language") == F.col("lang")), F.count("lang")).first()
+    assert n > 200 and right >= 0.97 * n
+
+
+def test_languages_of_odd_texts(spark):
+    labelled = spark.createDataFrame([("en", "the cat and the dog"), ("de", "der Hund und die Katze"), (None, "qqq"), ("fr", None)], "lang string, text string")
+    model = corpus.fit_languages(labelled, 4)
+    texts = [(1, "The dog"), (2, "die Katze"), (3, None), (4, "12 -- 3"), (5, ""), (6, "the " * 50000), (7, "a" * 20000), (8, "die"), (8, "Katze")]
+    got = {r.doc_id: (r.language, r.margin) for r in corpus.classify_languages(spark.createDataFrame(texts, "doc_id long, text string"), model, 4).collect()}
+    assert {k: v[0] for k, v in got.items() if k != 7} == {1: "en", 2: "de", 3: "und", 4: "und", 5: "und", 6: "en", 8: "de"}
+    assert got[7][0] in ("de", "en") and got[3][1] is None and got[6][1] > 0
+    untaught = corpus.fit_languages(labelled.limit(0))
+    assert {r.language for r in corpus.classify_languages(spark.createDataFrame(texts, "doc_id long, text string"), untaught).collect()} == {"und"}
+
+
+def test_a_source_that_fails_leaves_the_others_whole(spark):
+    asked = spark.range(40, numPartitions=4)
+    row = [F.concat(F.lit("u"), F.col("id") % 10).alias("source_url"), F.col("id").cast("string").alias("source_identifier")]
+
+    def unplanned(rows):
+        raise ConnectionError("no route\nto host")
+
+    late = F.when(F.col("id") == 39, F.raise_error(F.lit("late"))).otherwise("x")
+    sources = {"first": lambda rows: rows.filter("id < 5").select(*row), "late": lambda rows: rows.select(*row, late.alias("title")), "unplanned": unplanned, "all": lambda rows: rows.select(*row)}
+    articles, status = corpus.acquire_with_status(asked, ["late", "first", "unplanned", "other", "all"], sources)
+    assert sorted(r.source_url for r in articles.collect()) == [f"u{k}" for k in range(10)]
+    assert sorted((r.source, r.state, r.n_articles) for r in status.collect()) == [("all", "ok", 40), ("first", "ok", 5), ("late", "failed", 0), ("other", "unknown", 0), ("unplanned", "failed", 0)]
+    assert status.filter("source = 'unplanned'").first().error == "no route"
+    none, _ = corpus.acquire_with_status(asked, ["unplanned"], sources)
+    assert none.count() == 0 and none.columns == ["source_name", "source_url", "source_identifier"]
+    with pytest.raises(ValueError):
+        corpus.acquire_articles(asked, ["other"], sources)
+
+
+def test_view_of_an_event_with_many_sources(spark):
+    rng = random.Random(2)
+    raw = [(f"r{k:03}", rng.choice([" ", None, f"s{k}"]), rng.choice([None, "d1", "d2", "d3"]), None, "en", None, "web") for k in range(80)]
+    fields = "raw_event_id:string,source_text_snippet:string,source_document_id:string,title:string,language:string,url:string,source_type:string"
+    schema = f"id string, description string, event_date_str string, date_info string, entities array<struct<entity_id:string,entity_name:string,entity_type:string>>, raw_events array<struct<{fields}>>"
+    hydrated = spark.createDataFrame([("e", "d", "1999", None, None, raw), ("f", "d", "1999", None, None, None)], schema)
+    links = spark.createDataFrame([("v", "e", 0, 1.0), ("v", "f", 1, 1.0)], "viewpoint_id string, event_id string, sequence_order int, relevance_score double")
+    one, other = timeline.timeline_view(links, hydrated).orderBy("event_id").collect()
+    snippets, order = {}, []
+    for r in raw:
+        ref = f"src_{r[2]}" if r[2] else f"src_unknown_{r[0]}"
+        order += [ref] if ref not in order else []
+        if r[1] and r[1].strip():
+            snippets[ref] = r[1]
+    assert one.source_snippets == snippets and [s.ref for s in one.sources] == order and one.is_merged
+    assert other.source_snippets == {} and other.sources == [] and not other.is_merged and other.main_entities == []
