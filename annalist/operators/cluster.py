@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions.scores import match_score, quick_exclude, rule_match
 from annalist.operators.pairs import block_candidates, with_sides
-from annalist.scratch import components, spool
+from annalist.scratch import components, running_sum, shared_dir, spool
 
 #: Near matches, which a verifier may confirm: at most so many years apart, at least so many points.
 NEAR_YEARS, NEAR_SCORE = 3, 15
@@ -20,25 +21,29 @@ def leaders(points: DataFrame, pairs: DataFrame) -> DataFrame:
 
     points: id, rank (unique); pairs: a, b. A point leads unless an earlier leader is its
     neighbour, which is the lexicographically first maximal independent set (Blelloch, Fineman
-    and Shun 2012). In each round an undecided point with an earlier leader becomes a member,
-    and one whose earlier neighbours are all members becomes a leader; the first undecided point
-    is always decided, so rounds end. They are written out, so plans stay short.
+    and Shun 2012). In each round the open points without an open earlier neighbour become leaders
+    and their neighbours members; the first open point is always decided, so rounds end. A round
+    reads and writes open points and the edges between them only: what was decided is added to a
+    folder and not read again, and edges of members are dropped.
     """
+    spark, decided = points.sparkSession, f"{shared_dir(points.sparkSession)}/leaders-{uuid.uuid4().hex}"
     rank = points.select("id", "rank")
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     own, other = rank.withColumnRenamed("id", "a"), rank.select(F.col("id").alias("b"), F.col("rank").alias("rank_b"))
     earlier = both.join(own.hint("merge"), "a").join(other.hint("merge"), "b").filter("rank_b < rank").select(F.col("a").alias("id"), F.col("b").alias("before"))
-    earlier = spool(earlier, "earlier-neighbours")
-    lone = rank.select("id").join(earlier.select("id").distinct().hint("merge"), "id", "left_anti")
-    state = spool(lone.select("id", F.lit(True).alias("is_leader")), "leaders")
-    open_ = spool(earlier.select("id").distinct(), "undecided")
-    while not open_.isEmpty():
-        seen = earlier.join(open_.hint("merge"), "id", "left_semi").join(state.withColumnRenamed("id", "before").hint("merge"), "before", "left")
-        votes = seen.groupBy("id").agg(F.max(F.coalesce("is_leader", F.lit(False))).alias("led"), F.bool_and(F.col("is_leader").isNotNull()).alias("settled"))
-        now = spool(votes.filter("led or settled").select("id", (~F.col("led")).alias("is_leader")), "decided")
-        state = spool(state.union(now), "leaders")
-        open_ = spool(open_.join(now.select("id").hint("merge"), "id", "left_anti"), "undecided")
-    return state
+    edges, open_ = spool(earlier.distinct(), "edges"), rank.select("id")
+    while True:
+        first = spool(open_.join(edges.select("id").distinct().hint("merge"), "id", "left_anti"), "new-leaders")
+        led = edges.join(first.select(F.col("id").alias("before")).hint("merge"), "before", "left_semi").select("id").distinct()
+        led = spool(led, "new-members")
+        states = first.withColumn("is_leader", F.lit(True)).union(led.withColumn("is_leader", F.lit(False)))
+        states.write.mode("append").parquet(decided)
+        dropped = led.select(F.col("id").alias("before"), F.lit(True).alias("dropped"))
+        rest = edges.join(led.hint("merge"), "id", "left_anti").join(dropped.hint("merge"), "before", "left")
+        rest = spool(rest.select("id", "before", "dropped"), "open-edges")
+        if rest.isEmpty():
+            return spark.read.schema(states.schema).parquet(decided)
+        edges, open_ = rest.filter("dropped is null").select("id", "before"), rest.select("id").distinct()
 
 
 def assign(points: DataFrame, pairs: DataFrame, state: DataFrame, score: str | None = None) -> DataFrame:
@@ -115,12 +120,7 @@ def rule_cluster(events: DataFrame, verify: Callable[[DataFrame], DataFrame] | N
 
 def rank_by(points: DataFrame, key: str) -> DataFrame:
     """(id, rank): places in a total order, counted range by range instead of in one task."""
-    ordered = spool(points.select("id", key).repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()), "ranges")
-    sizes = ordered.groupBy("_part").count().withColumn("_before", F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(key, "id"))
-    return ordered.withColumn("_n", place).join(sizes.select("_part", "_before").hint("merge"), "_part").select(
-        "id", (F.coalesce("_before", F.lit(0)) + F.col("_n")).alias("rank")
-    )
+    return running_sum(points.select("id", key, F.lit(1).alias("_one")), [F.col(key), F.col("id")], "_one", "rank").select("id", "rank")
 
 
 def merge_stats(groups: DataFrame, n_uncertain: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions.dates import chronological_value, display_start_date, display_year, parse_display_year, start_timestamp, to_date_range
 from annalist.functions.text import event_signature
-from annalist.scratch import spool
+from annalist.scratch import running_sum, spool
 from annalist.sources.tables import dedupe_first, insert_ignore
 
 
@@ -176,8 +176,7 @@ def source_counts(events: DataFrame) -> DataFrame:
 def relevance_options(events: DataFrame) -> DataFrame:
     """(score, n_events): for each distinct score the events at or above it, highest first."""
     count = events.filter("relevance_score is not null").groupBy(F.col("relevance_score").alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    above = F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0))
-    return count.select("score", above.alias("n_events")).orderBy(F.desc("score"))
+    return running_sum(count, [F.desc("score")], "n", "n_events").select("score", "n_events").orderBy(F.desc("score"))
 
 
 def timeline_years(events: DataFrame) -> DataFrame:

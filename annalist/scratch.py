@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, by: list[str], how: str = "i
     return rows.join(hot, by).unionByName(rows.join(hot.select(*by), by, "left_anti").join(rest.hint("merge"), by, how))
 
 
+def running_sum(rows: DataFrame, order: list[Column], value: str, into: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to this one, in a total order: range by range instead of in one task."""
+    ordered = spool(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = ordered.groupBy("_part").agg(F.sum(value).alias("_sum"))  # a row a partition
+    before = F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    offsets = sums.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    added = ordered.withColumn(into, inside).join(offsets.hint("merge"), "_part")
+    return added.withColumn(into, F.col(into) + F.col("_before")).drop("_part", "_before")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component), component = smallest id.
 
