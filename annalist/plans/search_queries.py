@@ -170,6 +170,23 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.detect_language(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+_TOLD = """concat('The Board met from March ', cast(doc_id % 900 + 1000 AS string), ' to June ', cast(doc_id % 900 + 1001 AS string), ' and on 7 May ', cast(doc_id % 90 + 1900 AS string),
+ ' in Old Town. It fell in ', cast(doc_id % 500 + 1 AS string), ' BC and in the late 19th century. ', coalesce(text, ''))"""
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {_TOLD} AS text FROM documents),
+s AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+') parts FROM d),
+p AS (SELECT doc_id, unnest(range(len(parts))) AS position, unnest(parts) AS sentence FROM s),
+e AS (SELECT doc_id, position, sentence, regexp_extract_all(sentence, '{corpus.DATE_SPANS}') dates FROM p)
+SELECT doc_id, cast(position AS int) AS position, cast(unnest(range(len(dates))) AS int) place, unnest(dates) event_date_str, trim(sentence) description, true is_read FROM e""".replace(" AS string)", " AS varchar)"))
+def extract_dated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dates of all documents, each behind two sentences with four dates of its own."""
+    docs = read(spark, sf_dir, "documents").selectExpr("doc_id", f"{_TOLD} AS text")
+    return corpus.extract_dated_events(docs).select(
+        "doc_id", "position", "place", "event_date_str", "description", (F.col("date_info.precision") != "unknown").alias("is_read")
+    )
+
+
 @query(r"""WITH words AS (SELECT doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) word FROM documents),
 tf AS MATERIALIZED (SELECT doc_id, any_value(lang) lang, word, count(*) tf FROM words WHERE word <> '' GROUP BY doc_id, word),
 padded AS (SELECT DISTINCT word, ' ' || word || ' ' p FROM tf),

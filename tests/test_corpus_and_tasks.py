@@ -356,3 +356,24 @@ def test_view_of_an_event_with_many_sources(spark):
             snippets[ref] = r[1]
     assert one.source_snippets == snippets and [s.ref for s in one.sources] == order and one.is_merged
     assert other.source_snippets == {} and other.sources == [] and not other.is_merged and other.main_entities == []
+
+
+def test_every_date_of_a_sentence_is_an_event(spark):
+    text = (
+        "In 1914 the Great War began, and by November 11, 1918 it was over in Compiegne. Between 1939-09-01 and 1945 nothing; between 1939 and 1945 Europe burned!\n"
+        "Rome fell from 410 to the end. Caesar died in 44 BC; the 5th century BC - 3rd century BC, the late 1960s, mid 20th century, spring of 1848, 3rd of May 1791 and 1803–1815. No date here, room 12."
+    )
+    docs = [(1, text), (2, None), (3, ""), (4, "x " * 100000 + "1999")] + [(10 + k, "In 1999 it was. In 1999 it was.") for k in range(50)]
+    got = corpus.extract_dated_events(spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = got.orderBy("doc_id", "position", "place").collect()
+    one = [(r.position, r.place, r.event_date_str) for r in rows if r.doc_id == 1]
+    assert one == [
+        (0, 0, "1914"), (0, 1, "November 11, 1918"), (1, 0, "1939-09-01"), (1, 1, "1945"), (1, 2, "between 1939 and 1945"), (3, 0, "44 BC"), (3, 1, "5th century BC - 3rd century BC"),
+        (3, 2, "late 1960s"), (3, 3, "mid 20th century"), (3, 4, "spring of 1848"), (3, 5, "3rd of May 1791"), (3, 6, "1803–1815"),
+    ]
+    assert all(r.date_info.precision != "unknown" for r in rows)
+    first = rows[0]
+    assert first.entities == ["Great War", "Compiegne"] and first.date_info.start_year == 1914 and first.description.startswith("In 1914")
+    war, caesar = (next(r.date_info for r in rows if r.event_date_str == d) for d in ("between 1939 and 1945", "44 BC"))
+    assert (war.start_year, war.end_year, caesar.start_year, caesar.is_bce) == (1939, 1945, -44, True)
+    assert {r.doc_id for r in rows} == {1, 4, *range(10, 60)} and len(rows) == len(one) + 1 + 100
