@@ -172,3 +172,9 @@ def test_vectors_never_match_nothing(spark):
     assert all(r.s == r.e for r in t.select(vectors.cosine_similarity(F.col("a"), F.col("b")).alias("s"), "e").collect())
     usable = spark.createDataFrame([([1.0, 2.0],), ([0.0, 0.0],), ([float("nan"), 1.0],), ([1.0],), (None,)], "v array<float>")
     assert [r.x for r in usable.select(vectors.is_usable(F.col("v"), 2).alias("x")).collect()] == [True, False, False, False, False]
+
+
+def test_decades_of_five_digits(spark):
+    rows = spark.createDataFrame([(1, "9990s-10000s"), (2, "10000s"), (3, "1990s")], "id int, date_text string")
+    got = {r.id: (r.date_info.start_year, r.date_info.end_year) for r in dates.normalise_dates(rows, "date_text").collect()}
+    assert got == {1: (9990, 10009), 2: (10000, 10009), 3: (1990, 1999)}
