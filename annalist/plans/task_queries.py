@@ -54,9 +54,10 @@ def task_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrong.select("id", F.array_join("errors", ",").alias("errors"))
 
 
-@query("""WITH c AS (SELECT event_id id, CASE event_id % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'hybrid_title_search' ELSE 'other' END m, value / 100 w, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE value / 200 END b, cast(value AS int) l FROM events)
+@query("""WITH c AS (SELECT event_id id, CASE event_id % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'hybrid_title_search' ELSE 'other' END m, value / 100 w, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE value / 200 END b, cast(round(value) AS int) l FROM events),
+d AS (SELECT *, m = 'hybrid_title_search' AND w = 0 AND b = 0 unweighed FROM c)
 SELECT id, array_to_string([x for x in [CASE WHEN m = 'other' THEN 'search_mode' END, CASE WHEN w > 1 THEN 'vector_weight' END, CASE WHEN b > 1 THEN 'bm25_weight' END,
- CASE WHEN l NOT BETWEEN 1 AND 50 THEN 'article_limit' END] if x IS NOT NULL], ',') errors FROM c WHERE m = 'other' OR w > 1 OR b > 1 OR l NOT BETWEEN 1 AND 50""")
+ CASE WHEN l NOT BETWEEN 1 AND 50 THEN 'article_limit' END, CASE WHEN unweighed THEN 'weights' END] if x IS NOT NULL], ',') errors FROM d WHERE m = 'other' OR w > 1 OR b > 1 OR l NOT BETWEEN 1 AND 50 OR unweighed""")
 def config_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = F.when(F.col("event_id") % 3 == 0, "semantic").when(F.col("event_id") % 3 == 1, "hybrid_title_search").otherwise("other")
     rows = a.read(spark, sf_dir, "events").select(

@@ -377,3 +377,15 @@ def test_every_date_of_a_sentence_is_an_event(spark):
     war, caesar = (next(r.date_info for r in rows if r.event_date_str == d) for d in ("between 1939 and 1945", "44 BC"))
     assert (war.start_year, war.end_year, caesar.start_year, caesar.is_bce) == (1939, 1945, -44, True)
     assert {r.doc_id for r in rows} == {1, 4, *range(10, 60)} and len(rows) == len(one) + 1 + 100
+
+
+def test_config_checks_of_halves_and_no_weights(spark, tmp_path):
+    """Limits of a half are rounded up in both engines, and a hybrid search without weights is wrong in both."""
+    from annalist.plans import catalog
+    from tests.compare import assert_same, engine
+
+    rows = spark.createDataFrame([(4, 0.0), (3, 0.5), (6, 50.5), (9, 2.5), (16, 7.0)], "event_id long, value double")
+    rows.coalesce(1).toPandas().to_parquet(f"{tmp_path}/events.parquet")
+    found = catalog.QUERIES["config_checks"](spark, str(tmp_path))
+    assert {r.id: r.errors for r in found.collect()} == {4: "article_limit,weights", 6: "article_limit"}
+    assert_same(found, engine(str(tmp_path)), catalog.ORACLES["config_checks"])
