@@ -10,8 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from annalist.functions.dates import ranges_overlap
-from annalist.functions.text import short_hash
 
+#: Columns of an event that these scores read.
+SIDE = ("entity_ids", "entity_types", "year", "date_range", "language", "description")
 MAX_YEARS, MAX_LENGTH_RATIO, MIN_OVERLAP = 2, 5, 0.75
 
 
@@ -51,7 +52,7 @@ def match_score(a: Column, b: Column) -> Column:
     gap = F.abs(a["year"] - b["year"])
     near = F.when(gap == 0, 30).when(gap == 1, 20).when(gap == 2, 10).otherwise(0)
     language = F.when(a["language"].eqNullSafe(b["language"]), 10).otherwise(0)
-    text = F.when(short_hash(a["description"]) == short_hash(b["description"]), 10).otherwise(0)
+    text = F.when(F.coalesce(a["description"], F.lit("")) == F.coalesce(b["description"], F.lit("")), 10).otherwise(0)
     return 10 * _common(a["entity_ids"], b["entity_ids"]) + 5 * _common(a["entity_types"], b["entity_types"]) + near + language + text
 
 

@@ -336,3 +336,15 @@ def test_candidates_share_a_key_and_can_reach_the_score(spark, monkeypatch, by,
             if x[0] < y[0] and met and (not least or 10 * entities + 5 * types + {0: 30, 1: 20, 2: 10}.get(gap, 0) + 20 >= least):
                 want.add((x[0], y[0]))
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("by", [("entity",), ("entity", "year")])
+def test_candidates_bring_their_sides(spark, monkeypatch, by):
+    """Pairs hold both events, the smaller id first, and are the rows that two joins behind them would give."""
+    monkeypatch.setattr(pairs.split_join, "__defaults__", (4,))
+    rows = [(k, ["h"] if k % 2 else ["h", f"e{k % 5}"], ["T"], 1900 + k % 4, f"text {k}") for k in range(24)]
+    own = spark.createDataFrame(rows, "id long, entity_ids array<string>, entity_types array<string>, year int, description string")
+    want = {(r.a, r.b, r.x.description, r.y.description) for r in pairs.with_sides(pairs.block_candidates(own, by), own).collect()}
+    got = [(r.a, r.b, r.x.description, r.y.description) for r in pairs.block_candidates(own, by, sides=("description",)).collect()]
+    assert len(got) == len(set(got)) == 24 * 23 // 2 and set(got) == want
+    assert all(x == f"text {a}" and y == f"text {b}" for a, b, x, y in got)
