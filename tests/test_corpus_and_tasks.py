@@ -389,3 +389,24 @@ def test_config_checks_of_halves_and_no_weights(spark, tmp_path):
     found = catalog.QUERIES["config_checks"](spark, str(tmp_path))
     assert {r.id: r.errors for r in found.collect()} == {4: "article_limit,weights", 6: "article_limit"}
     assert_same(found, engine(str(tmp_path)), catalog.ORACLES["config_checks"])
+
+
+def test_exports_make_sources_once_an_event(spark):
+    work = spark.createDataFrame([("t", "v", "topic", "completed")], "id string, viewpoint_id string, topic_text string, status string")
+    work = work.withColumns({"config": F.create_map(F.lit("a"), F.lit("b")), "created_at": F.lit(None).cast("timestamp")})
+    rows = [("v", 0, ["src_10", "src_1"]), ("v", 1, ["src_1", 'src_"2']), ("v", 2, [])]
+    events = spark.createDataFrame(rows, "viewpoint_id string, sequence_order int, refs array<string>")
+    source = lambda r: F.struct(r.alias("ref"), F.concat(F.lit("T"), r).alias("title"))
+    listed = events.select("viewpoint_id", F.explode("refs").alias("r")).select("viewpoint_id", source(F.col("r")).alias("s")).select("viewpoint_id", "s.*").distinct()
+    brought = events.select("viewpoint_id", "sequence_order", F.transform("refs", lambda r: tables.source_entry(source(r), ["title"])).alias("source_entries"))
+    want = tables.timeline_json(work, events.drop("refs"), listed).collect()
+    assert tables.timeline_json(work, brought).collect() == want and json.loads(want[0].json)["sourcesCount"] == 3
+
+
+def test_documents_of_many_raw_events_are_not_a_shuffle_key(spark):
+    events = spark.createDataFrame([("e",)], "id string")
+    raw = spark.createDataFrame([("r", "d", "s")], "id string, source_document_id string, source_text_snippet string")
+    documents = spark.createDataFrame([("d", "T", "en", "u", "web")], "id string, title string, language string, wikipedia_url string, source_type string")
+    hydrated = timeline.hydrate_events(events, None, None, spark.createDataFrame([("e", "r")], "event_id string, raw_event_id string"), raw, documents)
+    plan = hydrated._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(source_document_id" not in plan and hydrated.first().raw_events[0].title == "T"
