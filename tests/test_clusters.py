@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist.functions.dates import ymd
-from annalist.operators import canonical, cells, cluster, pairs, scoring
+from annalist.operators import canonical, cells, cluster, pairs, scoring, timeline
 from annalist.plans import cluster_queries
 
 
@@ -348,3 +348,34 @@ def test_candidates_bring_their_sides(spark, monkeypatch, by):
     got = [(r.a, r.b, r.x.description, r.y.description) for r in pairs.block_candidates(own, by, sides=("description",)).collect()]
     assert len(got) == len(set(got)) == 24 * 23 // 2 and set(got) == want
     assert all(x == f"text {a}" and y == f"text {b}" for a, b, x, y in got)
+
+
+def test_vector_leaders_need_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "FIRST_BATCH", 60)
+    monkeypatch.setattr(cluster, "GROWTH", 3)
+    rng = np.random.default_rng(3)
+    points = table(spark, rng.standard_normal((400, 6))).withColumn("rank", (F.col("id") * 37 % 401).cast("long"))
+    every = pairs.similar_pairs(points, 0.6).cache()
+    verify = lambda p: p.filter("(a + b) % 2 = 0")
+    groups = cluster.leader_cluster(points.select("id", "rank"), every.filter("similarity >= 0.7"))
+    assert {tuple(r) for r in cluster.vector_leaders(points, 0.7).collect()} == {tuple(r) for r in groups.collect()}
+    hybrid = cluster.hybrid_cluster(points, every, verify, 0.7, 0.6)
+    assert {tuple(r) for r in cluster.vector_hybrid(points, verify, 0.7, 0.6).collect()} == {tuple(r) for r in hybrid.collect()}
+    monkeypatch.setattr(pairs, "MOST_ROWS", 40)
+    groups = points.select("id", (F.col("id") % 3).alias("leader"))
+    want = {r.id: r.total for r in timeline.similarity_totals(groups, every).collect()}
+    got = {r.id: r.total for r in pairs.similarities_inside(groups.join(points.select("id", "vector"), "id"), 0.6).collect()}
+    assert all(abs(got[i] - want.get(i, 0)) < 1e-9 for i in got) and set(want) <= set(got)
+
+
+def test_pairs_that_cells_do_not_rule_out_are_dealt_to_blocks(spark, monkeypatch):
+    points = table(spark, np.random.default_rng(4).standard_normal((300, 6)))
+    want = {(r.a, r.b) for r in pairs.similar_pairs(points, 0.2).collect()}
+    monkeypatch.setattr(pairs, "CELL_ROWS", 10)
+    monkeypatch.setattr(pairs, "FLAT_BLOCKS", 4)
+    found = pairs.similar_pairs(points, 0.2, block=16)
+    assert found.count() == len(want) and {(r.a, r.b) for r in found.collect()} == want
+    dealt = []
+    monkeypatch.setattr(pairs, "_pairs_in_cells", lambda placed, least, block: dealt.append((placed.select("cell").distinct().count(), block)))
+    pairs.similar_pairs(points, 0.2, block=16)
+    assert dealt == [(1, 75)]
