@@ -354,13 +354,18 @@ def test_vector_leaders_need_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(cluster, "FIRST_BATCH", 60)
     monkeypatch.setattr(cluster, "GROWTH", 3)
     rng = np.random.default_rng(3)
-    points = table(spark, rng.standard_normal((400, 6))).withColumn("rank", (F.col("id") * 37 % 401).cast("long"))
+    points = table(spark, rng.standard_normal((150, 6))).withColumn("rank", (F.col("id") * 37 % 401).cast("long"))
     every = pairs.similar_pairs(points, 0.6).cache()
     verify = lambda p: p.filter("(a + b) % 2 = 0")
     groups = cluster.leader_cluster(points.select("id", "rank"), every.filter("similarity >= 0.7"))
     assert {tuple(r) for r in cluster.vector_leaders(points, 0.7).collect()} == {tuple(r) for r in groups.collect()}
     hybrid = cluster.hybrid_cluster(points, every, verify, 0.7, 0.6)
     assert {tuple(r) for r in cluster.vector_hybrid(points, verify, 0.7, 0.6).collect()} == {tuple(r) for r in hybrid.collect()}
+
+
+def test_similarities_are_added_up_in_blocks(spark, monkeypatch):
+    points = table(spark, np.random.default_rng(3).standard_normal((120, 6)))
+    every = pairs.similar_pairs(points, 0.6)
     monkeypatch.setattr(pairs, "MOST_ROWS", 40)
     groups = points.select("id", (F.col("id") % 3).alias("leader"))
     want = {r.id: r.total for r in timeline.similarity_totals(groups, every).collect()}
