@@ -410,3 +410,10 @@ def test_documents_of_many_raw_events_are_not_a_shuffle_key(spark):
     hydrated = timeline.hydrate_events(events, None, None, spark.createDataFrame([("e", "r")], "event_id string, raw_event_id string"), raw, documents)
     plan = hydrated._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(source_document_id" not in plan and hydrated.first().raw_events[0].title == "T"
+
+
+def test_pages_are_cleaned_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "PAGE_ROWS", 3)
+    pages = spark.createDataFrame([(n, f"u{n}", f"<p>t{n}</p>" if n else None) for n in range(10)], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.text_content for r in corpus.pages_to_articles(pages).collect()}
+    assert got == {n: f"t{n}" if n else "" for n in range(10)}
