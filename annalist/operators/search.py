@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from annalist.operators.pairs import nearest
 
 K1, B = 1.2, 0.75
+#: So many query terms are sent to all tasks, behind a count; more are merged.
+BROADCAST_TERMS = 100_000
 
 
 def terms(text: Column) -> Column:
@@ -24,14 +26,16 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, text: str = "chunk_text",
     Scores are rounded to nine digits, so that equal texts tie whatever the order of summing.
 
     Terms that no query has are dropped before the term counts are made, so the shuffle holds
-    the matching part of the corpus only. A repeated query term counts once.
+    the matching part of the corpus only, counted before it is shuffled where the terms are few. A repeated query term counts once.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query_text")))).alias("term"))
+    asked = wanted.select("term").distinct()
+    asked = F.broadcast(asked) if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else asked.hint("merge")
     own = chunks.select(key, terms(F.col(text)).alias("_terms"))
     n, total = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_terms")), F.lit(0))).first()
     mean = max(total / n, 1e-9) if n else 1.0
     spread = own.select(key, F.size("_terms").alias("len"), F.explode("_terms").alias("term"))
-    tf = spread.join(wanted.select("term").distinct().hint("merge"), "term", "left_semi").groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = spread.join(asked, "term", "left_semi").groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))

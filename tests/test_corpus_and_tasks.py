@@ -417,3 +417,12 @@ def test_pages_are_cleaned_a_few_at_a_time(spark, monkeypatch):
     pages = spark.createDataFrame([(n, f"u{n}", f"<p>t{n}</p>" if n else None) for n in range(10)], "page_id long, url string, html string").coalesce(1)
     got = {r.page_id: r.text_content for r in corpus.pages_to_articles(pages).collect()}
     assert got == {n: f"t{n}" if n else "" for n in range(10)}
+
+
+def test_few_query_terms_are_sent_to_the_words(spark, monkeypatch):
+    chunks = spark.createDataFrame([(1, "a b b"), (2, "c a"), (3, None)], "chunk_id long, chunk_text string")
+    queries = spark.createDataFrame([("q", "b a"), ("r", "c z")], "query_id string, query_text string")
+    sent = search.bm25_scores(chunks, queries)
+    assert "BroadcastHashJoin" in sent._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
+    assert sorted(sent.collect()) == sorted(search.bm25_scores(chunks, queries).collect()) != []
