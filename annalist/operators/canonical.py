@@ -13,7 +13,8 @@ may take. In sequence each decision needs all before it; here a raw event is dec
 
 The earliest open raw event never waits, so rounds end; they are as many as the longest chain of decisions that really
 need each other. Only pairs with a raw end are made, in rows of their own that are aggregated, so a cluster
-of any size is spread over tasks. Decided rows, and candidates behind a sure one, leave the table.
+of any size is spread over tasks. Decided rows, and candidates behind a sure one, leave the table. What can't be taken makes
+no pair: events behind k nearer ones or behind a sure one, raw events behind these, and raw events with a sure event.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.operators import cells
+from annalist.operators import pairs
 from annalist.operators.cells import CellIndex
-from annalist.operators.pairs import similar_pairs
 from annalist.scratch import shared_dir, spool
 
 
@@ -34,31 +34,38 @@ def _document(column: str):
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
 
 
-def _candidates(raw: DataFrame, index: CellIndex, documents: DataFrame, near: float, cross: float, same: float) -> DataFrame:
-    """(r, f, rank, doc, score, sure, refused, is_event): earlier raw events and stored events that r may take."""
-    own = raw.select("id", "rank", "doc")
-    found = similar_pairs(raw.select("id", "vector"), max(near, cross))
-    a, b = (own.select(F.col("id").alias(s), F.col("rank").alias(f"rank_{s}"), F.col("doc").alias(f"doc_{s}")) for s in "ab")
-    sided = found.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
-    later = F.col("rank_a") > F.col("rank_b")
+#: Raw events without a sure candidate that are decided together.
+OPEN_ROWS = 8192
 
-    def of(first: str, second: str):
-        return F.when(later, F.col(first)).otherwise(F.col(second))
+_HELD = "array<struct<s:double,f:bigint>>"
 
-    raw_pairs = sided.select(
-        of("a", "b").alias("r"), of("b", "a").alias("f"), of("rank_a", "rank_b").alias("rank"), of("doc_a", "doc_b").alias("doc"), "similarity",
-        (F.col("doc_a") == F.col("doc_b")).alias("has"), F.lit(False).alias("is_event"),
-    )
-    asked = raw.select(F.col("id").alias("query_id"), "vector")
-    stored = cells.within(asked, index, max(near, cross)).select(F.col("query_id").alias("r"), F.col("id").alias("f"), "similarity")
-    stored = stored.join(own.withColumnRenamed("id", "r").hint("merge"), "r")
-    known = documents.select(F.col("event_id").alias("f"), _document("document_id").alias("doc")).distinct().withColumn("has", F.lit(True))
+
+def _hold(found: DataFrame, held: DataFrame | None, near: float, same: float, k: int) -> DataFrame:
+    """(r, held): what of the events found, (query_id, id, similarity), and of those held before, each raw event may take, as (-score, id) in order:
+    the first one if it is sure, else the first k, as k refused events before all others make an event."""
+    rows = found.filter(F.col("similarity") > near).select(F.col("query_id").alias("r"), (-F.round("similarity", 12)).alias("s"), F.col("id").alias("f"))
+    if held is not None:
+        rows = rows.union(held.select("r", F.inline("held")))
+    first = rows.groupBy("r").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "f"))), 1, k).alias("held"))
+    return spool(first.select("r", F.when(F.col("held")[0]["s"] <= -same, F.slice("held", 1, 1)).otherwise(F.col("held")).cast(_HELD).alias("held")), "held")
+
+
+def _candidates(batch: DataFrame, open_: DataFrame, sizes: tuple[int, int], documents: DataFrame, near: float, least: float, same: float, k: int) -> DataFrame:
+    """(r, f, rank, doc, score, sure, refused, is_event): events and earlier open raw events that r may take.
+
+    batch: raw events with what they hold; open_: those of them that may become events. documents: f, doc of all events.
+    """
+    last = F.when((F.get("held", F.lit(0))["s"] <= -same) | (F.size("held") == k), F.element_at("held", -1))
+    ends = batch.withColumns({"s": F.coalesce(last["s"], F.lit(2.0)), "f": F.coalesce(last["f"], F.lit(0))})
+    near_ones = pairs.earlier_pairs(ends, open_, sizes, least).filter(F.col("similarity") > near)
+    raw_pairs = near_ones.select("r", "f", "rank", "doc", F.round("similarity", 12).alias("score"), "has", F.lit(False).alias("is_event"))
+    stored = batch.select(F.col("id").alias("r"), "rank", "doc", F.inline("held"))
+    known = documents.distinct().withColumn("has", F.lit(True))
     stored = stored.join(known.hint("merge"), ["f", "doc"], "left")
-    stored_pairs = stored.select("r", "f", "rank", "doc", "similarity", F.coalesce("has", F.lit(False)).alias("has"), F.lit(True).alias("is_event"))
-    sure = F.col("similarity") >= same
-    return raw_pairs.union(stored_pairs).filter(F.col("similarity") > near).select(
-        "r", "f", "rank", "doc", F.round("similarity", 12).alias("score"), sure.alias("sure"), (F.col("has") & ~sure).alias("refused"), "is_event",
-        F.lit(None).cast("long").alias("has_from"),
+    stored_pairs = stored.select("r", "f", "rank", "doc", (-F.col("s")).alias("score"), F.coalesce("has", F.lit(False)).alias("has"), F.lit(True).alias("is_event"))
+    sure = F.col("score") >= same
+    return raw_pairs.union(stored_pairs).select(
+        "r", "f", "rank", "doc", "score", sure.alias("sure"), (F.col("has") & ~sure).alias("refused"), "is_event", F.lit(None).cast("long").alias("has_from"),
     )
 
 
@@ -102,21 +109,14 @@ def _decide(open_: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return classed, spool(counts.select("r", "rank", "doc", "yes", decision.alias("decision")), "decisions")
 
 
-def insert_in_order(
-    raw: DataFrame, index: CellIndex, documents: DataFrame, near: float = 0.80, cross: float = 0.85, same: float = 0.95, k: int = 5
-) -> DataFrame:
-    """(raw_id, event_id, is_new) of raw events (id, rank, vector, document_id) under an index of stored events
-    and their documents (event_id, document_id). A new event has the id of its raw event."""
-    if cross > same:
-        raise ValueError("cross must not exceed same")
-    spark = raw.sparkSession
-    raw = spool(raw.select("id", "rank", "vector", _document("document_id").alias("doc")), "raw-events")
-    open_ = spool(_candidates(raw, index, documents, near, cross, same), "candidates")
+def _decide_all(open_: DataFrame, ids: DataFrame, k: int, folder: str) -> list[str]:
+    """Writes (raw_id, event_id) of all raw events (id) that take an event, under their candidates; a path a round."""
+    spark = open_.sparkSession
     # raw events without a candidate are events from the start
-    alone = raw.select("id").join(open_.select(F.col("r").alias("id")).distinct().hint("merge"), "id", "left_anti")
+    alone = ids.join(open_.select(F.col("r").alias("id")).distinct().hint("merge"), "id", "left_anti")
     news = spool(alone.select(F.col("id").alias("f"), F.lit(True).alias("now_event")), "news")
     taken = spark.createDataFrame([], "f long, doc string, taken_from long")
-    folder, rounds = f"{shared_dir(spark)}/taken-{uuid.uuid4().hex}", []
+    rounds = []
     while True:
         known = open_.join(news.hint("merge"), "f", "left").join(taken.hint("merge"), ["f", "doc"], "left")
         known = known.select(
@@ -139,8 +139,47 @@ def insert_in_order(
         at = F.struct((-F.col("score")).alias("s"), F.col("f").alias("f"))
         ahead = classed.join(still.hint("merge"), "r").filter(F.coalesce(at <= F.col("yes"), F.lit(True)))
         open_ = ahead.select("r", "f", "rank", "doc", "score", "sure", "refused", "is_event", "has_from")
-    schema = "raw_id long, event_id long"
-    targets = spark.read.schema(schema).parquet(*rounds) if rounds else spark.createDataFrame([], schema)
+    return rounds
+
+
+def insert_in_order(
+    raw: DataFrame, index: CellIndex, documents: DataFrame, near: float = 0.80, cross: float = 0.85, same: float = 0.95, k: int = 5
+) -> DataFrame:
+    """(raw_id, event_id, is_new) of raw events (id, rank, vector, document_id) under an index of stored events
+    and their documents (event_id, document_id). A new event has the id of its raw event.
+
+    Raw events meet the stored ones first, of which k each are kept. Those with a sure one among them become no events; of
+    the others ``OPEN_ROWS`` at a time are decided, by rank, together with all raw events before the last of them. What
+    is left then meets the new events, so pairs are made with few raw events at a time, however many are near each other.
+    """
+    if cross > same:
+        raise ValueError("cross must not exceed same")
+    spark, least = raw.sparkSession, max(near, cross)
+    raw = spool(raw.select("id", "rank", "vector", _document("document_id").alias("doc")), "raw-events")
+    known = documents.select(F.col("event_id").alias("f"), _document("document_id").alias("doc"))
+    folder, paths, schema = f"{shared_dir(spark)}/taken-{uuid.uuid4().hex}", [], "raw_id long, event_id long"
+    held, rest, step = _hold(pairs.best_stored(raw, index, raw.count(), least, k), None, near, same, k), raw, 0
+    while True:
+        having = rest.join(held.withColumnRenamed("r", "id").hint("merge"), "id", "left")
+        having = spool(having.withColumn("held", F.coalesce("held", F.array().cast(_HELD))), "having")
+        open_ = having.filter(F.coalesce(F.get("held", F.lit(0))["s"] > -same, F.lit(True)))
+        n_open, high = open_.filter("rank is not null").select("rank").orderBy("rank").limit(OPEN_ROWS).agg(F.count(F.lit(1)), F.max("rank")).first()
+        whole = n_open < OPEN_ROWS
+        batch, some = (having, open_) if whole else (having.filter(F.col("rank") <= high), open_.filter(F.col("rank") <= high))
+        found = _candidates(batch, some, (batch.count(), n_open), known, near, least, same, k)
+        rounds = _decide_all(spool(found, "candidates"), batch.select("id"), k, f"{folder}/step={step}")
+        paths += rounds
+        if whole:
+            break
+        step += 1
+        takes = spark.read.schema(schema).parquet(*rounds) if rounds else spark.createDataFrame([], schema)
+        new = spool(some.select("id", "doc", "vector").join(takes.select(F.col("raw_id").alias("id")).hint("merge"), "id", "left_anti"), "new-events")
+        links = takes.join(batch.select(F.col("id").alias("raw_id"), "doc").hint("merge"), "raw_id").select(F.col("event_id").alias("f"), "doc")
+        known = spool(known.union(links).union(new.select(F.col("id").alias("f"), "doc")).distinct(), "known-documents")
+        rest = having.filter(F.col("rank") > high).drop("held")
+        held = having.filter(F.col("rank") > high).select(F.col("id").alias("r"), "held")
+        held = _hold(pairs.best_of_all(rest, new, (rest.count(), new.count()), least, k), held, near, same, k)
+    targets = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
     placed = raw.select(F.col("id").alias("raw_id")).join(targets.hint("merge"), "raw_id", "left")
     return placed.select("raw_id", F.coalesce("event_id", "raw_id").alias("event_id"), F.col("event_id").isNull().alias("is_new"))
 

@@ -384,3 +384,39 @@ def test_pairs_that_cells_do_not_rule_out_are_dealt_to_blocks(spark, monkeypatch
     monkeypatch.setattr(pairs, "_pairs_in_cells", lambda placed, least, block: dealt.append((placed.select("cell").distinct().count(), block)))
     pairs.similar_pairs(points, 0.2, block=16)
     assert dealt == [(1, 75)]
+
+
+def test_canonicalise_makes_few_candidates_in_several_steps(spark, monkeypatch):
+    """Raw events decided a few open ones at a time, with the bounds of what they hold, give what the loop gives; no candidate is
+    behind k stored events or behind a sure one."""
+    rng = np.random.default_rng(12)
+    v, thresholds = random_vectors(13, 60, 8), (0.2, 0.25, 0.8, 2)
+    document = [str(d) for d in rng.integers(0, 5, len(v))]
+    found, real = [], canonical._candidates
+    monkeypatch.setattr(canonical, "OPEN_ROWS", 16)
+    monkeypatch.setattr(canonical, "_candidates", lambda *a: found.append(real(*a)) or found[-1])
+    assert insert_all(spark, v, document, 10, *thresholds) == inserted(v, document, 10, *thresholds)
+    assert len(found) > 2
+    for step in found:
+        of: dict = {}
+        for r in step.collect():
+            of.setdefault(r.r, []).append((-r.score, r.f, r.is_event, r.sure))
+        for rows in of.values():
+            rows.sort()
+            assert sum(x[2] for x in rows) <= thresholds[3] and not any(x[2] and x[3] for x in rows[:-1])
+
+
+@pytest.mark.parametrize("cells_pay", [True, False])
+def test_best_stored_finds_the_nearest_of_each_query(spark, monkeypatch, cells_pay):
+    v = grouped_vectors(21, 12, 10)
+    points = table(spark, v)
+    index = cells.CellIndex.build(points.filter("id % 3 > 0").select("id", "vector"))
+    monkeypatch.setattr(cells, "rows_sent", lambda *a: 0 if cells_pay else 10**9)
+    monkeypatch.setattr(cells, "QUERY_BLOCK", 4)
+    got: dict = {}
+    for r in pairs.best_stored(points.filter("id % 3 = 0"), index, 40, 0.5, 3).collect():
+        got.setdefault(r.query_id, []).append((-round(r.similarity, 12), r.id))
+    sims = np.round(v @ v.T, 12)
+    for q in range(0, len(v), 3):
+        want = sorted((-sims[q, i], i) for i in range(len(v)) if i % 3 and sims[q, i] >= 0.5)[:3]
+        assert [i for _, i in sorted(got.get(q, []))[:3]] == [i for _, i in want]
