@@ -420,3 +420,18 @@ def test_best_stored_finds_the_nearest_of_each_query(spark, monkeypatch, cells_p
     for q in range(0, len(v), 3):
         want = sorted((-sims[q, i], i) for i in range(len(v)) if i % 3 and sims[q, i] >= 0.5)[:3]
         assert [i for _, i in sorted(got.get(q, []))[:3]] == [i for _, i in want]
+
+
+@pytest.mark.parametrize("threshold,groups", [(0.9, 40), (0.3, 8)])
+def test_lsh_makes_a_pair_once_where_vectors_meet(spark, threshold, groups):
+    """By buckets and, at the low threshold, in blocks: exactly the pairs that share a band, and none is shuffled."""
+    v = grouped_vectors(31, groups, 8)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    found = pairs.similar_pairs(table(spark, v), threshold, "lsh", block=16)
+    assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    bits, bands = pairs.sign_bands(threshold)
+    up = (unit @ np.random.default_rng(11).standard_normal((v.shape[1], bits * bands)) > 0).reshape(len(v), bands, bits)
+    shared = (up[:, None] == up[None]).all(axis=3).any(axis=2)
+    sims = unit @ unit.T
+    want = sorted((a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if sims[a, b] >= threshold and shared[a, b])
+    assert want and sorted((r.a, r.b) for r in found.collect()) == want
