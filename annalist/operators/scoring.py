@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from annalist.functions.scores import rule_match
 from annalist.operators.pairs import with_sides
 from annalist.operators.search import terms
-from annalist.scratch import join_groups, spool
+from annalist.scratch import BROADCAST_ROWS, FREQUENT_SHARE, join_groups, spool
 
 BatchScorer = Callable[[pd.DataFrame], pd.Series]
 
@@ -67,9 +67,15 @@ def tfidf_scores(items: DataFrame, topics: DataFrame) -> DataFrame:
     n items. Items of no topic go; an item or topic without words scores 0. Scores have nine digits.
 
     Words are counted item by item before they meet frequencies and topics. Frequent words, and those of a
-    topic with most of the items, are spread by ``join_groups``.
+    topic with most of the items, are spread by ``join_groups``. Up to ``BROADCAST_ROWS`` topics, or words of topics, are sent
+    to all tasks, so that no text and no count is sent to the task of its topic.
     """
-    own = items.join(topics.select("topic_id").distinct().hint("merge"), "topic_id", "left_semi")
+    some = spool(topics.select("topic_id").distinct(), "topic-ids")
+    if some.count() <= BROADCAST_ROWS:
+        own = items.join(F.broadcast(some), "topic_id", "left_semi")
+    else:
+        sizes = items.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n")).join(some.hint("merge"), "topic_id")
+        own = join_groups(items, spool(sizes, "topic-sizes"), ["topic_id"])
     words = own.select("topic_id", "item_id", F.explode_outer(terms(F.col("text"))).alias("term"))
     tf = spool(words.groupBy("topic_id", "item_id", "term").agg(F.count(F.lit(1)).alias("tf")), "item-words")
     n = tf.select("topic_id", "item_id").distinct().count()
@@ -83,8 +89,12 @@ def tfidf_scores(items: DataFrame, topics: DataFrame) -> DataFrame:
     wanted = weighed.join(length.hint("merge"), "topic_id").join(held.hint("merge"), ["topic_id", "term"])
     wanted = spool(wanted.select("topic_id", "term", "n", (F.col("w") / F.col("length")).alias("wanted")), "topic-vectors")
 
-    weights = join_groups(tf, df, ["term"], "left").withColumn("w", F.col("tf") * idf).drop("df", "tf")
-    met = join_groups(weights, wanted, ["topic_id", "term"], "left").withColumn("w", F.when(F.col("term").isNotNull(), F.col("w")))
+    weights = join_groups(tf, df, ["term"], "left", FREQUENT_SHARE).withColumn("w", F.col("tf") * idf).drop("df", "tf")
+    if wanted.count() <= BROADCAST_ROWS:
+        met = weights.join(F.broadcast(wanted.drop("n")), ["topic_id", "term"], "left")
+    else:
+        met = join_groups(weights, wanted, ["topic_id", "term"], "left")
+    met = met.withColumn("w", F.when(F.col("term").isNotNull(), F.col("w")))
     dot, square = F.sum(F.col("w") * F.col("wanted")), F.sum(F.col("w") * F.col("w"))
     cosine = F.round(F.coalesce(F.try_divide(dot, F.sqrt(square)), F.lit(0.0)), 9)
     return met.groupBy("topic_id", "item_id").agg(cosine.alias("score"))

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import uuid
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -426,3 +427,27 @@ def test_few_query_terms_are_sent_to_the_words(spark, monkeypatch):
     assert "BroadcastHashJoin" in sent._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
     assert sorted(sent.collect()) == sorted(search.bm25_scores(chunks, queries).collect()) != []
+
+
+def spooled(monkeypatch, module):
+    """The tables that a module writes, by name, with their plans as they were."""
+    kept, real = {}, module.spool
+
+    def keep(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        kept[name] = real(df, name), plan
+        return kept[name][0]
+
+    monkeypatch.setattr(module, "spool", keep)
+    return kept
+
+
+def test_tfidf_sends_no_text_to_the_task_of_its_topic(spark, monkeypatch):
+    items = spark.createDataFrame([(k % 3, k, f"alpha word{k % 4} word{k % 7} beta") for k in range(30)], "topic_id long, item_id long, text string")
+    topics = spark.createDataFrame([(0, "alpha word1 word1"), (1, "beta word5 none"), (7, "gamma")], "topic_id long, topic_text string")
+    kept = spooled(monkeypatch, scoring)
+    got = {(r.topic_id, r.item_id): r.score for r in scoring.tfidf_scores(items, topics).collect()}
+    assert len(got) == 20 and "SortMergeJoin" not in kept["item-words"][1]
+    monkeypatch.setattr(scoring, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(scoring, "FREQUENT_SHARE", 3)
+    assert got == {(r.topic_id, r.item_id): r.score for r in scoring.tfidf_scores(items, topics).collect()}
