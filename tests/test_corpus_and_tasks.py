@@ -451,3 +451,19 @@ def test_tfidf_sends_no_text_to_the_task_of_its_topic(spark, monkeypatch):
     monkeypatch.setattr(scoring, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(scoring, "FREQUENT_SHARE", 3)
     assert got == {(r.topic_id, r.item_id): r.score for r in scoring.tfidf_scores(items, topics).collect()}
+
+
+def test_classify_languages_counts_words_where_they_are_read(spark, monkeypatch):
+    """A row for all frequent words of a text; with rarer words and many n-grams the same answer."""
+    labelled = spark.createDataFrame([("en", "the house and the garden of the king"), ("de", "das haus und der garten des königs"), (None, "zzz")], "lang string, text string")
+    texts = [(k, f"the house {'und der garten' if k % 3 else 'of the king'} w{'abc'[k % 3] * (k % 5)}") for k in range(20)] + [(3, "der der"), (50, None), (51, "12 !")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = corpus.fit_languages(labelled)
+    kept = spooled(monkeypatch, corpus)
+    read = lambda: sorted((r.doc_id, r.language, r.margin) for r in corpus.classify_languages(docs, model).collect())
+    got = read()
+    assert kept["document-sums"][0].count() == 20 and "word-grams" not in kept
+    monkeypatch.setattr(corpus, "FREQUENT_SHARE", 8)
+    assert read() == got and kept["document-sums"][0].count() > 20
+    monkeypatch.setattr(corpus, "BROADCAST_ROWS", 0)
+    assert read() == got and "word-grams" in kept
