@@ -467,3 +467,26 @@ def test_classify_languages_counts_words_where_they_are_read(spark, monkeypatch)
     assert read() == got and kept["document-sums"][0].count() > 20
     monkeypatch.setattr(corpus, "BROADCAST_ROWS", 0)
     assert read() == got and "word-grams" in kept
+
+
+@pytest.mark.parametrize("share", [200_000, 25])
+@pytest.mark.parametrize("copies", [False, True])
+def test_top_keywords_keeps_few_rows_of_a_document(spark, monkeypatch, share, copies):
+    rng = np.random.default_rng(2)
+    texts = {k: " ".join(["common", "usual", *(f"word{'abcdefghij'[x]}{'klmnopqrst'[y]}" for x, y in zip(rng.integers(0, 10, 30) ** 2 // 9, rng.integers(0, 10, 30)))]) for k in range(40)}
+    rows = [*texts.items(), (90, None), *([(1, texts[2])] if copies else [])]
+    monkeypatch.setattr(corpus, "FREQUENT_SHARE", share)
+    kept = spooled(monkeypatch, corpus)
+    got = sorted((r.doc_id, r["rank"], r.keyword, r.score) for r in corpus.top_keywords(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect())
+    tf: dict = {}
+    for k, text in rows:
+        for w in (text or "").split():
+            tf.setdefault(k, {})[w] = tf.get(k, {}).get(w, 0) + 1
+    df = Counter(w for of in tf.values() for w in of)
+    want = []
+    for k, of in tf.items():
+        best = sorted((-round(n * math.log(len(rows) / df[w]), 6), w) for w, n in of.items())[:3]
+        want += [(k, place + 1, w, -s) for place, (s, w) in enumerate(best)]
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(want)] and all(abs(x[3] - y[3]) < 2e-6 for x, y in zip(got, sorted(want), strict=True))
+    if share > 25:
+        assert kept["able-keywords"][0].count() < sum(map(len, tf.values())) * 0.4
