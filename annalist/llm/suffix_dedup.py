@@ -19,7 +19,7 @@ Hot passages. What a batch of texts can decide alone never leaves it: an anchor
 have is shared, and a segment that a smaller id of the batch has too goes. So a batch sends an anchor
 or a segment once, however many of its texts hold it.
 
-Memory. A step holds a batch of texts, the anchors of one bucket, or ``MEMORY`` bytes of a shard.
+Memory. A step holds a batch of texts (of ``MOST_STEP`` bytes at most), the anchors of one bucket, or ``MEMORY`` bytes of a shard.
 The texts, suffixes, queues and occurrences of a shard beyond that are in files of the task's own
 folder, which go when it ends; beside them a task has filters of windows of at most 48 MB, a memo of ``MEMO_BYTES``,
 and some numbers a segment. Numbers of buckets and shards follow the bytes of the texts.
@@ -50,14 +50,18 @@ from annalist.llm.induced_sort import MEMORY, Buckets, Scratch, suffixes
 LENGTH = 50
 GRAM = 16
 SPREAD = LENGTH - GRAM + 1  # grams in a window
-#: Bytes of text handled at a time.
-STEP = 2 << 20
+#: Bytes of text handled at a time, at least and at most: a batch sends a row to every bucket and shard, so it grows with their number.
+STEP, MOST_STEP = 2 << 20, 16 << 20
 #: Bytes of texts a bucket of anchors, a shard of segments, and a task of either.
 BUCKET_BYTES, SHARD_BYTES, TASK_BYTES = 6 << 20, 3 << 20, 256 << 20
+#: Beyond so many shards a batch grows with them.
+STEP_SHARDS = 256
 #: Positions hashed at a time, so that the steps of a hash stay in the processor's cache.
 CACHED = 1 << 14
 #: Bytes of distinct segments that a shard remembers to collapse copies; beyond it remembers anew.
 MEMO_BYTES = 32 << 20
+#: Windows of a shard whose hashes are sorted at a time, about.
+PART_WINDOWS = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -190,8 +194,8 @@ def _batch_number(ids: np.ndarray) -> int:
     return (int(ids[0]) * 0x9E3779B97F4A7C15 >> 20) & 0x3FFFFFFF
 
 
-def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows (text_id, body, ..) as pieces (text_id, offset, bytes, ..), in lists of about STEP bytes.
+def _batched(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[list[tuple]]:
+    """Rows (text_id, body, ..) as pieces (text_id, offset, bytes, ..), in lists of about so many bytes.
 
     A longer text is cut so that every window lies in one piece.
     """
@@ -203,14 +207,14 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
                 piece = body[at : at + STEP + LENGTH - 1]
                 held.append((text_id, at, piece, *rest))
                 size += len(piece)
-                if size >= STEP:
+                if size >= step:
                     yield held
                     held, size = [], 0
     if held:
         yield held
 
 
-def anchors(texts: DataFrame, n_buckets: int) -> DataFrame:
+def anchors(texts: DataFrame, n_buckets: int, step: int = STEP) -> DataFrame:
     """(bucket, batch, keys, ids, counts): per batch and bucket the distinct anchor keys of each text, by its number.
 
     Rows of batch -1 are to be compared with those of other batches. An anchor of several texts of a
@@ -218,7 +222,7 @@ def anchors(texts: DataFrame, n_buckets: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pieces in _batched(batches):
+        for pieces in _batched(batches, step):
             ids, _, starts, data = _joined(pieces)
             number = _batch_number(ids)
             _, anchor, _, row = _groups(starts, data)
@@ -307,7 +311,7 @@ def _wide(blobs: list[bytes]) -> np.ndarray:
 _PACKED = (("data", np.uint8), ("sizes", np.uint32), ("of", np.uint32), ("ids", np.int64), ("texts", np.int64), ("starts", np.int64))
 
 
-def segments(texts: DataFrame, shared: DataFrame, n_buckets: int, n_shards: int) -> DataFrame:
+def segments(texts: DataFrame, shared: DataFrame, n_buckets: int, n_shards: int, step: int = STEP) -> DataFrame:
     """(shard, packed): segments of the windows of shared anchors, per batch of texts and shard.
 
     A blob holds the distinct segments of the batch once (data, sizes) and, for each occurrence in
@@ -318,7 +322,7 @@ def segments(texts: DataFrame, shared: DataFrame, n_buckets: int, n_shards: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = zstandard.ZstdCompressor(level=1)
-        for pieces in _batched(batches):
+        for pieces in _batched(batches, step):
             texts_of, offsets, starts, data = _joined(pieces)
             ids = np.array([p[3] for p in pieces], np.int64)
             first, anchor, windows, row = _groups(starts, data)
@@ -452,31 +456,40 @@ class Shard:
         return best
 
     def _stretches(self, x: np.ndarray) -> np.ndarray:
-        """Marks the symbols that windows of a hash found twice cover; in two passes over the text."""
+        """Marks the symbols that windows of a hash found twice cover.
+
+        The hashes are dealt to parts by their first bits, and a part is sorted at a time; one of many more windows than
+        ``PART_WINDOWS`` holds a hot hash, and all of its windows count as found twice.
+        """
         n, step = len(x), 4 * CACHED
-        slots = 1 << min(23, max(16, (4 * n).bit_length()))
-        once, twice, last = np.zeros(slots, bool), np.zeros(slots, bool), np.empty(slots, np.int32)
-        marks = self.scratch.array(n, np.int32)
-        covered = self.scratch.array(n, bool)
-        covered[:] = False
+        bits = (n // PART_WINDOWS).bit_length()
+        parts = Buckets(self.scratch, 1 << bits, (np.uint64, np.int64))
         for a in range(0, n - LENGTH + 1, step):
-            b = min(n - LENGTH + 1, a + step)
-            part = np.asarray(x[a : b + LENGTH - 1])
-            slot = (window_hashes(part) >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int32)
+            part = np.asarray(x[a : min(n, a + step + LENGTH - 1)])
             ends = np.concatenate([[0], np.cumsum(part == 1)])
-            slot[ends[LENGTH:] > ends[:-LENGTH]] = -1
-            marks[a:b] = slot
-            own = slot[slot >= 0]
-            # of windows of one slot the last one written stays, so any other one finds it there
-            number = np.arange(len(own), dtype=np.int32)
-            last[own] = number
-            twice[own[once.take(own) | (last.take(own) != number)]] = True
-            once[own] = True
+            place = np.flatnonzero(ends[LENGTH:] == ends[:-LENGTH])
+            hashes = window_hashes(part)[place]
+            of = (hashes >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
+            by = np.argsort(of, kind="stable") if bits else slice(None)
+            parts.deal(of[by], (hashes[by], place[by] + a))
+        twice = self.scratch.array(n, bool)
+        twice[:] = False
+        for k in range(1 << bits):
+            if sum(map(parts._size, parts.held[k])) > 4 * PART_WINDOWS:
+                for _, place in parts.each(k):
+                    twice[place] = True
+            elif (rows := parts.front(k, n)) is not None:
+                by = np.argsort(rows[0])
+                hashes, place = rows[0][by], rows[1][by]
+                same = hashes[1:] == hashes[:-1]
+                twice[place[1:][same]] = True
+                twice[place[:-1][same]] = True
+        covered = self.scratch.array(n, bool)
+        covered[:] = False
         for a in range(0, n - LENGTH + 1, step):
             b = min(n - LENGTH + 1, a + step)
-            slot = np.asarray(marks[a:b])
             starts = np.zeros(b - a + LENGTH, np.int32)
-            starts[: b - a] = twice.take(slot, mode="wrap") & (slot >= 0)
+            starts[: b - a] = twice[a:b]
             reach = np.cumsum(starts)
             reach[LENGTH:] -= reach[:-LENGTH].copy()
             covered[a : b + LENGTH - 1] |= reach[: b - a + LENGTH - 1] > 0
@@ -689,10 +702,11 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     firsts = spool(known.select("sha", F.col("first.doc_id").alias("first_id"), F.col("first.text_id").alias("chosen"), "n"), "first-texts")
     size = keys.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     n_buckets, n_shards, n_tasks = (max(parts, -(-size // x)) for x in (BUCKET_BYTES, SHARD_BYTES, TASK_BYTES))
+    step = min(MOST_STEP, max(STEP, STEP * n_shards // STEP_SHARDS))
     chosen = firsts.select(F.col("chosen").alias("text_id"))
     sorted_ = texts.join(chosen.hint("merge"), "text_id", "left_semi").select("text_id", "doc_id", "body")
-    shared = spool(shared_anchors(anchors(sorted_, n_buckets), n_buckets, n_tasks), "shared-anchors")
-    spans = spool(intervals(segments(texts, shared, n_buckets, n_shards), n_tasks), "spans")
+    shared = spool(shared_anchors(anchors(sorted_, n_buckets, step), n_buckets, n_tasks), "shared-anchors")
+    spans = spool(intervals(segments(texts, shared, n_buckets, n_shards, step), n_tasks), "spans")
     cut = cut_out(texts, spans).withColumnRenamed("text_id", "chosen")
     changed = spool(cut.drop(*([] if keep_text else ["kept"])), "cut")
     rows = spool(join_groups(keys, firsts, ["sha"], "left"), "text-keys")

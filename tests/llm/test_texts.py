@@ -307,3 +307,31 @@ def test_dedup_of_a_very_long_text(spark):
     rows = [(1, long[cut : cut + 200]), (2, long), (3, "0" * 40 + long[-70:])]
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (0, 0), 2: (200, 1), 3: (70, 1)}
+
+
+@pytest.mark.parametrize("part,memory", [(1 << 20, 1 << 28), (200, 1 << 20)])
+def test_only_windows_found_twice_are_sorted(monkeypatch, part, memory):
+    """Two copies of a passage, and nothing else, are covered; a part with a hot hash counts as a whole."""
+    monkeypatch.setattr(suffix_dedup, "PART_WINDOWS", part)
+    x = np.random.default_rng(3).integers(2, 200, 60_000).astype(np.uint16)
+    x[[2_000, 30_000, 59_999]] = 1
+    x[40_000:40_080] = x[500:580]
+    shard = suffix_dedup.Shard(memory)
+    with shard.scratch:
+        covered = np.flatnonzero(shard._stretches(x))
+        want = [*range(500, 580), *range(40_000, 40_080)]
+        assert covered.tolist() == want
+        x[10_000:12_000] = 7
+        assert set(range(10_000, 12_000)) <= set(np.flatnonzero(shard._stretches(x)).tolist())
+
+
+def test_batches_grow_with_the_shards(spark, monkeypatch):
+    """So the rows that batches send to shards grow as the input; the result is the same."""
+    steps, real = [], suffix_dedup.segments
+    monkeypatch.setattr(suffix_dedup, "segments", lambda *args: steps.append(args[-1]) or real(*args))
+    monkeypatch.setattr(suffix_dedup, "STEP", 400)
+    rows = dedup_corpus(3)
+    for share, bytes_ in ((256, 400), (1, 1600)):
+        monkeypatch.setattr(suffix_dedup, "STEP_SHARDS", share)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == brute_removed(rows) and steps.pop() == bytes_
