@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import text
 from annalist.operators import search, timeline
-from annalist.plans.adapters import CHUNK_SQL, QUERY_SQL, chunks, queries, read
+from annalist.plans.adapters import CHUNK_SQL, QUERY_SQL, chunk_texts, chunks, queries, read
 from annalist.plans.registry import Registry
 from annalist.sources import corpus
 
@@ -33,7 +33,7 @@ near AS (SELECT query_id, chunk_id, distance, (2 - distance) / 2 similarity, r F
 
 @query(f"{_BM25} SELECT query_id, chunk_id, round(score, 6) score FROM scored")
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.bm25_scores(chunks(spark, sf_dir), queries(spark, sf_dir))
+    found = search.bm25_scores(chunk_texts(spark, sf_dir), queries(spark, sf_dir))
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 

@@ -490,3 +490,27 @@ def test_top_keywords_keeps_few_rows_of_a_document(spark, monkeypatch, share, co
     assert [x[:3] for x in got] == [x[:3] for x in sorted(want)] and all(abs(x[3] - y[3]) < 2e-6 for x, y in zip(got, sorted(want), strict=True))
     if share > 25:
         assert kept["able-keywords"][0].count() < sum(map(len, tf.values())) * 0.4
+
+
+def test_bm25_shuffles_no_words(spark, monkeypatch):
+    """Scores are made where a chunk is read; of keys or query ids that repeat a term counts as in the SQL."""
+    rng = random.Random(8)
+    texts = [(k, " ".join(rng.choices("abcdefgh", k=rng.randrange(12)))) for k in range(60)] + [(60, None)]
+    queries = spark.createDataFrame([("q", "b a z"), ("r", "c c"), ("q", "a"), (None, "d"), ("none", "")], "query_id string, query_text string")
+    plain = spark.createDataFrame(texts, "chunk_id long, chunk_text string")
+    monkeypatch.setattr(search, "ROWS", 7)
+    got = search.bm25_scores(plain, queries)
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    words = {k: (t or "").split() for k, t in texts}
+    mean, df = sum(map(len, words.values())) / len(words), Counter(w for own in words.values() for w in set(own))
+    want = {}
+    for query, asked in (("q", "abz"), ("r", "c"), (None, "d")):
+        for k, own in words.items():
+            parts = [math.log(1 + (len(words) - df[w] + 0.5) / (df[w] + 0.5)) * own.count(w) * 2.2 / (own.count(w) + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w in asked if w in own]
+            if parts:
+                want[query, k] = pytest.approx(sum(parts), abs=2e-9)
+    assert {(r.query_id, r.chunk_id): r.score for r in got.collect()} == want
+    twice = plain.union(plain.limit(5))
+    merged = search.bm25_scores(twice, queries).collect()
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
+    assert sorted(merged, key=str) == sorted(search.bm25_scores(twice, queries).collect(), key=str) != []
