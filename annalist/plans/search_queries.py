@@ -39,7 +39,7 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CHUNK_SQL}, {QUERY_SQL}, {_NEAR} SELECT query_id, chunk_id, round(distance, 8) distance, round(similarity, 8) similarity, cast(r AS int) rank FROM near")
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.semantic_chunks(chunks(spark, sf_dir), queries(spark, sf_dir), 100)
+    found = search.semantic_chunks(chunks(spark, sf_dir), queries(spark, sf_dir), 100, chunk_texts(spark, sf_dir))
     return found.select("query_id", "chunk_id", F.round("distance", 8).alias("distance"), F.round("similarity", 8).alias("similarity"), "rank")
 
 
@@ -49,7 +49,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, do
 texts AS (SELECT doc_id, string_agg(chunk_text, '' ORDER BY chunk_index) t FROM chunks GROUP BY 1)
 SELECT query_id, doc_id, round(distance, 8) distance, cast(r AS int) rank, md5(t) text_md5 FROM top JOIN texts USING (doc_id) WHERE r <= 10""")
 def semantic_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.semantic_articles(chunks(spark, sf_dir), queries(spark, sf_dir))
+    found = search.semantic_articles(chunks(spark, sf_dir), queries(spark, sf_dir), texts=chunk_texts(spark, sf_dir))
     return found.select("query_id", "doc_id", F.round("distance", 8).alias("distance"), "rank", F.md5("text").alias("text_md5"))
 
 
@@ -59,13 +59,13 @@ articles AS (SELECT query_id, doc_id, max(fusion) score, string_agg(chunk_text,
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) r FROM articles)
 SELECT query_id, doc_id, cast(r AS int) rank, round(score, 6) score, md5(t) text_md5 FROM top WHERE r <= 10""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.hybrid_search(chunks(spark, sf_dir), queries(spark, sf_dir), 10)
+    found = search.hybrid_search(chunks(spark, sf_dir), queries(spark, sf_dir), 10, texts=chunk_texts(spark, sf_dir))
     return found.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"), F.md5("text").alias("text_md5"))
 
 
 @query()
 def assemble_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = search.semantic_chunks(chunks(spark, sf_dir), queries(spark, sf_dir), 20)
+    ranked = search.semantic_chunks(chunks(spark, sf_dir), queries(spark, sf_dir), 20, chunk_texts(spark, sf_dir))
     return search.assemble_articles(ranked).select("query_id", "doc_id", "position", F.md5("text").alias("text_md5"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from annalist import schemas
 from annalist.functions import text
 from annalist.operators import canonical, entities, scoring, search, tasks, timeline
-from annalist.plans import timeline_queries
+from annalist.plans import adapters, timeline_queries
 from annalist.scratch import shared_dir
 from annalist.sources import corpus, tables
 from annalist.streaming import ingest
@@ -514,3 +514,22 @@ def test_bm25_shuffles_no_words(spark, monkeypatch):
     merged = search.bm25_scores(twice, queries).collect()
     monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
     assert sorted(merged, key=str) == sorted(search.bm25_scores(twice, queries).collect(), key=str) != []
+
+
+def test_hybrid_search_shuffles_found_texts_only(spark, tmp_path):
+    """Few found chunks are sent to the texts, which needn't meet the vectors; vectors whose id repeats still repeat a chunk."""
+    docs = spark.createDataFrame([(k, f"w{k % 4} common text {k}") for k in range(12)], "doc_id long, text string")
+    vecs = spark.createDataFrame([(k, [float(k + 1), 1.0]) for k in range(4)], "vec_id long, embedding array<float>")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    vecs.write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(0, "w1 text"), (1, "w3")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    chunks, texts, queries = (f(spark, str(tmp_path)) for f in (adapters.chunks, adapters.chunk_texts, adapters.queries))
+    found = search.hybrid_search(chunks, queries, 3, texts=texts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(found.collect()) == sorted(search.hybrid_search(chunks, queries, 3).collect()) != []
+    assert "Join" not in texts._jdf.queryExecution().executedPlan().toString()
+    vecs.union(vecs.limit(1)).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/more/embeddings.parquet")
+    docs.write.parquet(f"{tmp_path}/more/documents.parquet")
+    both = [f(spark, f"{tmp_path}/more") for f in (adapters.chunks, adapters.chunk_texts)]
+    assert sorted(both[0].drop("vector").collect()) == sorted(both[1].collect()) and both[1].count() > 12
