@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from annalist.functions import scores
 from annalist.functions.dates import ymd
 from annalist.operators import canonical, cells, cluster, pairs, scoring, timeline
 from annalist.plans import cluster_queries
@@ -435,3 +436,30 @@ def test_lsh_makes_a_pair_once_where_vectors_meet(spark, threshold, groups):
     sims = unit @ unit.T
     want = sorted((a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if sims[a, b] >= threshold and shared[a, b])
     assert want and sorted((r.a, r.b) for r in found.collect()) == want
+
+
+@pytest.mark.parametrize("least,per_key", [(0.75, 10_000), (0.5, 5), (1.0, 10_000)])
+def test_rule_pairs_meet_under_few_entities(spark, monkeypatch, least, per_key):
+    """All candidates that match by rule, with nulls, a common entity and no dates; far fewer pairs meet than share an entity."""
+    monkeypatch.setattr(pairs.split_join, "__defaults__", (per_key,))
+    met, real = [], pairs.split_join
+    monkeypatch.setattr(pairs, "split_join", lambda *args: met.append(real(*args)) or met[-1])
+    rng = random.Random(per_key)
+    rows = []
+    for k in range(90):
+        own = rng.sample("abcdefghijklmnop", rng.randrange(4)) + ["0hot"] + [None] * (k % 7 == 0) + ["0hot"] * (k % 5 == 0)
+        first = rng.randrange(1, 60)
+        rows.append((k, own, *((None, None) if k % 4 == 0 else (first, first + rng.randrange(12)))))
+    rows += [(200, [None], 1, 9), (201, None, 1, 9), (202, [], None, None)]
+    frame = spark.createDataFrame(rows, "id long, entity_ids array<string>, s int, e int")
+    day = lambda c: F.date_add(F.lit("2000-01-01").cast("date"), F.col(c))
+    events = frame.withColumn("date_range", F.when(F.col("s").isNotNull(), F.struct(day("s").alias("start_date"), day("e").alias("end_date"))))
+    events = events.withColumns({"year": F.year("date_range.start_date"), "entity_types": F.array()})
+    every = pairs.block_candidates(events, ("entity",), sides=("entity_ids", "date_range"))
+    want = {(r.a, r.b) for r in every.filter(scores.rule_match(F.col("x"), F.col("y"), least)).collect()}
+    met.clear()
+    got = pairs.rule_pairs(events, least, sides=("id", "s")).collect()
+    assert len(got) == len({(r.a, r.b) for r in got}) and {(r.a, r.b) for r in got} == want != set()
+    assert all((r.x.id, r.y.id) == (r.a, r.b) for r in got)
+    if least > 0.5:
+        assert met[0].filter("id_x < id_y").count() < every.count() / 3
