@@ -533,3 +533,10 @@ def test_hybrid_search_shuffles_found_texts_only(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/more/documents.parquet")
     both = [f(spark, f"{tmp_path}/more") for f in (adapters.chunks, adapters.chunk_texts)]
     assert sorted(both[0].drop("vector").collect()) == sorted(both[1].collect()) and both[1].count() > 12
+
+
+def test_view_query_shows_all_of_an_event(spark):
+    rows = timeline_queries.timeline_view(spark, "/root/testdata/sf0.001").collect()
+    assert {"event_date_str", "start_year", "main_entities", "sources"} <= set(rows[0].asDict())
+    assert all(re.fullmatch(r"\d+=Supplier#\d+ \(ORG\)(;\d+=Supplier#\d+ \(ORG\))*", r.main_entities) for r in rows)
+    assert all(len(r.sources.split(";")) >= len([s for s in r.source_snippets.split(";") if s]) for r in rows) and any("NATION_" in r.sources for r in rows)
