@@ -463,3 +463,21 @@ def test_rule_pairs_meet_under_few_entities(spark, monkeypatch, least, per_key):
     assert all((r.x.id, r.y.id) == (r.a, r.b) for r in got)
     if least > 0.5:
         assert met[0].filter("id_x < id_y").count() < every.count() / 3
+
+
+def test_merge_stats_counts_uncertain_pairs(spark):
+    """Those of the loop that groups at the high threshold: a leader and a later point that no leader has claimed yet."""
+    v = random_vectors(12, 60)
+    sims, claimed, want = v @ v.T, {}, 0
+    for k in range(60):
+        if k not in claimed:
+            claimed[k] = k
+            for j in range(k + 1, 60):
+                if j not in claimed and sims[k][j] >= 0.9:
+                    claimed[j] = k
+                elif j not in claimed and sims[k][j] >= 0.8:
+                    want += 1
+    groups, uncertain = cluster.vector_uncertain(table(spark, v), 0.9, 0.8)
+    assert {r.id: r.leader for r in groups.collect()} == claimed and uncertain.count() == want > 0
+    assert cluster.merge_stats(groups, uncertain.count()).first().n_uncertain == want
+    assert cluster_queries.merge_stats(spark, "/root/testdata/sf0.01").first().n_uncertain > 0
