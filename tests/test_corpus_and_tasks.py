@@ -540,3 +540,32 @@ def test_view_query_shows_all_of_an_event(spark):
     assert {"event_date_str", "start_year", "main_entities", "sources"} <= set(rows[0].asDict())
     assert all(re.fullmatch(r"\d+=Supplier#\d+ \(ORG\)(;\d+=Supplier#\d+ \(ORG\))*", r.main_entities) for r in rows)
     assert all(len(r.sources.split(";")) >= len([s for s in r.source_snippets.split(";") if s]) for r in rows) and any("NATION_" in r.sources for r in rows)
+
+
+def test_json_of_few_documents_carries_ids_only(spark, monkeypatch):
+    """Documents are looked up behind the shuffle; sources of no document, and ids that could be mistaken, stay whole. The result is the same."""
+    work = spark.createDataFrame([("t", "v", "topic", "completed"), ("u", "w", "none", "completed")], "id string, viewpoint_id string, topic_text string, status string")
+    work = work.withColumns({"config": F.create_map(F.lit("a"), F.lit("b")), "created_at": F.lit(None).cast("timestamp")})
+    documents = spark.createDataFrame([("1", "T1", "en", "u1", "web"), ("10", 'T"10', None, None, "web")], "id string, title string, language string, wikipedia_url string, source_type string")
+    source = "struct<ref:string,title:string,language:string,url:string,source_type:string>"
+    one, ten, gone, loose = ("src_1", "T1", "en", "u1", "web"), ("src_10", 'T"10', None, None, "web"), ("src_9", None, None, None, None), ("src_unknown_r", None, None, None, None)
+    events = spark.createDataFrame([("v", 0, [ten, one]), ("v", 1, [loose, one, gone]), ("v", 2, []), ("v", 3, None)], f"viewpoint_id string, sequence_order int, sources array<{source}>")
+    columns = ("title", "language", "url", "source_type")
+
+    def made(docs):
+        few, entries = tables.short_sources(docs, columns)
+        brought = events.select("viewpoint_id", "sequence_order", entries.alias("source_entries"))
+        return few, brought, sorted(tables.timeline_json(work, brought, few=few).collect())
+
+    few, brought, got = made(documents)
+    assert sorted(len(r.source_entries or []) for r in brought.collect()) == [0, 0, 1, 3] and few.count() == 2
+    assert json.loads(got[0].json)["sourcesCount"] == 4 and json.loads(got[0].json)["sources"]["src_10"] == {"title": 'T"10', "source_type": "web"}
+    assert all(made(documents.union(spark.createDataFrame([(x, "T", "en", "u", "web")], documents.schema)))[0] is None for x in ("1", "a,b", "unknown_r", '"', None))
+    monkeypatch.setattr(tables, "FEW_SOURCES", 1)
+    few, _, whole = made(documents)
+    assert few is None and whole == got
+
+
+def test_raw_events_and_links_are_shuffled_by_numbers(spark):
+    plan = timeline_queries.export_json(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(concat_ws(-, cast(l_orderkey") == 2 and "hashpartitioning(raw_event_id" not in plan
