@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from annalist.functions import scores
 from annalist.functions.dates import ymd
 from annalist.operators import canonical, cells, cluster, pairs, scoring, timeline
-from annalist.plans import cluster_queries
+from annalist.plans import adapters, cluster_queries
 
 
 def random_vectors(seed, n=40, d=3):
@@ -481,3 +481,12 @@ def test_merge_stats_counts_uncertain_pairs(spark):
     assert {r.id: r.leader for r in groups.collect()} == claimed and uncertain.count() == want > 0
     assert cluster.merge_stats(groups, uncertain.count()).first().n_uncertain == want
     assert cluster_queries.merge_stats(spark, "/root/testdata/sf0.01").first().n_uncertain > 0
+
+
+def test_candidate_query_has_pairs_of_types_and_years(spark):
+    """Not those of a common entity only."""
+    folder = "/root/testdata/sf0.001"
+    got = cluster_queries.block_candidates(spark, folder).distinct()
+    for by in ("entity", "type", "year"):
+        assert pairs.block_candidates(adapters.events(spark, folder), (by,)).join(got, ["a", "b"], "left_anti").isEmpty()
+    assert got.count() == pairs.block_candidates(adapters.events(spark, folder), ("type", "entity", "year")).count()
