@@ -569,3 +569,16 @@ def test_json_of_few_documents_carries_ids_only(spark, monkeypatch):
 def test_raw_events_and_links_are_shuffled_by_numbers(spark):
     plan = timeline_queries.export_json(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(concat_ws(-, cast(l_orderkey") == 2 and "hashpartitioning(raw_event_id" not in plan
+
+
+def test_markdown_of_few_documents_carries_ids_only(spark, monkeypatch):
+    """The lines of sources are made where a document is; the texts are those of whole sections, also where numbers tie and sources have no document."""
+    folder = "/root/testdata/sf0.001"
+    brought, real, every = [], tables.timeline_markdown, timeline_queries._documents
+    monkeypatch.setattr(timeline_queries, "_documents", lambda *args: every(*args).filter("cast(id AS int) < 5"))
+    monkeypatch.setattr(tables, "timeline_markdown", lambda *args: brought.append(args[1].columns) or real(*args))
+    got = sorted(timeline_queries.export_markdown(spark, folder).collect())
+    monkeypatch.setattr(tables, "FEW_SOURCES", 1)
+    assert sorted(timeline_queries.export_markdown(spark, folder).collect()) == got
+    assert brought == [["viewpoint_id", "number", "before", "sources", "after"], ["viewpoint_id", "number", "section"]]
+    assert any("](u" in r.markdown and "- Source\n" in r.markdown for r in got)
